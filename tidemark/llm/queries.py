@@ -2,15 +2,26 @@
 
 from __future__ import annotations
 
+from .bpe import op9_bpe
+from .flac import op7_flac
 from .mixing import OP3_SQL, op3_mixing
+from .pii import op6_pii
+from .toxicity import op5_toxicity
 from .url_filter import OP4_SQL, op4_url_filter
+from .warc import OP2_SQL, op2_warc
 
 QUERIES = {
+    "op2_warc": op2_warc,
     "op3_mixing": op3_mixing,
     "op4_url_filter": op4_url_filter,
+    "op5_toxicity": op5_toxicity,
+    "op6_pii": op6_pii,
+    "op7_flac": op7_flac,
+    "op9_bpe": op9_bpe,
 }
 
 ORACLE_SQL = {
+    "op2_warc": OP2_SQL,
     "op3_mixing": OP3_SQL,
     "op4_url_filter": OP4_SQL,
 }

@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from .common import blocks, table
 
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 6 << 20
 NONE = np.int64(1 << 40)
 
 

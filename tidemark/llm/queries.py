@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op9_bpe
 from .flac import op7_flac
+from .minhash import op1_minhash
 from .mixing import OP3_SQL, op3_mixing
 from .pii import op6_pii
 from .toxicity import op5_toxicity
@@ -11,6 +12,7 @@ from .url_filter import OP4_SQL, op4_url_filter
 from .warc import OP2_SQL, op2_warc
 
 QUERIES = {
+    "op1_minhash": op1_minhash,
     "op2_warc": op2_warc,
     "op3_mixing": op3_mixing,
     "op4_url_filter": op4_url_filter,

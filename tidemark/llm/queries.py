@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op9_bpe
 from .flac import op7_flac
+from .hnsw import op10_hnsw
 from .minhash import op1_minhash
 from .mixing import OP3_SQL, op3_mixing
 from .pii import op6_pii
@@ -20,6 +21,7 @@ QUERIES = {
     "op6_pii": op6_pii,
     "op7_flac": op7_flac,
     "op9_bpe": op9_bpe,
+    "op10_hnsw": op10_hnsw,
 }
 
 ORACLE_SQL = {

@@ -8,6 +8,7 @@ from .hnsw import op10_hnsw
 from .minhash import op1_minhash
 from .mixing import OP3_SQL, op3_mixing
 from .pii import op6_pii
+from .suffix_dedup import op8_suffix_array
 from .toxicity import op5_toxicity
 from .url_filter import OP4_SQL, op4_url_filter
 from .warc import OP2_SQL, op2_warc
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_pii": op6_pii,
     "op7_flac": op7_flac,
+    "op8_suffix_array": op8_suffix_array,
     "op9_bpe": op9_bpe,
     "op10_hnsw": op10_hnsw,
 }

@@ -198,6 +198,7 @@ def gathered(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.Table]
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """`encoded` with decoded, the bytes of its ids; an id outside the vocabulary raises KeyError."""
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoded = encoded.drop("decoded")
     schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

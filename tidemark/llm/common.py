@@ -52,6 +52,18 @@ def word_count(text):
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def packed(docs: DataFrame, *needed: str) -> DataFrame:
+    """The needed columns, and all others in one struct, so that what an operator adds can't clash with them."""
+    others = [c for c in docs.columns if c not in needed]
+    return docs.select(*needed, *([F.struct(*others).alias("_row")] if others else []))
+
+
+def unpacked(df: DataFrame, like: DataFrame) -> DataFrame:
+    """The columns of `like` from rows of packed(like, ...)."""
+    inside = df.schema["_row"].dataType.names if "_row" in df.columns else []
+    return df.select(*(F.col("_row")[c].alias(c) if c in inside else F.col(c) for c in like.columns))
+
+
 def encoded(value: str | None) -> bytes:
     """UTF-8, null as empty."""
     return b"" if value is None else value.encode("utf-8", "surrogatepass")

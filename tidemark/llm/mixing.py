@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, table, word_count
+from .common import Scratch, packed, table, unpacked, word_count
 
 BUCKETS = 4096
 
@@ -120,12 +120,11 @@ def apply_plan(drawn: DataFrame, planned: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_epochs: int = 3, quality: Column | None = None, seed: str = "mix:") -> DataFrame:
     """The rows of `docs` (doc_id, text, source, any others), each as often as the mix takes it."""
     scratch = Scratch(docs.sparkSession)
-    kept = docs.columns
-    drawn = _drawn(docs, quality, seed)
+    drawn = _drawn(packed(docs, "doc_id", "text", "source"), quality, seed)
     slim = scratch.write(drawn.select("source", "_size", "_key", "_bucket"), "drawn")
     planned = scratch.write(plan(slim, weights, max_epochs), "plan")
     taken = apply_plan(drawn, planned).where("copies > 0")
-    return taken.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*kept)
+    return unpacked(taken.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))), docs)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Runs on DataFrame functions alone. Defined cases: a null url, or one without "://", has an empty host and path and
 gets the default verdict; repeated rows and urls are each judged; an empty table gives an empty result; other columns
-are ignored. Among rules that fit, the longest (host + path, in characters) wins, then the longer host, then block
+are kept, but for those that the result adds. Among rules that fit, the longest (host + path, in characters) wins, then the longer host, then block
 before allow.
 """
 
@@ -62,6 +62,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     ).withColumn("short", _short(F.col("rule_digest")))
     shapes = sorted((r.labels, r.chars) for r in ruled.select("labels", "chars").distinct().collect())
 
+    pages = pages.drop("host", "path", "rule", "verdict")
     judged = pages.withColumn("host", url_host(F.col("url"))).withColumn("path", url_path(F.col("url")))
     if not shapes:
         return judged.withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit(default))

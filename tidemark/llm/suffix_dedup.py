@@ -33,9 +33,9 @@ from .common import Scratch, blocks, encoded, table
 LENGTH = 50
 GRAM = 16
 WINDOW = LENGTH - GRAM + 1
-CHUNK_BYTES = 4 << 20
-BUCKET_BYTES = 24 << 20  # of pieces, about four bytes for each byte of text
-SHARD_BYTES = 8 << 20
+CHUNK_BYTES = 3 << 19
+BUCKET_BYTES = 8 << 20  # of pieces, about four bytes for each byte of text
+SHARD_BYTES = 2 << 20
 LAST = np.iinfo(np.int64).max
 
 

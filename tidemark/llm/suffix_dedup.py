@@ -1,6 +1,6 @@
 """Removal of byte strings that an earlier document has too: suffix arrays per shard, merged by binary search.
 
-Every 50-byte string has one place of least 16-byte hash in it (its minimizer), the same wherever the string occurs. A
+Every 50-byte string has one place of least 8-byte hash in it (its minimizer), the same wherever the string occurs. A
 document is cut into pieces: runs of start positions with the same minimizer, with the bytes their strings need. Pieces
 go to buckets by their minimizer, so equal strings meet whatever documents they are in. A piece that a chunk of
 documents holds several times travels once, for the smallest document; for the others all of it is repeated.
@@ -31,12 +31,14 @@ from pyspark.sql import functions as F
 from .common import Scratch, blocks, encoded, table
 
 LENGTH = 50
-GRAM = 16
+GRAM = 8
 WINDOW = LENGTH - GRAM + 1
+SIDE = (LENGTH - GRAM + 1) // 2  # bytes beside the minimizer that a string has on one side at least
 CHUNK_BYTES = 3 << 19
 BUCKET_BYTES = 8 << 20  # of pieces, about four bytes for each byte of text
 SHARD_BYTES = 2 << 20
 LAST = np.iinfo(np.int64).max
+GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -50,10 +52,6 @@ def _words(buf: np.ndarray, order: str = "<") -> np.ndarray:
     return np.ndarray((len(buf) - 8,), f"{order}u8", buf, strides=(1,))
 
 
-def _gram_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    return _mix(first.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + _mix(second.astype(np.uint64)))
-
-
 def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """starts[i], starts[i] + 1, ... for sizes[i] numbers, one run after the other."""
     ends = np.cumsum(sizes)
@@ -72,7 +70,7 @@ def pieces(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     if not len(starts):
         return buf, none, none, none, none
     w = _words(buf)[: total + 16]
-    least = (_gram_hash(w[: total + 8], w[8:]) & np.uint64(0xFFFFFFFF00000000)) | np.arange(total + 8, dtype=np.uint64)
+    least = (_mix(w[: total + 8].astype(np.uint64) * GOLDEN) & np.uint64(0xFFFFFFFF00000000)) | np.arange(total + 8, dtype=np.uint64)
     size = 1
     while 2 * size <= WINDOW:
         least = np.minimum(least[:-size], least[size:])
@@ -95,7 +93,7 @@ def _distinct(buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarra
         x = w[start[live] + lo].astype(np.uint64)
         spare = np.maximum(8 - (size[live] - lo), 0).astype(np.uint64)
         x = (x << (spare * np.uint64(8))) & np.uint64(2**64 - 1)
-        acc[live] = _mix(acc[live] * np.uint64(0x9E3779B97F4A7C15) + x + np.uint64(lo + 1))
+        acc[live] = _mix(acc[live] * GOLDEN + x + np.uint64(lo + 1))
     acc = _mix(acc + size.astype(np.uint64))
     order = np.argsort(acc, kind="stable")
     fresh = np.concatenate(([True], acc[order][1:] != acc[order][:-1]))
@@ -152,7 +150,7 @@ def routed(docs: DataFrame, buckets: int) -> DataFrame:
             base = np.cumsum(sizes) - sizes
             lead = _distinct(buf, start, n + LENGTH - 1)
             w = _words(buf)
-            bucket = (_gram_hash(w[at], w[at + 8]) % np.uint64(buckets)).astype(np.int64)
+            bucket = (_mix(w[at].astype(np.uint64) * GOLDEN) % np.uint64(buckets)).astype(np.int64)
             local = ids[doc] > ids[doc[lead]]
             chunk = int.from_bytes(hashlib.blake2b(keys.tobytes(), digest_size=7).digest(), "little")
             by = np.argsort(bucket, kind="stable")
@@ -269,18 +267,41 @@ def _shard(ctx: np.ndarray, n: np.ndarray, doc: np.ndarray):
     return place, string, piece, place[heads], np.minimum.reduceat(doc[piece], heads), first
 
 
+def _side_hash(gram: np.ndarray, w: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Of the minimizer and the SIDE bytes from `first` on, whose last eight are at `last`."""
+    h = gram
+    for at in (first, first + 8, last):  # SIDE is 16 to 24
+        h = _mix(h * GOLDEN + w[at].astype(np.uint64))
+    return h
+
+
+def _shared(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Whether several documents have a row's key."""
+    order = np.argsort(key, kind="stable")
+    key, doc = key[order], doc[order]
+    heads = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+    count = np.diff(np.append(heads, len(key)))
+    several = np.minimum.reduceat(doc, heads) != np.maximum.reduceat(doc, heads) if len(heads) else np.zeros(0, bool)
+    out = np.empty(len(key), bool)
+    out[order] = np.repeat(several, count)
+    return out
+
+
 def repeated_masks(ctx: np.ndarray, n: np.ndarray, off: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """For each piece a mask of its start positions whose string a smaller document has."""
     masks = np.zeros(len(n), np.uint64)
     sizes = n.astype(np.int64) + LENGTH - 1
     first = np.cumsum(sizes) - sizes
     w = _words(np.append(ctx, np.zeros(32, np.uint8)))
-    gram = _gram_hash(w[first + off], w[first + off + 8])
-    order = np.lexsort((doc, gram))
-    heads = np.flatnonzero(np.concatenate(([True], gram[order][1:] != gram[order][:-1])))
-    count = np.diff(np.append(heads, len(order)))
-    several = doc[order][heads] != doc[order][heads + count - 1]
-    keep = order[np.repeat(several, count)]  # pieces of one minimizer lie together
+    at, end = first + off, first + sizes
+    gram = _mix(w[at].astype(np.uint64) * GOLDEN)
+    # A string has SIDE more bytes on one side of its minimizer: pieces that share those with no other document are out.
+    left, right = np.flatnonzero(off >= SIDE), np.flatnonzero(end - at >= GRAM + SIDE)
+    near = np.zeros(len(n), bool)
+    near[left] |= _shared(_side_hash(gram[left], w, at[left] - SIDE, at[left] - 8), doc[left])
+    near[right] |= _shared(_side_hash(gram[right] + np.uint64(1), w, at[right] + GRAM, at[right] + GRAM + SIDE - 8), doc[right])
+    keep = np.flatnonzero(near)
+    keep = keep[np.argsort(gram[keep], kind="stable")]  # pieces of one minimizer lie together
     if not len(keep):
         return masks
     held = np.cumsum(sizes[keep])

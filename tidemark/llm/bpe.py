@@ -27,9 +27,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, table
+from .common import blocks, small_batches, table
 
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
 NONE = np.int64(1 << 40)
 
 
@@ -179,7 +179,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
             out = pa.table([*(block.column(k) for k in kept), counts, pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())], [*kept, "n_tokens", "ids"])
             yield from out.combine_chunks().to_batches(max_chunksize=4096)
 
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(run, schema)
 
 
 def gathered(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.Table]:
@@ -207,7 +207,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
             texts = [b"".join(map(tokens.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in block.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*block.columns, pa.array(texts, pa.binary())], [*block.schema.names, "decoded"])
 
-    return encoded.mapInArrow(run, schema)
+    return small_batches(encoded).mapInArrow(run, schema)
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_BYTES = 4 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -69,6 +70,12 @@ def encoded(value: str | None) -> bytes:
     return b"" if value is None else value.encode("utf-8", "surrogatepass")
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """`df`, after bounding the bytes of the Arrow batches that its session sends to Python (long texts make large rows)."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df
+
+
 def blocks(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into slices whose `column` holds about max_bytes (at least one row each)."""
     for batch in batches:

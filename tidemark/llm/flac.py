@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import blocks, encoded, table
+from .common import blocks, encoded, small_batches, table
 
 BLOCK = 1024
 RATE = 8000
@@ -490,7 +490,7 @@ def media(docs: DataFrame) -> DataFrame:
             streams = encode([p for _, p in texts])
             yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array([n for n, _ in texts], pa.int64()), pa.array(streams, pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
 def pcm_blocks(streams: DataFrame) -> DataFrame:
@@ -502,7 +502,7 @@ def pcm_blocks(streams: DataFrame) -> DataFrame:
             ids, ats, sizes, pcms = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ats, pa.int64()), pa.array(sizes, pa.int32()), pa.array(pcms, pa.binary())], ["doc_id", "sample_offset", "n_samples", "pcm"])
 
-    return streams.select("doc_id", "media").mapInArrow(run, "doc_id long, sample_offset long, n_samples int, pcm binary")
+    return small_batches(streams).select("doc_id", "media").mapInArrow(run, "doc_id long, sample_offset long, n_samples int, pcm binary")
 
 
 def features(payload: bytes) -> str:
@@ -525,7 +525,7 @@ def described(streams: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([block.column("doc_id"), block.column("n_bytes"), *columns], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return streams.mapInArrow(run, schema)
+    return small_batches(streams).mapInArrow(run, schema)
 
 
 def op7_flac(spark: SparkSession, sf_dir: str) -> DataFrame:

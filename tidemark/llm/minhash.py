@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, blocks, encoded, table
+from .common import Scratch, blocks, encoded, small_batches, table
 from .graph import components
 
 SLOTS, ROWS = 128, 4  # bands of 4 slots: a pair at 0.8 shares none of the 32 with a chance of 5e-8
@@ -118,7 +118,7 @@ def signed_docs(docs: DataFrame, width: int) -> DataFrame:
             bands = _arrays(keys[full].ravel(), (full * keys.shape[1]).tolist())
             yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(fps, pa.binary()), bands], ["doc_id", "n_shingles", "fp", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, fp binary, bands array<long>")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, fp binary, bands array<long>")
 
 
 def doc_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -129,7 +129,7 @@ def doc_sets(docs: DataFrame, width: int) -> DataFrame:
             sets = shingle_sets(block.column("text").to_pylist(), width)
             yield pa.RecordBatch.from_arrays([block.column("doc_id"), _arrays(np.concatenate(sets).view(np.int64), [len(s) for s in sets])], ["doc_id", "shingles"])
 
-    return docs.mapInArrow(run, "doc_id long, shingles array<long>")
+    return small_batches(docs).mapInArrow(run, "doc_id long, shingles array<long>")
 
 
 def linked(common, a, b, percent: int):

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import blocks, table
+from .common import blocks, small_batches, table
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
@@ -407,7 +407,7 @@ def find(docs: DataFrame, model: Model | None = None) -> DataFrame:
             columns = [pa.array(c, pa.int64() if i < 4 else pa.string()) for i, c in enumerate(zip(*rows, strict=True))]
             yield pa.RecordBatch.from_arrays([*block.columns, *columns], [*block.schema.names, *added.names])
 
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(run, schema)
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, blocks, encoded, table
+from .common import Scratch, blocks, encoded, small_batches, table
 
 LENGTH = 50
 GRAM = 8
@@ -170,7 +170,7 @@ def routed(docs: DataFrame, buckets: int) -> DataFrame:
             b, c, d = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.binary())], ["bucket", "chunk", "block"])
 
-    return docs.mapInArrow(run, "bucket long, chunk long, block binary")
+    return small_batches(docs).mapInArrow(run, "bucket long, chunk long, block binary")
 
 
 def suffix_array(buf: np.ndarray, left: np.ndarray) -> np.ndarray:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, table
+from .common import blocks, small_batches, table
 
 TRAIN_DOCS = 6000
 BUCKETS = 1 << 18
@@ -161,7 +161,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
             located = [offending(t or "", p[cuts[i] : cuts[i + 1]], threshold) if scores[i] >= threshold else [] for i, t in enumerate(texts)]
             yield pa.RecordBatch.from_arrays([*block.columns, pa.array(scores), pa.array(located, arrow)], [*block.schema.names, *added.names])
 
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(run, schema)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, encoded, table
+from .common import Scratch, encoded, small_batches, table
 
 SKIPPABLE = b"\x5d\x2a\x4d\x18"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -194,7 +194,7 @@ def write_archives(records: DataFrame, archive_bytes: int = ARCHIVE_BYTES, date:
         if held:
             yield packed()
 
-    return records.mapInArrow(run, ARCHIVES)
+    return small_batches(records).mapInArrow(run, ARCHIVES)
 
 
 def read_archives(archives: DataFrame, name: str = "archive", with_payload: bool = True) -> DataFrame:

@@ -3,7 +3,7 @@
 Vectors with the same label and components form a class, and one of each class goes on. The vectors of a label are
 dealt into shards of bounded size; a task builds a shard's graph, inserting growing chunks of vectors that search
 together. Then blocks of queries meet every graph of their label in a beam search. Each task compares a sample of its
-queries with brute force over the shard and doubles the beam until the recall of links reaches RECALL; a beam as wide as
+queries with brute force over the shard and doubles the beam, from which links are followed on, until the recall of links reaches RECALL; a beam as wide as
 the shard is exhaustive. Links are confirmed by cosine in double precision.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and those without a label, link
@@ -29,6 +29,7 @@ from .graph import components
 LINKS, BUILD_BEAM = 12, 32  # neighbours on the upper levels (twice as many on level 0); beam of insertions
 SHARD, QUERIES, CHUNK = 8192, 1024, 512
 BEAM, AUDIT, RECALL = 16, 256, 0.98
+SLACK = 0.05  # how far below the threshold a node may be that leads on to links
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -102,6 +103,31 @@ class Graph:
             at = self.descend(queries, at, level)
         return self.beam(queries, at, 0, min(width, len(self.vectors)))
 
+    def within(self, queries: np.ndarray, width: int, low: float) -> tuple[np.ndarray, np.ndarray]:
+        """Query rows and nodes with a cosine of `low` or more: those of a beam, and all that neighbours of such lead to.
+
+        Nodes up to SLACK below `low` are passed through, so work follows the number of links, not the width of a beam.
+        """
+        ids, sims = self.search(queries, width)
+        n = len(self.vectors)
+        seen = np.zeros(len(queries) * n, bool)
+        r, c = np.nonzero(ids >= 0)
+        seen[r * n + ids[r, c]] = True
+        r, c = np.nonzero(sims >= low - SLACK)
+        node, s = ids[r, c], sims[r, c]
+        found = [(r[s >= low], node[s >= low])]
+        while len(r):
+            near = self.neighbours[0][node]
+            key = (r[:, None] * n + near)[near >= 0]
+            key = np.unique(key[~seen[key]])
+            seen[key] = True
+            r, node = key // n, key % n
+            s = np.concatenate([np.einsum("ij,ij->i", queries[r[i : i + 65536]], self.vectors[node[i : i + 65536]]) for i in range(0, len(r), 65536)] or [np.zeros(0)])
+            found.append((r[s >= low], node[s >= low]))
+            on = s >= low - SLACK
+            r, node = r[on], node[on]
+        return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
+
     def diverse(self, ids: np.ndarray, sims: np.ndarray, most: int) -> np.ndarray:
         """Of each row of candidates (best first), those nearer to the row's node than to any chosen before; then the rest."""
         x = self.vectors[np.maximum(ids, 0)]
@@ -203,9 +229,7 @@ def links(graph: Graph, queries: np.ndarray, exact: np.ndarray, least: float) ->
     width, low = BEAM, np.float32(least - 1e-4)
     as_float = queries.astype(np.float32)
     while True:
-        ids, sims = graph.search(as_float, width)
-        r, c = np.nonzero(sims >= low)
-        node = ids[r, c]
+        r, node = graph.within(as_float, width, low)
         found = np.zeros_like(truth)
         place = np.full(len(queries), -1)
         place[sample] = np.arange(len(sample))

@@ -1,0 +1,209 @@
+"""Pair-trading simulation with margin accounting: sequential within a strategy, parallel over strategies.
+
+Spark prepares what each day needs (signals with both legs' closes, returns and ATR); a strategy's days then run through a
+small state machine in one grouped function, as each day's cash depends on the day before.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, field
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import cols as C
+
+
+@dataclass(frozen=True)
+class Rules:
+    """Defaults of the simulator."""
+
+    capital: float = 1e7
+    margin: float = 0.1
+    cost: float = 1e-4
+    slippage: float = 1e-4
+    max_position: float = 0.5  # share of cash that a day's entries may use
+    max_alloc: float = 0.2  # share of total value for one product
+    max_lots: int = 500
+    atr_risk: float = 0.02
+    leverage_scaler: float = 2.0
+    max_drawdown: float = 0.2
+    var_limit: float = 0.05
+    max_concentration: float = 0.4
+    stop_loss: float = 0.1
+    liquidation: float = 0.05
+    allocation: str = "equal"  # or weighted
+    multipliers: dict = field(default_factory=dict)
+
+    def multiplier(self, symbol: str) -> int:
+        """Of the product code without exchange and month; 10 where it isn't listed."""
+        return self.multipliers.get(symbol.split(".")[0].upper().rstrip("0123456789"), self.multipliers.get(symbol, 10))
+
+
+class Account:
+    """Cash, positions (lots and entry price) and active pairs of one strategy."""
+
+    def __init__(self, rules: Rules):
+        self.rules, self.cash = rules, rules.capital
+        self.lots: dict[str, int] = {}
+        self.entry: dict[str, float] = {}
+        self.pairs: dict[tuple[str, str], int] = {}
+        self.history: list[float] = []
+        self.peak = rules.capital
+        self.trades: list[dict] = []
+
+    def value(self, prices: dict[str, float]) -> float:
+        """Cash, margin at entry prices and open profit; products without a price stay at entry."""
+        r = self.rules
+        return self.cash + sum(abs(q) * self.entry[s] * r.margin + q * (prices.get(s, self.entry[s]) - self.entry[s]) for s, q in self.lots.items())
+
+    def trade(self, day, symbol: str, target: int, price: float, total: float, reason: str) -> bool:
+        """Bring a product to `target` lots: opens, closes, flips or adjusts it as far as cash allows."""
+        r, now = self.rules, self.lots.get(symbol, 0)
+        if price is None or not price > 0:
+            return False
+        if target:
+            cap = max(1, min(r.max_lots, int(total * r.max_alloc / (price * r.multiplier(symbol)))))
+            target = max(-cap, min(cap, target))
+        if target == now:
+            return False
+        if now and target and (now > 0) != (target > 0):
+            self.trade(day, symbol, 0, price, total, reason)
+            return self.trade(day, symbol, target, price, total, reason)
+        step = target - now
+        px = price * (1 + (1 if step > 0 else -1) * r.slippage)
+        fee, pnl = abs(step) * px * r.cost, 0.0
+        if abs(target) > abs(now):
+            need = abs(step) * px * r.margin + fee
+            if need > self.cash:
+                return False
+            self.cash -= need
+            old = abs(now) * self.entry.get(symbol, 0.0)
+            self.entry[symbol] = (old + abs(step) * px) / abs(target)
+            action = "ADD" if now else "OPEN"
+        else:
+            entry = self.entry[symbol]
+            pnl = (px - entry) * (1 if now > 0 else -1) * abs(step)
+            self.cash += abs(step) * entry * r.margin + pnl - fee
+            action = "REDUCE" if target else "CLOSE"
+        if target:
+            self.lots[symbol] = target
+        else:
+            self.lots.pop(symbol, None)
+            self.entry.pop(symbol, None)
+        self.trades.append({"dt": day, "symbol": symbol, "action": action, "quantity": step, "price": px, "cost": fee, "pnl": pnl, "reason": reason})
+        return True
+
+    def close(self, day, symbols, prices, total, reason: str) -> None:
+        for s in list(symbols):
+            if s in self.lots:
+                self.trade(day, s, 0, prices.get(s), total, reason)
+        self.pairs = {p: side for p, side in self.pairs.items() if p[0] in self.lots or p[1] in self.lots}
+
+    def check_risk(self, day, prices: dict[str, float]) -> None:
+        """Drawdown, value at risk, concentration and stop losses, in this order."""
+        r, total = self.rules, self.value(prices)
+        self.peak = max(self.peak, total)
+        size = {s: abs(q) * prices.get(s, self.entry[s]) for s, q in self.lots.items()}
+        by_size = sorted(size, key=lambda s: (-size[s], s))
+        if total / self.peak - 1 < -r.max_drawdown and by_size:
+            self.close(day, by_size[: -(-3 * len(by_size) // 10)], prices, total, "reduce_leverage")
+        recent = self.history[-60:]
+        if len(recent) >= 20 and recent[-1] < pd.Series(recent).quantile(r.var_limit) and self.lots:
+            gain = {s: q * (prices.get(s, self.entry[s]) - self.entry[s]) for s, q in self.lots.items()}
+            worst = min(gain, key=lambda s: (gain[s], s))
+            if gain[worst] < 0:
+                self.close(day, [worst], prices, total, "reduce_risk_exposure")
+        for s in list(self.lots):
+            held = abs(self.lots[s]) * prices.get(s, self.entry[s]) * r.margin
+            if total > 0 and held / total > r.max_concentration:
+                keep = int(abs(self.lots[s]) * 0.9 * r.max_concentration * total / held)
+                self.trade(day, s, keep if self.lots[s] > 0 else -keep, prices.get(s), total, "diversify")
+        for s in list(self.lots):
+            side = 1 if self.lots[s] > 0 else -1
+            if side * (prices.get(s, self.entry[s]) / self.entry[s] - 1) < -r.stop_loss:
+                self.close(day, [s], prices, total, f"stop_loss_{s}")
+
+    def enter(self, day, rows: list, prices: dict, total: float) -> None:
+        """Entries in input order; a pair is left out if it or one of its products is in use."""
+        r, used, chosen = self.rules, set(self.lots), []
+        for row in rows:
+            pair = (row.a1, row.a2)
+            if pair in self.pairs or pair[::-1] in self.pairs or used & set(pair):
+                continue
+            used |= set(pair)
+            chosen.append(row)
+        budget = self.cash * r.max_position
+        weights = [abs(x.strength) if r.allocation == "weighted" else 1.0 for x in chosen]
+        for row, w in zip(chosen, weights, strict=True):
+            alloc = budget * w / (sum(weights) or 1)
+            atr = [a if a and a > 0 else 0.02 * c for a, c in ((row.atr1, row.c1), (row.atr2, row.c2))]
+            inverse = [1 / a for a in atr]
+            done = False
+            for symbol, price, a, i, side in ((row.a1, row.c1, atr[0], inverse[0], row.signal), (row.a2, row.c2, atr[1], inverse[1], -row.signal)):
+                lots = max(1, int(alloc * r.atr_risk * i / sum(inverse) / a * r.leverage_scaler))
+                done |= self.trade(day, symbol, int(side) * lots, price, total, "entry")
+            if done:
+                self.pairs[(row.a1, row.a2)] = int(row.signal)
+
+
+def run_strategy(rows: pd.DataFrame, rules: Rules) -> tuple[pd.DataFrame, list[dict]]:
+    """Daily rows and trades of one strategy. rows: dt, a1, a2, signal, strength, c1, c2, atr1, atr2."""
+    account, days, before = Account(rules), [], rules.capital
+    prices: dict[str, float] = {}
+    for day, today in rows.sort_values(["dt", "a1", "a2"]).groupby("dt", sort=True):
+        for row in today.itertuples():
+            prices[row.a1], prices[row.a2] = row.c1, row.c2
+        total = account.value(prices)
+        if total < rules.liquidation * rules.capital and account.lots:
+            account.close(day, list(account.lots), prices, total, "liquidation")
+            account.pairs = {}
+        else:
+            account.check_risk(day, prices)
+            for row in today.itertuples():
+                pair = (row.a1, row.a2) if (row.a1, row.a2) in account.pairs else (row.a2, row.a1)
+                if pair in account.pairs and (row.signal == 0 or row.signal == -account.pairs[pair]):
+                    account.close(day, pair, prices, total, "exit")
+                    account.pairs.pop(pair, None)
+            account.enter(day, [x for x in today.itertuples() if x.signal], prices, account.value(prices))
+        total = account.value(prices)
+        net = sum(q * prices[s] for s, q in account.lots.items())
+        gross = sum(abs(q) * prices[s] for s, q in account.lots.items())
+        r = total / before - 1 if before > 0 else 0.0
+        account.history.append(r)
+        days.append({"dt": day, "equity": total, "cash": account.cash, "ret": r, "net": net, "gross": gross, "leverage": gross / total if total > 0 else 0.0, "n_pairs": len(account.pairs), "n_positions": len(account.lots)})
+        before = total
+    return pd.DataFrame(days), account.trades
+
+
+def features(bars: DataFrame, signals: DataFrame, atr_window: int = 14) -> DataFrame:
+    """Signals (strategy, dt, a1, a2, signal, strength) with both legs' close and ATR."""
+    slim = bars.select("asset", "dt", "close", F.avg(C.true_range()).over(C.last(atr_window)).alias("atr"))
+    for i in ("1", "2"):
+        leg = slim.select(F.col("asset").alias(f"a{i}"), "dt", F.col("close").alias(f"c{i}"), F.col("atr").alias(f"atr{i}"))
+        signals = signals.join(leg, [f"a{i}", "dt"])
+    return signals
+
+
+def simulated(prepared: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """strategy, dt, equity, cash, ret, net, gross, leverage, n_pairs, n_positions."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        days, _ = run_strategy(part, rules)
+        return days.assign(strategy=part["strategy"].iloc[0])
+
+    schema = "strategy string, dt date, equity double, cash double, ret double, net double, gross double, leverage double, n_pairs int, n_positions int"
+    return prepared.groupBy("strategy").applyInPandas(run, schema)
+
+
+def trades(prepared: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """strategy, n (order), dt, symbol, action, quantity, price, cost, pnl, reason."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        _, found = run_strategy(part, rules)
+        columns = ["dt", "symbol", "action", "quantity", "price", "cost", "pnl", "reason"]
+        return pd.DataFrame(found, columns=columns).assign(strategy=part["strategy"].iloc[0], n=range(len(found)))
+
+    schema = "strategy string, n long, dt date, symbol string, action string, quantity long, price double, cost double, pnl double, reason string"
+    return prepared.groupBy("strategy").applyInPandas(run, schema)

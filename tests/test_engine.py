@@ -1,0 +1,203 @@
+"""Operators of the engine against numpy and pandas, on small random walks."""
+
+import math
+
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.operators import combine, metrics, normalize, pairs, portfolio, simulate, timeseries
+from tidemark.sources import bars as B
+
+DAYS = 320
+
+
+@pytest.fixture(scope="session")
+def panel():
+    rng = np.random.default_rng(42)
+    out = []
+    for asset in ("A", "B", "C", "D", "E", "F"):
+        close = 100 * np.exp(np.cumsum(rng.normal(0, 0.02, DAYS)))
+        volume = rng.integers(1000, 9999, DAYS).astype(float)
+        out.append(pd.DataFrame({"asset": asset, "dt": pd.bdate_range("2020-01-01", periods=DAYS).date, "open": close, "high": close * 1.01, "low": close * 0.99, "close": close, "volume": volume, "amount": close * volume, "oi": volume, "sector": "s"}))
+    return pd.concat(out, ignore_index=True)
+
+
+@pytest.fixture(scope="session")
+def bars(spark, panel):
+    return spark.createDataFrame(panel).withColumn("dt", F.to_date("dt")).cache()
+
+
+def got(df, asset="A"):
+    return df.where(F.col("asset") == asset).orderBy("dt").toPandas()["value"].to_numpy()
+
+
+def one(panel, asset="A"):
+    return panel[panel.asset == asset].reset_index(drop=True)
+
+
+def test_amivest_matches_pandas(bars, panel):
+    p = one(panel)
+    r = p.close.pct_change().abs()
+    side = lambda n: p.amount.rolling(n).sum() / (r.rolling(n).sum() + 1e-10)
+    want = (side(12) / (side(32) + 1e-10)).clip(-5, 5).where(np.arange(DAYS) >= 79, 0.0).to_numpy()
+    np.testing.assert_allclose(got(timeseries.amivest(bars)), want, atol=1e-9)
+
+
+def test_amihud_matches_ewm(bars, panel):
+    p = one(panel)
+    a = p.close.pct_change() / (p.amount + 1e-10)
+    want = (a.ewm(span=2).mean() / (a.ewm(span=9).mean() + 1e-10)).fillna(0).clip(-5, 5).where(np.arange(DAYS) >= 49, 0.0)
+    np.testing.assert_allclose(got(timeseries.amihud(bars)), want, atol=1e-9)
+
+
+def test_kalman_weights_are_the_filter(panel):
+    c = one(panel).close.to_numpy()[:60]
+    x, p, spread = c[0], 1.0, []
+    for z in c:
+        p += 1e-5
+        spread.append(z - x)
+        k = p / (p + 1e-3)
+        x, p = x + k * (z - x), (1 - k) * p
+    np.testing.assert_allclose(timeseries.kalman_weights(60, 1e-5, 1e-3) @ c, spread, atol=1e-9)
+
+
+def test_crossover_matches_loop(bars, panel):
+    c = one(panel).close
+    f, s = c.rolling(10).mean().to_numpy(), c.rolling(20).mean().to_numpy()
+    pos, ref, want = 0, 0.0, np.zeros(DAYS)
+    for i in range(20, DAYS):
+        if f[i] > s[i] and f[i - 1] <= s[i - 1]:
+            pos, ref = 1, c[i]
+        elif f[i] < s[i] and f[i - 1] >= s[i - 1]:
+            pos, ref = -1, c[i]
+        if (pos == 1 and c[i] < ref) or (pos == -1 and c[i] > ref):
+            pos = 0
+        want[i] = pos
+    want[:59] = 0
+    np.testing.assert_array_equal(got(timeseries.ma_crossover(bars, kind="SMA")), want)
+
+
+def test_slm_matches_counting(bars, panel):
+    c = one(panel).close.to_numpy()
+    sym = [None, *("1" if d < 0 else "2" for d in np.diff(c))]
+    want = np.zeros(DAYS)
+    for i in range(26, DAYS):
+        h = sym[i - 3 : i]
+        grams = [sym[e - 3 : e + 1] for e in range(4, i)]
+        want[i] = np.sign(grams.count([*h, "2"]) - grams.count([*h, "1"])) if i >= 20 + 4 + 1 else 0
+    value = got(timeseries.slm_timing(bars, n=4, min_corpus=20))
+    np.testing.assert_array_equal(value[26:], want[26:])
+
+
+def test_no_look_ahead(spark, bars, panel):
+    changed = panel.copy()
+    last = sorted(set(panel.dt))[-5:]
+    changed.loc[changed.dt.isin(last), ["close", "high", "low", "volume"]] *= 1.5
+    other = spark.createDataFrame(changed).withColumn("dt", F.to_date("dt"))
+    for name in ("EMDTrend", "DUVOLFactor", "HurstExponent", "PriceVolumePatternFactor", "InvestorBehaviorTrendFactor"):
+        f = timeseries.FACTORS[name]
+        np.testing.assert_allclose(got(f(bars))[:-5], got(f(other))[:-5], atol=1e-9, err_msg=name)
+
+
+def test_hurst_is_scale_free(panel):
+    c = one(panel).close.to_numpy()[:100]
+    assert math.isclose(timeseries.hurst(c), timeseries.hurst(7 * c), abs_tol=1e-9)
+    assert timeseries.hurst(np.full(100, 3.0)) == 0.5
+
+
+def test_normalisers(spark):
+    df = spark.createDataFrame([("d", float(v)) for v in (10, 5, 15, 3, 20)], "dt string, value double")
+    want = {10.0: 0.2, 5.0: -0.2, 15.0: 0.6, 3.0: -0.6, 20.0: 1.0}
+    assert {r.value: round(r.norm, 9) for r in normalize.rank(df).collect()} == want
+    same = spark.createDataFrame([("d", 1.0), ("d", 1.0)], "dt string, value double")
+    assert [r.norm for r in normalize.minmax(same).collect()] == [0.0, 0.0]
+    assert [r.norm for r in normalize.zscore_clip(same).collect()] == [0.0, 0.0]
+
+
+def test_combination(spark):
+    rows = [("h", "time_series", "c1", "common", "A", "2020-01-01", 0.5), ("a", "time_series", "c2", "common", "A", "2020-01-01", 0.3), ("p", "pair_trading", "c3", "common", "A", "2020-01-01", 0.8)]
+    df = spark.createDataFrame(rows, "factor string, factor_type string, category string, scope string, asset string, dt string, value double")
+    r = combine.combined(df, {"time_series": 0.5, "cross_sectional": 0.3, "pair_trading": 0.2}).first()
+    assert math.isclose(r.signal, 0.36) and math.isclose(r.time_series_contribution, 0.2) and math.isclose(r.pair_trading_contribution, 0.16)
+
+
+def test_parameters_resolve():
+    config = {"factors": {"hurst": {"params": {"window": 100}, "sectors": {"ferrous": {"window": 120}}, "assets": {"RB": {"window": 80}}}, "own": {"scope": "idiosyncratic", "only": ["RB"]}}}
+    assert combine.resolve(config, "hurst")["window"] == 100
+    assert combine.resolve(config, "hurst", sector="ferrous")["window"] == 120
+    assert combine.resolve(config, "hurst", asset="RB", sector="ferrous")["window"] == 80
+    assert combine.applicable(config, "HC") == ["hurst"] and combine.applicable(config, "RB") == ["hurst", "own"]
+
+
+def test_signal_backtest_matches_loop(bars, panel):
+    p = one(panel)
+    values = bars.where("asset = 'A'").select("asset", "dt", (F.dayofmonth("dt") - 15.0).alias("value"))
+    r, v = p.close.pct_change().fillna(0), pd.Series([d.day - 15.0 for d in p.dt])
+    pos = np.sign(v).shift(1).fillna(0)
+    want = pos * r - pos.diff().fillna(pos).abs() * 0.001
+    out = portfolio.signal_backtest(bars.where("asset = 'A'"), values).orderBy("dt").toPandas()
+    np.testing.assert_allclose(out.ret, want, atol=1e-12)
+    np.testing.assert_allclose(out.equity, 1e6 * (1 + want).cumprod(), rtol=1e-9)
+
+
+def test_wiped_out_stays_at_zero(spark):
+    df = spark.createDataFrame([(1, 0.1), (2, -1.0), (3, 0.5)], "dt int, ret double")
+    assert [round(r.equity, 6) for r in portfolio.equity(df, 100.0).orderBy("dt").collect()] == [110.0, 0.0, 0.0]
+
+
+def test_yearly_has_total(spark):
+    days = pd.bdate_range("2020-01-01", "2023-12-31")
+    ret = np.random.default_rng(42).normal(0.15 / 252, 0.2 / 252**0.5, len(days))
+    df = spark.createDataFrame(pd.DataFrame({"dt": days.date, "ret": ret}))
+    out = metrics.yearly(df).orderBy("period").toPandas()
+    assert list(out.period) == ["2020", "2021", "2022", "2023", "Total"]
+    assert math.isclose(out.total_return.iloc[-1], np.prod(1 + ret) - 1, rel_tol=1e-9)
+    total = metrics.performance(df).first()
+    e = np.cumprod(1 + ret)
+    assert math.isclose(total.max_drawdown, -(e / np.maximum(np.maximum.accumulate(e), 1) - 1).min(), rel_tol=1e-9)
+
+
+def test_pair_order_flips_style_momentum(spark, bars):
+    legs = lambda a, b: B.pair_bars(bars, B.pair_list(spark, [(a, b)]))
+    x = pairs.style_momentum(legs("A", "B")).orderBy("dt").toPandas().value.to_numpy()
+    y = pairs.style_momentum(legs("B", "A")).orderBy("dt").toPandas().value.to_numpy()
+    np.testing.assert_array_equal(x, -y)
+
+
+def test_kalman_pair_is_a_filter(spark, bars):
+    out = pairs.kalman_pair(B.pair_bars(bars, B.pair_list(spark, [("A", "B")])))
+    assert set(out.toPandas().value) <= {-1.0, 0.0, 1.0}
+
+
+def test_trade_accounting():
+    rules = simulate.Rules(capital=1000.0, slippage=0.0, cost=0.0, margin=0.1, max_alloc=100)
+    a = simulate.Account(rules)
+    assert a.trade(1, "X", 10, 50.0, 1000.0, "t") and math.isclose(a.cash, 950.0)
+    assert math.isclose(a.value({"X": 55.0}), 1050.0)
+    assert a.trade(2, "X", -10, 55.0, 1050.0, "t") and a.lots["X"] == -10
+    assert math.isclose(a.value({"X": 55.0}), 1050.0)
+    assert a.trade(3, "X", 0, 50.0, 1050.0, "t") and math.isclose(a.cash, 1100.0)
+    assert not a.trade(4, "X", 5, 0.0, 1100.0, "t")
+    assert simulate.Rules(multipliers={"RB": 5}).multiplier("rb2405.SHF") == 5 and simulate.Rules().multiplier("ZZ") == 10
+
+
+def test_simulation_conserves_cash(spark, bars):
+    legs = B.pair_bars(bars, B.pair_list(spark, [("A", "B"), ("C", "D")]))
+    s = pairs.style_momentum(legs).select(F.lit("s").alias("strategy"), "a1", "a2", "dt", F.col("value").alias("signal"), F.lit(1.0).alias("strength"))
+    days = simulate.simulated(simulate.features(bars, s)).orderBy("dt").toPandas()
+    assert (days.cash > 0).all() and (days.n_positions <= 4).all() and len(days) == DAYS
+
+
+def test_canonical_bars(spark):
+    df = spark.createDataFrame([("2020-01-02", "RB", 10.0, 5.0, "主力合约_Wind调整"), ("2020-01-02", "RB", 10.0, float("nan"), "other")], "TRADE_DT string, PRODUCT_CODE string, S_DQ_CLOSE double, S_DQ_VOLUME double, FS_INFO_TYPE string")
+    rows = B.canonical(df).collect()
+    assert len(rows) == 1 and rows[0].close == 10.0 and rows[0].amount == 50.0
+
+
+def test_empty_tables(bars):
+    none = bars.where("false")
+    for f in (timeseries.amivest, timeseries.hurst_exponent, timeseries.slm_timing):
+        assert f(none).count() == 0
+    assert portfolio.long_short_backtest(none, timeseries.amivest(none)).count() == 0

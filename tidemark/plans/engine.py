@@ -77,7 +77,7 @@ add(
     on_bars(lambda b: B.as_of_prices(b)),
     S.query("SELECT asset, dt, round(close, 6) AS close FROM grid ASOF JOIN bars USING (asset, dt)", "grid AS (SELECT * FROM (SELECT DISTINCT asset FROM bars) CROSS JOIN (SELECT DISTINCT dt FROM bars))").replace("SELECT asset, dt, round(close, 6)", "SELECT grid.asset, grid.dt, round(close, 6)"),
 )
-add("liquidity_strict", on_bars(lambda b: B.liquid(b, min_volume=70, min_oi=1000)), S.query("SELECT * FROM (SELECT asset, round(avg(volume),6) AS avg_volume, round(avg(oi),6) AS avg_oi FROM bars GROUP BY asset) WHERE avg_volume >= 70 AND avg_oi >= 1000"))
+add("liquidity_strict", on_bars(lambda b: B.liquid(b, min_volume=38, min_oi=700)), S.query("SELECT * FROM (SELECT asset, round(avg(volume),6) AS avg_volume, round(avg(oi),6) AS avg_oi FROM bars GROUP BY asset) WHERE avg_volume >= 38 AND avg_oi >= 700"))
 add("liquidity_percentile", on_bars(lambda b: B.liquid(b, "percentile")), S.query("SELECT asset, round(v,6) AS avg_volume, round(o,6) AS avg_oi FROM (SELECT *, percent_rank() OVER (ORDER BY v) AS s FROM (SELECT asset, avg(volume) AS v, avg(oi) AS o FROM bars GROUP BY asset)) WHERE s >= 0.5"))
 add("liquidity_composite", on_bars(lambda b: B.liquid(b, "composite")), S.query("SELECT asset, round(v,6) AS avg_volume, round(o,6) AS avg_oi FROM (SELECT *, (percent_rank() OVER (ORDER BY v) + percent_rank() OVER (ORDER BY o)) / 2 AS s FROM (SELECT asset, avg(volume) AS v, avg(oi) AS o FROM bars GROUP BY asset)) WHERE s >= 0.5"))
 

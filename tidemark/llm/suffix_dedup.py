@@ -34,8 +34,8 @@ LENGTH = 50
 GRAM = 8
 WINDOW = LENGTH - GRAM + 1
 SIDE = (LENGTH - GRAM + 1) // 2  # bytes beside the minimizer that a string has on one side at least
-CHUNK_BYTES = 3 << 19
-BUCKET_BYTES = 8 << 20  # of pieces, about four bytes for each byte of text
+CHUNK_BYTES = 2 << 20
+BUCKET_BYTES = 16 << 20  # of pieces, about four bytes for each byte of text
 SHARD_BYTES = 2 << 20
 LAST = np.iinfo(np.int64).max
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -116,7 +116,7 @@ def _packed(**arrays: np.ndarray) -> bytes:
     for name, a in arrays.items():
         raw = (np.diff(a, prepend=a.dtype.type(0)) if a.dtype == np.int64 else a).tobytes()
         out.append(name.ljust(8).encode() + a.dtype.str[1:].encode() + len(raw).to_bytes(6, "little") + raw)
-    return zstandard.ZstdCompressor(level=3).compress(b"".join(out))
+    return zstandard.ZstdCompressor(level=5).compress(b"".join(out))
 
 
 def _unpacked(block: bytes) -> dict[str, np.ndarray]:
@@ -288,7 +288,23 @@ def _shared(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
 
 
 def repeated_masks(ctx: np.ndarray, n: np.ndarray, off: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """For each piece a mask of its start positions whose string a smaller document has."""
+    """For each piece a mask of its start positions whose string a smaller document has.
+
+    Of pieces with equal bytes only the smallest document's takes part in the search; larger ones are repeated throughout.
+    """
+    size = n.astype(np.int64) + LENGTH - 1
+    first = np.cumsum(size) - size
+    order = np.argsort(doc, kind="stable")
+    lead = np.empty(len(n), np.int64)
+    lead[order] = order[_distinct(np.append(ctx, np.zeros(80, np.uint8)), first[order], size[order])]
+    own = np.flatnonzero(lead == np.arange(len(n)))
+    masks = np.zeros(len(n), np.uint64)
+    masks[own] = _distinct_masks(ctx[_spread(first[own], size[own])], n[own], off[own], doc[own])
+    return np.where(doc > doc[lead], _full(n), masks[lead])
+
+
+def _distinct_masks(ctx: np.ndarray, n: np.ndarray, off: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """repeated_masks of pieces no two of which are equal."""
     masks = np.zeros(len(n), np.uint64)
     sizes = n.astype(np.int64) + LENGTH - 1
     first = np.cumsum(sizes) - sizes

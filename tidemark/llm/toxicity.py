@@ -64,7 +64,7 @@ def _laid_out(texts: list[str | None]):
     mark = flat < len(ENDS)
     sentence = np.cumsum(mark) - mark
     doc = np.repeat(np.arange(len(texts)), sizes)[mark]
-    return list(index)[len(ENDS) :], flat[~mark] - len(ENDS), sentence[~mark], doc
+    return list(index)[len(ENDS) :], (flat[~mark] - len(ENDS)).astype(np.int32), sentence[~mark].astype(np.int32), doc
 
 
 class Model:
@@ -89,10 +89,15 @@ def fit(texts: list[str | None], labels: np.ndarray, steps: int = STEPS, rate: f
     words, word, sentence, doc = _laid_out(texts)
     features = _buckets(words)
     n, y = len(texts), labels.astype(np.float64)
-    pairs = np.unique(doc[sentence] * np.int64(len(words) + 1) + word)
-    held = np.unique((pairs // (len(words) + 1))[:, None] * BUCKETS + features[pairs % (len(words) + 1)])
-    count = np.bincount(held % BUCKETS, minlength=BUCKETS)
-    toxic = np.bincount(held % BUCKETS, y[held // BUCKETS], minlength=BUCKETS)
+    count, toxic = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    of = doc[sentence]  # ascending, so documents can be taken in parts, which bounds what a step holds
+    for lo in range(0, n, 500):
+        part = slice(*np.searchsorted(of, [lo, lo + 500]))
+        pairs = np.unique(of[part] * np.int64(len(words) + 1) + word[part])
+        held = np.unique((pairs // (len(words) + 1))[:, None] * BUCKETS + features[pairs % (len(words) + 1)])
+        count += np.bincount(held % BUCKETS, minlength=BUCKETS)
+        toxic += np.bincount(held % BUCKETS, y[held // BUCKETS], minlength=BUCKETS)
+    del of
     rate_1 = np.clip(y.mean(), 1e-6, 1 - 1e-6)
     used = (count >= least) & (toxic - count * rate_1 >= least_z * np.sqrt(count * rate_1 * (1 - rate_1)))
     w, b = np.zeros(BUCKETS), -5.0

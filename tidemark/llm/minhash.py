@@ -237,8 +237,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     scratch = Scratch(docs.sparkSession)
     signed = scratch.write(signed_docs(docs, width), "signed")
     known = signed.where("fp is not null and doc_id is not null")
-    classes = known.groupBy("fp").agg(F.min("doc_id").alias("class_id"))
+    classes = known.groupBy("fp").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    classes = scratch.write(classes, "classes")  # as a table, both sides of the join are dealt anew and a large class is split
     labelled = scratch.write(signed.select("doc_id", "n_shingles", "fp").join(classes, "fp", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id")), "labelled")
+    scratch.drop("classes")
     reps = known.groupBy("fp").agg(F.min(F.struct("doc_id", "bands")).alias("r")).select("r.doc_id", "r.bands")
     banded = scratch.write(reps.select("doc_id", F.explode("bands").alias("key")), "banded")
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")

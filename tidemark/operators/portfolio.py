@@ -100,3 +100,36 @@ def portfolio_vol(weights: DataFrame, cov: DataFrame) -> DataFrame:
     a = weights.select("dt", F.col("asset").alias("a1"), F.col("weight").alias("w1"))
     b = weights.select("dt", F.col("asset").alias("a2"), F.col("weight").alias("w2"))
     return a.join(cov, "a1").join(b, ["dt", "a2"]).groupBy("dt").agg(F.sqrt(F.greatest(F.sum(F.col("w1") * F.col("w2") * F.col("cov")), F.lit(0.0))).alias("vol"))
+
+
+def covariances(bars: DataFrame, annual: float = 252.0) -> DataFrame:
+    """a1, a2, cov of daily returns over common dates, both orders and the diagonal."""
+    r = bars.select("asset", "dt", C.change("close").alias("r")).where("r is not null")
+    a, b = r.select(F.col("asset").alias("a1"), "dt", F.col("r").alias("r1")), r.select(F.col("asset").alias("a2"), "dt", F.col("r").alias("r2"))
+    half = a.join(b, "dt").where("a1 <= a2").groupBy("a1", "a2").agg((F.covar_samp("r1", "r2") * annual).alias("cov"))
+    return half.unionByName(half.where("a1 < a2").select(F.col("a2").alias("a1"), F.col("a1").alias("a2"), "cov"))
+
+
+def vol_forecast(bars: DataFrame, decay: float = 0.94, window: int = 200, annual: float = 252.0) -> DataFrame:
+    """asset, dt, vol: root of the decayed mean of squared returns over the last `window` rows (0.94 ** 200 is 4e-6)."""
+    df = bars.select("asset", "dt", C.change("close").alias("r"))
+    squares = F.collect_list(F.struct((F.col("r") ** 2).alias("s"))).over(C.last(window))
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("d"))
+
+    def step(acc, x):
+        keep = x["s"].isNotNull()
+        return F.struct(
+            (acc["n"] * decay + F.when(keep, x["s"]).otherwise(0.0)).alias("n"), (acc["d"] * decay + F.when(keep, 1.0).otherwise(0.0)).alias("d")
+        )
+
+    total = F.aggregate(squares, start, step)
+    return df.select("asset", "dt", total.alias("t")).select("asset", "dt", F.sqrt(C.div(F.col("t.n"), F.nullif(F.col("t.d"), F.lit(0.0))) * annual).alias("vol"))
+
+
+def risk_report(positions: DataFrame) -> DataFrame:
+    """dt, long, short, net, gross value and the largest share. positions: dt, asset, value (signed)."""
+    long, short = F.sum(F.greatest("value", F.lit(0.0))), -F.sum(F.least("value", F.lit(0.0)))
+    return positions.groupBy("dt").agg(
+        long.alias("long"), short.alias("short"), (long - short).alias("net"), (long + short).alias("gross"),
+        C.div(F.max(F.abs("value")), F.nullif(long + short, F.lit(0.0))).alias("concentration"),
+    )

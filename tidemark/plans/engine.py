@@ -346,3 +346,12 @@ def _prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
 add("sim_pair_equity", lambda s, d: simulate.simulated(_prepared(s, d)))
 add("sim_pair_trades", lambda s, d: simulate.trades(_prepared(s, d)))
 add("sim_pair_performance", lambda s, d: metrics.performance(simulate.simulated(_prepared(s, d)).select("strategy", "dt", "ret"), ["strategy"]))
+
+add("covariances", on_bars(portfolio.covariances), S.query("SELECT a1, a2, round(cov, 6) AS cov FROM (SELECT x.asset AS a1, y.asset AS a2, covar_samp(x.r, y.r) * 252 AS cov FROM rets x JOIN rets y USING (dt) WHERE x.r IS NOT NULL AND y.r IS NOT NULL GROUP BY 1, 2)"))
+add("portfolio_vol", on_bars(lambda b: portfolio.portfolio_vol(portfolio.inverse_vol_weights(b).where("year(dt) = 1998").select("dt", "asset", "weight"), portfolio.covariances(b))))
+add("vol_forecast", on_bars(portfolio.vol_forecast))
+add(
+    "risk_report",
+    on_bars(lambda b: portfolio.risk_report(portfolio.quintile_weights(crosssection.volatility(b)).withColumnRenamed("weight", "value"))),
+    S.query('SELECT dt, round(l, 6) + 0 AS "long", round(s, 6) + 0 AS short, round(l - s, 6) + 0 AS net, round(l + s, 6) AS gross, round(m / nullif(l + s, 0), 6) AS concentration FROM (SELECT dt, sum(greatest(weight, 0)) AS l, -sum(least(weight, 0)) AS s, max(abs(weight)) AS m FROM wt WHERE weight IS NOT NULL GROUP BY dt)', *_xs_daily),
+)

@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from .common import blocks, small_batches, table
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 NONE = np.int64(1 << 40)
 
 

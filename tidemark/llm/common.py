@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -76,6 +77,15 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def trim() -> None:
+    """Give unused memory back to the system: idle Python workers stay beside those of later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def blocks(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into slices whose `column` holds about max_bytes (at least one row each)."""
     for batch in batches:
@@ -89,3 +99,4 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int) -> It
                 start, held = i, 0
             held += n
         yield batch.slice(start)
+    trim()

@@ -28,7 +28,7 @@ from .graph import components
 
 SLOTS, ROWS = 128, 4  # bands of 4 slots: a pair at 0.8 shares none of the 32 with a chance of 5e-8
 TILE = 256
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 GOLDEN = 0x9E3779B97F4A7C15
 
 

@@ -26,7 +26,7 @@ from .common import blocks, small_batches, table
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
 STEPS, RATE, PENALTY = 250, 0.1, 2e-3
 
 # Training table: text in which [kind:...] marks personal data.

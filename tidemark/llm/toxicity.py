@@ -30,7 +30,7 @@ BUCKETS = 1 << 18
 STEPS, RATE, PENALTY = 120, 0.1, 1e-4
 LEAST_DOCS, LEAST_Z = 3, 4.5  # of a feature: training documents that have it, standard errors above the base rate of label 1
 THRESHOLD = 0.3
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
 TOKEN = re.compile(r"[^\W\d_]+|[.!?\n]")
 ENDS = ".!?\n"
 

@@ -260,45 +260,60 @@ def pattern_distances(now: np.ndarray, past: np.ndarray) -> np.ndarray:
     """Warping distance of one pattern [L, 2] to many [n, L, 2], anchored at the ends, free at the beginnings."""
     var = now.var(axis=0) + 1e-8
     length = len(now)
-    cost = np.sqrt((((now[None, :, None] - past[:, None, :]) ** 2) / (var + 1e-8)).sum(axis=3))
-    acc = cost.copy()
-    for i in range(length - 2, -1, -1):
-        acc[:, i, -1] = cost[:, i, -1] + acc[:, i + 1, -1]
-        acc[:, -1, i] = cost[:, -1, i] + acc[:, -1, i + 1]
+    then = np.ascontiguousarray(past.transpose(2, 1, 0))  # patterns side by side in memory
+    cost = np.sqrt(sum((now[:, f, None, None] - then[f]) ** 2 / (var[f] + 1e-8) for f in range(2)))
+    acc = cost
+    for j in range(length - 2, -1, -1):
+        acc[-1, j] += acc[-1, j + 1]
     for i in range(length - 2, -1, -1):
+        below = np.minimum(acc[i + 1, :-1], acc[i + 1, 1:])
+        acc[i, -1] += acc[i + 1, -1]
         for j in range(length - 2, -1, -1):
-            acc[:, i, j] = cost[:, i, j] + np.minimum(np.minimum(acc[:, i + 1, j], acc[:, i, j + 1]), acc[:, i + 1, j + 1])
-    return np.minimum(acc[:, 0, :].min(axis=1), acc[:, :, 0].min(axis=1))
+            acc[i, j] += np.minimum(below[j], acc[i, j + 1])
+    return np.minimum(acc[0].min(axis=0), acc[:, 0].min(axis=0))
 
 
-def price_volume_pattern(bars: DataFrame, length: int = 11, k: int = 5, min_history: int = 50, volume_ma: int = 50, library: int = 250) -> DataFrame:
-    """Sign of the weighted mean return after the k nearest of an asset's last `library` patterns.
+def price_volume_pattern(bars: DataFrame, length: int = 11, k: int = 5, min_history: int = 50, volume_ma: int = 50, library: int | None = None, block: int = 512) -> DataFrame:
+    """Sign of the weighted mean return after the k nearest of all earlier patterns of an asset, or of its last `library` ones.
 
-    `library` bounds the work of a bar; a number above an asset's history compares with all of it.
+    A task compares `block` bars with the patterns of one block of bars at or before theirs and keeps the k nearest of each bar.
     """
-
-    def f(part: pd.DataFrame) -> np.ndarray:
-        c, v = part["close"].to_numpy(), part["volume"]
-        norm = (v / v.rolling(volume_ma, min_periods=1).mean()).fillna(1).to_numpy()
-        out = np.zeros(len(c))
-        if len(c) < max(length + min_history, 100):
-            return out
-        prices = np.lib.stride_tricks.sliding_window_view(c, length)
-        rows = np.stack((prices / prices[:, -1:], np.lib.stride_tricks.sliding_window_view(norm, length)), axis=2)
-        nxt = np.append(c[1:] / c[:-1] - 1, 0)
-        for t in range(length + min_history, len(c)):
-            first = max(0, t - length - library)
-            past = rows[first : t - length]  # patterns that end at length - 1 .. t - 2
-            if len(past):
-                d = pattern_distances(rows[t - length + 1], past)
-                near = np.argsort(d, kind="stable")[:k]
-                near = near[d[near] > 0]
-                if len(near):
-                    w = 1 / d[near]
-                    out[t] = np.sign((w * nxt[first + near + length - 1]).sum() / w.sum())
-        return out
-
-    return per_asset(bars, ["close", "volume"], f)
+    df = bars.select("asset", "dt", "close", "volume").withColumn("i", C.age() - 1)
+    df = df.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("asset"))).withColumn("v", F.coalesce(C.div("volume", C.mean("volume", volume_ma, least=1)), F.lit(1.0)))
+    df = df.withColumn("next", C.div(C.lag("close", -1), "close") - 1)
+    back = range(length - 1, -1, -1)
+    df = df.select("asset", "dt", "i", "n", "next", F.array(*(C.div(C.lag("close", b), "close") for b in back)).alias("p"), F.array(*(C.lag("v", b) for b in back)).alias("v"))
+    own = F.floor(F.col("i") / block).cast("int")
+    final = F.floor((F.col("n") - 1) / block).cast("int")
+    scored = (F.col("n") >= max(length + min_history, 100)) & (F.col("i") >= length + max(min_history, k))
+    now = df.where(scored).withColumn("c", own).select("asset", "c", F.explode(F.sequence(F.lit(0), "c")).alias("l"), "i", "p", "v")
+    past = df.where(F.col("i") >= length - 1).withColumn("l", own).select("asset", F.explode(F.sequence("l", final)).alias("c"), "l", "i", "next", "p", "v")
+
+    def rows(part: pd.DataFrame) -> np.ndarray:
+        return np.stack([np.array(part[c].to_list(), dtype=float) for c in ("p", "v")], axis=2)
+
+    def nearest(now: pd.DataFrame, past: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(now) and len(past):
+            past = past.sort_values("i")
+            library_rows, at, nxt = rows(past), past["i"].to_numpy(), past["next"].to_numpy(dtype=float)
+            for t, pattern in zip(now["i"], rows(now), strict=True):
+                first = 0 if library is None else np.searchsorted(at, t - 1 - library)
+                end = np.searchsorted(at, t - 1)  # patterns that end at t - 2 at the latest
+                if first < end:
+                    d = pattern_distances(pattern, library_rows[first:end])
+                    near = np.argsort(d, kind="stable")[:k]
+                    near = near[~np.isnan(d[near])]
+                    found.append((np.full(len(near), t), at[first + near], d[near], nxt[first + near]))
+        i, h, d, following = (np.concatenate(c) for c in zip(*found, strict=True)) if found else ([], [], [], [])
+        return pd.DataFrame({"asset": np.array([now["asset"].iloc[0]] * len(i) if len(i) else [], dtype=object), "i": i, "h": h, "d": d, "next": following})
+
+    keys = ("asset", "c", "l")
+    past = past.toDF(*past.columns)  # columns of its own, as both sides come from one table
+    near = now.groupBy(*keys).cogroup(past.groupBy(*keys)).applyInPandas(nearest, "asset string, i int, h int, d double, next double")
+    near = near.withColumn("place", F.row_number().over(W.partitionBy("asset", "i").orderBy("d", "h"))).where((F.col("place") <= k) & (F.col("d") > 0))
+    lead = near.groupBy("asset", "i").agg(F.signum(F.sum(F.col("next") / F.col("d"))).alias("value"))
+    return df.select("asset", "dt", "i").join(lead, ["asset", "i"], "left").select("asset", "dt", F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
 def vcrr_series(bars: DataFrame, lookback: int = 20, use_amount: bool = True) -> DataFrame:

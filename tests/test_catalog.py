@@ -21,3 +21,16 @@ def test_query_matches_sql(spark, name):
     assert sorted(want.columns) == sorted(found.columns) and len(want) == len(found) > 0
     key = lambda df: sorted(map(str, df[sorted(df.columns)].round(5).astype(object).where(df[sorted(df.columns)].notna(), None).map(lambda v: str(v)[:10] if hasattr(v, "year") else v).itertuples(index=False, name=None)))
     assert key(want) == key(found)
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="the tables aren't here")
+def test_portfolio_vol_has_every_date(spark):
+    found = catalog.QUERIES["portfolio_vol"](spark, str(DATA)).toPandas()
+    dates = catalog.QUERIES["bars_daily"](spark, str(DATA)).select("dt").distinct().count()
+    assert len(found) == dates > 0
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for p in DATA.glob("*.parquet"):
+        con.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
+    want = con.execute(catalog.ORACLE_SQL["portfolio_vol"]).fetchall()
+    assert {str(d)[:10]: v for d, v in want} == pytest.approx({str(d)[:10]: v for d, v in zip(found.dt, found.vol, strict=True)}, abs=2e-6, nan_ok=True)

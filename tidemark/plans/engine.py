@@ -348,7 +348,16 @@ add("sim_pair_trades", lambda s, d: simulate.trades(_prepared(s, d)))
 add("sim_pair_performance", lambda s, d: metrics.performance(simulate.simulated(_prepared(s, d)).select("strategy", "dt", "ret"), ["strategy"]))
 
 add("covariances", on_bars(portfolio.covariances), S.query("SELECT a1, a2, round(cov, 6) AS cov FROM (SELECT x.asset AS a1, y.asset AS a2, covar_samp(x.r, y.r) * 252 AS cov FROM rets x JOIN rets y USING (dt) WHERE x.r IS NOT NULL AND y.r IS NOT NULL GROUP BY 1, 2)"))
-add("portfolio_vol", on_bars(lambda b: portfolio.portfolio_vol(portfolio.inverse_vol_weights(b).where("year(dt) = 1998").select("dt", "asset", "weight"), portfolio.covariances(b))))
+add(
+    "portfolio_vol",
+    on_bars(lambda b: portfolio.portfolio_vol(portfolio.inverse_vol_weights(b).select("dt", "asset", "weight"), portfolio.covariances(b))),
+    S.query(
+        "SELECT dt, round(sqrt(greatest(sum(x.weight * y.weight * cov), 0)), 6) AS vol FROM wv x JOIN wv y USING (dt) JOIN cv ON cv.a1 = x.asset AND cv.a2 = y.asset GROUP BY dt",
+        f"iv AS (SELECT asset, dt, coalesce(nullif({S.full('stddev_samp({})', 'r', 20, 'asset', 10)} * sqrt(252), 0), 0.15) AS vol FROM rets)",
+        "wv AS (SELECT asset, dt, 1 / vol / sum(1 / vol) OVER (PARTITION BY dt) AS weight FROM iv)",
+        "cv AS (SELECT x.asset AS a1, y.asset AS a2, covar_samp(x.r, y.r) * 252 AS cov FROM rets x JOIN rets y USING (dt) WHERE x.r IS NOT NULL AND y.r IS NOT NULL GROUP BY 1, 2)",
+    ),
+)
 add("vol_forecast", on_bars(portfolio.vol_forecast))
 add(
     "risk_report",

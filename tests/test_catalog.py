@@ -34,3 +34,11 @@ def test_portfolio_vol_has_every_date(spark):
         con.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
     want = con.execute(catalog.ORACLE_SQL["portfolio_vol"]).fetchall()
     assert {str(d)[:10]: v for d, v in want} == pytest.approx({str(d)[:10]: v for d, v in zip(found.dt, found.vol, strict=True)}, abs=2e-6, nan_ok=True)
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="the tables aren't here")
+def test_pair_queries_cover_the_universe(spark):
+    assets = {r.asset for r in catalog.QUERIES["asset_list"](spark, str(DATA)).collect()}
+    found = catalog.QUERIES["pair_R1"](spark, str(DATA))
+    assert {r.asset for r in found.select("asset").distinct().collect()} == assets
+    test_query_matches_sql(spark, "pair_R2_all")

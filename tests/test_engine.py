@@ -201,6 +201,44 @@ def test_kalman_pair_is_a_filter(spark, bars):
     assert set(out.toPandas().value) <= {-1.0, 0.0, 1.0}
 
 
+def copula_score(x, y, entry=0.2, theta=10.0):
+    rank = lambda past, at: np.clip((past <= at).mean(), 0.01, 0.99)
+    hx, hy = x[:-1], y[:-1]
+    us, vs = (np.array([rank(h, e) for e in h]) for h in (hx, hy))
+    cdf = {
+        "clayton": lambda u, v: np.maximum(u**-theta + v**-theta - 1, 1e-10) ** (-1 / theta),
+        "gumbel": lambda u, v: np.exp(-(((-np.log(u)) ** theta + (-np.log(v)) ** theta) ** (1 / theta))),
+        "frank": lambda u, v: -np.log(1 + (np.exp(-theta * u) - 1) * (np.exp(-theta * v) - 1) / (np.exp(-theta) - 1)) / theta,
+    }
+    best = max(cdf.values(), key=lambda c: np.log(np.maximum(c(us, vs), 1e-10)).sum())
+    u, v = rank(hx, x[-1]), rank(hy, y[-1])
+    score = (0.5 - (best(u + 1e-6, v) - best(u - 1e-6, v)) / 2e-6) * 2
+    return 0.0 if abs(score) < entry else np.clip(score, -1, 1)
+
+
+def test_copula_scores_the_universe(spark):
+    rng = np.random.default_rng(7)
+    n, names = 75, ("A", "B", "C", "D", "E")
+    common, r = rng.normal(0, 0.02, n), {}
+    for a in names:
+        r[a] = rng.normal(0, 0.01, n) + (0 if a == "E" else common)
+    closes = pd.DataFrame({a: 100 * np.cumprod(1 + r[a]) for a in names}, index=pd.bdate_range("2020-01-01", periods=n).date)
+    df = closes.stack().rename_axis(["dt", "asset"]).rename("close").reset_index()
+    found = pairs.copula_universe(spark.createDataFrame(df)).toPandas().set_index(["asset", "dt"])
+    assert len(found) == n * len(names)
+    ret = closes.pct_change()
+    for t in (40, 50, 55, 70, 74):
+        last = ret.iloc[1 : t + 1].tail(60)
+        corr = last.corr()
+        for a in names:
+            others = corr[a].drop(a)
+            ready = len(last) >= 50 and others.max() > 0.5
+            row = found.loc[(a, closes.index[t])]
+            want = copula_score(last[a].to_numpy(), last[others.idxmax()].to_numpy()) if ready else 0.0
+            assert row.partner == others.idxmax() if ready else row["value"] == 0
+            assert math.isclose(row["value"], want, abs_tol=1e-4)
+
+
 def test_trade_accounting():
     rules = simulate.Rules(capital=1000.0, slippage=0.0, cost=0.0, margin=0.1, max_alloc=100)
     a = simulate.Account(rules)

@@ -177,15 +177,8 @@ def copula_conditional(u: Column, v: Column, family: str, theta: float) -> Colum
 FAMILIES = (("clayton", 10.0), ("gumbel", 10.0), ("frank", 10.0))  # the sum of log C grows with theta: the bound is the fit
 
 
-def copula_pair(legs: DataFrame, window: int = 60, least_corr: float = 0.5, entry: float = 0.2) -> DataFrame:
-    """Score of a1 against a2: (0.5 - dC/du) * 2 at the last returns' empirical ranks, under the family that fits best.
-
-    Each row looks at its last `window` returns as arrays of a bounded frame; nothing leaves the JVM.
-    """
-    both = F.col("r1").isNotNull() & F.col("r2").isNotNull()
-    w = C.last(window, PAIR)
-    df = legs.where(both)
-    df = df.select("a1", "a2", "dt", F.collect_list("r1").over(w).alias("x"), F.collect_list("r2").over(w).alias("y"), F.corr("r1", "r2").over(w).alias("corr"))
+def _copula_score(df: DataFrame, entry: float) -> tuple[DataFrame, Column]:
+    """df with what the score needs, and (0.5 - dC/du) * 2 of the last of the returns x and y, 0 within the entry."""
     n = F.size("x")
     share = lambda a, at: F.size(F.filter(a, lambda e: e <= at)) / F.size(a)
     bound = lambda c: F.greatest(F.lit(0.01), F.least(F.lit(0.99), c))
@@ -202,8 +195,60 @@ def copula_pair(legs: DataFrame, window: int = 60, least_corr: float = 0.5, entr
     best = F.greatest(*(F.col(f"fit_{f}") for f, _ in FAMILIES))
     cond = F.coalesce(*(F.when(F.col(f"fit_{f}") == best, copula_conditional(F.col("u"), F.col("v"), f, t)) for f, t in FAMILIES))
     score = (0.5 - cond) * 2
-    value = F.when((F.size("x") >= max(20, window - 10)) & (F.col("corr") > least_corr) & (F.abs(score) >= entry), C.clip(score, -1, 1)).otherwise(0.0)
-    return _out(df, value)
+    return df, F.when(F.abs(score) >= entry, C.clip(score, -1, 1)).otherwise(0.0)
+
+
+def _copula_windows(legs: DataFrame, window: int) -> DataFrame:
+    w = C.last(window, PAIR)
+    df = legs.where(F.col("r1").isNotNull() & F.col("r2").isNotNull())
+    return df.select("a1", "a2", "dt", F.collect_list("r1").over(w).alias("x"), F.collect_list("r2").over(w).alias("y"), F.corr("r1", "r2").over(w).alias("corr"))
+
+
+def copula_pair(legs: DataFrame, window: int = 60, least_corr: float = 0.5, entry: float = 0.2) -> DataFrame:
+    """Score of a1 against a2: (0.5 - dC/du) * 2 at the last returns' empirical ranks, under the family that fits best.
+
+    Each row looks at its last `window` returns as arrays of a bounded frame; nothing leaves the JVM.
+    """
+    df, score = _copula_score(_copula_windows(legs, window), entry)
+    return _out(df, F.when((F.size("x") >= max(20, window - 10)) & (F.col("corr") > least_corr), score).otherwise(0.0))
+
+
+def all_legs(bars: DataFrame, change: Callable[[str], Column] = C.change) -> DataFrame:
+    """pair_bars of every pair a1 < a2 of the universe."""
+    leg = lambda k: bars.select(F.col("asset").alias(f"a{k}"), "dt", F.col("close").alias(f"c{k}"), change("close").alias(f"r{k}"))
+    return leg(1).join(leg(2), "dt").where("a1 < a2").select("a1", "a2", "dt", "c1", "r1", "c2", "r2")
+
+
+def _best_of_day(df: DataFrame) -> DataFrame:
+    """Of each a1 and date the row of the highest corr, the first partner by name among equals."""
+    place = F.row_number().over(W.partitionBy("a1", "dt").orderBy(F.col("corr").desc(), "a2"))
+    return df.withColumn("k", place).where("k = 1").drop("k")
+
+
+def _universe(bars: DataFrame, scored: DataFrame) -> DataFrame:
+    """asset, dt, partner, value for every bar: 0 and no partner where none is correlated enough."""
+    own = scored.select(F.col("a1").alias("asset"), "dt", F.col("a2").alias("partner"), "value")
+    return bars.select("asset", "dt").join(own, ["asset", "dt"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
+
+
+def copula_universe(bars: DataFrame, window: int = 60, least_corr: float = 0.5, entry: float = 0.2) -> DataFrame:
+    """copula_pair of every asset and date against its best partner by the last `window` common returns."""
+    near = _copula_windows(all_legs(bars), window).where((F.size("x") >= max(20, window - 10)) & (F.col("corr") > least_corr))
+    side = lambda a, b, x, y: F.struct(F.col(a).alias("a1"), F.col(b).alias("a2"), F.col(x).alias("x"), F.col(y).alias("y"))
+    both = near.select("dt", "corr", F.explode(F.array(side("a1", "a2", "x", "y"), side("a2", "a1", "y", "x"))).alias("s")).select("s.*", "dt", "corr")
+    df, score = _copula_score(_best_of_day(both), entry)
+    return _universe(bars, df.withColumn("value", score))
+
+
+def trend_universe(bars: DataFrame, window: int = 60, least_corr: float = 0.3, fast: int = 10, slow: int = 30) -> DataFrame:
+    """trend_following of every asset and date against its best partner by the last `window` - 1 common log returns."""
+    legs = all_legs(bars, C.log_change)
+    w = C.last(window - 1, PAIR)
+    corr = F.when(F.count(F.col("r1") + F.col("r2")).over(w) >= 20, F.corr("r1", "r2").over(w))
+    swapped = F.struct(F.col("a2").alias("a1"), F.col("a1").alias("a2"), F.col("c2").alias("c1"), F.col("c1").alias("c2"))
+    both = legs.select("dt", corr.alias("corr"), F.explode(F.array(F.struct("a1", "a2", "c1", "c2"), swapped)).alias("s")).select("s.*", "dt", "corr")
+    value = trend_following(both, window, fast, slow)
+    return _universe(bars, _best_of_day(both.select("a1", "a2", "dt", "corr").where(F.col("corr") > least_corr)).join(value, ["a1", "a2", "dt"]))
 
 
 FACTORS: dict[str, Callable[..., DataFrame]] = {

@@ -43,6 +43,10 @@ def on_pairs(f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str
     return lambda spark, sf_dir: f(B.pair_bars(B.daily_bars(spark, sf_dir), B.pair_list(spark)))
 
 
+def on_all_pairs(f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return on_bars(lambda b: f(pairs.all_legs(b)))
+
+
 def value(expr: str, frm: str = "rets", where: str = "") -> str:
     return f"SELECT asset, dt, {expr} AS value FROM {frm} {where}"
 
@@ -217,9 +221,14 @@ PAIR_SQL = {
     ),
 }
 for _k, (_name, _f) in enumerate(pairs.FACTORS.items(), 1):
-    add(f"pair_R{_k}", on_pairs(_f), PAIR_SQL.get(_name))
-add("pair_R3_rule2", on_pairs(lambda p: pairs.kalman_pair(p, rule=2)))
-add("pair_R3_rule3", on_pairs(lambda p: pairs.kalman_pair(p, rule=3)))
+    if _name in PAIR_SQL:  # the SQL is of the listed pairs
+        add(f"pair_R{_k}", on_pairs(_f), PAIR_SQL[_name])
+        add(f"pair_R{_k}_all", on_all_pairs(_f), S.of_all_pairs(PAIR_SQL[_name]))
+add("pair_R1", on_bars(pairs.copula_universe))
+add("pair_R2_universe", on_bars(pairs.trend_universe))
+add("pair_R3", on_all_pairs(pairs.kalman_pair))
+add("pair_R3_rule2", on_all_pairs(lambda p: pairs.kalman_pair(p, rule=2)))
+add("pair_R3_rule3", on_all_pairs(lambda p: pairs.kalman_pair(p, rule=3)))
 
 # --- normalisers and combination --------------------------------------------------------------------------------------
 _section = on_bars(lambda b: b.select("asset", "dt", F.col("volume").alias("value")))
@@ -333,12 +342,19 @@ _pv = f"pv AS (SELECT a1, a2, dt, {S.full('stddev_samp({})', 'dx', 20, _pk, 10)}
 add("alloc_volparity", on_pairs(lambda p: portfolio.allocation(portfolio.pair_volatility(p), "volatility_parity")), S.query("SELECT a1, a2, dt, round(vol, 6) AS vol, round(1 / vol / sum(1 / vol) OVER (PARTITION BY dt), 6) AS share FROM pv", _pv, pairs=True))
 add("alloc_equal", on_pairs(lambda p: portfolio.allocation(portfolio.pair_volatility(p), "equal")), S.query("SELECT a1, a2, dt, round(vol, 6) AS vol, round(1.0 / count(*) OVER (PARTITION BY dt), 6) AS share FROM pv", _pv, pairs=True))
 add("vol_target", on_pairs(portfolio.vol_target), S.query(f"SELECT a1, a2, dt, round(vol, 6) AS vol, round(least(3.0, greatest(0.1, least(10.0, 0.15 / vol))), 6) AS leverage FROM (SELECT a1, a2, dt, {S.full('stddev_samp({})', 'dx', 60, _pk, 20)} * sqrt(252) AS vol FROM (SELECT *, x - {_lagp('x')} AS dx FROM (SELECT *, ln(c1 / c2) AS x FROM legs))) WHERE vol IS NOT NULL", pairs=True))
+_shares = lambda how: on_all_pairs(lambda p: portfolio.allocation(portfolio.pair_volatility(p), how))
+_all_bt = on_all_pairs(lambda p: portfolio.pair_backtest(p, pairs.style_momentum(p)))
+QUERIES["bt_pair_all"] = lambda s, d: _all_bt(s, d).select("a1", "a2", "dt", "position", (F.round("ret", 6) + 0.0).alias("ret"), F.round("equity", 2).alias("equity"))
+ORACLE_SQL["bt_pair_all"] = S.of_all_pairs(ORACLE_SQL["bt_pair"])
+for _name, _build in (("alloc_volparity", _shares("volatility_parity")), ("alloc_equal", _shares("equal")), ("vol_target", on_all_pairs(portfolio.vol_target))):
+    add(f"{_name}_all", _build)
+    ORACLE_SQL[f"{_name}_all"] = S.of_all_pairs(ORACLE_SQL[_name])
 add("inverse_vol_weights", on_bars(portfolio.inverse_vol_weights), S.query("SELECT asset, dt, round(vol, 6) AS vol, round(1 / vol / sum(1 / vol) OVER (PARTITION BY dt), 6) AS weight FROM iv", f"iv AS (SELECT asset, dt, coalesce(nullif({S.full('stddev_samp({})', 'r', 20, 'asset', 10)} * sqrt(252), 0), 0.15) AS vol FROM rets)"))
 
 
 def _prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = B.daily_bars(spark, sf_dir)
-    legs = B.pair_bars(b, B.pair_list(spark))
+    legs = B.pair_bars(b, pairs.select_pairs(b).select("a1", "a2"))
     signals = pairs.trend_following(legs).select(F.lit("trend").alias("strategy"), "a1", "a2", "dt", "value").unionByName(pairs.kalman_pair(legs).select(F.lit("kalman").alias("strategy"), "a1", "a2", "dt", "value"))
     return simulate.features(b, signals.select("strategy", "a1", "a2", "dt", F.signum("value").alias("signal"), F.abs("value").alias("strength")))
 

@@ -54,3 +54,11 @@ def query(select: str, *ctes: str, pairs: bool = False) -> str:
 def guarded(value: str, history: int, lo: float | None = None, hi: float | None = None, neutral: float = 0) -> str:
     bounded = value if lo is None else f"greatest({lo}, least({hi}, {value}))"
     return f"CASE WHEN i >= {history} AND ({value}) IS NOT NULL THEN round({bounded}, 6) ELSE {neutral} END"
+
+
+def of_all_pairs(sql: str) -> str:
+    """SQL of the listed pairs, over every pair a1 < a2 instead."""
+    start = sql.index("pl(a1, a2) AS")
+    end = sql.index("legs AS", start)
+    names = "(SELECT DISTINCT asset FROM bars)"
+    return f"{sql[:start]}pl AS (SELECT x.asset AS a1, y.asset AS a2 FROM {names} x JOIN {names} y ON x.asset < y.asset),\n{sql[end:]}"

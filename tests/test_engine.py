@@ -239,6 +239,15 @@ def test_copula_scores_the_universe(spark):
             assert math.isclose(row["value"], want, abs_tol=1e-4)
 
 
+def test_universe_with_a_flat_asset(spark):
+    days = pd.bdate_range("2020-01-01", periods=70).date
+    rows = [(a, d, 100.0 if a == "A" else 100.0 + (i * 7 % 5) + k) for k, a in enumerate("ABC") for i, d in enumerate(days)]
+    flat = spark.createDataFrame(rows, "asset string, dt date, close double")
+    for f in (pairs.copula_universe, pairs.trend_universe):
+        out = f(flat).toPandas()
+        assert len(out) == 210 and set(out[out.partner.notna()].asset) == {"B", "C"}
+
+
 def test_trade_accounting():
     rules = simulate.Rules(capital=1000.0, slippage=0.0, cost=0.0, margin=0.1, max_alloc=100)
     a = simulate.Account(rules)

@@ -198,10 +198,16 @@ def _copula_score(df: DataFrame, entry: float) -> tuple[DataFrame, Column]:
     return df, F.when(F.abs(score) >= entry, C.clip(score, -1, 1)).otherwise(0.0)
 
 
+def _corr_over(w) -> Column:
+    """Correlation of r1 and r2 where both are known; NULL where one doesn't vary (corr raises in ANSI mode)."""
+    x, y = F.when(F.col("r2").isNotNull(), F.col("r1")), F.when(F.col("r1").isNotNull(), F.col("r2"))
+    return C.div(F.covar_pop(x, y).over(w), F.stddev_pop(x).over(w) * F.stddev_pop(y).over(w))
+
+
 def _copula_windows(legs: DataFrame, window: int) -> DataFrame:
     w = C.last(window, PAIR)
     df = legs.where(F.col("r1").isNotNull() & F.col("r2").isNotNull())
-    return df.select("a1", "a2", "dt", F.collect_list("r1").over(w).alias("x"), F.collect_list("r2").over(w).alias("y"), F.corr("r1", "r2").over(w).alias("corr"))
+    return df.select("a1", "a2", "dt", F.collect_list("r1").over(w).alias("x"), F.collect_list("r2").over(w).alias("y"), _corr_over(w).alias("corr"))
 
 
 def copula_pair(legs: DataFrame, window: int = 60, least_corr: float = 0.5, entry: float = 0.2) -> DataFrame:
@@ -244,7 +250,7 @@ def trend_universe(bars: DataFrame, window: int = 60, least_corr: float = 0.3, f
     """trend_following of every asset and date against its best partner by the last `window` - 1 common log returns."""
     legs = all_legs(bars, C.log_change)
     w = C.last(window - 1, PAIR)
-    corr = F.when(F.count(F.col("r1") + F.col("r2")).over(w) >= 20, F.corr("r1", "r2").over(w))
+    corr = F.when(F.count(F.col("r1") + F.col("r2")).over(w) >= 20, _corr_over(w))
     swapped = F.struct(F.col("a2").alias("a1"), F.col("a1").alias("a2"), F.col("c2").alias("c1"), F.col("c1").alias("c2"))
     both = legs.select("dt", corr.alias("corr"), F.explode(F.array(F.struct("a1", "a2", "c1", "c2"), swapped)).alias("s")).select("s.*", "dt", "corr")
     value = trend_following(both, window, fast, slow)

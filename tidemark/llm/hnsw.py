@@ -2,20 +2,27 @@
 
 Vectors with the same label and components form a class, and one of each class goes on. The vectors of a label are
 dealt into shards of bounded size; a task builds a shard's graph, inserting growing chunks of vectors that search
-together. Then blocks of queries meet every graph of their label in a beam search. Each task compares a sample of its
-queries with brute force over the shard and doubles the beam, from which links are followed on, until the recall of links reaches RECALL; a beam as wide as
-the shard is exhaustive. Links are confirmed by cosine in double precision.
+together.
+
+The audit takes the classes that hold an id divisible by 50 as queries, against every graph of their label, and compares
+with brute force at each width of a ladder of beams. Found and true links are summed over all tasks: a label takes the
+first width at which both its own recall and that of all labels reach RECALL. Then every shard's vectors query every
+graph of their label with that beam, from which links are followed on; a query whose beam holds nothing but links is
+widened to the whole shard. Links are confirmed by cosine in double precision. A task has both directions of two shards,
+keeps their links as bits, and gives only the number of links of each vector and a spanning tree of the components, so
+that what leaves it grows with the vectors, however many links there are.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and those without a label, link
 with nothing; vectors of different lengths don't link; rows that repeat a vec_id share its result; a null vec_id links
 with nothing, has a null component and isn't kept; an empty table gives an empty result; further columns don't matter.
+`recall` is the share of the label's audited links that were found, null where the audit has none.
 """
 
 from __future__ import annotations
 
 import hashlib
 import io
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -23,12 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, small_batches, split_join, table
 from .graph import components
 
 LINKS, BUILD_BEAM = 12, 32  # neighbours on the upper levels (twice as many on level 0); beam of insertions
-SHARD, QUERIES, CHUNK = 8192, 1024, 512
-BEAM, AUDIT, RECALL = 16, 256, 0.98
+SHARD, SHARD_BYTES, QUERIES, CHUNK = 16384, 32 << 20, 1024, 512
+BEAMS, AUDITED, RECALL = (16, 32, 64, 128, 256, 512, 1024), 50, 0.98
 SLACK = 0.05  # how far below the threshold a node may be that leads on to links
 
 
@@ -103,19 +110,23 @@ class Graph:
             at = self.descend(queries, at, level)
         return self.beam(queries, at, 0, min(width, len(self.vectors)))
 
-    def within(self, queries: np.ndarray, width: int, low: float) -> tuple[np.ndarray, np.ndarray]:
+    def within(self, queries: np.ndarray, width: int, low: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Query rows and nodes with a cosine of `low` or more: those of a beam, and all that neighbours of such lead to.
 
-        Nodes up to SLACK below `low` are passed through, so work follows the number of links, not the width of a beam.
+        Nodes up to SLACK below `low` are passed through. Queries whose beam is full of links meet the whole shard.
         """
         ids, sims = self.search(queries, width)
         n = len(self.vectors)
+        full = np.flatnonzero(sims[:, -1] >= low)
+        for lo in range(0, len(full), 256):
+            r, node = np.nonzero(queries[full[lo : lo + 256]] @ self.vectors.T >= low)
+            yield full[lo + r], node
         seen = np.zeros(len(queries) * n, bool)
         r, c = np.nonzero(ids >= 0)
         seen[r * n + ids[r, c]] = True
-        r, c = np.nonzero(sims >= low - SLACK)
+        r, c = np.nonzero((sims >= low - SLACK) & (sims[:, -1:] < low))
         node, s = ids[r, c], sims[r, c]
-        found = [(r[s >= low], node[s >= low])]
+        yield r[s >= low], node[s >= low]
         while len(r):
             near = self.neighbours[0][node]
             key = (r[:, None] * n + near)[near >= 0]
@@ -123,10 +134,9 @@ class Graph:
             seen[key] = True
             r, node = key // n, key % n
             s = np.concatenate([np.einsum("ij,ij->i", queries[r[i : i + 65536]], self.vectors[node[i : i + 65536]]) for i in range(0, len(r), 65536)] or [np.zeros(0)])
-            found.append((r[s >= low], node[s >= low]))
+            yield r[s >= low], node[s >= low]
             on = s >= low - SLACK
             r, node = r[on], node[on]
-        return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
 
     def diverse(self, ids: np.ndarray, sims: np.ndarray, most: int) -> np.ndarray:
         """Of each row of candidates (best first), those nearer to the row's node than to any chosen before; then the rest."""
@@ -166,17 +176,6 @@ class Graph:
             by = np.argsort(-s, axis=1, kind="stable")[:, : most + 16]
             table_[uniq[part]] = self.diverse(np.take_along_axis(wide[part], by, axis=1), np.take_along_axis(s, by, axis=1), most)
 
-    def dump(self) -> bytes:
-        out = io.BytesIO()
-        np.savez(out, vectors=self.vectors, levels=self.levels, entry=self.entry, **{f"n{i}": x.astype(np.int32) for i, x in enumerate(self.neighbours)})
-        return out.getvalue()
-
-    @staticmethod
-    def load(raw: bytes) -> Graph:
-        with np.load(io.BytesIO(raw)) as f:
-            return Graph(f["vectors"], f["levels"], [f[f"n{i}"].astype(np.int64) for i in range(len(f.files) - 3)], int(f["entry"]))
-
-
 def build(ids: np.ndarray, vectors: np.ndarray) -> Graph:
     """A graph over unit vectors; levels come from the ids, so that a rebuilt graph is the same."""
     n = len(ids)
@@ -218,33 +217,128 @@ def build(ids: np.ndarray, vectors: np.ndarray) -> Graph:
     return g
 
 
-def links(graph: Graph, queries: np.ndarray, exact: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, float]:
-    """Query rows and nodes with a cosine of `least` or more, and the recall that the last audit measured.
+class Shard:
+    """The classes of a shard: graph, class ids, sizes, and the vectors as they came (kept in 4 bytes where that is exact)."""
 
-    queries: unit vectors in double precision; exact: those of the graph.
-    """
-    rng = np.random.default_rng(len(queries))
-    sample = np.sort(rng.permutation(len(queries))[:AUDIT])
-    truth = queries[sample] @ exact.T >= least
-    width, low = BEAM, np.float32(least - 1e-4)
-    as_float = queries.astype(np.float32)
+    def __init__(self, graph: Graph, ids: np.ndarray, copies: np.ndarray, raw: np.ndarray):
+        self.graph, self.ids, self.copies, self.raw = graph, ids, copies, raw
+        self.exact = unit(raw)
+
+    @staticmethod
+    def of(ids: np.ndarray, copies: np.ndarray, raw: np.ndarray) -> Shard:
+        order = np.argsort(ids)
+        order = order[np.random.default_rng(len(ids)).permutation(len(ids))]
+        raw = raw[order]
+        return Shard(build(ids[order], unit(raw)), ids[order], copies[order], raw)
+
+    def dump(self) -> bytes:
+        out, g = io.BytesIO(), self.graph
+        with np.errstate(over="ignore"):
+            short = self.raw.astype(np.float32)
+        raw = short if (short == self.raw).all() else self.raw
+        np.savez(out, ids=self.ids, copies=self.copies, raw=raw, levels=g.levels, entry=g.entry, **{f"n{i}": x.astype(np.int32) for i, x in enumerate(g.neighbours)})
+        return out.getvalue()
+
+    @staticmethod
+    def load(blob: bytes) -> Shard:
+        with np.load(io.BytesIO(blob)) as f:
+            raw = f["raw"].astype(np.float64)
+            levels = sum(k[0] == "n" for k in f.files)
+            graph = Graph(unit(raw).astype(np.float32), f["levels"], [f[f"n{i}"].astype(np.int64) for i in range(levels)], int(f["entry"]))
+            return Shard(graph, f["ids"], f["copies"], raw)
+
+    def linked(self, queries: np.ndarray, width: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rows of queries (unit vectors in double precision) and nodes with a cosine of `least` or more."""
+        for r, node in self.graph.within(queries.astype(np.float32), width, np.float32(least - 1e-4)):
+            for lo in range(0, len(r), 65536):
+                a, b = r[lo : lo + 65536], node[lo : lo + 65536]
+                sure = np.einsum("ij,ij->i", queries[a], self.exact[b]) >= least
+                yield a[sure], b[sure]
+
+
+def audit(shard: Shard, ids: np.ndarray, queries: np.ndarray, least: float) -> list[tuple[int, int, int]]:
+    """Width, links found and links there are, for each width of the ladder."""
+    truth = queries @ shard.exact.T >= least
+    truth &= ids[:, None] != shard.ids[None, :]
+    out, there, found = [], int(truth.sum()), -1
+    for width in BEAMS:
+        if found < there:  # all found with a narrower beam are found with a wider one
+            hit = np.zeros_like(truth)
+            for r, node in shard.linked(queries, width, least):
+                hit[r, node] = True
+            found = int((hit & truth).sum())
+        out.append((width, found, there))
+    return out
+
+
+def hits(asking: Shard, asked: Shard, width: int, least: float) -> np.ndarray:
+    """Bits [asking, asked / 8] of the links that the vectors of one shard find in another."""
+    n = len(asked.ids)
+    out = np.zeros((len(asking.ids), -(-n // 8)), np.uint8)
+    for lo in range(0, len(asking.ids), QUERIES):
+        own = np.zeros((len(asking.ids[lo : lo + QUERIES]), n), bool)
+        for r, node in asked.linked(asking.exact[lo : lo + QUERIES], width, least):
+            own[r, node] = True
+        out[lo : lo + QUERIES] = np.packbits(own, axis=1)
+    return out
+
+
+def _tiles(bits: np.ndarray, back: np.ndarray, n: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Row, column and links of the tiles that have any, found in either direction."""
+    for i in range(0, len(bits), QUERIES):
+        for j in range(0, n, QUERIES):
+            one = np.unpackbits(bits[i : i + QUERIES, j // 8 : (j + QUERIES) // 8], axis=1, count=min(QUERIES, n - j))
+            other = np.unpackbits(back[j : j + QUERIES, i // 8 : (i + QUERIES) // 8], axis=1, count=min(QUERIES, len(bits) - i))
+            tile = (one | other.T).astype(bool)
+            if tile.any():
+                yield i, j, tile
+
+
+def _roots(nodes: int, tiles: Callable[[], Iterator[tuple[int, int, np.ndarray]]]) -> np.ndarray:
+    """The smallest node of each node's component; tiles give links between node i + row and node j + column."""
+    root = np.arange(nodes)
     while True:
-        r, node = graph.within(as_float, width, low)
-        found = np.zeros_like(truth)
-        place = np.full(len(queries), -1)
-        place[sample] = np.arange(len(sample))
-        mine = place[r] >= 0
-        found[place[r[mine]], node[mine]] = True
-        recall = float((found & truth).sum() / truth.sum()) if truth.any() else 1.0
-        if recall >= RECALL or width >= len(exact):
-            break
-        width *= 2
-    sure = np.concatenate([np.einsum("ij,ij->i", queries[r[i : i + 65536]], exact[node[i : i + 65536]]) >= least for i in range(0, len(r), 65536)]) if len(r) else np.zeros(0, bool)
-    return r[sure], node[sure], recall
+        before = root.copy()
+        for i, j, tile in tiles():
+            r, c = tile.shape
+            up = np.where(tile, root[None, j : j + c], nodes).min(axis=1)
+            root[i : i + r] = np.minimum(root[i : i + r], up)
+            down = np.where(tile, root[i : i + r, None], nodes).min(axis=0)
+            root[j : j + c] = np.minimum(root[j : j + c], down)
+        while (root[root] != root).any():
+            root = root[root]
+        if (root == before).all():
+            return root
+
+
+def search(a: Shard, b: Shard | None, width: int, least: float) -> list[tuple[int, int, int]]:
+    """Class, class it is linked to (itself if to none) and links with rows of other classes, for those that have any.
+
+    b is another shard of the label, or None for links within a. The pairs are a spanning forest of the components.
+    """
+    n_a = len(a.ids)
+    if b is None:
+        bits = hits(a, a, width, least)
+        tiles = lambda: ((i, j, t) for i, j, t in _tiles(bits, bits, n_a))
+        ids, copies = a.ids, a.copies
+    else:
+        bits, back = hits(a, b, width, least), hits(b, a, width, least)
+        tiles = lambda: ((i, n_a + j, t) for i, j, t in _tiles(bits, back, len(b.ids)))
+        ids, copies = np.append(a.ids, b.ids), np.append(a.copies, b.copies)
+    far = np.zeros(len(ids), np.int64)
+    for i, j, tile in tiles():
+        far[i : i + len(tile)] += tile @ copies[j : j + tile.shape[1]]
+        if b is not None:
+            far[j : j + tile.shape[1]] += copies[i : i + len(tile)] @ tile
+    if b is None:
+        far -= copies * (far > 0)  # each class finds itself
+    root = _roots(len(ids), tiles)
+    some = np.flatnonzero(far)
+    return list(zip(ids[some].tolist(), ids[root[some]].tolist(), far[some].tolist(), strict=True))
 
 
 def near_vectors(vectors: DataFrame, least: float = 0.93, shard: int = SHARD) -> DataFrame:
-    """vec_id, n_links, component_id, kept for each row of `vectors` (vec_id, embedding, label)."""
+    """vec_id, n_links, component_id, kept, recall for each row of `vectors` (vec_id, embedding, label)."""
     scratch = Scratch(vectors.sparkSession)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("e"))
     sound = (
@@ -252,56 +346,88 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, shard: int = SHARD) ->
         & F.coalesce(F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
         & F.coalesce(F.exists("e", lambda x: x != 0), F.lit(False))
     )
-    good = scratch.write(rows.where(sound).distinct(), "good")
-    classes = good.groupBy("label", "e").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")).withColumn("dim", F.size("e"))
+    good = scratch.write(rows.where(sound).distinct().select("vec_id", F.struct("label", "e").alias("same")), "good")
+    total = good.count()
+    classes = good.groupBy("same").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.max(F.col("vec_id") % AUDITED == 0).alias("audited"))
     classes = scratch.write(classes, "classes")
-    shards = classes.groupBy("label", "dim").agg(F.ceil(F.count(F.lit(1)) / shard).alias("shards"), F.ceil(F.count(F.lit(1)) / QUERIES).alias("blocks"))
-    dealt = classes.join(shards, ["label", "dim"]).select(
-        "label", "dim", "rep", "e", F.pmod(F.xxhash64("rep"), "shards").alias("shard"), F.pmod(F.xxhash64("rep", F.lit(1)), "blocks").alias("block")
-    )
+    member = scratch.write(split_join(good, classes.select("same", "rep", "n"), "same", "vec_id", total).select("vec_id", "rep"), "member")
+    own = classes.select("rep", F.col("n").alias("copies"), "audited", "same.label", "same.e", F.struct("same.label", F.size("same.e").alias("dim")).alias("group"))
+    groups = own.groupBy("group").agg(F.count(F.lit(1)).alias("n")).withColumn("most", F.least(F.lit(shard), F.greatest(F.lit(1), F.floor(F.lit(SHARD_BYTES) / (8 * F.col("group.dim"))))))
+    groups = scratch.write(groups.select("group", "n", F.ceil(F.col("n") / F.col("most")).cast("int").alias("shards")), "groups")
+    dealt = split_join(own, groups, "group", "rep", total).withColumn("shard", F.pmod(F.xxhash64("rep"), F.col("shards")).cast("int"))
 
     def built(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("rep")
-        ids, exact = part["rep"].to_numpy(), unit(np.stack(part["e"].to_numpy()))
-        shuffled = np.random.default_rng(len(ids)).permutation(len(ids))
-        ids, exact = ids[shuffled], exact[shuffled]
-        return pd.DataFrame({"label": [part["label"].iloc[0]], "dim": [part["dim"].iloc[0]], "graph": [build(ids, exact).dump()], "ids": [ids.tobytes()], "exact": [exact.tobytes()]})
-
-    graphs = scratch.write(dealt.groupBy("label", "dim", "shard").applyInPandas(built, "label string, dim int, graph binary, ids binary, exact binary"), "graphs")
-    asked = dealt.groupBy("label", "dim", "block").applyInPandas(
-        lambda part: pd.DataFrame({"label": [part["label"].iloc[0]], "dim": [part["dim"].iloc[0]], "q_ids": [part["rep"].to_numpy().tobytes()], "q": [unit(np.stack(part["e"].to_numpy())).tobytes()]}),
-        "label string, dim int, q_ids binary, q binary",
+        one = Shard.of(part["rep"].to_numpy(), part["copies"].to_numpy(), np.stack(part["e"].to_numpy()).astype(np.float64))
+        return pd.DataFrame({"group": [part["group"].iloc[0]], "shard": [part["shard"].iloc[0]], "graph": [one.dump()]})
+
+    group = "group struct<label string, dim int>"
+    dealt = scratch.write(dealt, "dealt")
+    key = dealt.select("rep", "copies", "e", F.to_json("group").alias("group"), "shard")
+    graphs = scratch.write(key.groupBy("group", "shard").applyInPandas(built, "group string, shard int, graph binary"), "graphs", "none")
+    shards = groups.select(F.to_json("group").alias("group"), "shards")
+
+    queries = dealt.where("audited").select(F.to_json("group").alias("group"), "rep", "e", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
+    part = F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(1 << 20))
+    blocks_ = dealt.where("audited").groupBy(F.to_json("group").alias("group")).agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("blocks"))
+    asked = (
+        queries.join(blocks_, "group").groupBy("group", "shard", F.pmod(part, F.col("blocks")).alias("block"))
+        .agg(F.collect_list(F.struct("rep", "e")).alias("queries"))
+        .join(graphs, ["group", "shard"])
+    )
+
+    def audits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for g, block, blob in zip(*(batch.column(c) for c in ("group", "queries", "graph")), strict=True):
+                ids = block.values.field("rep").to_numpy()
+                x = block.values.field("e").values.to_numpy().reshape(len(ids), -1)
+                out += [(g.as_py(), *r) for r in audit(Shard.load(blob.as_py()), ids, unit(x), least)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int64(), pa.int64()))], ["group", "width", "found", "there"])
+
+    audited = small_batches(asked).mapInArrow(audits, "group string, width int, found long, there long")
+    audited = scratch.write(audited.groupBy("group", "width").agg(F.sum("found").alias("found"), F.sum("there").alias("there")), "audited")
+    enough = F.col("found") >= RECALL * F.col("there")
+    everywhere = audited.groupBy("width").agg(F.sum("found").alias("found"), F.sum("there").alias("there")).where(enough).agg(F.min("width")).first()[0]
+    least_width = everywhere if everywhere is not None else BEAMS[-1] if audited.take(1) else BEAMS[0]
+    measured = audited.where(enough & (F.col("width") >= least_width) | (F.col("width") == BEAMS[-1])).groupBy("group").agg(F.min(F.struct("width", "found", "there")).alias("w"))
+    widths = scratch.write(
+        shards.join(measured, "group", "left").select("group", "shards", F.coalesce("w.width", F.lit(least_width)).alias("width"), (F.col("w.found") / F.nullif("w.there", F.lit(0))).alias("recall")),
+        "widths",
     )
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in range(batch.num_rows):
-                get = lambda k: batch.column(k)[row].as_py()  # noqa: B023, E731
-                dim, ids, q_ids = get("dim"), np.frombuffer(get("ids"), np.int64), np.frombuffer(get("q_ids"), np.int64)
-                r, node, _ = links(Graph.load(get("graph")), np.frombuffer(get("q")).reshape(-1, dim), np.frombuffer(get("exact")).reshape(-1, dim), least)
-                other = q_ids[r] != ids[node]
-                a, b = q_ids[r][other], ids[node][other]
-                for lo in range(0, len(a), 1 << 16):
-                    yield pa.RecordBatch.from_arrays([pa.array(a[lo : lo + (1 << 16)]), pa.array(b[lo : lo + (1 << 16)])], ["a", "b"])
-
-    searches = scratch.write(asked, "asked").join(graphs, ["label", "dim"]).repartition(F.xxhash64("q_ids", "ids"))
-    pairs = scratch.write(searches.mapInArrow(found, "a long, b long"), "pairs")
-    both = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    sizes = classes.select("rep", "n")
-    linked = both.join(sizes.withColumnRenamed("rep", "b"), "b").groupBy("a").agg(F.sum("n").alias("far"))
-    comps = components(pairs, scratch, "comps")
+            for x, y, width in zip(*(batch.column(c).to_pylist() for c in ("graph", "other", "width")), strict=True):
+                out = search(Shard.load(x), None if y is None else Shard.load(y), width, least)
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(3)], ["rep", "to", "far"])
+
+    pairs = widths.select("group", "width", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), "shards").withColumn("second", F.explode(F.sequence(F.col("shard"), F.col("shards") - 1)))
+    second = graphs.select("group", F.col("shard").alias("second"), F.col("graph").alias("other"))
+    both = (
+        pairs.repartition(F.xxhash64("group", "shard", "second")).join(graphs, ["group", "shard"])
+        .join(second, ["group", "second"])
+        .select("graph", F.when(F.col("second") > F.col("shard"), F.col("other")).alias("other"), "width")
+    )
+    linked = scratch.write(small_batches(both).mapInArrow(found, "rep long, to long, far long"), "linked")
+    comps = components(linked.select(F.col("rep").alias("a"), F.col("to").alias("b")), scratch, "comps")
+    far = linked.groupBy("rep").agg(F.sum("far").alias("far"))
     per_class = (
-        classes.join(linked, F.col("rep") == F.col("a"), "left")
+        dealt.select("rep", F.col("copies").alias("n"), F.to_json("group").alias("group"))
+        .join(far, "rep", "left")
         .join(comps, F.col("rep") == F.col("node"), "left")
-        .select("label", "e", (F.coalesce("far", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
+        .join(widths.select("group", "recall"), "group")
+        .select("rep", "n", (F.coalesce("far", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "rep").alias("component"), "recall")
     )
-    by_id = scratch.write(good.join(per_class, ["label", "e"]).groupBy("vec_id").agg(F.max("links").alias("links"), F.min("component").alias("component")), "by_id")
-    scratch.drop("graphs", "asked", "good", "classes", "pairs")
+    per_class = scratch.write(per_class, "per_class")
+    by_id = split_join(member, per_class, "rep", "vec_id", total).groupBy("vec_id").agg(F.max("links").alias("links"), F.min("component").alias("component"), F.max("recall").alias("recall"))
+    by_id = scratch.write(by_id, "by_id")
+    scratch.drop("graphs", "good", "classes", "dealt", "groups", "linked", "member", "per_class", "audited", "widths")
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id")).join(by_id, "vec_id", "left").select(
         "vec_id",
         F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("component", "vec_id").alias("component_id"),
         F.coalesce(F.coalesce("component", "vec_id") == F.col("vec_id"), F.lit(False)).alias("kept"),
+        "recall",
     )
 
 

@@ -6,10 +6,12 @@ correlated; an element is done as soon as its next rank exceeds the largest valu
 equal sets form a class, and one of each class goes on. Classes that share a band meet in a bucket; each is compared,
 on whole sets, with the bucket's hub, the member that meets most others. Buckets whose members still lie in different
 components after that are searched exhaustively, in tiles of bounded size. Links are confirmed on the whole sets only.
+Joins on a band, a class or a hub deal a hot key over many tasks (`split_join`).
 
 Defined cases: null or empty text, or one of white space, has an empty set and links with nothing; fewer words than w
-are one shingle; rows that repeat a doc_id share its result; a null doc_id has a null component and isn't kept; an empty
-table gives an empty result; texts of any length are read whole; further columns don't matter.
+are one shingle; rows that repeat a doc_id share its component, and what any of their texts links with is linked with
+all of them; a null doc_id has a null component and isn't kept; an empty table gives an empty result; texts of any length
+are read whole; further columns don't matter.
 """
 
 from __future__ import annotations
@@ -23,20 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, blocks, encoded, small_batches, table
+from .common import GOLDEN, Scratch, blocks, encoded, mix, small_batches, split_join, table
 from .graph import components
 
 SLOTS, ROWS = 128, 4  # bands of 4 slots: a pair at 0.8 shares none of the 32 with a chance of 5e-8
 TILE = 256
+SMALL_AREA = 4 * TILE
 BLOCK_BYTES = 2 << 20
-GOLDEN = 0x9E3779B97F4A7C15
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
@@ -57,7 +52,7 @@ def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
         n = max(1, len(h) - width + 1)
         x = np.full(n, min(len(h), width), np.uint64)
         for j in range(min(width, len(h))):
-            x = _mix(x * np.uint64(GOLDEN) + h[j : j + n])
+            x = mix(x * GOLDEN + h[j : j + n])
         out.append(np.unique(x))
     return out
 
@@ -72,7 +67,7 @@ def super_minhash(elements: np.ndarray, doc: np.ndarray, n: int, slots: int = SL
     swapped: list[np.ndarray] = []
     moved: list[np.ndarray] = []
     for j in range(slots):
-        draw = _mix(elements + np.uint64(GOLDEN * (j + 1) % 2**64))
+        draw = mix(elements + np.uint64(int(GOLDEN) * (j + 1) % 2**64))
         k = j + (((draw & np.uint64(0xFFFFFFFF)) * np.uint64(slots - j)) >> np.uint64(32)).astype(np.int64)
         at_k, at_j = k.copy(), np.full(len(k), j)
         for old_k, old_j in zip(swapped, moved, strict=True):
@@ -95,9 +90,9 @@ def band_keys(signatures: np.ndarray, rows: int = ROWS) -> np.ndarray:
     """[n, bands] int64 hashes of `rows` slots each, the band's number included."""
     n, slots = signatures.shape
     parts = signatures[:, : slots // rows * rows].reshape(n, slots // rows, rows)
-    x = np.arange(slots // rows, dtype=np.uint64)[None, :] + np.uint64(GOLDEN)
+    x = np.arange(slots // rows, dtype=np.uint64)[None, :] + GOLDEN
     for j in range(rows):
-        x = _mix(x * np.uint64(GOLDEN) + parts[:, :, j])
+        x = mix(x * GOLDEN + parts[:, :, j])
     return x.view(np.int64)
 
 
@@ -136,8 +131,11 @@ def linked(common, a, b, percent: int):
     return 100 * common >= percent * (a + b - common)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose whole sets meet the threshold. Both joins are on the document, split where it is skewed."""
+def verified(pairs: DataFrame, hubs: DataFrame, sets: DataFrame, percent: int, total: int) -> DataFrame:
+    """Pairs (a, b) of hub and doc_id whose whole sets meet the threshold.
+
+    pairs: hub, doc_id. hubs: hub and n, of how many of `total` pairs. A hub's set goes to every part of its pairs.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,11 +151,11 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 at = np.minimum(np.searchsorted(large, small), len(large) - 1)
                 if linked(int((large[at] == small).sum()), len(s), len(t), percent):
                     keep.append(i)
-            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in ("a", "b")], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in ("hub", "doc_id")], ["a", "b"])
 
-    first = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
-    second = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(second, "b").join(first, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    own = hubs.join(sets.select(F.col("doc_id").alias("hub"), F.col("shingles").alias("x")), "hub")
+    with_doc = pairs.join(sets.select("doc_id", F.col("shingles").alias("y")), "doc_id")
+    return split_join(with_doc, own, "hub", "doc_id", total).select("hub", "doc_id", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def tile_links(tile: pd.DataFrame, percent: int) -> pd.DataFrame:
@@ -184,36 +182,46 @@ def tile_links(tile: pd.DataFrame, percent: int) -> pd.DataFrame:
     return found[["a", "b"]].astype("int64")
 
 
-def _residual(members: DataFrame, comps: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+def _residual(members: DataFrame, comps: DataFrame, sets: DataFrame, percent: int, total: int, scratch: Scratch) -> DataFrame:
     """Links between components that only members other than the hubs show.
 
-    Buckets with several components that meet in a document form one area. The documents outside an area's largest
-    component, in blocks of TILE, are compared with each other and with the blocks of that component.
+    Buckets with several components that meet in a document form an area, which is searched at once if it is small; a
+    larger one goes bucket by bucket, so that a chain of buckets doesn't make its ends meet. The documents outside the
+    largest component of such a group, in blocks of TILE, are compared with each other and with the blocks of that one.
     """
     comp = F.coalesce("component", "doc_id").alias("comp")
-    open_keys = (
-        members.join(comps, F.col("doc_id") == F.col("node"), "left")
-        .select("key", "doc_id", comp)
-        .groupBy("key")
-        .agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("a"))
+    placed = scratch.write(members.join(comps, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", comp), "placed")
+    open_keys = scratch.write(
+        placed.groupBy("key")
+        .agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
         .where("lo <> hi and n > 2")
-        .select("key", "a")
+        .select("key", "first", "n"),
+        "open_keys",
     )
-    meet = scratch.write(members.join(open_keys, "key").select("a", F.col("doc_id").alias("b")).distinct(), "meet")
-    areas = components(meet, scratch, "areas")
+    meet = scratch.write(split_join(placed, open_keys, "key", "doc_id", total).select("key", "first", "doc_id", "comp").distinct(), "meet")
+    areas = components(meet.select(F.col("first").alias("a"), F.col("doc_id").alias("b")), scratch, "areas")
     docs = (
-        meet.select(F.col("b").alias("doc_id")).distinct()
-        .join(areas.withColumnRenamed("node", "doc_id").withColumnRenamed("component", "area"), "doc_id", "left")
-        .withColumn("area", F.coalesce("area", "doc_id"))
-        .join(comps, F.col("doc_id") == F.col("node"), "left")
-        .select("area", "doc_id", comp)
+        meet.join(areas, F.col("doc_id") == F.col("node"), "left")
+        .select("key", "doc_id", "comp", F.coalesce("component", "doc_id").alias("area"))
     )
     docs = scratch.write(docs, "open")
-    by_comp = docs.groupBy("area", "comp").agg(F.count(F.lit(1)).alias("n"))
-    main = by_comp.groupBy("area").agg(F.max(F.struct("n", "comp")).alias("most"), F.sum("n").alias("all"))
-    main = main.where("all > most.n").select("area", F.col("most.comp").alias("main"), F.col("most.n").alias("n_main"), (F.col("all") - F.col("most.n")).alias("n_rest"))
+    small = docs.select("area", "doc_id").distinct().groupBy("area").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") <= SMALL_AREA).select("area")
+    sizes = docs.groupBy("area").agg(F.count(F.lit(1)).alias("n")).join(small.withColumn("small", F.lit(True)), "area", "left")
+    grouped = split_join(docs, scratch.write(sizes, "sizes"), "area", "doc_id", total)
+    # areas and buckets are numbered apart: a group is (area, 0) or (0, key)
+    docs = scratch.write(
+        grouped.select(
+            F.when(F.col("small"), F.struct("area", F.lit(0).cast("long").alias("key"))).otherwise(F.struct(F.lit(0).cast("long").alias("area"), "key")).alias("group"),
+            "doc_id",
+            "comp",
+        ).distinct(),
+        "grouped",
+    )
+    by_comp = docs.groupBy("group", "comp").agg(F.count(F.lit(1)).alias("n"))
+    main = by_comp.groupBy("group").agg(F.max(F.struct("n", "comp")).alias("most"), F.sum("n").alias("n"))
+    main = main.where("n > most.n").select("group", "n", F.col("most.comp").alias("main"), F.col("most.n").alias("n_main"), (F.col("n") - F.col("most.n")).alias("n_rest"))
     placed = (
-        docs.join(main, "area")
+        split_join(docs, scratch.write(main, "main"), "group", "doc_id", total)
         .withColumn("rest", F.col("comp") != F.col("main"))
         .withColumn("rest_blocks", F.ceil(F.col("n_rest") / TILE))
         .withColumn("main_blocks", F.ceil(F.col("n_main") / TILE))
@@ -225,9 +233,9 @@ def _residual(members: DataFrame, comps: DataFrame, sets: DataFrame, percent: in
     from_main = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct(i.cast("long").alias("i"), (-1 - F.col("block")).alias("j")))
     tiles = placed.withColumn("tile", F.explode(F.when(F.col("rest"), F.concat(own, to_main)).otherwise(from_main)))
     return (
-        tiles.select("area", "tile", "doc_id", "comp")
+        tiles.select("group", "tile", "doc_id", "comp")
         .join(sets, "doc_id")
-        .groupBy("area", "tile")
+        .groupBy("group", "tile")
         .applyInPandas(lambda t: tile_links(t, percent), "a long, b long")
     )
 
@@ -237,32 +245,40 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     scratch = Scratch(docs.sparkSession)
     signed = scratch.write(signed_docs(docs, width), "signed")
     known = signed.where("fp is not null and doc_id is not null")
-    classes = known.groupBy("fp").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    classes = scratch.write(classes, "classes")  # as a table, both sides of the join are dealt anew and a large class is split
-    labelled = scratch.write(signed.select("doc_id", "n_shingles", "fp").join(classes, "fp", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id")), "labelled")
+    total = signed.count()
+    classes = known.groupBy("fp").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    classes = scratch.write(classes, "classes")
+    labelled = split_join(signed.select("doc_id", "n_shingles", "fp"), classes, "fp", "doc_id", total, "left")
+    labelled = scratch.write(labelled.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id")), "labelled")
+    # rows that repeat a doc_id with other texts tie their classes together
+    several = labelled.groupBy("doc_id").agg(F.min("class_id").alias("least"), F.max("class_id").alias("most")).where("least <> most")
+    ties = scratch.write(labelled.select("doc_id", "class_id").distinct().join(several, "doc_id").select(F.col("least").alias("a"), F.col("class_id").alias("b")), "ties")
     scratch.drop("classes")
     reps = known.groupBy("fp").agg(F.min(F.struct("doc_id", "bands")).alias("r")).select("r.doc_id", "r.bands")
     banded = scratch.write(reps.select("doc_id", F.explode("bands").alias("key")), "banded")
-    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = scratch.write(banded.join(shared, "key"), "members")
+    rows = banded.count()
+    shared = scratch.write(banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("size", F.col("n")), "shared")
+    members = scratch.write(split_join(banded, shared, "key", "doc_id", rows), "members")
     scratch.drop("banded", "signed")
 
-    meets = members.groupBy("doc_id").agg(F.sum("n").alias("meets"))
-    hubs = members.join(meets, "doc_id").groupBy("key").agg((-F.max(F.struct("meets", (-F.col("doc_id")).alias("d")))["d"]).alias("hub"))
-    pairs = (
-        members.join(hubs, "key").where("doc_id <> hub").select(F.greatest("doc_id", "hub").alias("b"), F.least("doc_id", "hub").alias("a")).distinct()
-    )
+    meets = members.groupBy("doc_id").agg(F.sum("size").alias("meets"))
+    best = members.join(meets, "doc_id").groupBy("key").agg((-F.max(F.struct("meets", (-F.col("doc_id")).alias("d")))["d"]).alias("hub"), F.count(F.lit(1)).alias("n"))
+    pairs = split_join(members.select("key", "doc_id"), scratch.write(best, "best"), "key", "doc_id", rows).where("doc_id <> hub").select("hub", "doc_id").distinct()
+    pairs = scratch.write(pairs, "pairs")
+    hubs = scratch.write(pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("n")), "hubs")
     involved = members.select("doc_id").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = scratch.write(doc_sets(texts, width), "sets")
-    links = scratch.write(verified(pairs, sets, percent), "links")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    sets = scratch.write(doc_sets(texts, width).where(F.size("shingles") > 0), "sets")
+    links = scratch.write(verified(pairs, hubs, sets, percent, pairs.count()), "links").unionAll(ties)
     comps = components(links, scratch, "comps")
-    more = scratch.write(_residual(members, comps, sets, percent, scratch), "more")
+    more = scratch.write(_residual(members, comps, sets, percent, rows, scratch), "more")
     if more.take(1):
         comps = components(links.unionAll(more), scratch, "all")
-    scratch.drop("sets", "members", "links", "more", "meet", "open")
+    scratch.drop("sets", "members", "links", "more", "meet", "open", "open_keys", "placed", "grouped", "sizes", "main", "best", "pairs", "hubs", "shared", "ties")
+    grown = labelled.groupBy("class_id").agg(F.count(F.lit(1)).alias("n")).where("class_id is not null")
+    found = scratch.write(grown.join(comps, F.col("class_id") == F.col("node"), "left").select("class_id", "component", "n"), "found")
     return (
-        labelled.join(comps, F.col("class_id") == F.col("node"), "left")
+        split_join(labelled, found, "class_id", "doc_id", total, "left")
         .withColumn("component_id", F.coalesce("component", "class_id"))
         .select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"), "class_id")
     )

@@ -35,7 +35,9 @@ from .graph import components
 
 LINKS, BUILD_BEAM = 12, 32  # neighbours on the upper levels (twice as many on level 0); beam of insertions
 SHARD, SHARD_BYTES, QUERIES, CHUNK = 16384, 32 << 20, 1024, 512
-BEAMS, AUDITED, RECALL = (16, 32, 64, 128, 256, 512, 1024), 50, 0.98
+WHOLE = 1 << 30  # a beam as wide as any shard: every vector is compared
+BEAMS, UNMEASURED = (16, 32, 64, 128, 256, 512, 1024, WHOLE), 128  # the beam where no audited query has a link
+AUDITED, RECALL = 50, 0.98
 SLACK = 0.05  # how far below the threshold a node may be that leads on to links
 
 
@@ -115,8 +117,13 @@ class Graph:
 
         Nodes up to SLACK below `low` are passed through. Queries whose beam is full of links meet the whole shard.
         """
-        ids, sims = self.search(queries, width)
         n = len(self.vectors)
+        if width >= n:
+            for lo in range(0, len(queries), 256):
+                r, node = np.nonzero(queries[lo : lo + 256] @ self.vectors.T >= low)
+                yield lo + r, node
+            return
+        ids, sims = self.search(queries, width)
         full = np.flatnonzero(sims[:, -1] >= low)
         for lo in range(0, len(full), 256):
             r, node = np.nonzero(queries[full[lo : lo + 256]] @ self.vectors.T >= low)
@@ -258,17 +265,19 @@ class Shard:
 
 def audit(shard: Shard, ids: np.ndarray, queries: np.ndarray, least: float) -> list[tuple[int, int, int]]:
     """Width, links found and links there are, for each width of the ladder."""
-    truth = queries @ shard.exact.T >= least
-    truth &= ids[:, None] != shard.ids[None, :]
-    out, there, found = [], int(truth.sum()), -1
-    for width in BEAMS:
-        if found < there:  # all found with a narrower beam are found with a wider one
-            hit = np.zeros_like(truth)
-            for r, node in shard.linked(queries, width, least):
-                hit[r, node] = True
-            found = int((hit & truth).sum())
-        out.append((width, found, there))
-    return out
+    out = np.array([(width, 0, 0) for width in BEAMS])
+    for lo in range(0, len(ids), QUERIES):
+        own = queries[lo : lo + QUERIES]
+        truth = (own @ shard.exact.T >= least) & (ids[lo : lo + QUERIES, None] != shard.ids[None, :])
+        there, found = int(truth.sum()), -1
+        for rung, width in enumerate(BEAMS):
+            if found < there:  # all found with a narrower beam are found with a wider one
+                hit = np.zeros_like(truth)
+                for r, node in shard.linked(own, width, least):
+                    hit[r, node] = True
+                found = int((hit & truth).sum())
+            out[rung, 1:] += found, there
+    return [tuple(r) for r in out.tolist()]
 
 
 def hits(asking: Shard, asked: Shard, width: int, least: float) -> np.ndarray:
@@ -279,6 +288,8 @@ def hits(asking: Shard, asked: Shard, width: int, least: float) -> np.ndarray:
         own = np.zeros((len(asking.ids[lo : lo + QUERIES]), n), bool)
         for r, node in asked.linked(asking.exact[lo : lo + QUERIES], width, least):
             own[r, node] = True
+        if asking is asked:
+            own[np.arange(len(own)), lo + np.arange(len(own))] = False
         out[lo : lo + QUERIES] = np.packbits(own, axis=1)
     return out
 
@@ -287,11 +298,10 @@ def _tiles(bits: np.ndarray, back: np.ndarray, n: int) -> Iterator[tuple[int, in
     """Row, column and links of the tiles that have any, found in either direction."""
     for i in range(0, len(bits), QUERIES):
         for j in range(0, n, QUERIES):
-            one = np.unpackbits(bits[i : i + QUERIES, j // 8 : (j + QUERIES) // 8], axis=1, count=min(QUERIES, n - j))
-            other = np.unpackbits(back[j : j + QUERIES, i // 8 : (i + QUERIES) // 8], axis=1, count=min(QUERIES, len(bits) - i))
-            tile = (one | other.T).astype(bool)
-            if tile.any():
-                yield i, j, tile
+            one, other = bits[i : i + QUERIES, j // 8 : (j + QUERIES) // 8], back[j : j + QUERIES, i // 8 : (i + QUERIES) // 8]
+            if one.any() or other.any():
+                found = np.unpackbits(one, axis=1, count=min(QUERIES, n - j))
+                yield i, j, (found | np.unpackbits(other, axis=1, count=min(QUERIES, len(bits) - i)).T).astype(bool)
 
 
 def _roots(nodes: int, tiles: Callable[[], Iterator[tuple[int, int, np.ndarray]]]) -> np.ndarray:
@@ -330,8 +340,6 @@ def search(a: Shard, b: Shard | None, width: int, least: float) -> list[tuple[in
         far[i : i + len(tile)] += tile @ copies[j : j + tile.shape[1]]
         if b is not None:
             far[j : j + tile.shape[1]] += copies[i : i + len(tile)] @ tile
-    if b is None:
-        far -= copies * (far > 0)  # each class finds itself
     root = _roots(len(ids), tiles)
     some = np.flatnonzero(far)
     return list(zip(ids[some].tolist(), ids[root[some]].tolist(), far[some].tolist(), strict=True))
@@ -353,24 +361,23 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, shard: int = SHARD) ->
     member = scratch.write(split_join(good, classes.select("same", "rep", "n"), "same", "vec_id", total).select("vec_id", "rep"), "member")
     own = classes.select("rep", F.col("n").alias("copies"), "audited", "same.label", "same.e", F.struct("same.label", F.size("same.e").alias("dim")).alias("group"))
     groups = own.groupBy("group").agg(F.count(F.lit(1)).alias("n")).withColumn("most", F.least(F.lit(shard), F.greatest(F.lit(1), F.floor(F.lit(SHARD_BYTES) / (8 * F.col("group.dim"))))))
-    groups = scratch.write(groups.select("group", "n", F.ceil(F.col("n") / F.col("most")).cast("int").alias("shards")), "groups")
+    blocks_ = F.ceil(F.col("n") / (AUDITED * QUERIES)).alias("blocks")
+    groups = scratch.write(groups.select("group", "n", F.ceil(F.col("n") / F.col("most")).cast("int").alias("shards"), blocks_), "groups")
     dealt = split_join(own, groups, "group", "rep", total).withColumn("shard", F.pmod(F.xxhash64("rep"), F.col("shards")).cast("int"))
 
     def built(part: pd.DataFrame) -> pd.DataFrame:
         one = Shard.of(part["rep"].to_numpy(), part["copies"].to_numpy(), np.stack(part["e"].to_numpy()).astype(np.float64))
         return pd.DataFrame({"group": [part["group"].iloc[0]], "shard": [part["shard"].iloc[0]], "graph": [one.dump()]})
 
-    group = "group struct<label string, dim int>"
     dealt = scratch.write(dealt, "dealt")
     key = dealt.select("rep", "copies", "e", F.to_json("group").alias("group"), "shard")
     graphs = scratch.write(key.groupBy("group", "shard").applyInPandas(built, "group string, shard int, graph binary"), "graphs", "none")
-    shards = groups.select(F.to_json("group").alias("group"), "shards")
+    shards = groups.select(F.to_json("group").alias("group"), "shards", "n")
 
-    queries = dealt.where("audited").select(F.to_json("group").alias("group"), "rep", "e", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
-    part = F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(1 << 20))
-    blocks_ = dealt.where("audited").groupBy(F.to_json("group").alias("group")).agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("blocks"))
     asked = (
-        queries.join(blocks_, "group").groupBy("group", "shard", F.pmod(part, F.col("blocks")).alias("block"))
+        dealt.where("audited")
+        .select(F.to_json("group").alias("group"), "rep", "e", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("blocks")).alias("block"), F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
+        .groupBy("group", "shard", "block")
         .agg(F.collect_list(F.struct("rep", "e")).alias("queries"))
         .join(graphs, ["group", "shard"])
     )
@@ -380,18 +387,18 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, shard: int = SHARD) ->
             out = []
             for g, block, blob in zip(*(batch.column(c) for c in ("group", "queries", "graph")), strict=True):
                 ids = block.values.field("rep").to_numpy()
-                x = block.values.field("e").values.to_numpy().reshape(len(ids), -1)
+                x = block.values.field("e").flatten().to_numpy().reshape(len(ids), -1)
                 out += [(g.as_py(), *r) for r in audit(Shard.load(blob.as_py()), ids, unit(x), least)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int64(), pa.int64()))], ["group", "width", "found", "there"])
 
     audited = small_batches(asked).mapInArrow(audits, "group string, width int, found long, there long")
     audited = scratch.write(audited.groupBy("group", "width").agg(F.sum("found").alias("found"), F.sum("there").alias("there")), "audited")
     enough = F.col("found") >= RECALL * F.col("there")
-    everywhere = audited.groupBy("width").agg(F.sum("found").alias("found"), F.sum("there").alias("there")).where(enough).agg(F.min("width")).first()[0]
-    least_width = everywhere if everywhere is not None else BEAMS[-1] if audited.take(1) else BEAMS[0]
+    everywhere = audited.groupBy("width").agg(F.sum("found").alias("found"), F.sum("there").alias("there")).where(enough & (F.col("there") > 0))
+    least_width = everywhere.agg(F.min("width")).first()[0] or UNMEASURED
     measured = audited.where(enough & (F.col("width") >= least_width) | (F.col("width") == BEAMS[-1])).groupBy("group").agg(F.min(F.struct("width", "found", "there")).alias("w"))
     widths = scratch.write(
-        shards.join(measured, "group", "left").select("group", "shards", F.coalesce("w.width", F.lit(least_width)).alias("width"), (F.col("w.found") / F.nullif("w.there", F.lit(0))).alias("recall")),
+        shards.join(measured, "group", "left").select("group", "n", "shards", F.coalesce("w.width", F.lit(least_width)).alias("width"), (F.col("w.found") / F.nullif("w.there", F.lit(0))).alias("recall")),
         "widths",
     )
 
@@ -412,10 +419,10 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, shard: int = SHARD) ->
     comps = components(linked.select(F.col("rep").alias("a"), F.col("to").alias("b")), scratch, "comps")
     far = linked.groupBy("rep").agg(F.sum("far").alias("far"))
     per_class = (
-        dealt.select("rep", F.col("copies").alias("n"), F.to_json("group").alias("group"))
+        split_join(dealt.select("rep", "copies", F.to_json("group").alias("group")), widths.select("group", "n", "recall"), "group", "rep", total)
+        .withColumnRenamed("copies", "n")
         .join(far, "rep", "left")
         .join(comps, F.col("rep") == F.col("node"), "left")
-        .join(widths.select("group", "recall"), "group")
         .select("rep", "n", (F.coalesce("far", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "rep").alias("component"), "recall")
     )
     per_class = scratch.write(per_class, "per_class")

@@ -1,14 +1,20 @@
-"""Byte-level BPE: every block of documents replays the merges of the rank table over its distinct words.
+"""Byte-level BPE over the whole corpus: each distinct word is encoded once, by replaying the merges of the rank table.
 
-A block's words (matches of the pattern) are laid out once as a chain of tokens. An inverted index leads from the rank
-of a token pair to the positions where the pair stands; ranks are taken in ascending order from a heap, all words that
-have the pair merge it at once (their leftmost one, as a word-by-word encoder would), and only the neighbours of what
-was merged get new entries. Words that are tokens themselves are taken whole.
+A word is a match of the pattern. Blocks of documents become rows of word numbers and a list of the block's distinct
+words; a distribution of these over the corpus gives every distinct word to one task, whatever number of documents it is
+in. A task lays its words out as a chain of tokens. An inverted index leads from the rank of a token pair to the positions
+where the pair stands; ranks are taken in ascending order from a heap, all words that have the pair merge it together, and
+only the neighbours of what was merged get new entries. Of touching places of one rank a word merges every second, from
+the left, as a word-by-word encoder would; where the merged token could be part of a pair of lower rank that encoder's
+order matters, and a word with several such places is finished by itself from a heap of its pairs. Words that are tokens
+are taken whole. The ids then go back to the blocks that have the word, and from there into the documents.
 
 The vocabulary is a file of base64 tokens and ranks; its path is a parameter and must be valid on every executor.
 
-Defined cases: null text is empty and has no tokens; texts of any length are encoded whole; equal texts give equal ids;
-an empty table gives an empty result; further columns are kept by `encode`.
+Defined cases: null text is empty and has no tokens; texts and words of any length are encoded whole, in time about in
+proportion to their length; equal texts give equal ids; repeated rows are each encoded; an empty table gives an empty
+result; `encode` keeps further columns but the text (join it by id where it is needed), and both replace columns that are
+named like what they add.
 """
 
 from __future__ import annotations
@@ -16,20 +22,23 @@ from __future__ import annotations
 import base64
 import heapq
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, cached_property
 from itertools import pairwise
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, small_batches, table
+from .common import Numbered, Scratch, blocks, small_batches, split_join, table
 
 BLOCK_BYTES = 2 << 20
+REPLAY_BYTES = 4 << 20  # of distinct words that are replayed together
 NONE = np.int64(1 << 40)
 
 
@@ -48,6 +57,8 @@ class Vocabulary:
                     merges[left << 32 | right] = rank
         self.pairs = np.array(sorted(merges), np.int64)
         self.merged = np.array([merges[p] for p in self.pairs.tolist()], np.int64)
+        sides = np.stack((self.pairs >> 32, self.pairs & 0xFFFFFFFF))
+        self.early = set(sides[sides > self.merged].tolist())  # tokens that are part of a pair of lower rank
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of the token that each pair becomes, NONE where it is none."""
@@ -63,6 +74,7 @@ class Vocabulary:
         word = np.repeat(np.arange(n), sizes)
         total = len(flat)
         whole = np.array([self.ranks.get(w, -1) for w in words], np.int64)
+        first = np.cumsum(sizes) - sizes
         after = np.arange(1, total + 1)
         before = np.arange(-1, total - 1)
         live = np.ones(total, bool)
@@ -98,12 +110,18 @@ class Vocabulary:
             if not len(positions):
                 continue
             if len(positions) > 1:
-                owners = word[positions]
-                again = np.append(False, owners[1:] == owners[:-1])
-                if again.any():
-                    index[r] = [positions[again]]
-                    heapq.heappush(heap, r)
-                    positions = positions[~again]
+                if r in self.early:
+                    owners = word[positions]
+                    again = np.append(False, owners[1:] == owners[:-1])
+                    for w in np.unique(owners[again]).tolist():
+                        self._finish(w, int(first[w]), int(sizes[w]), flat, live, rank, after)
+                    positions = positions[~np.isin(owners, owners[again])] if again.any() else positions
+                    if not len(positions):
+                        continue
+                touch = np.append(False, after[positions[:-1]] == positions[1:])
+                heads = np.flatnonzero(~touch)
+                place = np.arange(len(positions)) - np.repeat(heads, np.diff(np.append(heads, len(positions))))
+                positions = positions[place % 2 == 0]
             right = after[positions]
             beyond = after[right]
             flat[positions] = r
@@ -127,10 +145,39 @@ class Vocabulary:
                 add(touched)
         taken = whole >= 0
         live[taken[word]] = False
-        first = np.cumsum(sizes) - sizes
         flat[first[taken]], live[first[taken]] = whole[taken], True
         return flat[live], np.bincount(word[live], minlength=n)
 
+    def _finish(self, w: int, start: int, size: int, flat: np.ndarray, live: np.ndarray, rank: np.ndarray, after: np.ndarray) -> None:
+        """Merge all that is left of one word: the pair of least rank first, the leftmost of several."""
+        at, chain = start, []
+        while at < start + size:
+            chain.append(at)
+            at = int(after[at])
+        tokens = flat[chain].tolist()
+        right, left = list(range(1, len(chain) + 1)), list(range(-1, len(chain) - 1))
+        pair = lambda i: self.ranks_of.get(tokens[i] << 32 | tokens[right[i]]) if right[i] < len(chain) else None
+        heap = [(r, i) for i in range(len(chain)) if (r := pair(i)) is not None]
+        heapq.heapify(heap)
+        gone = [False] * len(chain)
+        while heap:
+            r, i = heapq.heappop(heap)
+            if gone[i] or pair(i) != r:
+                continue
+            j = right[i]
+            tokens[i], gone[j], right[i] = r, True, right[j]
+            if right[i] < len(chain):
+                left[right[i]] = i
+            for k in (left[i], i):
+                if k >= 0 and (q := pair(k)) is not None:
+                    heapq.heappush(heap, (q, k))
+        flat[chain], rank[start : start + size] = tokens, NONE
+        live[np.array(chain)[gone]] = False
+
+    @cached_property
+    def ranks_of(self) -> dict[int, int]:
+        return dict(zip(self.pairs.tolist(), self.merged.tolist(), strict=True))
+
 
 @cache
 def vocabulary(path: str) -> Vocabulary:
@@ -138,50 +185,77 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-class _Index(dict):
-    """Numbers words as they come."""
-
-    def __missing__(self, word: str) -> int:
-        self[word] = n = len(self)
-        return n
+def numbered_words(texts: list[str | None], pattern) -> tuple[list[np.ndarray], list[str]]:
+    """Of each text the numbers of its words, and the distinct words in the order of their numbers."""
+    index = Numbered()
+    return [np.fromiter(map(index.__getitem__, pattern.findall(t or "")), np.int32) for t in texts], list(index)
 
 
-def encode_block(texts: list[str | None], vocab: Vocabulary, pattern) -> list[np.ndarray]:
-    """ids of each text."""
-    index = _Index()
-    words = [np.fromiter(map(index.__getitem__, pattern.findall(t or "")), np.int64) for t in texts]
-    if not index:
-        return [np.zeros(0, np.uint32) for _ in texts]
-    ids, counts = vocab.replay([w.encode("utf-8") for w in index])
-    ids = ids.astype(np.uint32)
-    first = np.cumsum(counts) - counts
-    out = []
-    for w in words:
-        n = counts[w]
-        ends = np.cumsum(n)
-        at = np.arange(int(ends[-1]) if len(w) else 0) + np.repeat(first[w] - ends + n, n)
-        out.append(ids[at])
-    return out
+def spelled(words: np.ndarray, ids: np.ndarray, counts: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The ids of a text from the numbers of its words; word w has counts[w] ids from first[w] on."""
+    n = counts[words]
+    ends = np.cumsum(n)
+    return ids[np.arange(int(ends[-1]) if len(n) else 0) + np.repeat(first[words] - ends + n, n)]
 
 
-def encode(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, text: str = "text") -> DataFrame:
-    """`docs` with n_tokens and ids (little-endian unsigned 32-bit) of its texts."""
-    path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    added = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
-    schema = T.StructType([*(f for f in docs.schema.fields if f.name not in added.names), *added.fields])
-    kept = [f.name for f in schema.fields[:-2]]
+def numbered(docs: DataFrame, pattern: str, text: str) -> DataFrame:
+    """The other columns of `docs`, _block, _words (numbers, compressed) and, in the first row of each block, _list."""
+    kept = [f for f in docs.schema.fields if f.name != text]
+    schema = T.StructType([*kept, T.StructField("_block", T.LongType()), T.StructField("_words", T.BinaryType()), T.StructField("_list", T.ArrayType(T.StringType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, compiled = vocabulary(path), regex.compile(pattern)
-        for block in gathered(batches, text):
-            ids = encode_block(block.column(text).to_pylist(), vocab, compiled)
-            counts = pa.array([len(x) for x in ids], pa.int64())
-            out = pa.table([*(block.column(k) for k in kept), counts, pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())], [*kept, "n_tokens", "ids"])
-            yield from out.combine_chunks().to_batches(max_chunksize=4096)
+        compiled, to = regex.compile(pattern), zstandard.ZstdCompressor(level=1)
+        base = TaskContext.get().partitionId() << 32
+        for number, block in enumerate(gathered(batches, text)):
+            words, distinct = numbered_words(block.column(text).to_pylist(), compiled)
+            lists = pa.array([distinct, *[None] * (block.num_rows - 1)], pa.list_(pa.string()))
+            packed = pa.array([to.compress(w.tobytes()) for w in words], pa.binary())
+            out = pa.table([*(block.column(f.name) for f in kept), pa.array([base | number] * block.num_rows, pa.int64()), packed, lists], schema.names)
+            yield from out.combine_chunks().to_batches()
 
     return small_batches(docs).mapInArrow(run, schema)
 
 
+def dictionary(words: DataFrame, path: str) -> DataFrame:
+    """word, n, ids of each row of `words` (distinct word, n)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = vocabulary(path)
+        for batch in blocks(batches, "word", REPLAY_BYTES):
+            ids, counts = vocab.replay([w.encode("utf-8") for w in batch.column("word").to_pylist()])
+            raw, ends = ids.astype("<u4").tobytes(), np.append(0, 4 * np.cumsum(counts)).tolist()
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array([raw[a:b] for a, b in pairwise(ends)], pa.binary())], ["word", "n", "ids"])
+
+    return small_batches(words).mapInArrow(run, "word string, n long, ids binary")
+
+
+def encode(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, text: str = "text") -> DataFrame:
+    """The columns of `docs` but the text, n_tokens and ids (little-endian unsigned 32-bit) for each of its rows."""
+    path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
+    scratch = Scratch(docs.sparkSession)
+    others = [c for c in docs.columns if c not in (text, "n_tokens", "ids")]
+    row = [F.struct(*others).alias("_row")] if others else []
+    carried = ["_row"] if others else []
+    rows = scratch.write(numbered(docs.select(F.col(text).alias("text"), *row), pattern, "text"), "numbered")
+    lists = rows.where("_list is not null").select("_block", F.posexplode("_list").alias("place", "word"))
+    words = scratch.write(dictionary(lists.groupBy("word").agg(F.count(F.lit(1)).alias("n")), path), "dictionary")
+    found = split_join(lists, words, "word", "_block", lists.count()).select(F.col("_block").alias("_of"), "place", "ids")
+
+    def filled(block: pa.Table, own: pa.Table) -> pa.Table:
+        order = np.argsort(own.column("place").to_numpy())
+        parts = own.column("ids").take(pa.array(order)).to_pylist()
+        counts = np.array([len(p) // 4 for p in parts], np.int64)
+        first, ids = np.cumsum(counts) - counts, np.frombuffer(b"".join(parts), "<u4")
+        by = zstandard.ZstdDecompressor()
+        out = [spelled(np.frombuffer(by.decompress(w), np.int32), ids, counts, first) for w in block.column("_words").to_pylist()]
+        added = [pa.array([len(x) for x in out], pa.int64()), pa.array([x.tobytes() for x in out], pa.binary())]
+        return pa.table([*(block.column(c) for c in carried), *added], [*carried, "n_tokens", "ids"])
+
+    schema = T.StructType([*(f for f in rows.schema.fields if f.name == "_row"), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
+    coded = rows.drop("_list").groupBy("_block").cogroup(found.groupBy("_of")).applyInArrow(filled, schema)
+    return coded.select(*(F.col("_row")[c].alias(c) for c in others), "n_tokens", "ids")
+
+
 def gathered(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.Table]:
     """Tables of about BLOCK_BYTES of text."""
     held, size = [], 0
@@ -196,7 +270,7 @@ def gathered(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.Table]
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """`encoded` with decoded, the bytes of its ids; an id outside the vocabulary raises KeyError."""
+    """`encoded` with decoded (replaced if it is there), the bytes of its ids; an id outside the vocabulary raises KeyError."""
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
     encoded = encoded.drop("decoded")
     schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())])
@@ -212,6 +286,6 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return decode(encode(docs).drop("text")).select(
+    return decode(encode(docs)).select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )

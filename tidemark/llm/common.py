@@ -29,7 +29,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Numbered(dict):
-    """Numbers words as they come."""
+    """Numbers words as they come, after those it starts with."""
 
     def __missing__(self, word: str) -> int:
         self[word] = n = len(self)

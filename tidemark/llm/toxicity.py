@@ -1,14 +1,19 @@
 """Toxicity by multiple-instance learning: sentences are scored, a noisy-or makes them a document's score.
 
 Only documents have labels. A sentence's logit is a bias plus the weights of its words (hashed words and their first
-four to six letters, of which training keeps those that lean clearly to label 1); P(document) = 1 - product of (1 - P(sentence)). The likelihood of the document labels is climbed
-by Adam over a bounded sample of labelled rows (`TRAIN_DOCS`, those with the smallest hashes), so offending sentences
-are located without sentence labels. All documents are scored whole.
+four to six letters, of which training keeps those that lean clearly to label 1); P(document) = 1 - product of
+(1 - P(sentence)). The likelihood of the document labels is climbed by Adam over a bounded sample of labelled rows
+(`TRAIN_DOCS`, those with the smallest hashes), so offending sentences are located without sentence labels. All documents
+are scored whole.
+
+Executors read the texts that are trained on: they count in how many documents of each label a feature is, and then
+reduce every document to the features that lean to label 1, sentence by sentence. The driver gets these, not texts.
 
 Defined cases: null or empty text counts as one sentence without words; sentences end at . ! ? and line breaks; words
-are runs of letters in lower case; of several labels for one doc_id the largest counts, rows without one are not used;
-with no labels at all every weight is 0; repeated rows are each scored; an empty table gives an empty result; further
-columns are kept by `score`.
+are runs of letters in lower case; texts of any length are scored whole; of several labels for one doc_id the largest
+counts, rows without one are not used; of several texts for one doc_id the smallest is trained on, each is scored; with no
+labels at all every weight is 0; repeated rows are each scored; an empty table gives an empty result; `score` keeps
+further columns, but for those named score and offending, which it replaces.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, small_batches, table
+from .common import Numbered, Scratch, blocks, small_batches, table
 
 TRAIN_DOCS = 6000
 BUCKETS = 1 << 18
@@ -35,15 +40,6 @@ TOKEN = re.compile(r"[^\W\d_]+|[.!?\n]")
 ENDS = ".!?\n"
 
 
-class _Index(dict):
-    def __init__(self):
-        super().__init__({e: i for i, e in enumerate(ENDS)})
-
-    def __missing__(self, word: str) -> int:
-        self[word] = n = len(self)
-        return n
-
-
 def _buckets(words: list[str]) -> np.ndarray:
     """Four feature buckets of each word: itself and its first 4, 5 and 6 letters."""
     crc = zlib.crc32
@@ -52,7 +48,7 @@ def _buckets(words: list[str]) -> np.ndarray:
 
 def _laid_out(texts: list[str | None]):
     """Distinct words, then of every word in the block its number and sentence, and of every sentence its document."""
-    index = _Index()
+    index = Numbered({e: i for i, e in enumerate(ENDS)})
     ids = [np.fromiter(map(index.__getitem__, TOKEN.findall((t or "").lower())), np.int64) for t in texts]
     sizes = np.array([len(x) + 1 for x in ids], np.int64)
     flat = np.zeros(int(sizes.sum()), np.int64)  # an end mark stands behind every document
@@ -82,42 +78,71 @@ class Model:
         return -np.expm1(np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=n))
 
 
-def fit(texts: list[str | None], labels: np.ndarray, steps: int = STEPS, rate: float = RATE, penalty: float = PENALTY, least: int = LEAST_DOCS, least_z: float = LEAST_Z) -> Model:
-    """Maximum likelihood of document labels under the noisy-or."""
-    if not len(texts):
-        return Model(np.zeros(BUCKETS), -5.0)
+def counted(texts: list[str | None], toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features, and how many of the documents, and of those with label 1, have each."""
+    words, word, sentence, doc = _laid_out(texts)
+    features, of = _buckets(words), doc[sentence]
+    pairs = np.unique(of * np.int64(len(words) + 1) + word)
+    held = np.unique((pairs // (len(words) + 1))[:, None] * BUCKETS + features[pairs % (len(words) + 1)])
+    found, place = np.unique(held % BUCKETS, return_inverse=True)
+    return found, np.bincount(place), np.bincount(place, toxic[held // BUCKETS]).astype(np.int64)
+
+
+def leaning(count: np.ndarray, toxic: np.ndarray, rate: float, least: int = LEAST_DOCS, least_z: float = LEAST_Z) -> np.ndarray:
+    """Whether features have documents of label 1 well beyond the base rate."""
+    rate = np.clip(rate, 1e-6, 1 - 1e-6)
+    return (count >= least) & (toxic - count * rate >= least_z * np.sqrt(count * rate * (1 - rate)))
+
+
+def reduced(texts: list[str | None], used: np.ndarray) -> list[dict[tuple[int, ...], int]]:
+    """Of each document its sentences, as the used features they have (with repeats), and how many are alike."""
     words, word, sentence, doc = _laid_out(texts)
-    features = _buckets(words)
-    n, y = len(texts), labels.astype(np.float64)
-    count, toxic = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    of = doc[sentence]  # ascending, so documents can be taken in parts, which bounds what a step holds
-    for lo in range(0, n, 500):
-        part = slice(*np.searchsorted(of, [lo, lo + 500]))
-        pairs = np.unique(of[part] * np.int64(len(words) + 1) + word[part])
-        held = np.unique((pairs // (len(words) + 1))[:, None] * BUCKETS + features[pairs % (len(words) + 1)])
-        count += np.bincount(held % BUCKETS, minlength=BUCKETS)
-        toxic += np.bincount(held % BUCKETS, y[held // BUCKETS], minlength=BUCKETS)
-    del of
-    rate_1 = np.clip(y.mean(), 1e-6, 1 - 1e-6)
-    used = (count >= least) & (toxic - count * rate_1 >= least_z * np.sqrt(count * rate_1 * (1 - rate_1)))
-    w, b = np.zeros(BUCKETS), -5.0
-    m, v, mb, vb = np.zeros(BUCKETS), np.zeros(BUCKETS), 0.0, 0.0
+    place = np.full(BUCKETS, -1)
+    place[used] = np.arange(len(used))
+    of_word = place[_buckets(words)]
+    at, which = np.nonzero(of_word[word] >= 0)
+    at_sentence, feature = sentence[at], of_word[word[at], which]
+    out: list[dict[tuple[int, ...], int]] = [{} for _ in texts]
+    plain = np.bincount(doc, minlength=len(texts))
+    cuts = np.flatnonzero(np.diff(at_sentence, prepend=-1, append=len(doc)))
+    for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        d, key = int(doc[at_sentence[lo]]), tuple(sorted(feature[lo:hi].tolist()))
+        out[d][key] = out[d].get(key, 0) + 1
+        plain[d] -= 1
+    for d, n in enumerate(plain.tolist()):
+        if n:
+            out[d][()] = n
+    return out
+
+
+def fit(docs: list[dict[tuple[int, ...], int]], labels: np.ndarray, used: np.ndarray, steps: int = STEPS, rate: float = RATE, penalty: float = PENALTY) -> Model:
+    """Maximum likelihood of document labels under the noisy-or. docs: what `reduced` gives for the features `used`."""
+    if not docs:
+        return Model(np.zeros(BUCKETS), -5.0)
+    doc = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+    alike = np.array([n for d in docs for n in d.values()], np.float64)
+    keys = [k for d in docs for k in d]
+    sentence = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+    feature = np.array([f for k in keys for f in k], np.int64)
+    n, k, y = len(docs), len(used), labels.astype(np.float64)
+    w, b = np.zeros(k), -5.0
+    m, v, mb, vb = np.zeros(k), np.zeros(k), 0.0, 0.0
     for step in range(1, steps + 1):
-        value = w[features].sum(axis=1)
-        z = b + np.bincount(sentence, value[word] if len(word) else None, minlength=len(doc))
+        z = b + np.bincount(sentence, w[feature], minlength=len(keys))
         p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-        log_none = np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=n)
+        log_none = np.bincount(doc, alike * np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=n)
         whole = np.maximum(-np.expm1(log_none), 1e-9)
-        up = p * np.where(y == 1, np.exp(log_none) / whole, -1.0)[doc]
-        by_word = np.bincount(word, up[sentence], minlength=len(words))
-        g = np.bincount(features.ravel(), np.repeat(by_word, 4), minlength=BUCKETS) / n * used - penalty * w
+        up = alike * p * np.where(y == 1, np.exp(log_none) / whole, -1.0)[doc]
+        g = np.bincount(feature, up[sentence], minlength=k) / n - penalty * w
         gb = up.sum() / n
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         c1, c2 = 1 - 0.9**step, 1 - 0.999**step
         w += rate * (m / c1) / (np.sqrt(v / c2) + 1e-8)
         b += rate * (mb / c1) / (np.sqrt(vb / c2) + 1e-8)
-    return Model(w, b)
+    weights = np.zeros(BUCKETS)
+    weights[used] = w
+    return Model(weights, b)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -125,16 +150,41 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> Model:
-    """Fit on at most `limit` labelled documents that aren't held out; only their texts come to the driver."""
+    """Fit on at most `limit` labelled documents that aren't held out. What comes to the driver is bounded: a row for each
+    feature that leans to label 1 (of BUCKETS at most), and each document's sentences with such features, alike ones once."""
+    scratch = Scratch(docs.sparkSession)
     chosen = (
         labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy("doc_id")
-        .agg(F.max("toxic").alias("toxic"))
+        .agg(F.max("toxic").cast("int").alias("toxic"))
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(limit)
     )
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
-    return fit(rows["text"].tolist(), rows["toxic"].to_numpy())
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    texts = scratch.write(texts, "trained")
+    n, rate = texts.agg(F.count(F.lit(1)), F.avg("toxic")).first()
+    column = lambda block, name: block.column(block.schema.get_field_index(name))
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, "text", BLOCK_BYTES):
+            found = counted(column(block, "text").to_pylist(), column(block, "toxic").to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["feature", "n", "toxic"])
+
+    held = small_batches(texts).mapInArrow(counts, "feature long, n long, toxic long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
+    held = held.where(F.col("n") >= LEAST_DOCS).toPandas().sort_values("feature") if n else None
+    used = held["feature"].to_numpy()[leaning(held["n"].to_numpy(), held["toxic"].to_numpy(), rate)] if n else np.zeros(0, np.int64)
+
+    def sentences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, "text", BLOCK_BYTES):
+            found = reduced(column(block, "text").to_pylist(), used)
+            lists = [pa.array([list(map(list, d)) for d in found], pa.list_(pa.list_(pa.int32()))), pa.array([list(d.values()) for d in found], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([column(block, "doc_id"), column(block, "toxic"), *lists], ["doc_id", "toxic", "features", "alike"])
+
+    rows = small_batches(texts.select(F.col("doc_id").cast("long"), "toxic", "text")).mapInArrow(sentences, "doc_id long, toxic int, features array<array<int>>, alike array<long>")
+    rows = sorted(rows.collect(), key=lambda r: r.doc_id)
+    scratch.drop("trained")
+    docs_ = [dict(sorted((tuple(f), a) for f, a in zip(r.features, r.alike, strict=True))) for r in rows]
+    return fit(docs_, np.array([r.toxic for r in rows]), used)
 
 
 def offending(text: str, p: np.ndarray, threshold: float) -> list[dict]:

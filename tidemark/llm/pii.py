@@ -1,14 +1,15 @@
 """Personal data: plain patterns for four kinds, and a linear-chain CRF over word shapes that adds what they miss.
 
 Tokens are runs without white space. A token's emission is the sum of weights for its own shape, digit count and cue
-word and for the shapes beside it; labels are O and begin or inside of each kind. The weights are trained on LABELLED
-by Adam on the forward-backward gradient. Viterbi runs in numpy over all open stretches of a block at once: a token
+word and for the shapes beside it; labels are O and begin or inside of each kind. The weights are trained on the small
+table of `labelled_lines` by Adam on the forward-backward gradient. Viterbi runs in numpy over all open stretches of a
+block at once: a token
 whose O beats every label by more than its neighbours and transitions could ever add is O for certain, which cuts the
 chain there without changing the best path.
 
 Defined cases: null text is empty and has no spans; texts of any length are read whole; offsets count code points, ends
-are exclusive; spans of the CRF that overlap a plain one are dropped; a table without rows gives an empty result;
-further columns are kept by `find`.
+are exclusive; spans of the CRF that overlap a plain one are dropped; repeated rows are each read; a table without rows gives an empty
+result; `find` keeps further columns, but for those named like what it adds, which it replaces.
 """
 
 from __future__ import annotations
@@ -22,42 +23,45 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import blocks, small_batches, table
+from .common import Numbered, blocks, small_batches, table
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 BLOCK_BYTES = 2 << 20
 STEPS, RATE, PENALTY = 250, 0.1, 2e-3
 
-# Training table: text in which [kind:...] marks personal data.
-LABELLED = (
-    "please write to [email:anna dot smith at example dot org] before noon",
-    "reach me under [email:j.doe(at)example.com] or not at all",
-    "mail [email:info[at]example.net] for the list",
-    "her address is [email:bob_77 (at) example.com] since june",
-    "contact: [email:team at example dot net] thanks",
-    "send it to [email:x.y@example.com] and wait",
-    "the host at [ip:10.20.30.40] did not answer",
-    "ping [ip:192.168.0.1] twice",
-    "from [ip:8.8.4.4] to [ip:172.16.5.9] in two hops",
-    "call [phone:(030) 555-0199] after six",
-    "tel: [phone:555-123-4567] or ask at the door",
-    "phone [phone:(415) 555-2671] now",
-    "fax [phone:020 7946 0958] is out of order",
-    "my number is [phone:+1 (212) 555-0123] at home",
-    "ring [phone:+44 20 7946 0991] once",
-    "reach us: [phone:800-555-0175] day and night",
-    "card [card:4111 1111 1111 1111] was refused",
-    "pay with [card:5500-0000-0000-0004] today",
-    "number [card:4012888888881881] on file",
-    "visa [card:4222 2222 2222 2220] expired",
+# Training table: lines in which [kind:...] marks personal data. Fixed values; the lines with a {} take the forms below in turn.
+NAMES = ("anna", "j.doe", "bob77", "maria_lopez", "k.w-2", "Jane.Roe", "info", "h")
+HOSTS = ("example.org", "mail.example.com", "firm-a.de", "uni.example.edu", "example.co.uk")
+EMAIL_FORMS = (
+    "{n}(at){h}", "{n}[at]{h}", "{n} (at) {h}", "{n} [at] {h}", "{n} at {w}", "{n}@{h}", "{n} @ {h}", "{n} AT {w}", "{n}(at){d}", "{n} [at] {d}",
+)
+PHONE_FORMS = (
+    "(030) 555-0199", "555-123-4567", "(415) 555-2671", "020 7946 0958", "+1 (212) 555-0123", "+44 20 7946 0991", "800-555-0175", "0171/5550142",
+    "030 5550199", "1-800-555-0100", "555.123.4567", "+49 (0)30 555 0177", "(0)30 555 0134", "0171 555 01 42",
+)
+IP_FORMS = ("10.20.30.40", "192.168.0.1", "10[.]0[.]0[.]7", "172.16.5[.]9", "8.8.4.4", "203.0.113.200")
+CARD_FORMS = ("4111 1111 1111 1111", "5500-0000-0000-0004", "4012888888881881", "4222.2222.2222.2220", "3400 000000 00009", "6011/0000/0000/0004")
+CARRIERS = {
+    "email": (
+        "please write to {} before noon", "reach me under {} or not at all", "mail {} for the list", "her address is {} since june", "contact: {} thanks",
+        "send it to {}, and wait", "questions go to {}.", "{} answers within a day", "we gave {} to the office at the gate",
+    ),
+    "phone": (
+        "call {} after six", "tel: {} or ask at the door", "phone {} now", "fax {} is out of order", "my number is {} at home", "ring {} once",
+        "reach us: {} day and night", "you can call me on {}, please",
+    ),
+    "ip": ("the host at {} did not answer", "ping {} twice", "from ip {} in two hops", "login from {} failed", "the router has {} for years"),
+    "card": ("card {} was refused", "pay with card {} today", "number {} on file", "visa {} expired", "he gave his card, {}, at the desk"),
+}
+PLAIN = (
     "the river rose and the town slept under the hill",
     "in 1998 and again in 2003 the price was 12.50 or 3,400 in all",
     "version 2.4.1 of 2021-03-04 fixes 17 faults, see page 212",
     "at the end of the day, the dot at the top of the page is red",
     "meet at noon at the gate, and at six at the port",
     "order 555 came on 12-10-2020 at 10:45 for room 1204",
-    "token = \"1beb58b8af68854f0e01\" and password=b7db7aa4a5fcc783 are secrets",
+    "key = \"a81f\" and password=7d20e14bb9 and token 0f3e99ab12c4d5 are secrets",
     "chapter 3.2.1.4 of part 12 says 1,000,000 of 7,500,000",
     "a b c d e f g h i j k l m n o p q r s t u v w x y z",
     "der fluss stieg, und die stadt schlief. la ville dort; el pueblo duerme!",
@@ -68,14 +72,45 @@ LABELLED = (
     "isbn 978-3-16-148410-0 and 12 eggs for 99 cents",
     "id 20210304123456789012 and hash 9f86d081884c7d659a2feaa0c55ad015",
     "the the the of of and and in in it was is on for with that are as at be by",
-    "Thre*** anor*** inger### of%%% are&&& ererror$$$ then$$$ in.### end,*** a%%% with&&& he.%%% is*** to###",
-    "of%%% the&&& red*** at.$$$ on### it,%%% (was) [are] {for} <that> \"with\" 'as' *be* _by_ at&&& dot### at*** dot$$$",
-    "end.start of.the fin,lbgf foo.bar one.two.three what?yes no!no a.b.c. etc., i.e. u.s.a. e.g. x.y",
+    "end.start of.the foo.bar one.two.three what?yes no!no a.b.c. etc., i.e. u.s.a. e.g. x.y",
     "sections 3.2.1 and 3.2.1.4 and 4.10.2.1 of the code, lines 12 to 40, table 7.3",
     "gr\u00fc\u00dfe \u00e9t\u00e9 ni\u00f1o l'eau d'or c'est self-made well-known e-mail x-ray",
     "Anfang Ende Stadt Haus, Baum; Weg: Tal! Berg? Wald.",
+    "call it a day at the port, reach the dot on the card, phone or mail or ring at will",
+    "she put the number 12 on the card and the card at the host",
+    "at at at at at at at at",
+    "dot dot at at dot dot dot at dot",
+    "He sat at at noon. At. At At At At the the at at the port",
+    "record 7301945528163347 and record 5520918374650021 of the ledger",
+    "batch 6630193847561029 9910283746550112 was read",
 )
 
+
+def labelled_lines(turn: int = 0) -> list[str]:
+    """Every form of every kind once for each of two lines that carry it, plain lines, and words with marks about them.
+
+    Another `turn` pairs the forms with other names, hosts and lines.
+    """
+    lines = []
+    forms = {"email": EMAIL_FORMS * 2, "phone": PHONE_FORMS, "ip": IP_FORMS, "card": CARD_FORMS}
+    for kind, carriers in CARRIERS.items():
+        for i, form in enumerate(forms[kind] * 2):
+            host = HOSTS[(i + 2 * turn) % len(HOSTS)]
+            value = form.format(n=NAMES[(i + 3 * turn) % len(NAMES)], h=host, w=host.replace(".", " dot "), d=host.replace(".", "(dot)")) if kind == "email" else form
+            lines.append(carriers[(i + i // len(forms[kind]) + turn) % len(carriers)].replace("{}", f"[{kind}:{value}]"))
+    for i, mark in enumerate("*#%&$~_+=|<>()[]{}^@"):
+        a, b, c = "of the end at dot red it with Town are then stone".split()[i % 4 :: 4][:3]
+        lines.append(f"{a}{mark} {mark}{b} {c}{3 * mark} {a}.{mark} {mark}{b}{mark}, {3 * mark}{c} {a}{mark}{b}")
+    for i, mark in enumerate(".,;:!?\"'"):
+        words = "and at the of dot in at call it is at red dot the".split()[i % 5 :]
+        lines.append(" ".join(w + mark * (1 + (i + j) % 2) for j, w in enumerate(words)))
+        lines.append(" ".join(w.upper() + 2 * mark for w in words[1:]))
+    for i in range(8):
+        digest = hashlib.sha1(str(i + 100 * turn).encode()).hexdigest()[: 12 + 4 * i]
+        lines.append(("the key = \"{}\" was set", "token={} and more", "hash {} of the file", "commit {}, then merge")[i % 4].replace("{}", digest))
+    return [*lines, *PLAIN]
+
+
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
@@ -127,17 +162,23 @@ CUES = {"call", "tel", "phone", "fax", "ring", "mail", "email", "contact", "card
 _TRIM = ".,;:!?\"'"
 
 
+class _Signs(dict):
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        self[code] = sign = "x" if c.isalpha() else "9" if c.isdecimal() else c if c in "@.+-()[]:/,='" else "#"
+        return sign
+
+
+_SIGNS, _RUN = _Signs(), re.compile(r"(.)\1+", re.DOTALL)
+_AT, _DOT = re.compile(r"[(\[{<]at[)\]}>]"), re.compile(r"[(\[{<](?:dot|\.)[)\]}>]")
+
+
 def shape(token: str) -> str:
-    """Letters as x and digits as 9, runs as one, without marks at the ends; a word of letters alone is x."""
+    """Letters as x and digits as 9, runs as one, without marks at the ends, of the whole token; letters alone are x."""
     core = token.strip(_TRIM)
     if core.isalpha():
         return "x"
-    out = []
-    for c in core[:40]:
-        c = "x" if c.isalpha() else "9" if c.isdecimal() else c if c in "@.+-()[]:/,='" else "#"
-        if not out or out[-1] != c:
-            out.append(c)
-    return "".join(out)[:16]
+    return _RUN.sub(r"\1", core.translate(_SIGNS))
 
 
 def _digits(token: str) -> str:
@@ -149,7 +190,7 @@ def token_features(token: str) -> tuple[list[str], str]:
     """Its own features, and what its neighbours see of it."""
     s, low = shape(token), token.strip(_TRIM).lower()
     seen = low if low in CUES else s if len(s) < 6 else "long"
-    return ["bias", f"s={s}", f"n={_digits(token)}", f"w={seen}", f"@={'@' in token}", f"mark={token[-1:] in _TRIM and token != ''}"], seen
+    return ["bias", f"s={s}", f"n={_digits(token)}", f"w={seen}", f"@={'@' in token}", f"at={bool(_AT.search(low))}", f"dot={bool(_DOT.search(low))}", f"mix={'x' in s and '9' in s}", f"mark={token[-1:] in _TRIM and token != ''}"], seen
 
 
 class Model:
@@ -175,7 +216,7 @@ class Model:
 def _parsed(line: str) -> tuple[list[str], list[int]]:
     """Tokens and tags of a labelled line."""
     text, spans, at = "", [], 0
-    for m in re.finditer(r"\[(email|ip|card|phone):((?:\[at\]|[^\]])*)\]", line):
+    for m in re.finditer(r"\[(email|ip|card|phone):((?:\[at\]|\[\.\]|[^\]])*)\]", line):
         text += line[at : m.start()]
         spans.append((KINDS.index(m[1]), len(text), len(text) + len(m[2])))
         text += m[2]
@@ -189,9 +230,9 @@ def _parsed(line: str) -> tuple[list[str], list[int]]:
     return tokens, tags
 
 
-def train(lines: tuple[str, ...] = LABELLED, steps: int = STEPS, rate: float = RATE, penalty: float = PENALTY) -> Model:
+def train(lines: list[str] | None = None, steps: int = STEPS, rate: float = RATE, penalty: float = PENALTY) -> Model:
     """Penalised maximum likelihood over all lines together."""
-    parsed = [_parsed(line) for line in lines]
+    parsed = [_parsed(line) for line in lines or labelled_lines()]
     features: dict[str, int] = {}
     seen: dict[str, int] = {}
     for tokens, _ in parsed:
@@ -275,12 +316,6 @@ def viterbi(e: np.ndarray, starts: np.ndarray, sizes: np.ndarray, moves: np.ndar
     return tags
 
 
-class _Index(dict):
-    def __missing__(self, word: str) -> int:
-        self[word] = n = len(self)
-        return n
-
-
 class Tagger:
     """Tags blocks of texts. What distinct tokens emit is kept while the block lasts."""
 
@@ -293,7 +328,7 @@ class Tagger:
 
     def tags(self, texts: list[str]) -> list[np.ndarray | None]:
         """Tags of every token of each text, None where all are O."""
-        index = _Index()
+        index = Numbered()
         ids = [np.fromiter(map(index.__getitem__, t.split()), np.int64) for t in texts]
         sizes = np.array([len(x) for x in ids], np.int64)
         out: list[np.ndarray | None] = [None] * len(texts)

@@ -3,16 +3,22 @@
 Archives are rows with a binary `content` of bounded size, so any store that Spark reads or writes will do;
 `spark.read.format("binaryFile")` gives such rows for .warc.zst files as well.
 
+The reader takes archives of other writers too: the dictionary frame may itself be compressed or be absent, skippable
+frames may stand between records, and records of other types (warcinfo, request, metadata, resource, conversion) pass
+with their block as payload, whose length and, if it is given, digest are checked.
+
 Defined cases: null html is an empty payload; a null page_id is kept and counts as smaller than any other; rows that
 repeat the largest page_id of equal payloads are all responses; a null url is written as `urn:none`; bytes of a url
-outside printable ASCII are percent-encoded; an empty table gives no archives and no records; further columns are
-ignored. A damaged archive raises ValueError with the archive's name and the record's offset.
+outside printable ASCII are percent-encoded; payloads of any length are written whole, each in one frame; an empty table
+gives no archives and no records; further columns are ignored. A damaged archive raises ValueError with the archive's
+name and the record's offset. Records without a page (of other writers) have a null page_id.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 from urllib.parse import quote
 
@@ -21,12 +27,13 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, encoded, small_batches, table
+from .common import Scratch, encoded, small_batches, split_join, table
 
 SKIPPABLE = b"\x5d\x2a\x4d\x18"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ARCHIVE_BYTES = 4 << 20
 DICT_BYTES, SAMPLES, SAMPLE_BYTES = 16 << 10, 256, 4 << 10
+ZSTD = b"\x28\xb5\x2f\xfd"
 REQUIRED = ("warc-type", "warc-record-id", "warc-date", "content-length")
 
 ARCHIVES = "archive string, n_records int, content binary"
@@ -43,20 +50,22 @@ _FIELDS = pa.schema(
 def classified(pages: DataFrame, revisit_from: int = 1000) -> DataFrame:
     """page_id, url, html, digest (SHA-1), n (bytes) and response_id: for a revisit, the page that has the response.
 
-    The largest page_id of equal payloads is found by a pre-aggregated sum-up of slim rows and joined back.
+    The largest page_id of equal payloads is found by a pre-aggregated sum-up of slim rows and joined back: the payloads
+    themselves move only if repeats are too many to broadcast, and then the copies of one page are dealt over many tasks.
+    A revisit's html is null, as its record has no payload.
     """
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    hashed = pages.select("page_id", "url", "html", F.sha1(payload).alias("digest"), F.octet_length(payload).alias("n"))
+    hashed = pages.select("page_id", "url", "html", F.sha1(payload).alias("digest"), F.octet_length(payload).alias("bytes"))
+    slim = pages.select("page_id", F.sha1(payload).alias("digest"), F.octet_length(payload).alias("bytes"))
     repeated = (
-        hashed.where(F.col("n") >= revisit_from)
-        .groupBy("digest", "n")
-        .agg(F.max("page_id").alias("largest"), F.count(F.lit(1)).alias("copies"))
-        .where("copies > 1 and largest is not null")
-        .drop("copies")
+        slim.where(F.col("bytes") >= revisit_from)
+        .groupBy("digest")
+        .agg(F.max("page_id").alias("largest"), F.count(F.lit(1)).alias("n"))
+        .where("n > 1 and largest is not null")
     )
     older = ~F.col("page_id").eqNullSafe(F.col("largest")) & F.col("largest").isNotNull()
-    return hashed.join(repeated, ["digest", "n"], "left").select(
-        "page_id", "url", "html", "digest", "n", F.when(older, F.col("largest")).alias("response_id")
+    return split_join(hashed, repeated, "digest", "page_id", pages.count(), "left").select(
+        "page_id", "url", F.when(~older, F.col("html")).alias("html"), "digest", F.col("bytes").alias("n"), F.when(older, F.col("largest")).alias("response_id")
     )
 
 
@@ -64,9 +73,9 @@ def _record_id(page_id) -> str:
     return f"<urn:page:{'null' if page_id is None else page_id}>"
 
 
-def _page_of(record_id: str) -> int | None:
-    page = record_id.removeprefix("<urn:page:").removesuffix(">")
-    return None if page == "null" else int(page)
+def _page_of(record_id: str | None) -> int | None:
+    page = re.fullmatch(r"<urn:page:(-?[0-9]+)>", record_id or "")
+    return int(page[1]) if page else None
 
 
 def record_bytes(page_id, url, payload: bytes, digest: str, n: int, response_id, date: str) -> bytes:
@@ -108,18 +117,38 @@ def pack(records: list[bytes]) -> bytes:
     return b"".join([SKIPPABLE, len(raw).to_bytes(4, "little"), raw, *map(to.compress, records)])
 
 
-def frames(content: bytes, name: str = "") -> Iterator[tuple[int, bytes]]:
-    """Offset and content of every frame after the dictionary."""
-    if content[:4] != SKIPPABLE or len(content) < 8:
-        raise ValueError(f"{name}: no dictionary frame")
-    end = 8 + int.from_bytes(content[4:8], "little")
-    if end > len(content):
-        raise ValueError(f"{name}: dictionary frame is cut off")
-    raw = content[8:end]
+def _dictionary(raw: bytes) -> zstandard.ZstdCompressionDict:
+    """The dictionary that a leading frame holds, which may be compressed."""
+    if raw[:4] == ZSTD:
+        raw = zstandard.ZstdDecompressor().decompressobj().decompress(raw)
     kind = zstandard.DICT_TYPE_FULLDICT if raw[:4] == b"\x37\xa4\x30\xec" else zstandard.DICT_TYPE_RAWCONTENT
-    opener = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw, dict_type=kind))
-    at = end
+    return zstandard.ZstdCompressionDict(raw, dict_type=kind)
+
+
+def _skipped(content: bytes, at: int, name: str) -> int:
+    """Where the skippable frame at `at` ends."""
+    end = at + 8 + int.from_bytes(content[at + 4 : at + 8], "little")
+    if len(content) < at + 8 or end > len(content):
+        raise ValueError(f"{name}: skippable frame at {at} is cut off")
+    return end
+
+
+def frames(content: bytes, name: str = "") -> Iterator[tuple[int, bytes]]:
+    """Offset and content of every frame of a record. A leading skippable frame is the dictionary; without one there is none."""
+    at, opener = 0, zstandard.ZstdDecompressor()
+    if content[:4] == SKIPPABLE:
+        at = _skipped(content, 0, name)
+        if at > 8:
+            try:
+                opener = zstandard.ZstdDecompressor(dict_data=_dictionary(content[8:at]))
+            except zstandard.ZstdError as e:
+                raise ValueError(f"{name}: dictionary frame: {e}") from e
+    elif content and content[:4] != ZSTD:
+        raise ValueError(f"{name}: neither a dictionary nor a record at the start")
     while at < len(content):
+        if content[at + 1 : at + 4] == SKIPPABLE[1:] and content[at] >> 4 == 5:
+            at = _skipped(content, at, name)
+            continue
         one, parts, fed = opener.decompressobj(), [], at
         try:
             while not one.eof and fed < len(content):
@@ -152,23 +181,34 @@ def parse_record(raw: bytes) -> dict:
     return fields | {"block": rest[:-4]}
 
 
+def _digest(fields: dict) -> str | None:
+    """Hex SHA-1 that a record states for its payload, in base 32 or hex; None for none or for another algorithm."""
+    algorithm, _, value = fields.get("warc-payload-digest", "").partition(":")
+    if algorithm.lower() != "sha1":
+        return None
+    return value.lower() if len(value) == 40 else base64.b32decode(value).hex()
+
+
 def _checked(fields: dict) -> tuple:
     """page_id, record_type, target_uri, payload_bytes, digest, refers_to, payload of a parsed record."""
-    kind = fields["warc-type"]
-    digest = base64.b32decode(fields["warc-payload-digest"].removeprefix("sha1:")).hex()
-    http, mark, payload = fields["block"].partition(b"\r\n\r\n")
-    if not mark:
-        raise ValueError("no HTTP header")
+    kind, uri, page = fields["warc-type"], fields.get("warc-target-uri"), _page_of(fields["warc-record-id"])
+    digest, payload, http = _digest(fields), fields["block"], None
+    if fields.get("content-type", "").startswith("application/http"):
+        http, mark, payload = payload.partition(b"\r\n\r\n")
+        if not mark:
+            raise ValueError("no HTTP header")
     if kind == "revisit":
         if payload:
             raise ValueError("a revisit with a payload")
-        return _page_of(fields["warc-record-id"]), kind, fields["warc-target-uri"], int(fields["x-full-payload-length"]), digest, _page_of(fields["warc-refers-to"]), None
-    if kind != "response":
-        raise ValueError(f"record type {kind!r}")
-    length = next((int(x.split(b":")[1]) for x in http.split(b"\r\n")[1:] if x.lower().startswith(b"content-length:")), None)
-    if length != len(payload) or hashlib.sha1(payload).hexdigest() != digest:
+        whole = fields.get("x-full-payload-length")
+        return page, kind, uri, None if whole is None else int(whole), digest, _page_of(fields.get("warc-refers-to")), None
+    lines = http.split(b"\r\n")[1:] if http is not None and kind == "response" else []
+    plain = not any(x.lower().startswith((b"transfer-encoding:", b"content-encoding:")) for x in lines)
+    length = next((int(x.split(b":")[1]) for x in lines if x.lower().startswith(b"content-length:")), len(payload))
+    sha1 = hashlib.sha1(payload).hexdigest()
+    if plain and (length != len(payload) or digest not in (None, sha1)):
         raise ValueError("the payload doesn't have the length or digest of its headers")
-    return _page_of(fields["warc-record-id"]), kind, fields["warc-target-uri"], len(payload), digest, None, payload
+    return page, kind, uri, len(payload), digest or sha1, None, payload
 
 
 def write_archives(records: DataFrame, archive_bytes: int = ARCHIVE_BYTES, date: str = "1970-01-01T00:00:00Z") -> DataFrame:

@@ -11,13 +11,12 @@ that are still tied), and the common prefixes of neighbours by Kasai's walk, in
 common are one string; the smallest document of each is merged across shards by binary search.
 
 Defined cases: null text is empty; texts under 50 bytes lose nothing; documents with the same doc_id don't count as
-smaller than each other; a null doc_id comes after all others; an empty table gives an empty result; texts of any length
+smaller than each other; repeated rows lose the same bytes; a null doc_id comes after all others; an empty table gives an empty result; texts of any length
 are read whole; further columns don't matter.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -28,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, blocks, encoded, small_batches, table
+from .common import GOLDEN, Scratch, blocks, encoded, mix, small_batches, table
 
 LENGTH = 50
 GRAM = 8
@@ -37,15 +36,8 @@ SIDE = (LENGTH - GRAM + 1) // 2  # bytes beside the minimizer that a string has
 CHUNK_BYTES = 2 << 20
 BUCKET_BYTES = 16 << 20  # of pieces, about four bytes for each byte of text
 SHARD_BYTES = 2 << 20
+KEYS = ("key_1", "key_2")
 LAST = np.iinfo(np.int64).max
-GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
 
 def _words(buf: np.ndarray, order: str = "<") -> np.ndarray:
     """The 8 bytes from every position on as a number; buf has 8 spare bytes at its end."""
@@ -70,7 +62,7 @@ def pieces(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     if not len(starts):
         return buf, none, none, none, none
     w = _words(buf)[: total + 16]
-    least = (_mix(w[: total + 8].astype(np.uint64) * GOLDEN) & np.uint64(0xFFFFFFFF00000000)) | np.arange(total + 8, dtype=np.uint64)
+    least = (mix(w[: total + 8].astype(np.uint64) * GOLDEN) & np.uint64(0xFFFFFFFF00000000)) | np.arange(total + 8, dtype=np.uint64)
     size = 1
     while 2 * size <= WINDOW:
         least = np.minimum(least[:-size], least[size:])
@@ -93,8 +85,8 @@ def _distinct(buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarra
         x = w[start[live] + lo].astype(np.uint64)
         spare = np.maximum(8 - (size[live] - lo), 0).astype(np.uint64)
         x = (x << (spare * np.uint64(8))) & np.uint64(2**64 - 1)
-        acc[live] = _mix(acc[live] * GOLDEN + x + np.uint64(lo + 1))
-    acc = _mix(acc + size.astype(np.uint64))
+        acc[live] = mix(acc[live] * GOLDEN + x + np.uint64(lo + 1))
+    acc = mix(acc + size.astype(np.uint64))
     order = np.argsort(acc, kind="stable")
     fresh = np.concatenate(([True], acc[order][1:] != acc[order][:-1]))
     lead = np.empty(n, np.int64)
@@ -135,14 +127,17 @@ def _full(n: np.ndarray) -> np.ndarray:
 
 
 def routed(docs: DataFrame, buckets: int) -> DataFrame:
-    """Packed pieces: bucket, chunk, block. docs: row_key, doc_id (no nulls), text."""
+    """Packed pieces: bucket, chunk, block. docs: key_1, key_2, doc_id (no nulls), text.
+
+    Pieces name a row by its number in the chunk; one more block of each chunk has the keys of its rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in blocks(batches, "text", CHUNK_BYTES):
             raws = [encoded(t) for t in part.column("text").to_pylist()]
-            ids, keys = part.column("doc_id").to_numpy(), part.column("row_key").to_numpy()
-            order = np.argsort(ids, kind="stable")
-            raws, ids, keys = [raws[i] for i in order.tolist()], ids[order], keys[order]
+            ids, keys = part.column("doc_id").to_numpy(), np.stack([part.column(k).to_numpy() for k in KEYS])
+            order = np.lexsort((*keys, ids))
+            raws, ids, keys = [raws[i] for i in order.tolist()], ids[order], keys[:, order]
             sizes = np.array([len(r) for r in raws], np.int64)
             buf, doc, start, n, at = pieces(raws)
             if not len(doc):
@@ -150,12 +145,12 @@ def routed(docs: DataFrame, buckets: int) -> DataFrame:
             base = np.cumsum(sizes) - sizes
             lead = _distinct(buf, start, n + LENGTH - 1)
             w = _words(buf)
-            bucket = (_mix(w[at].astype(np.uint64) * GOLDEN) % np.uint64(buckets)).astype(np.int64)
+            bucket = (mix(w[at].astype(np.uint64) * GOLDEN) % np.uint64(buckets)).astype(np.int64)
             local = ids[doc] > ids[doc[lead]]
-            chunk = int.from_bytes(hashlib.blake2b(keys.tobytes(), digest_size=7).digest(), "little")
+            chunk = hashlib.blake2b(keys.tobytes(), digest_size=16).digest()
             by = np.argsort(bucket, kind="stable")
             cuts = np.flatnonzero(np.diff(bucket[by], prepend=-1, append=buckets))
-            rows = []
+            rows = [(int.from_bytes(chunk[:7], "little") % buckets, chunk, _packed(keys=keys.ravel().view(np.uint64)))]
             for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 own = by[lo:hi]
                 done, own = own[local[own]], own[~local[own]]
@@ -164,13 +159,13 @@ def routed(docs: DataFrame, buckets: int) -> DataFrame:
                 rows.append((int(bucket[by[lo]]), chunk, _packed(
                     n=n[sent].astype(np.uint8), off=(at[sent] - start[sent]).astype(np.uint8), doc=ids[doc[sent]],
                     bytes=buf[_spread(start[sent], n[sent] + LENGTH - 1)],
-                    o_piece=number.astype(np.int64), o_key=keys[doc[own]], o_at=start[own] - base[doc[own]],
-                    l_key=keys[doc[done]], l_at=start[done] - base[doc[done]], l_n=n[done].astype(np.uint8),
+                    o_piece=number.astype(np.int64), o_row=doc[own], o_at=start[own] - base[doc[own]],
+                    l_row=doc[done], l_at=start[done] - base[doc[done]], l_n=n[done].astype(np.uint8),
                 )))
             b, c, d = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.binary())], ["bucket", "chunk", "block"])
+            yield pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(c, pa.binary()), pa.array(d, pa.binary())], ["bucket", "chunk", "block"])
 
-    return small_batches(docs).mapInArrow(run, "bucket long, chunk long, block binary")
+    return small_batches(docs).mapInArrow(run, "bucket long, chunk binary, block binary")
 
 
 def suffix_array(buf: np.ndarray, left: np.ndarray) -> np.ndarray:
@@ -271,7 +266,7 @@ def _side_hash(gram: np.ndarray, w: np.ndarray, first: np.ndarray, last: np.ndar
     """Of the minimizer and the SIDE bytes from `first` on, whose last eight are at `last`."""
     h = gram
     for at in (first, first + 8, last):  # SIDE is 16 to 24
-        h = _mix(h * GOLDEN + w[at].astype(np.uint64))
+        h = mix(h * GOLDEN + w[at].astype(np.uint64))
     return h
 
 
@@ -310,7 +305,7 @@ def _distinct_masks(ctx: np.ndarray, n: np.ndarray, off: np.ndarray, doc: np.nda
     first = np.cumsum(sizes) - sizes
     w = _words(np.append(ctx, np.zeros(32, np.uint8)))
     at, end = first + off, first + sizes
-    gram = _mix(w[at].astype(np.uint64) * GOLDEN)
+    gram = mix(w[at].astype(np.uint64) * GOLDEN)
     # A string has SIDE more bytes on one side of its minimizer: pieces that share those with no other document are out.
     left, right = np.flatnonzero(off >= SIDE), np.flatnonzero(end - at >= GRAM + SIDE)
     near = np.zeros(len(n), bool)
@@ -345,55 +340,68 @@ def _distinct_masks(ctx: np.ndarray, n: np.ndarray, off: np.ndarray, doc: np.nda
 
 
 def judged(bucket: pd.DataFrame) -> pd.DataFrame:
-    """Per chunk the masks of its pieces that have any, those that the chunk itself found included."""
-    blocks_ = [_unpacked(b) for b in bucket["block"]]
+    """Per chunk the masks of its pieces that have any, those that the chunk itself found included; blocks of keys as they are."""
+    chunks, blocks_, out = [], [], []
+    for chunk, raw in zip(bucket["chunk"], bucket["block"], strict=True):
+        block = _unpacked(raw)
+        if "keys" in block:
+            out.append((chunk, raw))
+        else:
+            chunks.append(chunk)
+            blocks_.append(block)
     counts = [len(b["n"]) for b in blocks_]
     join = lambda k: np.concatenate([b[k] for b in blocks_])
     masks = repeated_masks(join("bytes"), join("n"), join("off").astype(np.int64), join("doc")) if sum(counts) else np.zeros(0, np.uint64)
-    out, at = [], 0
-    for chunk, b, n in zip(bucket["chunk"], blocks_, counts, strict=True):
+    at = 0
+    for chunk, b, n in zip(chunks, blocks_, counts, strict=True):
         own = masks[at : at + n][b["o_piece"]]
         at += n
         some = own > 0
-        key, pos, mask = np.concatenate((b["o_key"][some], b["l_key"])), np.concatenate((b["o_at"][some], b["l_at"])), np.concatenate((own[some], _full(b["l_n"])))
-        if len(key):
-            out.append((chunk, _packed(key=key, at=pos, mask=mask)))
+        row, pos, mask = np.concatenate((b["o_row"][some], b["l_row"])), np.concatenate((b["o_at"][some], b["l_at"])), np.concatenate((own[some], _full(b["l_n"])))
+        if len(row):
+            out.append((chunk, _packed(row=row, at=pos, mask=mask)))
     return pd.DataFrame(out, columns=["chunk", "block"])
 
 
 def intervals(chunk: pd.DataFrame) -> pd.DataFrame:
-    """row_key and the removed byte ranges (start, end) of its text, in order, as 64-bit integers."""
+    """Keys and removed byte ranges (start, end), in order, as 64-bit integers, of the rows of a chunk that lose bytes."""
     found = [_unpacked(b) for b in chunk["block"]]
-    key, at, mask = (np.concatenate([b[k] for b in found]) for k in ("key", "at", "mask"))
+    keys = next(b["keys"] for b in found if "keys" in b).view(np.int64).reshape(2, -1)
+    found = [b for b in found if "keys" not in b]
+    if not found:
+        return pd.DataFrame({"key_1": pd.Series(dtype="int64"), "key_2": pd.Series(dtype="int64"), "spans": pd.Series(dtype=object)})
+    row, at, mask = (np.concatenate([b[k] for b in found]) for k in ("row", "at", "mask"))
     bits = (mask[:, None] >> np.arange(64, dtype=np.uint64)[None, :]) & np.uint64(1)
     r, c = np.nonzero(bits)
-    key, start = key[r], at[r] + c
-    order = np.lexsort((start, key))
-    key, start = key[order], start[order]
-    new = np.concatenate(([True], (key[1:] != key[:-1]) | (start[1:] > start[:-1] + LENGTH)))
+    row, start = row[r], at[r] + c
+    order = np.lexsort((start, row))
+    row, start = row[order], start[order]
+    new = np.concatenate(([True], (row[1:] != row[:-1]) | (start[1:] > start[:-1] + LENGTH)))
     heads = np.flatnonzero(new)
     lasts = np.append(heads[1:], len(start)) - 1
     spans = np.stack((start[heads], start[lasts] + LENGTH), axis=1)
-    cuts = np.flatnonzero(np.concatenate(([True], key[heads][1:] != key[heads][:-1])))
-    return pd.DataFrame({"row_key": key[heads][cuts], "spans": [s.tobytes() for s in np.split(spans, cuts[1:])]})
+    cuts = np.flatnonzero(np.concatenate(([True], row[heads][1:] != row[heads][:-1])))
+    whose = row[heads][cuts]
+    return pd.DataFrame({"key_1": keys[0, whose], "key_2": keys[1, whose], "spans": [s.tobytes() for s in np.split(spans, cuts[1:])]})
 
 
 def removed_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """row_key, spans of the rows that lose bytes. docs: row_key, doc_id, text."""
+    """key_1, key_2, spans of the rows that lose bytes. docs: key_1, key_2, doc_id, text."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, -(-4 * size // BUCKET_BYTES))
-    ordered = docs.select("row_key", F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), "text")
-    masks = scratch.write(routed(ordered, buckets).groupBy("bucket").applyInPandas(judged, "chunk long, block binary"), "masks", "none")
-    found = scratch.write(masks.groupBy("chunk").applyInPandas(intervals, "row_key long, spans binary").groupBy("row_key").agg(F.max("spans").alias("spans")), "spans")
+    ordered = docs.select(*KEYS, F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), "text")
+    dealt = routed(ordered, buckets).repartition(-(-buckets // 4), "bucket")  # partitions that don't grow with the corpus
+    masks = scratch.write(dealt.groupBy("bucket").applyInPandas(judged, "chunk binary, block binary"), "masks", "none")
+    found = masks.groupBy("chunk").applyInPandas(intervals, "key_1 long, key_2 long, spans binary").groupBy(*KEYS).agg(F.max("spans").alias("spans"))
+    found = scratch.write(found, "spans")
     scratch.drop("masks")
-    gc.collect()
-    docs.sparkSession.sparkContext._jvm.System.gc()  # lets Spark delete the shuffled pieces, which nothing reads again
     return found
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (the remaining bytes) for each row of `docs`."""
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row_key", F.xxhash64("doc_id", "text"))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    keyed = keyed.withColumns({"key_1": F.xxhash64("doc_id", "text"), "key_2": F.xxhash64(F.lit(2), "text", "doc_id")})  # 128 bits, so that no two rows share them
     spans = removed_spans(keyed, Scratch(docs.sparkSession))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -407,7 +415,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             columns = [pa.array(c, pa.int64() if i < 3 else pa.binary()) for i, c in enumerate(zip(*rows, strict=True))]
             yield pa.RecordBatch.from_arrays([block.column("doc_id"), *columns], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return keyed.join(spans, "row_key", "left").select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return keyed.join(spans, [*KEYS], "left").select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:

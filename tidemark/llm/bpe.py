@@ -1,8 +1,8 @@
 """Byte-level BPE over the whole corpus: each distinct word is encoded once, by replaying the merges of the rank table.
 
-A word is a match of the pattern. Blocks of documents become rows of word numbers and a list of the block's distinct
-words; a distribution of these over the corpus gives every distinct word to one task, whatever number of documents it is
-in. A task lays its words out as a chain of tokens. An inverted index leads from the rank of a token pair to the positions
+A word is a match of the pattern. Documents become rows of word numbers, and each block of them has a list of its distinct
+words. The lists are dealt into buckets by the words' hashes, so that a bucket has all blocks' rows of its words, one for
+each block that has a word, and encodes every word once. A bucket's words are laid out as a chain of tokens. An inverted index leads from the rank of a token pair to the positions
 where the pair stands; ranks are taken in ascending order from a heap, all words that have the pair merge it together, and
 only the neighbours of what was merged get new entries. Of touching places of one rank a word merges every second, from
 the left, as a word-by-word encoder would; where the merged token could be part of a pair of lower rank that encoder's
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import zlib
 from collections.abc import Iterator
 from functools import cache, cached_property
 from itertools import pairwise
@@ -35,10 +36,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Numbered, Scratch, blocks, small_batches, split_join, table
+from .common import Numbered, Scratch, blocks, small_batches, table
 
-BLOCK_BYTES = 2 << 20
-REPLAY_BYTES = 4 << 20  # of distinct words that are replayed together
+BLOCK_BYTES = 16 << 20  # of text whose words are numbered together
+BUCKET_TEXT = 16 << 20  # a bucket of words for each so many bytes of text
 NONE = np.int64(1 << 40)
 
 
@@ -185,10 +186,29 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def numbered_words(texts: list[str | None], pattern) -> tuple[list[np.ndarray], list[str]]:
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays of bytes, or of numbers below 2**32 in four planes of bytes, compressed together."""
+    out = []
+    for a in arrays:
+        wide = a.dtype != np.uint8
+        out += [b"\1" if wide else b"\0", len(a).to_bytes(8, "little"), (a.astype("<u4").view(np.uint8).reshape(-1, 4).T if wide else a).tobytes()]
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(out))
+
+
+def unpacked(block: bytes) -> list[np.ndarray]:
+    raw, at, out = zstandard.ZstdDecompressor().decompress(block), 0, []
+    while at < len(raw):
+        wide, n = raw[at] == 1, int.from_bytes(raw[at + 1 : at + 9], "little")
+        a = np.frombuffer(raw, np.uint8, 4 * n if wide else n, at + 9)
+        out.append(np.ascontiguousarray(a.reshape(4, n).T).view("<u4").ravel() if wide else a)
+        at += 9 + len(a)
+    return out
+
+
+def numbered_words(texts: list[str | None], pattern) -> tuple[list[np.ndarray], list[bytes]]:
     """Of each text the numbers of its words, and the distinct words in the order of their numbers."""
     index = Numbered()
-    return [np.fromiter(map(index.__getitem__, pattern.findall(t or "")), np.int32) for t in texts], list(index)
+    return [np.fromiter(map(index.__getitem__, pattern.findall(t or "")), np.int64) for t in texts], [w.encode("utf-8") for w in index]
 
 
 def spelled(words: np.ndarray, ids: np.ndarray, counts: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -198,35 +218,47 @@ def spelled(words: np.ndarray, ids: np.ndarray, counts: np.ndarray, first: np.nd
     return ids[np.arange(int(ends[-1]) if len(n) else 0) + np.repeat(first[words] - ends + n, n)]
 
 
-def numbered(docs: DataFrame, pattern: str, text: str) -> DataFrame:
-    """The other columns of `docs`, _block, _words (numbers, compressed) and, in the first row of each block, _list."""
-    kept = [f for f in docs.schema.fields if f.name != text]
-    schema = T.StructType([*kept, T.StructField("_block", T.LongType()), T.StructField("_words", T.BinaryType()), T.StructField("_list", T.ArrayType(T.StringType()))])
+def numbered(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
+    """_row (as in docs), _block, _bucket, _data: for each document the numbers of its words (no bucket), and for each block
+    and bucket of words their numbers, lengths and bytes. docs: text, and _row if there is any."""
+    carried = [T.StructField(f.name, f.dataType, True) for f in docs.schema.fields if f.name == "_row"]
+    schema = T.StructType([*carried, *(T.StructField(n, t) for n, t in (("_block", T.LongType()), ("_bucket", T.LongType()), ("_data", T.BinaryType())))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compiled, to = regex.compile(pattern), zstandard.ZstdCompressor(level=1)
+        compiled = regex.compile(pattern)
         base = TaskContext.get().partitionId() << 32
-        for number, block in enumerate(gathered(batches, text)):
-            words, distinct = numbered_words(block.column(text).to_pylist(), compiled)
-            lists = pa.array([distinct, *[None] * (block.num_rows - 1)], pa.list_(pa.string()))
-            packed = pa.array([to.compress(w.tobytes()) for w in words], pa.binary())
-            out = pa.table([*(block.column(f.name) for f in kept), pa.array([base | number] * block.num_rows, pa.int64()), packed, lists], schema.names)
-            yield from out.combine_chunks().to_batches()
+        for number, block in enumerate(gathered(batches, "text")):
+            words, distinct = numbered_words(block.column("text").to_pylist(), compiled)
+            rows, longs = block.num_rows, lambda x: pa.array(x, pa.int64())
+            out = [*(block.column(f.name) for f in carried), longs([base | number] * rows), longs([None] * rows), pa.array([packed(w) for w in words], pa.binary())]
+            yield from pa.table(out, schema.names).combine_chunks().to_batches(max_chunksize=4096)
+            bucket = np.array([zlib.crc32(w) % buckets for w in distinct], np.int64)
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=buckets))
+            lists = []
+            for lo, hi in pairwise(cuts.tolist()):
+                own = [distinct[i] for i in order[lo:hi].tolist()]
+                lists.append(packed(order[lo:hi], np.array([len(w) for w in own]), np.frombuffer(b"".join(own), np.uint8)))
+            out = [*(pa.nulls(len(lists), block.schema.field(f.name).type) for f in carried), longs([base | number] * len(lists)), longs(bucket[order][cuts[:-1]]), pa.array(lists, pa.binary())]
+            yield from pa.table(out, schema.names).to_batches(max_chunksize=4096)
 
     return small_batches(docs).mapInArrow(run, schema)
 
 
-def dictionary(words: DataFrame, path: str) -> DataFrame:
-    """word, n, ids of each row of `words` (distinct word, n)."""
+def spellings(words: DataFrame, path: str) -> DataFrame:
+    """_of (block), _ids: numbers, token counts and ids of the words of each row. A bucket's words are replayed together, each once."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(path)
-        for batch in blocks(batches, "word", REPLAY_BYTES):
-            ids, counts = vocab.replay([w.encode("utf-8") for w in batch.column("word").to_pylist()])
-            raw, ends = ids.astype("<u4").tobytes(), np.append(0, 4 * np.cumsum(counts)).tolist()
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array([raw[a:b] for a, b in pairwise(ends)], pa.binary())], ["word", "n", "ids"])
+    def run(bucket: pa.Table) -> pa.Table:
+        index, rows = Numbered(), []
+        for data in bucket.column("_data").to_pylist():
+            places, sizes, raw = unpacked(data)
+            raw, ends = raw.tobytes(), np.append(0, np.cumsum(sizes, dtype=np.int64)).tolist()
+            rows.append((places, np.array([index[raw[a:b]] for a, b in pairwise(ends)], np.int64)))
+        ids, counts = vocabulary(path).replay(list(index))
+        first = np.cumsum(counts) - counts
+        return pa.table({"_of": bucket.column("_block"), "_ids": pa.array([packed(places, counts[own], spelled(own, ids, counts, first)) for places, own in rows], pa.binary())})
 
-    return small_batches(words).mapInArrow(run, "word string, n long, ids binary")
+    return words.groupBy("_bucket").applyInArrow(run, "_of long, _ids binary")
 
 
 def encode(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, text: str = "text") -> DataFrame:
@@ -234,25 +266,27 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
     scratch = Scratch(docs.sparkSession)
     others = [c for c in docs.columns if c not in (text, "n_tokens", "ids")]
-    row = [F.struct(*others).alias("_row")] if others else []
     carried = ["_row"] if others else []
-    rows = scratch.write(numbered(docs.select(F.col(text).alias("text"), *row), pattern, "text"), "numbered")
-    lists = rows.where("_list is not null").select("_block", F.posexplode("_list").alias("place", "word"))
-    words = scratch.write(dictionary(lists.groupBy("word").agg(F.count(F.lit(1)).alias("n")), path), "dictionary")
-    found = split_join(lists, words, "word", "_block", lists.count()).select(F.col("_block").alias("_of"), "place", "ids")
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    buckets = max(8, -(-size // BUCKET_TEXT))
+    rows = scratch.write(numbered(docs.select(F.col(text).alias("text"), *([F.struct(*others).alias("_row")] if others else [])), pattern, buckets), "numbered", "none")
 
     def filled(block: pa.Table, own: pa.Table) -> pa.Table:
-        order = np.argsort(own.column("place").to_numpy())
-        parts = own.column("ids").take(pa.array(order)).to_pylist()
-        counts = np.array([len(p) // 4 for p in parts], np.int64)
-        first, ids = np.cumsum(counts) - counts, np.frombuffer(b"".join(parts), "<u4")
-        by = zstandard.ZstdDecompressor()
-        out = [spelled(np.frombuffer(by.decompress(w), np.int32), ids, counts, first) for w in block.column("_words").to_pylist()]
-        added = [pa.array([len(x) for x in out], pa.int64()), pa.array([x.tobytes() for x in out], pa.binary())]
+        parts = [unpacked(x) for x in own.column("_ids").to_pylist()]
+        n = sum(len(p) for p, _, _ in parts)
+        counts, first, at = np.zeros(n, np.int64), np.zeros(n, np.int64), 0
+        for places, count, ids in parts:
+            counts[places] = count
+            first[places] = at + np.cumsum(count, dtype=np.int64) - count
+            at += len(ids)
+        ids = np.concatenate([np.zeros(0, np.uint32), *(p[2] for p in parts)])
+        out = [spelled(unpacked(w)[0].astype(np.int64), ids, counts, first) for w in block.column("_data").to_pylist()]
+        added = [pa.array([len(x) for x in out], pa.int64()), pa.array([x.astype("<u4").tobytes() for x in out], pa.binary())]
         return pa.table([*(block.column(c) for c in carried), *added], [*carried, "n_tokens", "ids"])
 
-    schema = T.StructType([*(f for f in rows.schema.fields if f.name == "_row"), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
-    coded = rows.drop("_list").groupBy("_block").cogroup(found.groupBy("_of")).applyInArrow(filled, schema)
+    schema = T.StructType([*(f for f in rows.schema.fields if f.name in carried), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
+    own = spellings(rows.where("_bucket is not null").select("_bucket", "_block", "_data"), path)
+    coded = rows.where("_bucket is null").drop("_bucket").groupBy("_block").cogroup(own.groupBy("_of")).applyInArrow(filled, schema)
     return coded.select(*(F.col("_row")[c].alias(c) for c in others), "n_tokens", "ids")
 
 

@@ -1,6 +1,6 @@
 """Byte-level BPE over the whole corpus: each distinct word is encoded once, by replaying the merges of the rank table.
 
-A word is a match of the pattern. Documents become rows of word numbers, and each block of them has a list of its distinct
+A word is a match of the pattern. Blocks of documents become rows of word numbers, and each has a list of its distinct
 words. The lists are dealt into buckets by the words' hashes, so that a bucket has all blocks' rows of its words, one for
 each block that has a word, and encodes every word once. A bucket's words are laid out as a chain of tokens. An inverted index leads from the rank of a token pair to the positions
 where the pair stands; ranks are taken in ascending order from a heap, all words that have the pair merge it together, and
@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 
 from .common import Numbered, Scratch, blocks, small_batches, table
 
-BLOCK_BYTES = 16 << 20  # of text whose words are numbered together
+BLOCK_BYTES = 8 << 20  # of text whose words are numbered together
 BUCKET_TEXT = 16 << 20  # a bucket of words for each so many bytes of text
 NONE = np.int64(1 << 40)
 
@@ -219,19 +219,20 @@ def spelled(words: np.ndarray, ids: np.ndarray, counts: np.ndarray, first: np.nd
 
 
 def numbered(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
-    """_row (as in docs), _block, _bucket, _data: for each document the numbers of its words (no bucket), and for each block
-    and bucket of words their numbers, lengths and bytes. docs: text, and _row if there is any."""
-    carried = [T.StructField(f.name, f.dataType, True) for f in docs.schema.fields if f.name == "_row"]
-    schema = T.StructType([*carried, *(T.StructField(n, t) for n, t in (("_block", T.LongType()), ("_bucket", T.LongType()), ("_data", T.BinaryType())))])
+    """A row for each block of documents (no _bucket): _rows (as in docs) and _data, the words in each document and the
+    numbers of them all; and one for each block and bucket of words: their numbers, lengths and bytes."""
+    row = docs.schema["_row"].dataType
+    schema = T.StructType([T.StructField("_rows", T.ArrayType(row)), T.StructField("_block", T.LongType()), T.StructField("_bucket", T.LongType()), T.StructField("_data", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled = regex.compile(pattern)
         base = TaskContext.get().partitionId() << 32
         for number, block in enumerate(gathered(batches, "text")):
             words, distinct = numbered_words(block.column("text").to_pylist(), compiled)
-            rows, longs = block.num_rows, lambda x: pa.array(x, pa.int64())
-            out = [*(block.column(f.name) for f in carried), longs([base | number] * rows), longs([None] * rows), pa.array([packed(w) for w in words], pa.binary())]
-            yield from pa.table(out, schema.names).combine_chunks().to_batches(max_chunksize=4096)
+            whole = block.column("_row").combine_chunks()
+            whole = pa.ListArray.from_arrays(pa.array([0, len(whole)], pa.int32()), whole)
+            data = packed(np.array([len(w) for w in words], np.int64), np.concatenate(words))
+            yield pa.RecordBatch.from_arrays([whole, pa.array([base | number]), pa.nulls(1, pa.int64()), pa.array([data])], schema.names)
             bucket = np.array([zlib.crc32(w) % buckets for w in distinct], np.int64)
             order = np.argsort(bucket, kind="stable")
             cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=buckets))
@@ -239,13 +240,13 @@ def numbered(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
             for lo, hi in pairwise(cuts.tolist()):
                 own = [distinct[i] for i in order[lo:hi].tolist()]
                 lists.append(packed(order[lo:hi], np.array([len(w) for w in own]), np.frombuffer(b"".join(own), np.uint8)))
-            out = [*(pa.nulls(len(lists), block.schema.field(f.name).type) for f in carried), longs([base | number] * len(lists)), longs(bucket[order][cuts[:-1]]), pa.array(lists, pa.binary())]
+            out = [pa.nulls(len(lists), whole.type), pa.array([base | number] * len(lists), pa.int64()), pa.array(bucket[order][cuts[:-1]]), pa.array(lists, pa.binary())]
             yield from pa.table(out, schema.names).to_batches(max_chunksize=4096)
 
     return small_batches(docs).mapInArrow(run, schema)
 
 
-def spellings(words: DataFrame, path: str) -> DataFrame:
+def spellings(words: DataFrame, path: str, buckets: int) -> DataFrame:
     """_of (block), _ids: numbers, token counts and ids of the words of each row. A bucket's words are replayed together, each once."""
 
     def run(bucket: pa.Table) -> pa.Table:
@@ -258,7 +259,7 @@ def spellings(words: DataFrame, path: str) -> DataFrame:
         first = np.cumsum(counts) - counts
         return pa.table({"_of": bucket.column("_block"), "_ids": pa.array([packed(places, counts[own], spelled(own, ids, counts, first)) for places, own in rows], pa.binary())})
 
-    return words.groupBy("_bucket").applyInArrow(run, "_of long, _ids binary")
+    return words.repartition(-(-buckets // 4), "_bucket").groupBy("_bucket").applyInArrow(run, "_of long, _ids binary")
 
 
 def encode(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, text: str = "text") -> DataFrame:
@@ -266,10 +267,10 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
     scratch = Scratch(docs.sparkSession)
     others = [c for c in docs.columns if c not in (text, "n_tokens", "ids")]
-    carried = ["_row"] if others else []
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = max(8, -(-size // BUCKET_TEXT))
-    rows = scratch.write(numbered(docs.select(F.col(text).alias("text"), *([F.struct(*others).alias("_row")] if others else [])), pattern, buckets), "numbered", "none")
+    row = F.struct(*others) if others else F.struct(F.lit(0).alias("_"))
+    rows = scratch.write(numbered(docs.select(F.col(text).alias("text"), row.alias("_row")), pattern, buckets), "numbered", "none")
 
     def filled(block: pa.Table, own: pa.Table) -> pa.Table:
         parts = [unpacked(x) for x in own.column("_ids").to_pylist()]
@@ -280,13 +281,16 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
             first[places] = at + np.cumsum(count, dtype=np.int64) - count
             at += len(ids)
         ids = np.concatenate([np.zeros(0, np.uint32), *(p[2] for p in parts)])
-        out = [spelled(unpacked(w)[0].astype(np.int64), ids, counts, first) for w in block.column("_data").to_pylist()]
+        sizes, words = unpacked(block.column("_data")[0].as_py())
+        out = [spelled(w.astype(np.int64), ids, counts, first) for w in np.split(words, np.cumsum(sizes, dtype=np.int64)[:-1])]
         added = [pa.array([len(x) for x in out], pa.int64()), pa.array([x.astype("<u4").tobytes() for x in out], pa.binary())]
-        return pa.table([*(block.column(c) for c in carried), *added], [*carried, "n_tokens", "ids"])
+        return pa.table([block.column("_rows").combine_chunks().flatten(), *added], ["_row", "n_tokens", "ids"])
 
-    schema = T.StructType([*(f for f in rows.schema.fields if f.name in carried), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
-    own = spellings(rows.where("_bucket is not null").select("_bucket", "_block", "_data"), path)
-    coded = rows.where("_bucket is null").drop("_bucket").groupBy("_block").cogroup(own.groupBy("_of")).applyInArrow(filled, schema)
+    schema = T.StructType([T.StructField("_row", rows.schema["_rows"].dataType.elementType), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
+    parts = max(8, -(-size // (2 * BLOCK_BYTES)))  # partitions that don't grow with the corpus
+    own = spellings(rows.where("_bucket is not null").select("_bucket", "_block", "_data"), path, buckets).repartition(parts, "_of")
+    whole = rows.where("_bucket is null").drop("_bucket").repartition(parts, "_block")
+    coded = whole.groupBy("_block").cogroup(own.groupBy("_of")).applyInArrow(filled, schema)
     return coded.select(*(F.col("_row")[c].alias(c) for c in others), "n_tokens", "ids")
 
 

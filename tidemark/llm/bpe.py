@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 
 from .common import Numbered, Scratch, blocks, small_batches, table
 
-BLOCK_BYTES = 8 << 20  # of text whose words are numbered together
+BLOCK_BYTES = 16 << 20  # of text whose words are numbered together
 BUCKET_TEXT = 16 << 20  # a bucket of words for each so many bytes of text
 NONE = np.int64(1 << 40)
 
@@ -186,29 +186,58 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+def varints(a: np.ndarray) -> np.ndarray:
+    """Numbers below 2**35 as bytes of seven bits each, the lowest first; all but a number's last byte have the top bit set."""
+    a = a.astype(np.int64)
+    size = 1 + sum((a >= 1 << 7 * j).astype(np.int64) for j in range(1, 5))
+    first = np.cumsum(size) - size
+    out = np.empty(int(size.sum()), np.uint8)
+    for j in range(int(size.max()) if len(a) else 0):
+        own = size > j
+        out[first[own] + j] = (a[own] >> 7 * j & 127) | np.where(size[own] > j + 1, 128, 0)
+    return out
+
+
+def numbers(raw: np.ndarray) -> np.ndarray:
+    """What `varints` wrote."""
+    last = np.flatnonzero(raw < 128)
+    first = np.append(0, last[:-1] + 1) if len(last) else last
+    size, out = last - first + 1, np.zeros(len(last), np.int64)
+    for j in range(int(size.max()) if len(last) else 0):
+        own = size > j
+        out[own] |= (raw[first[own] + j].astype(np.int64) & 127) << 7 * j
+    return out
+
+
 def packed(*arrays: np.ndarray) -> bytes:
-    """Arrays of bytes, or of numbers below 2**32 in four planes of bytes, compressed together."""
+    """Arrays of bytes or of numbers, compressed together."""
     out = []
     for a in arrays:
-        wide = a.dtype != np.uint8
-        out += [b"\1" if wide else b"\0", len(a).to_bytes(8, "little"), (a.astype("<u4").view(np.uint8).reshape(-1, 4).T if wide else a).tobytes()]
-    return zstandard.ZstdCompressor(level=3).compress(b"".join(out))
+        raw = a if a.dtype == np.uint8 else varints(a)
+        out += [b"\0" if raw is a else b"\1", len(raw).to_bytes(8, "little"), raw.tobytes()]
+    return zstandard.ZstdCompressor(level=9).compress(b"".join(out))
 
 
 def unpacked(block: bytes) -> list[np.ndarray]:
     raw, at, out = zstandard.ZstdDecompressor().decompress(block), 0, []
     while at < len(raw):
-        wide, n = raw[at] == 1, int.from_bytes(raw[at + 1 : at + 9], "little")
-        a = np.frombuffer(raw, np.uint8, 4 * n if wide else n, at + 9)
-        out.append(np.ascontiguousarray(a.reshape(4, n).T).view("<u4").ravel() if wide else a)
-        at += 9 + len(a)
+        n = int.from_bytes(raw[at + 1 : at + 9], "little")
+        a = np.frombuffer(raw, np.uint8, n, at + 9)
+        out.append(numbers(a) if raw[at] else a)
+        at += 9 + n
     return out
 
 
-def numbered_words(texts: list[str | None], pattern) -> tuple[list[np.ndarray], list[bytes]]:
-    """Of each text the numbers of its words, and the distinct words in the order of their numbers."""
+def numbered_words(texts: list[str | None], pattern) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """How many words each text has, the numbers of all in a row, and the distinct words by number, frequent ones first."""
     index = Numbered()
-    return [np.fromiter(map(index.__getitem__, pattern.findall(t or "")), np.int64) for t in texts], [w.encode("utf-8") for w in index]
+    words = [np.fromiter(map(index.__getitem__, pattern.findall(t or "")), np.int64) for t in texts]
+    flat = np.concatenate(words)
+    order = np.argsort(-np.bincount(flat, minlength=len(index)), kind="stable")
+    number = np.empty(len(index), np.int64)
+    number[order] = np.arange(len(index))
+    distinct = [w.encode("utf-8") for w in index]
+    return np.array([len(w) for w in words], np.int64), number[flat], [distinct[i] for i in order.tolist()]
 
 
 def spelled(words: np.ndarray, ids: np.ndarray, counts: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -220,7 +249,7 @@ def spelled(words: np.ndarray, ids: np.ndarray, counts: np.ndarray, first: np.nd
 
 def numbered(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
     """A row for each block of documents (no _bucket): _rows (as in docs) and _data, the words in each document and the
-    numbers of them all; and one for each block and bucket of words: their numbers, lengths and bytes."""
+    numbers of them all; and one for each block and bucket of words: their numbers (as differences), lengths and bytes."""
     row = docs.schema["_row"].dataType
     schema = T.StructType([T.StructField("_rows", T.ArrayType(row)), T.StructField("_block", T.LongType()), T.StructField("_bucket", T.LongType()), T.StructField("_data", T.BinaryType())])
 
@@ -228,18 +257,17 @@ def numbered(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
         compiled = regex.compile(pattern)
         base = TaskContext.get().partitionId() << 32
         for number, block in enumerate(gathered(batches, "text")):
-            words, distinct = numbered_words(block.column("text").to_pylist(), compiled)
+            sizes, words, distinct = numbered_words(block.column("text").to_pylist(), compiled)
             whole = block.column("_row").combine_chunks()
             whole = pa.ListArray.from_arrays(pa.array([0, len(whole)], pa.int32()), whole)
-            data = packed(np.array([len(w) for w in words], np.int64), np.concatenate(words))
-            yield pa.RecordBatch.from_arrays([whole, pa.array([base | number]), pa.nulls(1, pa.int64()), pa.array([data])], schema.names)
+            yield pa.RecordBatch.from_arrays([whole, pa.array([base | number]), pa.nulls(1, pa.int64()), pa.array([packed(sizes, words)])], schema.names)
             bucket = np.array([zlib.crc32(w) % buckets for w in distinct], np.int64)
             order = np.argsort(bucket, kind="stable")
             cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=buckets))
             lists = []
             for lo, hi in pairwise(cuts.tolist()):
                 own = [distinct[i] for i in order[lo:hi].tolist()]
-                lists.append(packed(order[lo:hi], np.array([len(w) for w in own]), np.frombuffer(b"".join(own), np.uint8)))
+                lists.append(packed(np.diff(order[lo:hi], prepend=0), np.array([len(w) for w in own]), np.frombuffer(b"".join(own), np.uint8)))
             out = [pa.nulls(len(lists), whole.type), pa.array([base | number] * len(lists), pa.int64()), pa.array(bucket[order][cuts[:-1]]), pa.array(lists, pa.binary())]
             yield from pa.table(out, schema.names).to_batches(max_chunksize=4096)
 
@@ -247,17 +275,17 @@ def numbered(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
 
 
 def spellings(words: DataFrame, path: str, buckets: int) -> DataFrame:
-    """_of (block), _ids: numbers, token counts and ids of the words of each row. A bucket's words are replayed together, each once."""
+    """_of (block), _ids: numbers (as differences), token counts and ids of the words of each row. A bucket's words are replayed together, each once."""
 
     def run(bucket: pa.Table) -> pa.Table:
         index, rows = Numbered(), []
         for data in bucket.column("_data").to_pylist():
-            places, sizes, raw = unpacked(data)
-            raw, ends = raw.tobytes(), np.append(0, np.cumsum(sizes, dtype=np.int64)).tolist()
-            rows.append((places, np.array([index[raw[a:b]] for a, b in pairwise(ends)], np.int64)))
+            steps, sizes, raw = unpacked(data)
+            raw, ends = raw.tobytes(), np.append(0, np.cumsum(sizes)).tolist()
+            rows.append((steps, np.array([index[raw[a:b]] for a, b in pairwise(ends)], np.int64)))
         ids, counts = vocabulary(path).replay(list(index))
         first = np.cumsum(counts) - counts
-        return pa.table({"_of": bucket.column("_block"), "_ids": pa.array([packed(places, counts[own], spelled(own, ids, counts, first)) for places, own in rows], pa.binary())})
+        return pa.table({"_of": bucket.column("_block"), "_ids": pa.array([packed(steps, counts[own], spelled(own, ids, counts, first)) for steps, own in rows], pa.binary())})
 
     return words.repartition(-(-buckets // 4), "_bucket").groupBy("_bucket").applyInArrow(run, "_of long, _ids binary")
 
@@ -276,14 +304,14 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
         parts = [unpacked(x) for x in own.column("_ids").to_pylist()]
         n = sum(len(p) for p, _, _ in parts)
         counts, first, at = np.zeros(n, np.int64), np.zeros(n, np.int64), 0
-        for places, count, ids in parts:
-            counts[places] = count
-            first[places] = at + np.cumsum(count, dtype=np.int64) - count
+        for steps, count, ids in parts:
+            places = np.cumsum(steps)
+            counts[places], first[places] = count, at + np.cumsum(count) - count
             at += len(ids)
-        ids = np.concatenate([np.zeros(0, np.uint32), *(p[2] for p in parts)])
+        ids = np.concatenate([np.zeros(0, np.int64), *(p[2] for p in parts)]).astype("<u4")
         sizes, words = unpacked(block.column("_data")[0].as_py())
-        out = [spelled(w.astype(np.int64), ids, counts, first) for w in np.split(words, np.cumsum(sizes, dtype=np.int64)[:-1])]
-        added = [pa.array([len(x) for x in out], pa.int64()), pa.array([x.astype("<u4").tobytes() for x in out], pa.binary())]
+        out = [spelled(w, ids, counts, first) for w in np.split(words, np.cumsum(sizes)[:-1])]
+        added = [pa.array([len(x) for x in out], pa.int64()), pa.array([x.tobytes() for x in out], pa.binary())]
         return pa.table([block.column("_rows").combine_chunks().flatten(), *added], ["_row", "n_tokens", "ids"])
 
     schema = T.StructType([T.StructField("_row", rows.schema["_rows"].dataType.elementType), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])

@@ -10,7 +10,7 @@ DATA = Path("/root/testdata/sf0.001")
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="the tables aren't here")
-@pytest.mark.parametrize("name", ["bars_daily", "xs_X8", "n_rank", "bt_pair", "position_trades", "as_of_prices"])
+@pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
 def test_query_matches_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()

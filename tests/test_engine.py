@@ -1,5 +1,6 @@
 """Operators of the engine against numpy and pandas, on small random walks."""
 
+import datetime
 import math
 
 import numpy as np
@@ -7,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import combine, metrics, normalize, pairs, portfolio, simulate, timeseries
+from tidemark.operators import combine, metrics, normalize, pairs, portfolio, report, timeseries
 from tidemark.sources import bars as B
 
 DAYS = 320
@@ -133,8 +134,8 @@ def test_no_look_ahead(spark, bars, panel):
 
 def test_hurst_is_scale_free(panel):
     c = one(panel).close.to_numpy()[:100]
-    assert math.isclose(timeseries.hurst(c), timeseries.hurst(7 * c), abs_tol=1e-9)
-    assert timeseries.hurst(np.full(100, 3.0)) == 0.5
+    assert math.isclose(timeseries.hurst((c)[None])[0], timeseries.hurst((7 * c)[None])[0], abs_tol=1e-9)
+    assert timeseries.hurst((np.full(100, 3.0))[None])[0] == 0.5
 
 
 def test_normalisers(spark):
@@ -201,6 +202,50 @@ def test_kalman_pair_is_a_filter(spark, bars):
     assert set(out.toPandas().value) <= {-1.0, 0.0, 1.0}
 
 
+def kalman_loop(c1, c2, window=60, own=20, entry=1.0, delta=1e-4, ve=1e-3, rule=1, take=0.05, stop=0.05, hold=45):
+    value, side, ref, days = [], 0, 0.0, 0
+    for t in range(len(c1)):
+        if t < window - 1:
+            value.append(0)
+            continue
+        y, x = c1[t - window + 1 : t + 1], c2[t - window + 1 : t + 1]
+        beta = alpha = 0.0
+        pb = pa = 1.0
+        e = []
+        for xi, yi in zip(x, y, strict=True):
+            pb, pa = pb + delta, pa + delta
+            e.append(yi - (alpha + beta * xi))
+            s = xi * xi * pb + pa + ve
+            kb, ka = pb * xi / s, pa / s
+            beta, alpha = beta + kb * e[-1], alpha + ka * e[-1]
+            pb, pa = pb * (1 - kb * xi), pa * (1 - ka)
+        spread, last = y[-1] - (alpha + beta * x[-1]), np.array(e[-own:])
+        z = (last[-1] - last.mean()) / last.std()
+        raw = 1 if z < -entry else -1 if z > entry else 0
+        if rule == 2:
+            q = [np.percentile(v, p) for p in (25, 75) for v in (y, x)]
+            raw = 1 if raw == 1 and y[-1] < q[2] and x[-1] < q[3] else -1 if raw == -1 and y[-1] > q[0] and x[-1] > q[1] else 0
+        if rule > 1:
+            if side:
+                days += 1
+                gain = side * (spread - ref) / max(abs(ref), 1e-10)
+                if gain >= take or gain <= -stop or days >= hold:
+                    side = 0
+            elif raw:
+                side, ref, days = raw, spread, 0
+            raw = side
+        value.append(raw)
+    return value
+
+
+@pytest.mark.parametrize("rule", [1, 2, 3])
+def test_kalman_rules_match_loop(spark, bars, panel, rule):
+    c1, c2 = (panel[panel.asset == a].close.to_numpy() for a in "AB")
+    found = pairs.kalman_pair(B.pair_bars(bars, B.pair_list(spark, [("A", "B")])), rule=rule).orderBy("dt").toPandas().value
+    want = kalman_loop(c1, c2, rule=rule)
+    assert found.tolist() == want and len(set(want)) == 3
+
+
 def copula_score(x, y, entry=0.2, theta=10.0):
     rank = lambda past, at: np.clip((past <= at).mean(), 0.01, 0.99)
     hx, hy = x[:-1], y[:-1]
@@ -248,23 +293,69 @@ def test_universe_with_a_flat_asset(spark):
         assert len(out) == 210 and set(out[out.partner.notna()].asset) == {"B", "C"}
 
 
-def test_trade_accounting():
-    rules = simulate.Rules(capital=1000.0, slippage=0.0, cost=0.0, margin=0.1, max_alloc=100)
-    a = simulate.Account(rules)
-    assert a.trade(1, "X", 10, 50.0, 1000.0, "t") and math.isclose(a.cash, 950.0)
-    assert math.isclose(a.value({"X": 55.0}), 1050.0)
-    assert a.trade(2, "X", -10, 55.0, 1050.0, "t") and a.lots["X"] == -10
-    assert math.isclose(a.value({"X": 55.0}), 1050.0)
-    assert a.trade(3, "X", 0, 50.0, 1050.0, "t") and math.isclose(a.cash, 1100.0)
-    assert not a.trade(4, "X", 5, 0.0, 1100.0, "t")
-    assert simulate.Rules(multipliers={"RB": 5}).multiplier("rb2405.SHF") == 5 and simulate.Rules().multiplier("ZZ") == 10
+def test_vol_forecast_sees_the_whole_history(bars, panel):
+    r = panel[panel.asset == "A"].close.pct_change() ** 2
+    want = np.sqrt(r.ewm(alpha=0.06).mean() * 252)
+    found = portfolio.vol_forecast(bars).where("asset = 'A'").orderBy("dt").toPandas()["vol"]
+    assert np.allclose(found.to_numpy(float), want.to_numpy(), equal_nan=True)
+
+
+def hurst_loop(c):
+    r = np.diff(np.log(c))
+    points = []
+    for k in range(2, int(np.log2(len(r))) + 1):
+        size, rs = 2**k, []
+        for j in range(len(r) // size):
+            seg = r[j * size : (j + 1) * size]
+            dev, s = np.cumsum(seg - seg.mean()), seg.std(ddof=1)
+            if s > 1e-10:
+                rs.append((dev.max() - dev.min()) / s)
+        if rs and np.mean(rs) > 0:
+            points.append((np.log(size), np.log(np.mean(rs))))
+    x, y = np.array(points).T
+    return float(np.clip(np.polyfit(x, y, 1)[0], 0, 1)) if len(points) > 1 else 0.5
 
 
-def test_simulation_conserves_cash(spark, bars):
-    legs = B.pair_bars(bars, B.pair_list(spark, [("A", "B"), ("C", "D")]))
-    s = pairs.style_momentum(legs).select(F.lit("s").alias("strategy"), "a1", "a2", "dt", F.col("value").alias("signal"), F.lit(1.0).alias("strength"))
-    days = simulate.simulated(simulate.features(bars, s)).orderBy("dt").toPandas()
-    assert (days.cash > 0).all() and (days.n_positions <= 4).all() and len(days) == DAYS
+def test_hurst_matches_loop(bars, panel):
+    c = panel[panel.asset == "A"].close.to_numpy()
+    found = timeseries.hurst_exponent(bars, 60, return_raw=True).where("asset = 'A'").orderBy("dt").toPandas()["value"]
+    want = [hurst_loop(c[t - 59 : t + 1]) if t >= 59 else 0.0 for t in range(len(c))]
+    assert np.allclose(found, want, atol=1e-7)
+
+
+@pytest.mark.parametrize("block", [64, 1])
+def test_joint_moments_match_pandas(spark, block):
+    rng = np.random.default_rng(7)
+    dates = [datetime.date(2020, 1, 1) + datetime.timedelta(d) for d in range(60)]
+    wide = pd.DataFrame({a: 50 + rng.normal(size=60).cumsum() for a in "abcde"}, index=dates)
+    rows = [(a, d, float(v), "one" if a < "d" else "two") for a in wide for d, v in wide[a].items() if rng.random() < 0.9]
+    own = spark.createDataFrame(rows, "asset string, dt date, close double, sector string")
+    r = pd.DataFrame(rows, columns=["asset", "dt", "close", "s"]).sort_values("dt").set_index(["dt", "asset"]).close.groupby("asset").pct_change().unstack()
+    for x in pairs.joint_moments(own, diagonal=True, block=block).collect():
+        both = r[[x.a1, x.a2]].dropna() if x.a1 != x.a2 else r[[x.a1]].dropna()
+        assert x.n == len(both) and abs(x["cov"] - both.iloc[:, 0].cov(both.iloc[:, -1])) < 1e-12 and abs(x["corr"] - both.iloc[:, 0].corr(both.iloc[:, -1])) < 1e-9
+    inside = {(x.sector, x.a1, x.a2) for x in pairs.joint_moments(own, within="sector", block=block).collect()}
+    assert inside == {("one", "a", "b"), ("one", "a", "c"), ("one", "b", "c"), ("two", "d", "e")}
+
+
+def test_report(spark, tmp_path):
+    dates = pd.bdate_range("2020-01-01", "2023-12-31")
+    ret = np.random.default_rng(42).normal(0.15 / 252, 0.2 / 252**0.5, len(dates))
+    curve = pd.DataFrame({"dt": dates.date, "equity": 1e6 * np.cumprod(1 + ret)})
+    rows = report.summary(spark.createDataFrame(curve), "multi_factor_xs", ["HurstExponent", "BIASFactor"], list("abcdefg"), at="now")
+    assert tuple(rows.columns) == report.COLUMNS and len(report.COLUMNS) == 21
+    by = {r["Year"]: r for r in rows.collect()}
+    assert set(by) == {"2020", "2021", "2022", "2023", "Total"} and by["Total"]["Asset_Pool"] == "a, b, c ... (7 assets)"
+    e = curve.equity
+    assert by["Total"]["Trading_Days"] == len(e) - 1 and abs(by["Total"]["Max_Drawdown"] - (1 - e / e.cummax()).max()) < 1e-9
+    assert by["Total"]["Factor_Layer_2"] == "momentum, trend" and by["Total"]["Dimension"] == "截面"
+    for fmt in ("csv", "parquet"):
+        report.append(rows, str(tmp_path / fmt), fmt)
+        report.append(rows, str(tmp_path / fmt), fmt)
+        again = spark.read.format(fmt).options(header="true").load(str(tmp_path / fmt))
+        assert report.totals(again).where("Dimension is null and Backtest_Type is null").first().runs == 2
+    assert "sharpe" in report.text({"sharpe": 1.0, "n days": 3})
+    assert report.labels("single_factor_single_asset_ts")[1] == "单因子-时序" and report.labels("pair_factor")[0] == "配对"
 
 
 def test_canonical_bars(spark):

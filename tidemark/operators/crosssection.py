@@ -66,6 +66,12 @@ def composite_momentum(bars: DataFrame, window: int = 240, g: float = 0.4) -> Da
     return df.select("asset", "dt", F.when(F.col("sign") > 0, up).when(F.col("sign") < 0, down).otherwise(0.0).alias("value"))
 
 
+def mean_signals(values: DataFrame) -> DataFrame:
+    """asset, dt, value: ordinal rank in [-1, 1] of the mean over a date's factors. values: factor, asset, dt, value."""
+    mean = values.groupBy("asset", "dt").agg(F.avg("value").alias("mean")).where("mean is not null")
+    return mean.select("asset", "dt", C.ordinal_rank("mean").alias("value"))
+
+
 def long_short(values: DataFrame, share: float = 0.2) -> DataFrame:
     """asset, dt, side of the upper share of positive and lower share of negative values, one asset each at least."""
     df = values.where("value <> 0").withColumn("sign", F.signum("value"))

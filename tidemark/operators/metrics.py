@@ -34,12 +34,13 @@ def _measures(r: str, risk_free: float) -> list[Column]:
 
 
 def performance(daily: DataFrame, keys=(), risk_free: float = 0.0) -> DataFrame:
-    """One row for each key: return, risk and drawdown. The running maximum is per key and needs its order of days."""
+    """One row for each key: return, risk and the largest drawdown with its dates. The running maximum is per key and needs its order of days."""
     w = W.partitionBy(*keys).orderBy("dt").rowsBetween(W.unboundedPreceding, 0)
     df = daily.withColumn("_e", 1 + C.compound(F.col("ret"), w))
     df = df.withColumn("_d", C.div("_e", F.greatest(F.max("_e").over(w), F.lit(1.0))) - 1)
+    df = df.withColumn("_p", F.max_by("dt", F.struct("_e", -F.unix_date("dt"))).over(w))
     worst = -F.least(F.min("_d"), F.lit(0.0))
-    out = df.groupBy(*keys).agg(*_measures("ret", risk_free), worst.alias("max_drawdown"), F.min_by("dt", "_d").alias("trough"))
+    out = df.groupBy(*keys).agg(*_measures("ret", risk_free), worst.alias("max_drawdown"), F.min_by("_p", "_d").alias("peak"), F.min_by("dt", "_d").alias("trough"))
     return out.withColumn("calmar", C.div("annual_return", F.nullif(F.col("max_drawdown"), F.lit(0.0))))
 
 
@@ -51,10 +52,10 @@ def drawdowns(daily: DataFrame, keys=()) -> DataFrame:
 
 
 def yearly(daily: DataFrame, keys=(), risk_free: float = 0.0) -> DataFrame:
-    """A row for each year with two days or more, and "Total" over all; both levels in one pass over grouping sets."""
-    df = daily.withColumn("period", F.year("dt").cast("string"))
-    rows = df.groupingSets([[*map(F.col, keys), F.col("period")], [*map(F.col, keys)]], *keys, "period").agg(*_measures("ret", risk_free))
-    return rows.withColumn("period", F.coalesce("period", F.lit("Total"))).where("n_days >= 2")
+    """performance of each year with two days or more, and "Total" over all, as rows of one pass; drawdowns are a period's own."""
+    periods = F.array(F.year("dt").cast("string"), F.lit("Total"))
+    df = performance(daily.withColumn("period", F.explode(periods)), (*keys, "period"), risk_free)
+    return df.where("n_days >= 2").drop("peak", "trough")
 
 
 def monthly(daily: DataFrame, keys=()) -> DataFrame:

@@ -19,15 +19,47 @@ def _out(df: DataFrame, value: Column) -> DataFrame:
     return df.select("a1", "a2", "dt", value.alias("value"))
 
 
-def correlations(bars: DataFrame, least: int = 20) -> DataFrame:
-    """a1 < a2, corr of daily returns and n, for pairs with `least` common dates.
+def joint_moments(bars: DataFrame, within: str | None = None, diagonal: bool = False, block: int = 64) -> DataFrame:
+    """within (if any), a1, a2, n, corr and cov (sample) of daily returns over common dates, for a1 < a2 of the same `within`.
 
-    The legs meet on dt and a1 < a2 alone: the work is one row for each pair and date, which is what the answer sums up.
+    Assets are dealt into blocks. A task has the returns of two blocks as matrices of dates and assets, whose products over
+    the dates that both know are all sums the moments need, so rows shuffled grow with assets x dates x blocks, not pairs.
     """
-    r = bars.select("asset", "dt", C.change("close").alias("r")).where("r is not null")
-    a, b = r.select(F.col("asset").alias("a1"), "dt", F.col("r").alias("r1")), r.select(F.col("asset").alias("a2"), "dt", F.col("r").alias("r2"))
-    met = a.join(b, "dt").where("a1 < a2").groupBy("a1", "a2").agg(F.corr("r1", "r2").alias("corr"), F.count(F.lit(1)).alias("n"))
-    return met.where(F.col("n") >= least)
+    group = F.col(within) if within else F.lit("")
+    r = bars.select(group.alias("g"), "asset", "dt", C.change("close").alias("r")).where("r is not null")
+    blocks = -(-r.select("asset").distinct().count() // block) or 1
+    dealt = r.withColumn("b", F.pmod(F.xxhash64("asset"), F.lit(blocks)).cast("int"))
+    both = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumns({"i": F.least("b", "o"), "j": F.greatest("b", "o")})
+
+    def products(part: pd.DataFrame) -> pd.DataFrame:
+        i, j = part["i"].iloc[0], part["j"].iloc[0]
+        x = part.pivot(index="dt", columns="asset", values="r")
+        of = part.drop_duplicates("asset").set_index("asset")["b"]
+        first, second = (x[[a for a in x.columns if of[a] == k]] for k in (i, j))
+        has = [(~m.isna()).to_numpy(float) for m in (first, second)]
+        own = [(m - m.mean()).fillna(0).to_numpy() for m in (first, second)]
+        n, sx, sy = has[0].T @ has[1], own[0].T @ has[1], has[0].T @ own[1]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            cov = own[0].T @ own[1] - sx * sy / n
+            vx, vy = (own[0] ** 2).T @ has[1] - sx * sx / n, has[0].T @ own[1] ** 2 - sy * sy / n
+            corr, cov = cov / np.sqrt(np.maximum(vx * vy, 0)), cov / (n - 1)
+        a, b = (np.array(m.columns, dtype=object) for m in (first, second))
+        rows, cols = np.nonzero(n > 0)
+        swap = a[rows] > b[cols]
+        out = pd.DataFrame({"g": part["g"].iloc[0], "a1": np.where(swap, b[cols], a[rows]), "a2": np.where(swap, a[rows], b[cols]), "n": n[rows, cols].astype(int), "corr": corr[rows, cols], "cov": cov[rows, cols]})
+        if i == j:
+            out = out[~swap]
+        out[["corr", "cov"]] = out[["corr", "cov"]].replace([np.inf, -np.inf], np.nan)
+        return out.astype(object).where(out.notna(), None)
+
+    found = both.groupBy("g", "i", "j").applyInPandas(products, "g string, a1 string, a2 string, n long, corr double, cov double")
+    found = found.where(F.col("a1") <= F.col("a2") if diagonal else F.col("a1") < F.col("a2"))
+    return found.withColumnRenamed("g", within) if within else found.drop("g")
+
+
+def correlations(bars: DataFrame, least: int = 20, within: str | None = None) -> DataFrame:
+    """a1 < a2, corr of daily returns and n, for pairs (of the same `within`, which is then a column) with `least` common dates."""
+    return joint_moments(bars, within).drop("cov").where(F.col("n") >= least)
 
 
 def mirrored(pairs: DataFrame) -> DataFrame:
@@ -45,9 +77,7 @@ def select_pairs(bars: DataFrame, method: str = "composite", least: float = 0.0,
 
     composite: correlation less the lag-one autocorrelation of the log price ratio; cointegration: its negative alone.
     """
-    sectors = bars.select("asset", "sector").distinct()
-    corr = correlations(bars)
-    inside = corr.join(sectors.withColumnRenamed("asset", "a1"), "a1").join(sectors.select(F.col("asset").alias("a2"), F.col("sector").alias("s2")), "a2").where("sector = s2").drop("s2")
+    inside = correlations(bars, within="sector")
     if method != "correlation_only":
         from ..sources.bars import pair_bars
 
@@ -219,6 +249,14 @@ def copula_pair(legs: DataFrame, window: int = 60, least_corr: float = 0.5, entr
     return _out(df, F.when((F.size("x") >= max(20, window - 10)) & (F.col("corr") > least_corr), score).otherwise(0.0))
 
 
+def copula_fits(legs: DataFrame, window: int = 60) -> DataFrame:
+    """a1, a2, dt, and for each family theta and the log-likelihood of the last `window` returns, with the best family."""
+    df, _ = _copula_score(_copula_windows(legs, window), 0.0)
+    best = F.greatest(*(F.col(f"fit_{f}") for f, _ in FAMILIES))
+    name = F.coalesce(*(F.when(F.col(f"fit_{f}") == best, F.lit(f)) for f, _ in FAMILIES))
+    return df.select("a1", "a2", "dt", *(x for f, t in FAMILIES for x in (F.lit(t).alias(f"theta_{f}"), F.col(f"fit_{f}"))), name.alias("family"))
+
+
 def all_legs(bars: DataFrame, change: Callable[[str], Column] = C.change) -> DataFrame:
     """pair_bars of every pair a1 < a2 of the universe."""
     leg = lambda k: bars.select(F.col("asset").alias(f"a{k}"), "dt", F.col("close").alias(f"c{k}"), change("close").alias(f"r{k}"))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import cols as C
 from ..sources.bars import calendar
+from .pairs import joint_moments
+from .timeseries import per_asset
 
 
 def tradeable(position: str, keys=("asset",)) -> Column:
@@ -25,26 +29,27 @@ def signal_backtest(bars: DataFrame, values: DataFrame, threshold: float = 0.0,
     return df.select("asset", "dt", "position", "ret", (capital * (1 + C.compound(F.col("ret"), C.so_far()))).alias("equity"))
 
 
-def quintile_weights(values: DataFrame, top: float = 0.8, bottom: float = 0.2) -> DataFrame:
-    """asset, dt, weight: equal weights long at ranks of `top` or above, short at `bottom` or below (short wins if both)."""
+def quintile_weights(values: DataFrame, top: float = 0.8, bottom: float = 0.2, least_assets: int = 1) -> DataFrame:
+    """asset, dt, weight: equal weights long at ranks of `top` or above, short at `bottom` or below (short wins if both), on
+    dates with `least_assets` values."""
     x = W.partitionBy("dt")
-    df = values.where("value is not null").withColumn("rank", C.average_rank("value"))
+    df = values.where("value is not null").withColumn("rank", C.average_rank("value")).withColumn("n", F.count(F.lit(1)).over(x)).where(F.col("n") >= least_assets)
     df = df.withColumn("short", F.col("rank") <= bottom).withColumn("long", F.col("rank") >= top)
     share = lambda c: 1.0 / F.nullif(F.sum(F.col(c).cast("int")).over(x), F.lit(0))
     weight = F.when(F.col("short"), -share("short")).when(F.col("long"), share("long"))
     return df.select("asset", "dt", weight.alias("weight")).where("weight is not null")
 
 
-def long_short_backtest(bars: DataFrame, values: DataFrame, top: float = 0.8, bottom: float = 0.2, capital: float = 1e6, same_day: bool = False) -> DataFrame:
+def long_short_backtest(bars: DataFrame, values: DataFrame, top: float = 0.8, bottom: float = 0.2, capital: float = 1e6, same_day: bool = False, halved: bool = False, least_assets: int = 1) -> DataFrame:
     """dt, ret, equity. A weight earns the asset's return of the next calendar date (none if it has no bar there).
 
-    same_day looks ahead: the weight earns the return of its own date.
+    same_day looks ahead: the weight earns the return of its own date. halved counts both sides as one capital.
     """
     days = calendar(bars)
-    held = quintile_weights(values, top, bottom).join(days, "dt").select("asset", (F.col("ci") + (0 if same_day else 1)).alias("ci"), "weight")
+    held = quintile_weights(values, top, bottom, least_assets).join(days, "dt").select("asset", (F.col("ci") + (0 if same_day else 1)).alias("ci"), "weight")
     r = bars.select("asset", "dt", C.change("close").alias("r")).join(days, "dt").select("asset", "ci", "r")
     earned = held.join(r, ["asset", "ci"]).groupBy("ci").agg(F.sum(F.col("weight") * F.coalesce("r", F.lit(0.0))).alias("ret"))
-    daily = days.join(earned, "ci", "left").select("dt", F.coalesce("ret", F.lit(0.0)).alias("ret"))
+    daily = days.join(earned, "ci", "left").select("dt", (F.coalesce("ret", F.lit(0.0)) / (2 if halved else 1)).alias("ret"))
     return equity(daily, capital)
 
 
@@ -104,26 +109,18 @@ def portfolio_vol(weights: DataFrame, cov: DataFrame) -> DataFrame:
 
 def covariances(bars: DataFrame, annual: float = 252.0) -> DataFrame:
     """a1, a2, cov of daily returns over common dates, both orders and the diagonal."""
-    r = bars.select("asset", "dt", C.change("close").alias("r")).where("r is not null")
-    a, b = r.select(F.col("asset").alias("a1"), "dt", F.col("r").alias("r1")), r.select(F.col("asset").alias("a2"), "dt", F.col("r").alias("r2"))
-    half = a.join(b, "dt").where("a1 <= a2").groupBy("a1", "a2").agg((F.covar_samp("r1", "r2") * annual).alias("cov"))
+    half = joint_moments(bars, diagonal=True).select("a1", "a2", (F.col("cov") * annual).alias("cov"))
     return half.unionByName(half.where("a1 < a2").select(F.col("a2").alias("a1"), F.col("a1").alias("a2"), "cov"))
 
 
-def vol_forecast(bars: DataFrame, decay: float = 0.94, window: int = 200, annual: float = 252.0) -> DataFrame:
-    """asset, dt, vol: root of the decayed mean of squared returns over the last `window` rows (0.94 ** 200 is 4e-6)."""
-    df = bars.select("asset", "dt", C.change("close").alias("r"))
-    squares = F.collect_list(F.struct((F.col("r") ** 2).alias("s"))).over(C.last(window))
-    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("d"))
+def vol_forecast(bars: DataFrame, decay: float = 0.94, annual: float = 252.0) -> DataFrame:
+    """asset, dt, vol: root of the decayed mean of all squared returns so far."""
 
-    def step(acc, x):
-        keep = x["s"].isNotNull()
-        return F.struct(
-            (acc["n"] * decay + F.when(keep, x["s"]).otherwise(0.0)).alias("n"), (acc["d"] * decay + F.when(keep, 1.0).otherwise(0.0)).alias("d")
-        )
+    def f(part: pd.DataFrame) -> np.ndarray:
+        squares = part["close"].pct_change(fill_method=None) ** 2
+        return np.sqrt(squares.ewm(alpha=1 - decay).mean() * annual).astype(object).where(lambda v: v.notna(), None)
 
-    total = F.aggregate(squares, start, step)
-    return df.select("asset", "dt", total.alias("t")).select("asset", "dt", F.sqrt(C.div(F.col("t.n"), F.nullif(F.col("t.d"), F.lit(0.0))) * annual).alias("vol"))
+    return per_asset(bars, ["close"], f).withColumnRenamed("value", "vol")
 
 
 def risk_report(positions: DataFrame) -> DataFrame:

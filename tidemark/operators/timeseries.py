@@ -34,35 +34,42 @@ def per_asset(bars: DataFrame, columns: list[str], f: Callable[[pd.DataFrame], n
     return bars.select("asset", "dt", *columns).groupBy("asset").applyInPandas(run, VALUE)
 
 
-def hurst(prices: np.ndarray) -> float:
-    """R/S exponent of one window of prices."""
-    r = np.diff(np.log(prices))
-    n = len(r)
-    if n < 10:
-        return 0.5
-    points = []
-    for k in range(2, int(np.log2(n)) + 1):
-        size = 2**k
-        seg = r[: n // size * size].reshape(-1, size)
-        dev = np.cumsum(seg - seg.mean(axis=1, keepdims=True), axis=1)
-        s = seg.std(axis=1, ddof=1)
+def hurst(prices: np.ndarray) -> np.ndarray:
+    """R/S exponent of each window of prices [n, window]; 0.5 where it isn't defined."""
+    r = np.diff(np.log(prices), axis=1)
+    n, length = r.shape
+    out = np.full(n, 0.5)
+    if length < 10:
+        return out
+    sizes = 2 ** np.arange(2, int(np.log2(length)) + 1)
+    y = np.full((n, len(sizes)), np.nan)
+    for k, size in enumerate(sizes):
+        seg = r[:, : length // size * size].reshape(n, -1, size)
+        dev = np.cumsum(seg - seg.mean(axis=2, keepdims=True), axis=2)
+        s = seg.std(axis=2, ddof=1)
         ok = s > 1e-10
-        if ok.any() and (rs := ((dev.max(axis=1) - dev.min(axis=1))[ok] / s[ok]).mean()) > 0:
-            points.append((np.log(size), np.log(rs)))
-    if len(points) < 2:
-        return 0.5
-    x, y = np.array(points).T
-    den = len(x) * (x * x).sum() - x.sum() ** 2
-    return 0.5 if abs(den) < 1e-10 else float(np.clip((len(x) * (x * y).sum() - x.sum() * y.sum()) / den, 0, 1))
+        ratio = np.divide(dev.max(axis=2) - dev.min(axis=2), s, out=np.zeros_like(s), where=ok).sum(axis=1)
+        rs = np.divide(ratio, ok.sum(axis=1), out=np.zeros(n), where=ok.any(axis=1))
+        y[rs > 0, k] = np.log(rs[rs > 0])
+    has = ~np.isnan(y)
+    x, y, m = np.where(has, np.log(sizes), 0), np.where(has, y, 0), has.sum(axis=1)
+    den = m * (x * x).sum(axis=1) - x.sum(axis=1) ** 2
+    sound = (m >= 2) & (np.abs(den) >= 1e-10)
+    slope = (m * (x * y).sum(axis=1) - x.sum(axis=1) * y.sum(axis=1))[sound] / den[sound]
+    out[sound] = np.clip(slope, 0, 1)
+    return out
 
 
-def hurst_exponent(bars: DataFrame, window: int = 100, scale: float = 2.0, return_raw: bool = False) -> DataFrame:
+def hurst_exponent(bars: DataFrame, window: int = 100, scale: float = 2.0, return_raw: bool = False, block: int = 4096) -> DataFrame:
+    """All windows of an asset together, `block` of them at a time."""
+
     def f(part: pd.DataFrame) -> np.ndarray:
         c = part["close"].to_numpy()
         out = np.full(len(c), 0.0)
-        for i in range(window - 1, len(c)):
-            h = hurst(c[i - window + 1 : i + 1])
-            out[i] = h if return_raw else np.clip((h - 0.5) * scale, -1, 1) if window > 10 else 0.0
+        if len(c) >= window and (return_raw or window > 10):
+            rows = np.lib.stride_tricks.sliding_window_view(c, window)
+            h = np.concatenate([hurst(rows[lo : lo + block]) for lo in range(0, len(rows), block)])
+            out[window - 1 :] = h if return_raw else np.clip((h - 0.5) * scale, -1, 1)
         return out
 
     return per_asset(bars, ["close"], f)
@@ -177,10 +184,11 @@ def duvol(bars: DataFrame, period: int = 150, demean: bool = False) -> DataFrame
     return _out(df, C.signal(F.when(ratio > 0, F.ln(ratio)), max(period + 20, 200), lo=-5, hi=5))
 
 
-def runs_test(bars: DataFrame, runs_window: int = 10, ma_window: int = 60, z_threshold: float = 1.959963984540054) -> DataFrame:
-    """Too few or too many runs of ups and downs: go with the average's direction."""
+def runs_test(bars: DataFrame, runs_window: int = 10, ma_window: int = 60, z_threshold: float = 1.959963984540054, digits: int | None = None) -> DataFrame:
+    """Too few or too many runs of ups and downs: go with the average's direction. digits: of the average, all if None."""
     n = runs_window
-    df = bars.select("asset", "dt", F.coalesce((C.change("close") >= 0).cast("int"), F.lit(0)).alias("b"), F.round(C.mean("close", ma_window), 9).alias("ma"))
+    average = C.mean("close", ma_window) if digits is None else F.round(C.mean("close", ma_window), digits)
+    df = bars.select("asset", "dt", F.coalesce((C.change("close") >= 0).cast("int"), F.lit(0)).alias("b"), average.alias("ma"))
     df = df.withColumn("turn", (F.col("b") != C.lag("b")).cast("int")).withColumn("rising", F.col("ma") > C.lag("ma"))
     df = df.withColumn("n1", F.sum("b").over(C.last(n))).withColumn("runs", 1 + F.coalesce(F.sum("turn").over(C.last(n - 1)), F.lit(0)))
     both = 2.0 * F.col("n1") * (n - F.col("n1"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cols as C
-from ..operators import combine, crosssection, metrics, normalize, pairs, portfolio, simulate, timeseries
+from ..operators import combine, crosssection, metrics, normalize, pairs, portfolio, report, timeseries
 from ..sources import bars as B
 from . import sql as S
 
@@ -143,10 +143,36 @@ TS_SQL = {
     ),
     "VCRRTimeSeriesFactor": S.query(value(S.guarded(f"greatest(-3, least(3, (d - {S.full('avg({})', 'd', 20)}) / ({S.full('stddev_samp({})', 'd', 20)} + 1e-10))) / 3", 40), "(SELECT asset, dt, i, amount / (volume + 1e-10) - close AS d FROM rets)")),
 }
+_prices = f"(SELECT *, list(close) {S.w(60)} AS l FROM rets)"
+_times = lambda weights: "list_dot_product(l, " + repr([float(x) for x in weights]) + "::DOUBLE[])"
+_spread = "[" + ", ".join(_times(w) for w in timeseries.kalman_weights(60, 1e-5, 1e-3)[-20:]) + "]"
+TS_SQL["KalmanFilterDeviation"] = S.query(
+    value("CASE WHEN i >= 60 AND list_stddev_pop(e) >= 1e-10 THEN round(greatest(-5, least(5, (e[20] - list_avg(e)) / list_stddev_pop(e))), 6) ELSE 0 END", "kd"),
+    f"kd AS (SELECT asset, dt, i, CASE WHEN i >= 60 THEN {_spread} END AS e FROM {_prices})",
+)
+TS_SQL["KalmanTrendFollower"] = S.query(value(f"CASE WHEN i >= 60 AND abs(list_avg(l)) >= 1e-10 THEN round(greatest(-1, least(1, {_times(timeseries.trend_weights(60, 1e-4, 1e-2))} * 100 / list_avg(l))), 6) ELSE 0 END", _prices))
+
+
+def _decayed(c: str, keep: float, frm: str) -> str:
+    """Weighted mean of all values of c so far, whose weights shrink with each row, of every row of an asset."""
+    return f"SELECT x.asset, x.i, sum(y.{c} * pow({keep!r}, x.i - y.i)) / sum(pow({keep!r}, x.i - y.i)) FILTER (y.{c} IS NOT NULL) AS m FROM {frm} x JOIN {frm} y ON x.asset = y.asset AND y.i <= x.i GROUP BY 1, 2"
+
+
+TS_SQL["AMIHUDFactor"] = S.query(
+    "SELECT asset, dt, CASE WHEN i >= 50 THEN round(coalesce(greatest(-5, least(5, s.m / (g.m + 1e-10))), 0), 6) ELSE 0 END AS value FROM il JOIN s USING (asset, i) JOIN g USING (asset, i)",
+    "il AS (SELECT asset, dt, i, r / (amount + 1e-10) AS a FROM rets)", f"s AS ({_decayed('a', 1 - 2 / 3, 'il')})", f"g AS ({_decayed('a', 1 - 2 / 10, 'il')})",
+)
+TS = {**TS, "RunsTestFactor": lambda b: timeseries.runs_test(b, digits=9)}  # nine digits of the average in both engines
 for _k, (_name, _f) in enumerate(TS.items(), 1):
     add(f"ts_T{_k}", on_bars(_f), TS_SQL.get(_name))
-add("ts_T12_sma", on_bars(lambda b: timeseries.ma_crossover(b, kind="SMA")))
-add("ts_T12_ema", on_bars(lambda b: timeseries.ma_crossover(b, kind="EMA")))
+_cross = TS_SQL["MACrossoverInnovationFactor"]
+_ema = lambda n: f"SELECT x.asset, x.i, sum(y.close * pow({1 - 2 / (n + 1)!r}, x.i - y.i) * CASE WHEN y.i = 1 THEN 1 ELSE {2 / (n + 1)!r} END) AS m FROM rets x JOIN rets y ON x.asset = y.asset AND y.i <= x.i GROUP BY 1, 2"
+add("ts_T12_sma", on_bars(lambda b: timeseries.ma_crossover(b, kind="SMA")), _cross.replace(_wma(10), S.full("avg({})", "close", 10)).replace(_wma(20), S.full("avg({})", "close", 20)))
+add(
+    "ts_T12_ema",
+    on_bars(lambda b: timeseries.ma_crossover(b, kind="EMA")),
+    _cross.replace(f"SELECT asset, dt, i, close, {_wma(10)} AS f, {_wma(20)} AS s FROM rets", f"SELECT asset, dt, i, close, f.m AS f, s.m AS s FROM rets JOIN ({_ema(10)}) f USING (asset, i) JOIN ({_ema(20)}) s USING (asset, i)"),
+)
 add("ts_T12_llt", on_bars(lambda b: timeseries.ma_crossover(b, kind="LLT")))
 
 # --- cross-sectional factors ------------------------------------------------------------------------------------------
@@ -190,7 +216,16 @@ XS_SQL = {
 }
 for _k, (_name, _f) in enumerate(XS.items(), 1):
     add(f"xs_X{_k}", on_bars(_f), XS_SQL.get(_name))
-add("xs_long_short", on_bars(lambda b: crosssection.long_short(crosssection.composite_momentum(b, window=60))))
+add(
+    "xs_long_short",
+    on_bars(lambda b: crosssection.long_short(crosssection.composite_momentum(b, window=60))),
+    S.query(
+        "SELECT asset, dt, sv::INT AS side FROM (SELECT *, row_number() OVER (PARTITION BY dt, sv ORDER BY abs(value) DESC, asset) AS k, greatest(1, floor(count(*) OVER (PARTITION BY dt, sv) * 0.2)) AS n FROM (SELECT *, sign(value) AS sv FROM v WHERE value <> 0)) WHERE k <= n",
+        f"x AS (SELECT *, sign(raw) AS sg FROM (SELECT asset, dt, close / {S.lag('close', 60)} - 1 AS raw FROM bars) WHERE raw IS NOT NULL)",
+        f"y AS (SELECT *, {S.pct_rank('raw', 'dt, sg')} AS pr FROM x)",
+        "v AS (SELECT asset, dt, CASE WHEN sg > 0 THEN CASE WHEN pr >= 0.6 THEN 0.5 + 0.5 * (pr - 0.6) / 0.4 ELSE 0.25 * pr END WHEN sg < 0 THEN CASE WHEN pr <= 0.4 THEN -0.5 - 0.5 * (0.4 - pr) / 0.4 ELSE -0.25 * (1 - pr) END ELSE 0 END AS value FROM y)",
+    ),
+)
 
 # --- pairs ------------------------------------------------------------------------------------------------------------
 _pk = "a1, a2"
@@ -206,7 +241,17 @@ add(
     on_bars(lambda b: pairs.select_pairs(b, "correlation_only", least=-1.0, top=2)),
     S.query("SELECT sector, a1, a2, round(corr, 6) AS score FROM (SELECT cr.*, s1.sector, row_number() OVER (PARTITION BY s1.sector ORDER BY corr DESC, a1, a2) AS k FROM cr JOIN sec s1 ON s1.asset = a1 JOIN sec s2 ON s2.asset = a2 WHERE s1.sector = s2.sector) WHERE k <= 2", _corr, "sec AS (SELECT DISTINCT asset, sector FROM bars)"),
 )
-add("select_pairs_composite", on_bars(lambda b: pairs.select_pairs(b, "composite", least=-1.0)))
+add(
+    "select_pairs_composite",
+    on_bars(lambda b: pairs.select_pairs(b, "composite", least=-1.0)),
+    S.query(
+        "SELECT sector, a1, a2, round(score, 6) AS score FROM (SELECT s1.sector, cr.a1, cr.a2, corr - rho AS score, row_number() OVER (PARTITION BY s1.sector ORDER BY corr - rho DESC, cr.a1, cr.a2) AS k FROM cr JOIN ac ON ac.a1 = cr.a1 AND ac.a2 = cr.a2 JOIN sec s1 ON s1.asset = cr.a1 JOIN sec s2 ON s2.asset = cr.a2 WHERE s1.sector = s2.sector) WHERE k = 1",
+        _corr, "sec AS (SELECT DISTINCT asset, sector FROM bars)",
+        "lg AS (SELECT x.asset AS a1, y.asset AS a2, x.dt, ln(x.close / y.close) AS x FROM bars x JOIN bars y ON x.dt = y.dt AND x.asset < y.asset)",
+        f"ac AS (SELECT a1, a2, corr(x, px) AS rho FROM (SELECT *, {_lagp('x')} AS px FROM lg) GROUP BY 1, 2)",
+    ),
+)
+add("close_table", on_bars(lambda b: B.close_table(b, [a for p in B.PAIRS for a in p])), S.query("SELECT * FROM (SELECT dt, " + ", ".join(f"round(avg(close) FILTER (asset = '{a}'), 6) AS \"{a}\"" for p in B.PAIRS for a in p) + " FROM bars GROUP BY dt) WHERE " + " AND ".join(f'"{a}" IS NOT NULL' for p in B.PAIRS for a in p)))
 PAIR_SQL = {
     "TrendFollowingPairFactor": S.query(
         "SELECT a1, a2, dt, " + S.guarded(f"10 * (f - s) / s + 5 * (f - {_lagp('f', 4)}) / {_lagp('f', 4)}", 35, -1, 1) + " AS value FROM t",
@@ -226,6 +271,7 @@ for _k, (_name, _f) in enumerate(pairs.FACTORS.items(), 1):
         add(f"pair_R{_k}_all", on_all_pairs(_f), S.of_all_pairs(PAIR_SQL[_name]))
 add("pair_R1", on_bars(pairs.copula_universe))
 add("pair_R2_universe", on_bars(pairs.trend_universe))
+add("pair_R10", on_all_pairs(pairs.copula_fits))
 add("pair_R3", on_all_pairs(pairs.kalman_pair))
 add("pair_R3_rule2", on_all_pairs(lambda p: pairs.kalman_pair(p, rule=2)))
 add("pair_R3_rule3", on_all_pairs(lambda p: pairs.kalman_pair(p, rule=3)))
@@ -271,7 +317,22 @@ add(
         f"a AS ({_t4})", f"b AS ({_t15})", f"c AS ({_x1})",
     ),
 )
-add("combine_scopes", on_bars(lambda b: combine.scope_means(_factor_values(b))))
+_abc = (f"a AS ({_t4})", f"b AS ({_t15})", f"c AS ({_x1})")
+_mean = "CASE WHEN c.value IS NULL THEN (a.value + b.value) / 2 ELSE (a.value + b.value + c.value) / 3 END"
+add("combine_scopes", on_bars(lambda b: combine.scope_means(_factor_values(b))), S.query(f"SELECT asset, dt, round({_mean}, 6) AS common, NULL::DOUBLE AS idiosyncratic FROM a JOIN b USING (asset, dt) LEFT JOIN c USING (asset, dt)", *_abc))
+add(
+    "combine_categories",
+    on_bars(lambda b: combine.combined(_factor_values(b)).select("asset", "dt", F.explode("breakdown").alias("category", "mean"))),
+    S.query("SELECT asset, dt, 'time_series/liquidity' AS category, round(value, 6) AS mean FROM a UNION ALL SELECT asset, dt, 'time_series/volume', round(value, 6) FROM b UNION ALL SELECT asset, dt, 'cross_sectional/momentum', round(value, 6) FROM c", *_abc),
+)
+add(
+    "xs_signals",
+    on_bars(lambda b: crosssection.mean_signals(_factor_values(b).withColumn("value", F.round("value", 9)))),
+    S.query(
+        "SELECT asset, dt, CASE WHEN n > 1 THEN round((k - 1)::DOUBLE / (n - 1) * 2 - 1, 6) ELSE 0 END AS value FROM (SELECT *, row_number() OVER (PARTITION BY dt ORDER BY m, asset) AS k, count(*) OVER (PARTITION BY dt) AS n FROM mm)",
+        *_abc, f"mm AS (SELECT asset, dt, {_mean.replace('a.value', 'round(a.value, 9)').replace('b.value', 'round(b.value, 9)').replace('+ c.value', '+ round(c.value, 9)')} AS m FROM a JOIN b USING (asset, dt) LEFT JOIN c USING (asset, dt))",
+    ),
+)
 
 # --- portfolios and metrics -------------------------------------------------------------------------------------------
 _mom = lambda b: crosssection.series_momentum(b, window=20)
@@ -297,7 +358,11 @@ _xs_daily = [
 _xs_build = on_bars(lambda b: portfolio.long_short_backtest(b, crosssection.volatility(b)))
 QUERIES["bt_xs"] = lambda s, d: _xs_build(s, d).select("dt", (F.round("ret", 6) + 0.0).alias("ret"), F.round("equity", 2).alias("equity"))
 ORACLE_SQL["bt_xs"] = unsigned_zero(S.query("SELECT dt, round(ret, 6) AS ret, round(1e6 * exp(sum(ln(1 + ret)) OVER (ORDER BY dt)), 2) AS equity FROM dl", *_xs_daily))
-add("bt_xs_same_day", on_bars(lambda b: portfolio.long_short_backtest(b, crosssection.volatility(b), same_day=True).select("dt", "ret")))
+add(
+    "bt_xs_same_day",
+    on_bars(lambda b: portfolio.long_short_backtest(b, crosssection.volatility(b), same_day=True, halved=True, least_assets=3).select("dt", "ret")),
+    S.query("SELECT cal.dt, round(coalesce(sum(weight * coalesce(r, 0)) FILTER (n >= 3) / 2, 0), 6) AS ret FROM cal LEFT JOIN (SELECT wt.*, count(*) OVER (PARTITION BY dt) AS n FROM wt) w ON w.dt = cal.dt AND weight IS NOT NULL LEFT JOIN rets ON rets.asset = w.asset AND rets.dt = w.dt GROUP BY cal.dt", *_xs_daily),
+)
 add("xs_weights", on_bars(lambda b: portfolio.quintile_weights(crosssection.volatility(b))), S.query("SELECT asset, dt, round(weight, 6) AS weight FROM wt WHERE weight IS NOT NULL", *_xs_daily))
 _pair_bt = on_pairs(lambda p: portfolio.pair_backtest(p, pairs.style_momentum(p)))
 QUERIES["bt_pair"] = lambda s, d: _pair_bt(s, d).select("a1", "a2", "dt", "position", (F.round("ret", 6) + 0.0).alias("ret"), F.round("equity", 2).alias("equity"))
@@ -314,11 +379,40 @@ _perf = (
     "round((pow(exp(sum(ln(1 + ret))), 252.0 / count(ret)) - 1) / nullif(stddev_samp(ret) FILTER (ret < 0) * sqrt(252), 0), 6) AS sortino, "
     "sum((ret > 0)::INT)::BIGINT AS win_days, sum((ret < 0)::INT)::BIGINT AS loss_days"
 )
-_dd = ["ev AS (SELECT *, exp(sum(ln(1 + ret)) OVER (ORDER BY dt)) AS e FROM dl)", "dv AS (SELECT *, e / greatest(max(e) OVER (ORDER BY dt), 1) - 1 AS d FROM ev)"]
-_total = S.query(_perf.format(k="") + ", round(-least(min(d), 0), 6) AS max_drawdown, arg_min(dt, d) AS trough, round((pow(exp(sum(ln(1 + ret))), 252.0 / count(ret)) - 1) / nullif(-least(min(d), 0), 0), 6) AS calmar FROM dv", *_xs_daily, *_dd)
+_dd = ["ev AS (SELECT *, exp(sum(ln(1 + ret)) OVER (ORDER BY dt)) AS e FROM dl)", "dv AS (SELECT *, e / greatest(max(e) OVER (ORDER BY dt), 1) - 1 AS d, arg_max(dt, row(e, -epoch(dt))) OVER (ORDER BY dt) AS pk FROM ev)"]
+_total = S.query(_perf.format(k="") + ", round(-least(min(d), 0), 6) AS max_drawdown, arg_min(pk, d) AS peak, arg_min(dt, d) AS trough, round((pow(exp(sum(ln(1 + ret))), 252.0 / count(ret)) - 1) / nullif(-least(min(d), 0), 0), 6) AS calmar FROM dv", *_xs_daily, *_dd)
 add("perf_total", lambda s, d: metrics.performance(_xs_build(s, d).select("dt", "ret")), _total)
 add("bt_xs_volatility", lambda s, d: metrics.performance(_xs_build(s, d).select("dt", "ret")), _total)
-add("perf_yearly", lambda s, d: metrics.yearly(_xs_build(s, d).select("dt", "ret")), S.query(f"SELECT * FROM ({_perf.format(k='year(dt)::VARCHAR AS period,')} FROM dl GROUP BY 1 UNION ALL {_perf.format(k=chr(39) + 'Total' + chr(39) + ' AS period,')} FROM dl) WHERE n_days >= 2", *_xs_daily))
+_period = [
+    "pd AS (SELECT dt, ret, unnest([year(dt)::VARCHAR, 'Total']) AS period FROM dl)",
+    "pe AS (SELECT *, exp(sum(ln(1 + ret)) OVER (PARTITION BY period ORDER BY dt)) AS e FROM pd)",
+    "pq AS (SELECT *, e / greatest(max(e) OVER (PARTITION BY period ORDER BY dt), 1) - 1 AS d FROM pe)",
+]
+_worst = ", round(-least(min(d), 0), 6) AS max_drawdown, round((pow(exp(sum(ln(1 + ret))), 252.0 / count(ret)) - 1) / nullif(-least(min(d), 0), 0), 6) AS calmar"
+add("perf_yearly", lambda s, d: metrics.yearly(_xs_build(s, d).select("dt", "ret")), S.query(f"SELECT * FROM ({_perf.format(k='period,')}{_worst} FROM pq GROUP BY period) WHERE n_days >= 2", *_xs_daily, *_period))
+_report = lambda s, d: report.summary(_xs_build(s, d).select("dt", "equity"), "single_factor_xs", ["VolatilityFactor"], start="1992-01-01", end="1998-12-31", at="2000-01-01 00:00:00")
+_curve = [
+    "cu AS (SELECT dt, exp(sum(ln(1 + ret)) OVER (ORDER BY dt)) AS e, unnest([year(dt)::VARCHAR, 'Total']) AS \"Year\" FROM dl)",
+    'cr AS (SELECT *, e / lag(e) OVER (PARTITION BY "Year" ORDER BY dt) - 1 AS r, 1 - e / max(e) OVER (PARTITION BY "Year" ORDER BY dt) AS dd FROM cu)',
+    'cm AS (SELECT "Year", count(r) AS n, arg_max(e, dt) / arg_min(e, dt) - 1 AS t, stddev_samp(r) * sqrt(252) AS v, stddev_samp(r) FILTER (r < -1e-12) * sqrt(252) AS b, max(dd) AS m, sum((r > 1e-12)::INT) / count(r)::DOUBLE AS wr FROM cr GROUP BY "Year" HAVING count(r) >= 1)',
+    "ca AS (SELECT *, pow(1 + t, 252.0 / n) - 1 AS a FROM cm)",
+]
+add(
+    "summary_report",
+    _report,
+    S.query(
+        "SELECT '2000-01-01 00:00:00' AS \"Backtest_Time\", '截面' AS \"Dimension\", 'Common' AS \"Factor_Layer_1\", 'volatility' AS \"Factor_Layer_2\", '' AS \"Asset_Pool\", '单因子-截面' AS \"Backtest_Type\", 'VolatilityFactor' AS \"Factor_Name\", \"Year\", round(a, 6) AS \"Annualized_Return\", round(v, 6) AS \"Volatility\", round(coalesce(a / nullif(v, 0), 0), 6) AS \"Sharpe_Ratio\", round(coalesce(a / nullif(m, 0), 0), 6) AS \"Calmar_Ratio\", round(m, 6) AS \"Max_Drawdown\", round(wr, 6) AS \"Win_Rate\", round(coalesce(a / nullif(b, 0), 0), 6) AS \"Sortino_Ratio\", round(t, 6) AS \"Total_Return\", n AS \"Trading_Days\", '1992-01-01' AS \"Start_Date\", '1998-12-31' AS \"End_Date\", '' AS \"Config_Path\", '2000-01-01 00:00:00' AS \"Generated_At\" FROM ca",
+        *_xs_daily, *_curve,
+    ),
+)
+add(
+    "summary_totals",
+    lambda s, d: report.totals(_report(s, d)),
+    S.query(
+        "SELECT kd AS \"Dimension\", kb AS \"Backtest_Type\", 1::BIGINT AS runs, round(coalesce(a / nullif(v, 0), 0), 6) AS avg_sharpe, round(a, 6) AS avg_return, round(m, 6) AS avg_max_dd FROM ca, (VALUES ('截面', '单因子-截面'), ('截面', NULL), (NULL, '单因子-截面'), (NULL, NULL)) k(kd, kb) WHERE \"Year\" = 'Total'",
+        *_xs_daily, *_curve,
+    ),
+)
 add("drawdown", lambda s, d: metrics.drawdowns(_xs_build(s, d).select("dt", "ret")), S.query("SELECT dt, round(e, 6) AS equity, round(max(e) OVER (ORDER BY dt), 6) AS peak, round(e / max(e) OVER (ORDER BY dt) - 1, 6) AS drawdown FROM ev", *_xs_daily, _dd[0]))
 add("monthly_table", lambda s, d: metrics.monthly(_xs_build(s, d).select("dt", "ret")), S.query("SELECT year(dt) AS year, " + ", ".join(f"round(exp(sum(ln(1 + ret)) FILTER (month(dt) = {m})) - 1, 6) AS m{m}" for m in range(1, 13)) + " FROM dl GROUP BY 1", *_xs_daily))
 add("var_cvar", lambda s, d: metrics.var_cvar(_xs_build(s, d).select("dt", "ret")), S.query("SELECT round(-any_value(q), 6) AS var, round(-avg(ret) FILTER (ret <= q), 6) AS cvar FROM (SELECT ret, quantile_cont(ret, 0.05) OVER () AS q FROM dl)", *_xs_daily))
@@ -337,7 +431,7 @@ _ic_build = on_bars(lambda b: metrics.daily_ic(_mom(b), b))
 add("ic_daily", _ic_build, S.query("SELECT dt, period, round(ic, 6) AS ic FROM ic", *_ic))
 add("ic_metrics", lambda s, d: metrics.ic_summary(_ic_build(s, d)), S.query("SELECT period, count(ic) AS n, round(avg(ic), 6) AS ic_mean, round(stddev_pop(ic), 6) AS ic_std, round(avg(ic) / nullif(stddev_pop(ic), 0), 6) AS ir, round(avg(ic) / nullif(stddev_pop(ic), 0) * sqrt(count(ic)), 6) AS t FROM ic GROUP BY period HAVING count(ic) >= 10", *_ic))
 
-# --- allocation and simulation ----------------------------------------------------------------------------------------
+# --- allocation and risk ------------------------------------------------------------------------------------------------
 _pv = f"pv AS (SELECT a1, a2, dt, {S.full('stddev_samp({})', 'dx', 20, _pk, 10)} * sqrt(252) AS vol FROM (SELECT *, x / {_lagp('x')} - 1 AS dx FROM (SELECT *, c1 / c2 AS x FROM legs)))"
 add("alloc_volparity", on_pairs(lambda p: portfolio.allocation(portfolio.pair_volatility(p), "volatility_parity")), S.query("SELECT a1, a2, dt, round(vol, 6) AS vol, round(1 / vol / sum(1 / vol) OVER (PARTITION BY dt), 6) AS share FROM pv", _pv, pairs=True))
 add("alloc_equal", on_pairs(lambda p: portfolio.allocation(portfolio.pair_volatility(p), "equal")), S.query("SELECT a1, a2, dt, round(vol, 6) AS vol, round(1.0 / count(*) OVER (PARTITION BY dt), 6) AS share FROM pv", _pv, pairs=True))
@@ -352,17 +446,6 @@ for _name, _build in (("alloc_volparity", _shares("volatility_parity")), ("alloc
 add("inverse_vol_weights", on_bars(portfolio.inverse_vol_weights), S.query("SELECT asset, dt, round(vol, 6) AS vol, round(1 / vol / sum(1 / vol) OVER (PARTITION BY dt), 6) AS weight FROM iv", f"iv AS (SELECT asset, dt, coalesce(nullif({S.full('stddev_samp({})', 'r', 20, 'asset', 10)} * sqrt(252), 0), 0.15) AS vol FROM rets)"))
 
 
-def _prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = B.daily_bars(spark, sf_dir)
-    legs = B.pair_bars(b, pairs.select_pairs(b).select("a1", "a2"))
-    signals = pairs.trend_following(legs).select(F.lit("trend").alias("strategy"), "a1", "a2", "dt", "value").unionByName(pairs.kalman_pair(legs).select(F.lit("kalman").alias("strategy"), "a1", "a2", "dt", "value"))
-    return simulate.features(b, signals.select("strategy", "a1", "a2", "dt", F.signum("value").alias("signal"), F.abs("value").alias("strength")))
-
-
-add("sim_pair_equity", lambda s, d: simulate.simulated(_prepared(s, d)))
-add("sim_pair_trades", lambda s, d: simulate.trades(_prepared(s, d)))
-add("sim_pair_performance", lambda s, d: metrics.performance(simulate.simulated(_prepared(s, d)).select("strategy", "dt", "ret"), ["strategy"]))
-
 add("covariances", on_bars(portfolio.covariances), S.query("SELECT a1, a2, round(cov, 6) AS cov FROM (SELECT x.asset AS a1, y.asset AS a2, covar_samp(x.r, y.r) * 252 AS cov FROM rets x JOIN rets y USING (dt) WHERE x.r IS NOT NULL AND y.r IS NOT NULL GROUP BY 1, 2)"))
 add(
     "portfolio_vol",
@@ -374,7 +457,7 @@ add(
         "cv AS (SELECT x.asset AS a1, y.asset AS a2, covar_samp(x.r, y.r) * 252 AS cov FROM rets x JOIN rets y USING (dt) WHERE x.r IS NOT NULL AND y.r IS NOT NULL GROUP BY 1, 2)",
     ),
 )
-add("vol_forecast", on_bars(portfolio.vol_forecast))
+add("vol_forecast", on_bars(portfolio.vol_forecast), S.query("SELECT asset, dt, round(sqrt(m * 252), 6) AS vol FROM rets JOIN f USING (asset, i)", "sq AS (SELECT asset, i, r * r AS s FROM rets)", f"f AS ({_decayed('s', 0.94, 'sq')})"))
 add(
     "risk_report",
     on_bars(lambda b: portfolio.risk_report(portfolio.quintile_weights(crosssection.volatility(b)).withColumnRenamed("weight", "value"))),

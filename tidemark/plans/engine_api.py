@@ -9,12 +9,12 @@ from enum import Enum
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import combine, crosssection, metrics, pairs, portfolio, simulate, timeseries
+from ..operators import combine, crosssection, metrics, pairs, portfolio, report, timeseries
 from ..sources import bars as B
 
 
 class Mode(Enum):
-    """What a task runs: one or several factors on assets one by one, across assets, on pairs, or the pair simulator."""
+    """What a task runs: one or several factors on assets one by one, across assets or on pairs."""
 
     SINGLE_TS = "single_factor_single_asset_ts"
     MULTI_TS = "multi_factor_single_asset_ts"
@@ -22,7 +22,6 @@ class Mode(Enum):
     SINGLE_XS = "single_factor_xs"
     MULTI_XS = "multi_factor_xs"
     PAIR = "pair_factor"
-    PAIR_TRADING = "pair_trading"
 
 
 @dataclass
@@ -137,7 +136,7 @@ class Engine:
 
     def run(self, task: Task) -> Result:
         bars = self._bars(task)
-        if task.mode in (Mode.PAIR, Mode.PAIR_TRADING):
+        if task.mode == Mode.PAIR:
             return self._pairs(task, bars)
         values = self.values(task, bars)
         if len(task.factors) == 1:
@@ -156,11 +155,12 @@ class Engine:
         legs = B.pair_bars(bars, listed)
         name = task.factors[0]
         values = KINDS["pair_trading"][name](legs, **task.params.get(name, {})).select("a1", "a2", "dt", "value")
-        if task.mode == Mode.PAIR:
-            return self._result(values, self._range(portfolio.pair_backtest(legs, values, capital=task.capital), task), ("a1", "a2"))
-        signals = self._range(values, task).select(F.lit(name).alias("strategy"), "a1", "a2", "dt", F.signum("value").alias("signal"), F.abs("value").alias("strength"))
-        prepared, rules = simulate.features(bars, signals), simulate.Rules(capital=task.capital)
-        return self._result(values, simulate.simulated(prepared, rules), ("strategy",), simulate.trades(prepared, rules))
+        return self._result(values, self._range(portfolio.pair_backtest(legs, values, capital=task.capital), task), ("a1", "a2"))
+
+    def report(self, task: Task, result: Result, config: str = "") -> DataFrame:
+        """Summary rows of a run that has one equity curve."""
+        names = [f"{a}-{b}" for a, b in task.pairs] or task.assets
+        return report.summary(result.daily.select("dt", "equity"), task.mode.value, task.factors, names, task.start or "", task.end or "", config)
 
     def _result(self, values: DataFrame, daily: DataFrame, keys: tuple, trades: DataFrame | None = None) -> Result:
         rets = daily.select(*keys, "dt", "ret")

@@ -133,6 +133,11 @@ def pair_list(spark: SparkSession, pairs=PAIRS) -> DataFrame:
     return spark.createDataFrame(list(pairs), "a1 string, a2 string")
 
 
+def close_table(bars: DataFrame, assets: list[str]) -> DataFrame:
+    """dt and the close (mean of several) of each listed asset, on dates that all have."""
+    return selected(bars, assets).groupBy("dt").pivot("asset", sorted(assets)).agg(F.avg("close")).dropna()
+
+
 def calendar(bars: DataFrame) -> DataFrame:
     """dt and its number among all dates."""
     return bars.select("dt").distinct().withColumn("ci", F.row_number().over(W.orderBy("dt")))

@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept. All but the last return the columns of
 documents; repeated rows count once from the second stage on. Further columns of docs pass through, whatever their names.
+
+Defined cases: a null or empty text is not toxic, has no near-duplicates and no personal data, and counts no words in the
+mix, which takes it as often as its source has whole epochs; texts of any length go through whole; a null doc_id stays until the end; of documents that tie
+for a group of near-duplicates the smallest doc_id stays; with empty tables every stage gives an empty table.
 """
 
 from __future__ import annotations

@@ -36,19 +36,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Numbered, Scratch, blocks, small_batches, table
+from .common import Numbered, Scratch, blocks, small_batches, table, trim
 
-BLOCK_BYTES = 16 << 20  # of text whose words are numbered together
+BLOCK_BYTES = 8 << 20  # of text whose words are numbered together
+MOST_PARTS = 50_000  # of the table of numbers, as Spark takes 100,000 buckets at most; each then has more blocks
 BUCKET_TEXT = 16 << 20  # a bucket of words for each so many bytes of text
 NONE = np.int64(1 << 40)
 
 
+@cache
+def tokens_of(path: str) -> dict[int, bytes]:
+    """Tokens by rank; read once in each Python worker."""
+    with open(path, "rb") as f:
+        return {int(rank): base64.b64decode(token) for token, rank in (line.split() for line in f if line.strip())}
+
+
 class Vocabulary:
     def __init__(self, path: str):
-        with open(path, "rb") as f:
-            pairs = [line.split() for line in f if line.strip()]
-        self.ranks = {base64.b64decode(token): int(rank) for token, rank in pairs}
-        self.tokens = {rank: token for token, rank in self.ranks.items()}
+        self.tokens = tokens_of(path)
+        self.ranks = {token: rank for rank, token in self.tokens.items()}
         self.of_byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
         merges = {}
         for token, rank in self.ranks.items():
@@ -270,6 +276,8 @@ def numbered(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
                 lists.append(packed(np.diff(order[lo:hi], prepend=0), np.array([len(w) for w in own]), np.frombuffer(b"".join(own), np.uint8)))
             out = [pa.nulls(len(lists), whole.type), pa.array([base | number] * len(lists), pa.int64()), pa.array(bucket[order][cuts[:-1]]), pa.array(lists, pa.binary())]
             yield from pa.table(out, schema.names).to_batches(max_chunksize=4096)
+            del words, distinct, lists, out
+            trim()
 
     return small_batches(docs).mapInArrow(run, schema)
 
@@ -298,7 +306,9 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = max(8, -(-size // BUCKET_TEXT))
     row = F.struct(*others) if others else F.struct(F.lit(0).alias("_"))
-    rows = scratch.write(numbered(docs.select(F.col(text).alias("text"), row.alias("_row")), pattern, buckets), "numbered", "none")
+    parts = min(MOST_PARTS, max(8, -(-size // (2 * BLOCK_BYTES))))  # partitions that don't grow with the corpus
+    # the documents' numbers stay where they are written: only words and their ids are shuffled
+    rows = scratch.write_dealt(numbered(docs.select(F.col(text).alias("text"), row.alias("_row")), pattern, buckets), "numbered", "_block", parts)
 
     def filled(block: pa.Table, own: pa.Table) -> pa.Table:
         parts = [unpacked(x) for x in own.column("_ids").to_pylist()]
@@ -312,13 +322,13 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
         sizes, words = unpacked(block.column("_data")[0].as_py())
         out = [spelled(w, ids, counts, first) for w in np.split(words, np.cumsum(sizes)[:-1])]
         added = [pa.array([len(x) for x in out], pa.int64()), pa.array([x.tobytes() for x in out], pa.binary())]
+        del out, words, parts
+        trim()
         return pa.table([block.column("_rows").combine_chunks().flatten(), *added], ["_row", "n_tokens", "ids"])
 
     schema = T.StructType([T.StructField("_row", rows.schema["_rows"].dataType.elementType), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
-    parts = max(8, -(-size // (2 * BLOCK_BYTES)))  # partitions that don't grow with the corpus
     own = spellings(rows.where("_bucket is not null").select("_bucket", "_block", "_data"), path, buckets).repartition(parts, "_of")
-    whole = rows.where("_bucket is null").drop("_bucket").repartition(parts, "_block")
-    coded = whole.groupBy("_block").cogroup(own.groupBy("_of")).applyInArrow(filled, schema)
+    coded = rows.where("_bucket is null").drop("_bucket").groupBy("_block").cogroup(own.groupBy("_of")).applyInArrow(filled, schema)
     return coded.select(*(F.col("_row")[c].alias(c) for c in others), "n_tokens", "ids")
 
 
@@ -342,8 +352,8 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = vocabulary(path).tokens
-        for block in blocks(batches, "ids", 4 << 20):
+        tokens = tokens_of(path)
+        for block in blocks(batches, "ids", 1 << 20):
             texts = [b"".join(map(tokens.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in block.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*block.columns, pa.array(texts, pa.binary())], [*block.schema.names, "decoded"])
 

@@ -68,6 +68,7 @@ class Scratch:
     """
 
     open: ClassVar[dict[str, SparkSession]] = {}
+    tables: ClassVar[list[str]] = []
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
@@ -79,6 +80,13 @@ class Scratch:
         df.write.mode("overwrite").option("compression", compression).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def write_dealt(self, df: DataFrame, name: str, key: str, parts: int) -> DataFrame:
+        """`write`, with rows in `parts` buckets by the hash of `key`, so that grouping by it needs no shuffle."""
+        table_ = f"tidemark_{self.root[-32:]}_{name}"
+        df.write.mode("overwrite").option("compression", "none").option("path", f"{self.root}/{name}").bucketBy(parts, key).saveAsTable(table_)
+        self.tables.append(table_)
+        return self.spark.table(table_)
+
     def drop(self, *names: str) -> None:
         for name in names:
             _delete(self.spark, f"{self.root}/{name}")
@@ -88,6 +96,8 @@ def release() -> None:
     """Delete the tables of all operators run so far; results that weren't written elsewhere can't be read after it."""
     while Scratch.open:
         root, spark = Scratch.open.popitem()
+        while Scratch.tables:
+            spark.sql(f"DROP TABLE IF EXISTS {Scratch.tables.pop()}")
         _delete(spark, root)
 
 

@@ -1,14 +1,17 @@
 """Operators over small tables with nulls, empty texts, ties, repeated rows, clashing columns; queries against SQL or brute force."""
 
 import hashlib
+import itertools
+import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import bpe, flac, hnsw, minhash, mixing, pii, queries, suffix_dedup, toxicity, url_filter, warc
+from tidemark.llm import bpe, common, flac, graph, hnsw, minhash, mixing, pii, queries, suffix_dedup, toxicity, url_filter, warc
 
 WORDS = "ka lo mi nu pe ra so ti vu wa".split()
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string, _row int, copies string"
@@ -72,8 +75,12 @@ def test_media(docs, rows):
 
 
 def test_bpe(docs, rows):
-    out = bpe.decode(bpe.encode(docs)).collect()
-    assert len(out) == len(rows) and all(bytes(r.decoded) == (r.text or "").encode() and len(r.ids) == 4 * r.n_tokens for r in out)
+    out = bpe.decode(bpe.encode(docs))
+    assert out.columns == [*(c for c in docs.columns if c != "text"), "n_tokens", "ids", "decoded"]
+    out = out.collect()
+    assert sorted(bytes(r.decoded) for r in out) == sorted((t or "").encode() for _, t, *_ in rows) and all(len(r.ids) == 4 * r.n_tokens for r in out)
+    again = bpe.encode(docs.withColumnRenamed("copies", "ids")).columns
+    assert again == [*(c for c in docs.columns if c not in ("text", "copies")), "n_tokens", "ids"]
     assert bpe.decode(bpe.encode(docs.where("false"))).count() == 0
 
 
@@ -126,6 +133,137 @@ def test_vectors(spark):
     assert hnsw.near_vectors(df.where("false")).count() == 0
 
 
+def test_repeated_ids_tie_their_texts(spark):
+    a, b = prose(11), prose(12)
+    rows = [(1, a), (2, a), (2, b), (3, b), (4, prose(13)), (4, prose(13))]
+    out = {(r.doc_id, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {(1, 1), (2, 1), (3, 1), (4, 4)}
+
+
+@pytest.mark.parametrize("shard", [100, 16384])
+def test_vectors_match_brute_force(spark, shard):
+    rng = np.random.default_rng(5)
+    centre = rng.normal(size=(220, 12))
+    x = np.concatenate((centre, centre[:80] + 0.08 * rng.normal(size=(80, 12)), centre[:1] + 0.02 * rng.normal(size=(100, 12)), centre[:5]))
+    label = np.append(np.zeros(220, int), np.zeros(185, int))
+    df = spark.createDataFrame([(i, [float(v) for v in row], int(k)) for i, (row, k) in enumerate(zip(x, label, strict=True))], "vec_id long, embedding array<double>, label int")
+    near = hnsw.unit(x) @ hnsw.unit(x).T >= 0.93
+    np.fill_diagonal(near, False)
+    root = np.arange(len(x))
+    for _ in range(len(x)):
+        root = np.minimum(root, np.where(near, root[None, :], len(x)).min(axis=1))
+    out = {r.vec_id: r for r in hnsw.near_vectors(df, shard=shard).collect()}
+    links = sum(r.n_links for r in out.values())
+    assert 0.98 * near.sum() <= links <= near.sum() and out[0].recall >= 0.98
+    assert sum(out[i].component_id != root[i] for i in out) <= 0.02 * len(x) and out[0].n_links >= 100
+
+
+DATA = Path("/root/testdata/sf0.001")
+
+
+@pytest.fixture(scope="module")
+def texts():
+    if not DATA.exists():
+        pytest.skip("the tables aren't here")
+    import pyarrow.parquet as pq
+
+    t = pq.read_table(DATA / "documents.parquet").to_pydict()
+    return dict(zip(t["doc_id"], t["text"], strict=True))
+
+
+def rows_of(spark, name):
+    return {r.doc_id: r for r in queries.QUERIES[name](spark, str(DATA)).collect()}
+
+
+def test_op1_matches_all_pairs(spark, texts):
+    sets = {}
+    for i, t in texts.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets[i] = {tuple(w[k : k + 3]) for k in range(max(1, len(w) - 2))} if w else set()
+    edges = [(a, b) for a, b in itertools.combinations(sorted(sets), 2) if sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    roots = graph.forest(*zip(*edges, strict=True)) if edges else {}
+    out = rows_of(spark, "op1_minhash")
+    assert {i: (r.n_shingles, r.component_id) for i, r in out.items()} == {i: (len(s), roots.get(i, i)) for i, s in sets.items()}
+
+
+def test_op6_matches_patterns(spark, texts):
+    def luhn(d):
+        return sum(v - 9 * (v > 9) for i, c in enumerate(reversed(d)) for v in [int(c) * (1 + i % 2)]) % 10 == 0
+
+    only = lambda s: re.sub("[^0-9]", "", s)
+    kinds = (
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 13 <= len(only(m)) <= 19 and luhn(only(m))),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(only(m)) <= 15),
+    )
+    out = rows_of(spark, "op6_pii")
+    seen = 0
+    for i, t in texts.items():
+        found = [(k, m.start(), m.end()) for k, p, ok in kinds for m in re.finditer(p, t or "") if ok(m[0])]
+        base = ",".join(f"{k}:{a}:{b}" for k, a, b in found)
+        r, seen = out[i], seen + len(found)
+        assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == n for n, _, _ in found) for k, _, _ in kinds]
+        assert set(base.split(",")) <= set(r.spans.split(","))
+    assert seen > 10
+
+
+def test_op7_op8_op9_match_brute_force(spark, texts):
+    import public_tokenizers as P
+    import tiktoken
+
+    reference = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.vocabulary(P.path("byte_bpe_50k.tiktoken")).ranks, special_tokens={})
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    media, cut, coded = (rows_of(spark, n) for n in ("op7_flac", "op8_suffix_array", "op9_bpe"))
+    first: dict[bytes, int] = {}
+    for i in sorted(texts):
+        b = (texts[i] or "").encode()
+        payload = b + bytes(-len(b) % 64 or (64 if not b else 0))
+        assert (media[i].n_bytes, media[i].payload_sha256, media[i].tail_crc32) == (len(b), sha(payload), zlib.crc32(payload[-64:]))
+        gone = np.zeros(len(b), bool)
+        for k in range(len(b) - 49):
+            if first.setdefault(b[k : k + 50], i) < i:
+                gone[k : k + 50] = True
+        runs = int((np.diff(gone.astype(int), prepend=0) == 1).sum())
+        assert (cut[i].n_removed, cut[i].n_spans, cut[i].kept_sha256) == (int(gone.sum()), runs, sha(np.frombuffer(b, np.uint8)[~gone].tobytes()))
+        ids = np.array(reference.encode_ordinary(texts[i] or ""), "<u4")
+        assert (coded[i].n_tokens, coded[i].ids_sha256, coded[i].decoded_sha256) == (len(ids), sha(ids.tobytes()), sha(b))
+
+
+def test_op5_learns_planted_words(spark, tmp_path):
+    rows = [(i, prose(1000 + i, 30) + (" you zorbul fool. " if i % 6 == 0 else " ") + prose(5000 + i, 30)) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, int(i % 6 == 0)) for i in range(900)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    out = [r for r in queries.QUERIES["op5_toxicity"](spark, str(tmp_path)).collect() if r.held_out]
+    toxic, clean = ([r.score for r in out if (r.doc_id % 6 == 0) is k] for k in (True, False))
+    assert len(out) == sum(zlib.crc32(str(i).encode()) % 4 == 2 for i in range(900))
+    assert np.mean([t > c for t in toxic for c in clean]) > 0.98 and np.mean([t >= 0.3 for t in toxic]) > 0.95 and np.mean([c >= 0.3 for c in clean]) < 0.05
+
+
+def test_pipeline_on_empty_tables(spark, docs, tmp_path):
+    docs.where("false").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_scratch_tables_go(spark):
+    scratch = common.Scratch(spark)
+    scratch.write(spark.range(3), "t")
+    assert Path(scratch.root.removeprefix("file://")).exists()
+    common.release()
+    assert not Path(scratch.root.removeprefix("file://")).exists() and not common.Scratch.open
+
+
+def test_hot_keys_are_split(spark):
+    rows = spark.createDataFrame([(1, i) for i in range(3000)] + [(k, k) for k in range(2, 400)] + [(None, 5)], "k long, by long")
+    sizes = rows.groupBy("k").count().withColumnRenamed("count", "n").withColumn("twice", F.col("k") * 2)
+    out = common.split_join(rows, sizes, "k", "by", 3399)
+    assert out.columns == ["k", "by", "twice"] and sorted((r.k, r.by, r.twice) for r in out.collect()) == sorted((k, b, 2 * k) for k, b in [(1, i) for i in range(3000)] + [(k, k) for k in range(2, 400)])
+    assert common.split_join(rows, sizes.where("false"), "k", "by", 3399, "left").count() == 3399
+
+
 def test_pipeline_keeps_columns(spark, docs, tmp_path):
     spark.createDataFrame([(0, 1, 0), (10, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     now = docs
@@ -140,8 +278,6 @@ def test_pipeline_keeps_columns(spark, docs, tmp_path):
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_sql(spark, name):
-    from pathlib import Path
-
     data = Path("/root/testdata/sf0.001")
     if not data.exists():
         pytest.skip("the tables aren't here")

@@ -22,8 +22,9 @@ from __future__ import annotations
 import base64
 import heapq
 import zlib
+from array import array
 from collections.abc import Iterator
-from functools import cache, cached_property
+from functools import cache
 from itertools import pairwise
 
 import numpy as np
@@ -38,7 +39,7 @@ from pyspark.sql import types as T
 
 from .common import Numbered, Scratch, blocks, small_batches, table, trim
 
-BLOCK_BYTES = 8 << 20  # of text whose words are numbered together
+BLOCK_BYTES = 4 << 20  # of text whose words are numbered together
 MOST_PARTS = 50_000  # of the table of numbers, as Spark takes 100,000 buckets at most; each then has more blocks
 BUCKET_TEXT = 16 << 20  # a bucket of words for each so many bytes of text
 NONE = np.int64(1 << 40)
@@ -56,14 +57,15 @@ class Vocabulary:
         self.tokens = tokens_of(path)
         self.ranks = {token: rank for rank, token in self.tokens.items()}
         self.of_byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
-        merges = {}
+        pairs, merged = array("q"), array("q")
         for token, rank in self.ranks.items():
             for cut in range(1, len(token)):
                 left, right = self.ranks.get(token[:cut]), self.ranks.get(token[cut:])
                 if left is not None and right is not None:
-                    merges[left << 32 | right] = rank
-        self.pairs = np.array(sorted(merges), np.int64)
-        self.merged = np.array([merges[p] for p in self.pairs.tolist()], np.int64)
+                    pairs.append(left << 32 | right)
+                    merged.append(rank)
+        order = np.argsort(np.frombuffer(pairs, np.int64))
+        self.pairs, self.merged = np.frombuffer(pairs, np.int64)[order], np.frombuffer(merged, np.int64)[order]
         sides = np.stack((self.pairs >> 32, self.pairs & 0xFFFFFFFF))
         self.early = set(sides[sides > self.merged].tolist())  # tokens that are part of a pair of lower rank
 
@@ -163,7 +165,7 @@ class Vocabulary:
             at = int(after[at])
         tokens = flat[chain].tolist()
         right, left = list(range(1, len(chain) + 1)), list(range(-1, len(chain) - 1))
-        pair = lambda i: self.ranks_of.get(tokens[i] << 32 | tokens[right[i]]) if right[i] < len(chain) else None
+        pair = lambda i: self.ranks.get(self.tokens[tokens[i]] + self.tokens[tokens[right[i]]]) if right[i] < len(chain) else None
         heap = [(r, i) for i in range(len(chain)) if (r := pair(i)) is not None]
         heapq.heapify(heap)
         gone = [False] * len(chain)
@@ -181,10 +183,6 @@ class Vocabulary:
         flat[chain], rank[start : start + size] = tokens, NONE
         live[np.array(chain)[gone]] = False
 
-    @cached_property
-    def ranks_of(self) -> dict[int, int]:
-        return dict(zip(self.pairs.tolist(), self.merged.tolist(), strict=True))
-
 
 @cache
 def vocabulary(path: str) -> Vocabulary:
@@ -237,10 +235,10 @@ def unpacked(block: bytes) -> list[np.ndarray]:
 def numbered_words(texts: list[str | None], pattern) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """How many words each text has, the numbers of all in a row, and the distinct words by number, frequent ones first."""
     index = Numbered()
-    words = [np.fromiter(map(index.__getitem__, pattern.findall(t or "")), np.int64) for t in texts]
+    words = [np.fromiter(map(index.__getitem__, pattern.findall(t or "")), np.int32) for t in texts]
     flat = np.concatenate(words)
     order = np.argsort(-np.bincount(flat, minlength=len(index)), kind="stable")
-    number = np.empty(len(index), np.int64)
+    number = np.empty(len(index), np.int32)
     number[order] = np.arange(len(index))
     distinct = [w.encode("utf-8") for w in index]
     return np.array([len(w) for w in words], np.int64), number[flat], [distinct[i] for i in order.tolist()]

@@ -18,7 +18,7 @@ def test_query_matches_sql(spark, name):
         con.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
     want = con.execute(catalog.ORACLE_SQL[name]).df()
     found = catalog.QUERIES[name](spark, str(DATA)).toPandas()
-    assert sorted(want.columns) == sorted(found.columns) and len(want) == len(found) > 0
+    assert sorted(want.columns) == sorted(found.columns) and len(want) == len(found)
     key = lambda df: sorted(map(str, df[sorted(df.columns)].round(5).astype(object).where(df[sorted(df.columns)].notna(), None).map(lambda v: str(v)[:10] if hasattr(v, "year") else v).itertuples(index=False, name=None)))
     assert key(want) == key(found)
 

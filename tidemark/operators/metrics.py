@@ -38,9 +38,9 @@ def performance(daily: DataFrame, keys=(), risk_free: float = 0.0) -> DataFrame:
     w = W.partitionBy(*keys).orderBy("dt").rowsBetween(W.unboundedPreceding, 0)
     df = daily.withColumn("_e", 1 + C.compound(F.col("ret"), w))
     df = df.withColumn("_d", C.div("_e", F.greatest(F.max("_e").over(w), F.lit(1.0))) - 1)
-    df = df.withColumn("_p", F.max_by("dt", F.struct("_e", -F.unix_date("dt"))).over(w))
-    worst = -F.least(F.min("_d"), F.lit(0.0))
-    out = df.groupBy(*keys).agg(*_measures("ret", risk_free), worst.alias("max_drawdown"), F.min_by("_p", "_d").alias("peak"), F.min_by("dt", "_d").alias("trough"))
+    df = df.withColumn("_p", F.max_by("dt", F.struct(F.round("_e", 12), -F.unix_date("dt"))).over(w))
+    worst, first = -F.least(F.min("_d"), F.lit(0.0)), F.struct(F.round("_d", 12), "dt")  # of equal drawdowns the first
+    out = df.groupBy(*keys).agg(*_measures("ret", risk_free), worst.alias("max_drawdown"), F.min_by("_p", first).alias("peak"), F.min_by("dt", first).alias("trough"))
     return out.withColumn("calmar", C.div("annual_return", F.nullif(F.col("max_drawdown"), F.lit(0.0))))
 
 

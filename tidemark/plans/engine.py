@@ -208,7 +208,7 @@ XS_SQL = {
     "AmplitudeFactor": _xs(S.full("avg({})", "a", 5), frm="(SELECT *, (high - close) / close AS a FROM bars)"),
     "LiquidityFactor": _xs("volume / nullif(abs(r), 0)", True),
     "VCRRFactor": S.query(
-        value("round(coalesce(greatest(-3, least(3, (v - avg(v) OVER (PARTITION BY dt)) / (stddev_samp(v) OVER (PARTITION BY dt) + 1e-10))) / 3, 0), 6)", "z"),
+        value("CASE WHEN sd IS NULL THEN 0 ELSE round(greatest(-3, least(3, (v - m) / (sd + 1e-10))) / 3, 6) END", "(SELECT *, avg(v) OVER (PARTITION BY dt) AS m, stddev_samp(v) OVER (PARTITION BY dt) AS sd FROM z)"),
         "x AS (SELECT asset, dt, amount / volume - close AS d, amount / volume + close AS s FROM bars WHERE volume > 0)",
         f"z AS (SELECT asset, dt, {S.pct_rank('d')} / ({S.pct_rank('s')} + 1e-10) AS v FROM x)",
     ),
@@ -379,8 +379,8 @@ _perf = (
     "round((pow(exp(sum(ln(1 + ret))), 252.0 / count(ret)) - 1) / nullif(stddev_samp(ret) FILTER (ret < 0) * sqrt(252), 0), 6) AS sortino, "
     "sum((ret > 0)::INT)::BIGINT AS win_days, sum((ret < 0)::INT)::BIGINT AS loss_days"
 )
-_dd = ["ev AS (SELECT *, exp(sum(ln(1 + ret)) OVER (ORDER BY dt)) AS e FROM dl)", "dv AS (SELECT *, e / greatest(max(e) OVER (ORDER BY dt), 1) - 1 AS d, arg_max(dt, row(e, -epoch(dt))) OVER (ORDER BY dt) AS pk FROM ev)"]
-_total = S.query(_perf.format(k="") + ", round(-least(min(d), 0), 6) AS max_drawdown, arg_min(pk, d) AS peak, arg_min(dt, d) AS trough, round((pow(exp(sum(ln(1 + ret))), 252.0 / count(ret)) - 1) / nullif(-least(min(d), 0), 0), 6) AS calmar FROM dv", *_xs_daily, *_dd)
+_dd = ["ev AS (SELECT *, exp(sum(ln(1 + ret)) OVER (ORDER BY dt)) AS e FROM dl)", "dv AS (SELECT *, e / greatest(max(e) OVER (ORDER BY dt), 1) - 1 AS d, arg_max(dt, row(round(e, 12), -epoch(dt))) OVER (ORDER BY dt) AS pk FROM ev)"]
+_total = S.query(_perf.format(k="") + ", round(-least(min(d), 0), 6) AS max_drawdown, arg_min(pk, row(round(d, 12), dt)) AS peak, arg_min(dt, row(round(d, 12), dt)) AS trough, round((pow(exp(sum(ln(1 + ret))), 252.0 / count(ret)) - 1) / nullif(-least(min(d), 0), 0), 6) AS calmar FROM dv", *_xs_daily, *_dd)
 add("perf_total", lambda s, d: metrics.performance(_xs_build(s, d).select("dt", "ret")), _total)
 add("bt_xs_volatility", lambda s, d: metrics.performance(_xs_build(s, d).select("dt", "ret")), _total)
 _period = [

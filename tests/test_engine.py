@@ -64,9 +64,7 @@ def test_kalman_weights_are_the_filter(panel):
     np.testing.assert_allclose(timeseries.kalman_weights(60, 1e-5, 1e-3) @ c, spread, atol=1e-9)
 
 
-def test_crossover_matches_loop(bars, panel):
-    c = one(panel).close
-    f, s = c.rolling(10).mean().to_numpy(), c.rolling(20).mean().to_numpy()
+def crossover_loop(c, f, s):
     pos, ref, want = 0, 0.0, np.zeros(DAYS)
     for i in range(20, DAYS):
         if f[i] > s[i] and f[i - 1] <= s[i - 1]:
@@ -77,9 +75,35 @@ def test_crossover_matches_loop(bars, panel):
             pos = 0
         want[i] = pos
     want[:59] = 0
+    return want
+
+
+def test_crossover_matches_loop(bars, panel):
+    c = one(panel).close
+    want = crossover_loop(c, c.rolling(10).mean().to_numpy(), c.rolling(20).mean().to_numpy())
     np.testing.assert_array_equal(got(timeseries.ma_crossover(bars, kind="SMA")), want)
 
 
+def low_lag(c, n):
+    """The second-order low-lag average as the solution of its linear equations; the first two values are the prices."""
+    a, m = 2 / (n + 1), len(c)
+    own, price = np.eye(m), np.zeros((m, m))
+    price[0, 0] = price[1, 1] = 1
+    for i in range(2, m):
+        own[i, i - 2 : i] = (1 - a) ** 2, -2 * (1 - a)
+        price[i, i - 2 : i + 1] = -(a - 0.75 * a**2), a**2 / 2, a - a**2 / 4
+    return np.linalg.solve(own, price @ c)
+
+
+def test_low_lag_crossover_matches_equations(bars, panel):
+    c = one(panel).close.to_numpy()
+    for n in (10, 20):
+        np.testing.assert_allclose(timeseries.moving_average(c, n, "LLT"), low_lag(c, n), rtol=1e-9)
+    want = crossover_loop(c, low_lag(c, 10), low_lag(c, 20))
+    np.testing.assert_array_equal(got(timeseries.ma_crossover(bars, kind="LLT")), want)
+    assert len(set(want)) == 3
+
+
 def test_slm_matches_counting(bars, panel):
     c = one(panel).close.to_numpy()
     sym = [None, *("1" if d < 0 else "2" for d in np.diff(c))]
@@ -246,21 +270,41 @@ def test_kalman_rules_match_loop(spark, bars, panel, rule):
     assert found.tolist() == want and len(set(want)) == 3
 
 
-def copula_score(x, y, entry=0.2, theta=10.0):
-    rank = lambda past, at: np.clip((past <= at).mean(), 0.01, 0.99)
-    hx, hy = x[:-1], y[:-1]
-    us, vs = (np.array([rank(h, e) for e in h]) for h in (hx, hy))
-    cdf = {
-        "clayton": lambda u, v: np.maximum(u**-theta + v**-theta - 1, 1e-10) ** (-1 / theta),
-        "gumbel": lambda u, v: np.exp(-(((-np.log(u)) ** theta + (-np.log(v)) ** theta) ** (1 / theta))),
-        "frank": lambda u, v: -np.log(1 + (np.exp(-theta * u) - 1) * (np.exp(-theta * v) - 1) / (np.exp(-theta) - 1)) / theta,
-    }
-    best = max(cdf.values(), key=lambda c: np.log(np.maximum(c(us, vs), 1e-10)).sum())
-    u, v = rank(hx, x[-1]), rank(hy, y[-1])
+COPULAS = {
+    "clayton": lambda u, v, theta=10.0: np.maximum(u**-theta + v**-theta - 1, 1e-10) ** (-1 / theta),
+    "gumbel": lambda u, v, theta=10.0: np.exp(-(((-np.log(u)) ** theta + (-np.log(v)) ** theta) ** (1 / theta))),
+    "frank": lambda u, v, theta=10.0: -np.log(1 + (np.exp(-theta * u) - 1) * (np.exp(-theta * v) - 1) / (np.exp(-theta) - 1)) / theta,
+}
+
+
+def share_below(past, at):
+    return np.clip((past <= at).mean(), 0.01, 0.99)
+
+
+def copula_likelihoods(x, y):
+    us, vs = (np.array([share_below(h, e) for e in h]) for h in (x[:-1], y[:-1]))
+    return {name: np.log(np.maximum(c(us, vs), 1e-10)).sum() for name, c in COPULAS.items()}
+
+
+def copula_score(x, y, entry=0.2):
+    fits = copula_likelihoods(x, y)
+    best = COPULAS[max(fits, key=fits.get)]
+    u, v = share_below(x[:-1], x[-1]), share_below(y[:-1], y[-1])
     score = (0.5 - (best(u + 1e-6, v) - best(u - 1e-6, v)) / 2e-6) * 2
     return 0.0 if abs(score) < entry else np.clip(score, -1, 1)
 
 
+def test_copula_fits_match_numpy(bars, panel):
+    found = pairs.copula_fits(pairs.all_legs(bars.where("asset in ('A', 'B')"))).orderBy("dt").toPandas().set_index("dt")
+    x, y = (one(panel, a).close.pct_change().to_numpy() for a in "AB")
+    days = one(panel).dt
+    for t in (5, 40, 60, 61, 200, DAYS - 1):
+        want = copula_likelihoods(x[max(1, t - 59) : t + 1], y[max(1, t - 59) : t + 1])
+        row = found.loc[days[t]]
+        assert row.family == max(want, key=want.get)
+        assert all(math.isclose(row[f"fit_{k}"], v, rel_tol=1e-9) and row[f"theta_{k}"] == 10 for k, v in want.items())
+
+
 def test_copula_scores_the_universe(spark):
     rng = np.random.default_rng(7)
     n, names = 75, ("A", "B", "C", "D", "E")
@@ -284,6 +328,31 @@ def test_copula_scores_the_universe(spark):
             assert math.isclose(row["value"], want, abs_tol=1e-4)
 
 
+def test_trend_scores_the_universe(spark):
+    rng = np.random.default_rng(9)
+    n, names = 90, ("A", "B", "C", "D")
+    common = rng.normal(0, 0.01, n)
+    closes = pd.DataFrame({a: 100 * np.exp(np.cumsum(rng.normal(0, 0.012, n) + (0 if a == "D" else common))) for a in names}, index=pd.bdate_range("2020-01-01", periods=n).date)
+    df = closes.stack().rename_axis(["dt", "asset"]).rename("close").reset_index()
+    found = pairs.trend_universe(spark.createDataFrame(df)).toPandas().set_index(["asset", "dt"])
+    assert len(found) == n * len(names)
+    ret, scored = np.log(closes).diff(), 0
+    for t in (10, 19, 20, 33, 34, 58, 60, 75, 89):
+        corr = ret.iloc[max(0, t - 58) : t + 1].corr()
+        for a in names:
+            others = corr[a].drop(a)
+            row = found.loc[(a, closes.index[t])]
+            if t < 20 or not others.max() > 0.3:
+                assert row.partner is None and row["value"] == 0
+                continue
+            x = closes[a] / closes[others.idxmax()]
+            fast, slow = x.rolling(10).mean().to_numpy(), x.rolling(30).mean().to_numpy()
+            want = np.clip(10 * (fast[t] / slow[t] - 1) + 5 * (fast[t] / fast[t - 4] - 1), -1, 1) if t >= 34 else 0.0
+            assert row.partner == others.idxmax() and math.isclose(row["value"], want, abs_tol=1e-9)
+            scored += want != 0
+    assert scored > 10
+
+
 def test_universe_with_a_flat_asset(spark):
     days = pd.bdate_range("2020-01-01", periods=70).date
     rows = [(a, d, 100.0 if a == "A" else 100.0 + (i * 7 % 5) + k) for k, a in enumerate("ABC") for i, d in enumerate(days)]

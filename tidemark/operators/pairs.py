@@ -290,7 +290,8 @@ def trend_universe(bars: DataFrame, window: int = 60, least_corr: float = 0.3, f
     w = C.last(window - 1, PAIR)
     corr = F.when(F.count(F.col("r1") + F.col("r2")).over(w) >= 20, _corr_over(w))
     swapped = F.struct(F.col("a2").alias("a1"), F.col("a1").alias("a2"), F.col("c2").alias("c1"), F.col("c1").alias("c2"))
-    both = legs.select("dt", corr.alias("corr"), F.explode(F.array(F.struct("a1", "a2", "c1", "c2"), swapped)).alias("s")).select("s.*", "dt", "corr")
+    # explode in the select of a window would come first, and the window see each date twice
+    both = legs.withColumn("corr", corr).select("dt", "corr", F.explode(F.array(F.struct("a1", "a2", "c1", "c2"), swapped)).alias("s")).select("s.*", "dt", "corr")
     value = trend_following(both, window, fast, slow)
     return _universe(bars, _best_of_day(both.select("a1", "a2", "dt", "corr").where(F.col("corr") > least_corr)).join(value, ["a1", "a2", "dt"]))
 

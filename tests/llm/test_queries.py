@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import bpe, common, flac, graph, hnsw, minhash, mixing, pii, queries, suffix_dedup, toxicity, url_filter, warc
+from tidemark.llm import bpe, common, decontaminate, fim, flac, graph, hnsw, minhash, mixing, pii, queries, suffix_dedup, toxicity, url_filter, warc, whitening
 
 WORDS = "ka lo mi nu pe ra so ti vu wa".split()
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string, _row int, copies string"
@@ -289,3 +289,123 @@ def test_sql(spark, name):
     found = queries.QUERIES[name](spark, str(data)).toPandas()
     key = lambda df: sorted(map(str, df[sorted(df.columns)].round(5).astype(object).where(df[sorted(df.columns)].notna(), None).itertuples(index=False, name=None)))
     assert sorted(want.columns) == sorted(found.columns) and key(want) == key(found)
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 4096])
+@pytest.mark.parametrize(("unit", "pattern"), [("line", r"[^\n]*\n|[^\n]+"), ("character", r"(?s).")])
+def test_cuts_fall_between_units(unit, pattern, chunk):
+    rng = np.random.default_rng(chunk)
+    texts = ["".join(rng.choice(list("ab\nä €\n"), rng.integers(40))) for _ in range(150)] + ["", "a<S>b\nc", "\n" * 9000, "é" * 9001]
+    ids = [None, *range(1, len(texts))]
+    for t, i, (n, form, out, p, m) in zip(texts, ids, fim.transformed([t.encode() for t in texts], ids, unit=unit, chunk=chunk), strict=True):
+        u = re.findall(pattern, t)
+        h = fim.draws(i, 7)
+        a, b = sorted((h[0] % (len(u) + 1), h[1] % (len(u) + 1)))
+        start, middle, end = "".join(u[:a]), "".join(u[a:b]), "".join(u[b:])
+        want = f"<S>{end}<P>{start}<M>{middle}" if h[3] % 100 < 50 else f"<P>{start}<S>{end}<M>{middle}"
+        plain = not t or "<S>" in t
+        assert (n, form == "plain", out.decode()) == (len(u), plain, t if plain else want)
+        assert (p, m) == ((None, None) if plain else (len(start), len(middle))) and fim.restored(out, form) == t.encode()
+
+
+def test_fill_in_middle(docs, rows):
+    made = fim.fill_in_middle(docs.withColumnRenamed("score", "form"), percent=60)
+    assert made.columns == [c for c in docs.columns if c != "score"] + ["n", "form", "output", "prefix_chars", "middle_chars"]
+    out = fim.restore(made).collect()
+    assert sorted(r.restored for r in out) == sorted(t or "" for _, t, *_ in rows) and {r.form for r in out} == {"plain", "psm", "spm"}
+    words = fim.restore(fim.fill_in_middle(docs, unit="word")).collect()
+    assert {(r.doc_id, r.n, r.restored) for r in words} == {(i, len(re.findall(r"\S+\s*|^\s+(?=\S)", t or "")) or int(bool(t)), t or "") for i, t, *_ in rows}
+    assert fim.restore(fim.fill_in_middle(docs.where("false"))).count() == 0 == fim.digests(docs.where("false")).count()
+
+
+BENCH = [
+    (1, "Alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"), (2, "short ITEM"), (2, "short item"), (3, None), (4, "... !"),
+    (5, "beta gamma delta epsilon zeta eta theta iota kappa lambda"), (None, "null's own"), (10, "Ünï cödé 漢字"),
+]
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 40])
+def test_decontamination(spark, limit):
+    inside = "x " * 5 + "ALPHA, beta-gamma delta (epsilon) zeta eta theta iota kappa lambda mu nu"
+    texts = [inside, inside, "beta gamma delta epsilon zeta eta theta iota kappa", "a short\nitem b short itemx", None, "", "?", "null s own Ünï cödé 漢字 ünï cödé 漢字", "w" * 5000 + " short item " + "w" * 70000, "Short item " * 30000]
+    docs = spark.createDataFrame([*enumerate(texts), (None, inside)], "doc_id long, text string").withColumn("items", F.lit(1)).withColumn("_key", F.lit("k"))
+    bench = spark.createDataFrame(BENCH, "item_id long, text string").withColumn("text_", F.lit(1))
+
+    def words(t):
+        lower = re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+        return [(m.start(), m.end(), m[0]) for m in re.finditer("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lower)]
+
+    out = sorted(decontaminate.scan(docs, bench, limit=limit).collect(), key=lambda r: (r.doc_id is None, r.doc_id))
+    for t, r in zip([*texts, inside], out, strict=True):
+        w, hit, names = words(t), set(), set()
+        for item, b in BENCH:
+            bw = [x for *_, x in words(b)]
+            k = min(10, len(bw))
+            grams = {tuple(bw[i : i + k]) for i in range(len(bw) - k + 1)} if k else set()
+            at = [i for i in range(len(w) - k + 1) if tuple(x for *_, x in w[i : i + k]) in grams] if k else []
+            hit |= {j for i in at for j in range(i, i + k)}
+            names |= {"null" if item is None else str(item)} if at else set()
+        assert (r.n_words, r.n_hit, r["items"], r._key) == (len(w), len(hit), sorted(names), "k")
+        gone = {p for a, b in zip(r.spans[::2], r.spans[1::2], strict=True) for p in range(a, b)}
+        assert {p for j in hit for p in range(w[j][0], w[j][1])} <= gone and len(gone) == sum(b - a for a, b in zip(r.spans[::2], r.spans[1::2], strict=True))
+        assert r.cleaned == (None if t is None else "".join(c for p, c in enumerate(t) if p not in gone))
+    assert out[0].n_hit == 12 and out[0].cleaned == "x " * 5 + " nu" and out[3].n_hit == 2 and out[7]["items"] == ["10", "null"]
+    left = decontaminate.decontaminate(docs, bench, "documents", limit=limit)
+    assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {2, 4, 5, 6}
+    spans = decontaminate.decontaminate(docs, bench, limit=limit)
+    assert spans.columns == docs.columns and decontaminate.scan(spans, bench).where("n_hit > 0").count() == 0
+    for a, b in ((docs, bench.where("false")), (docs.where("false"), bench)):
+        assert decontaminate.scan(a, b, limit=limit).where("n_hit > 0").count() == 0
+
+
+def whitened_by_hand(vectors):
+    x = {i: np.floor(64 * np.array(v, float)).astype(np.int64) + 1_000_000 for i, v in vectors}
+    once = np.unique(np.stack(list(x.values())), axis=0)
+    n, sums = len(once), once.sum(axis=0)
+    e, v = np.linalg.eigh(np.cov(once.T, bias=True).reshape(once.shape[1], -1))
+    e, v = e[::-1][:16], v[:, ::-1][:, :16]
+    return {i: (int(((n * a - sums) ** 2).sum()), (a - sums / n) @ v / np.sqrt(e)) for i, a in x.items()}, n, e, np.cov(once.T, bias=True).trace()
+
+
+def test_op11_matches_eigenvectors(spark):
+    if not DATA.exists():
+        pytest.skip("the tables aren't here")
+    import pyarrow.parquet as pq
+
+    t = pq.read_table(DATA / "embeddings.parquet").to_pydict()
+    want, n, e, trace = whitened_by_hand(zip(t["vec_id"], t["embedding"], strict=True))
+    out = queries.QUERIES["op11_whitening"](spark, str(DATA)).toPandas().sort_values(["vec_id", "component"])
+    assert len(out) == 16 * len(want) and set(out.n) == {n} and out.identity_error.max() < 1e-9 and out.identity_error.nunique() == 1
+    got = out.whitened.to_numpy().reshape(-1, 16)
+    hand = np.stack([want[i][1] for i in sorted(want)])
+    sign = np.sign((got * hand).sum(axis=0))
+    assert np.allclose(got * sign, hand, atol=1e-9) and out.deviation.to_list()[::16] == [want[i][0] for i in sorted(want)]
+    assert np.allclose(out.explained[:16], e / trace, rtol=1e-9)
+
+
+def test_whitening_by_the_range_finder(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(700, 40)) * np.r_[2.0 ** -np.arange(8) * 9e4, np.full(32, 0.01)]
+    vectors = [(i, [float(c) for c in v]) for i, v in enumerate(x @ np.linalg.qr(rng.normal(size=(40, 40)))[0])]
+    df = whitening.whole(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"))
+    quick, full = whitening.fit(df, k=4, oversampling=16, passes=12), whitening.fit(df, k=4, oversampling=0, passes=1)
+    assert quick.columns == 20 and quick.passes <= 12 and (full.columns, full.passes) == (40, 2)
+    assert np.allclose(np.abs((quick.components * full.components).sum(axis=0)), 1, atol=1e-12) and max(quick.identity_error, full.identity_error) < 1e-9
+
+
+def test_whitening_of_odd_rows(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(1, [0.5, 1.0]), (2, [0.5, 1.0]), (3, [1.5, -1.0]), (3, [1.5, -1.0]), (None, [0.0, 2.0]), (4, None), (5, [nan, 1.0]), (6, [1.0, None]), (7, [inf, 1.0]), (8, []), (9, [1.0]), (10, [1e300, 1.0])]
+    df = spark.createDataFrame([(*r, "n") for r in rows], "vec_id long, embedding array<double>, n string")
+    model = whitening.fit(whitening.whole(df))
+    out = whitening.transform(whitening.whole(df), model).collect()
+    assert model.n == 3 and sorted((r.vec_id is None, r.vec_id or 0, r.component) for r in out) == sorted((i is None, i or 0, c) for i in (1, 2, 3, 3, None) for c in (1, 2))
+    want, n, e, _ = whitened_by_hand([(i, v) for i, v in rows[:5] if i != 2])
+    assert {r.vec_id: r.deviation for r in out if r.vec_id in (1, 3)} == {i: want[i][0] for i in (1, 3)} and np.allclose(model.eigenvalues, e)
+    one = df.where("vec_id = 1")
+    flat = whitening.transform(whitening.whole(one), whitening.fit(whitening.whole(one))).collect()
+    assert [(r.component, r.n, r.deviation, r.whitened, r.explained, r.identity_error) for r in flat] == [(c, 1, 0, 0.0, None, 0.0) for c in (1, 2)]
+    none = whitening.whole(df.where("false"))
+    assert whitening.transform(none, whitening.fit(none)).count() == 0
+    big = whitening.Model(1 << 40, [0, 0], np.zeros((2, 0)), np.zeros(0), 0.0, 0.0, 2, 1)
+    assert big.deviation(np.array([[1, 1], [1 << 30, 0]])) == [None, None] and big.deviation(np.array([[0, 0]])) == [0]

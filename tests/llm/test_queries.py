@@ -113,6 +113,35 @@ def test_url_rules(spark):
     assert url_filter.judge(df, url_filter.rule_table(spark).where("false")).count() == len(rows)
 
 
+REDIRECTS = [
+    "https://example.org#http://x/es/1", "http://x.com?next=https://y.com/de/1", "http://x.com/fr/a://b/de/1?u=http://example.org/es/1", "http://a.com/de/1#http://", "://example.org/es/2",
+    "https://example.org/?u=https://example.org/es/", "http:///es/1", "HTTP://EXAMPLE.ORG/ES/", "http://example.org/es/" + "long/" * 20000, "", "://", "a://b://c/de/", "http://x.com\n/de/1", None, "http://x.com/de", "http://.com/de/",
+]
+
+
+@pytest.mark.parametrize("broadcast", [50, 0])
+def test_redirects_match_sql(spark, tmp_path, broadcast):
+    duckdb = pytest.importorskip("duckdb")
+    df = spark.createDataFrame([*enumerate(REDIRECTS), *((100 + i, REDIRECTS[2]) for i in range(300))], "page_id long, url string").withColumn("site", F.lit(1)).withColumn("n", F.lit(2))
+    df.write.parquet(str(tmp_path / "pages"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages/*.parquet'")
+    found = url_filter.judge(df, url_filter.rule_table(spark), broadcast_rules=broadcast)
+    assert found.columns == ["page_id", "url", "site", "n", "host", "path", "rule", "verdict"]
+    out = sorted((r.page_id, r.host, r.path, r.rule, r.verdict) for r in found.collect())
+    assert out == sorted(con.execute(url_filter.OP4_SQL).fetchall())
+    assert out[0][1:] == ("example.org", "", None, "allow") and out[1][1:] == ("x.com", "", None, "allow") and out[8][3] == "example.org/es/"
+
+
+def test_many_shapes_are_one_expression(spark):
+    rules = [("x.org", "/" + "a" * n, "block" if n % 2 else "allow") for n in range(400)] + [("x.org", "/aa", "block"), ("y.x.org", "/a", "allow"), (None, "/", "block"), ("z.org", "/", None)]
+    urls = ["http://y.x.org/" + "a" * n for n in (0, 1, 2, 3, 399, 5000)] + ["http://z.org/"]
+    found = url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), url_filter.rule_table(spark, rules))
+    out = {r.page_id: (r.rule, r.verdict) for r in found.collect()}
+    assert out == {0: ("x.org/", "allow"), 1: ("y.x.org/a", "allow"), 2: ("y.x.org/a", "allow"), 3: ("y.x.org/a", "allow"), 4: ("x.org/" + "a" * 399, "block"), 5: ("x.org/" + "a" * 399, "block"), 6: ("z.org/", "allow")}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("sha2(") < 20
+
+
 def test_archives(spark):
     long = "<p>ä</p>" * 200
     rows = [(1, "http://a", long), (2, "http://b", long), (3, None, "short"), (4, "http://c", "short"), (5, "http://d", None), (None, "http://e", long), (2, "http://b", long)]

@@ -1,19 +1,25 @@
 """URL filters: host-suffix and path-prefix expressions, joined on short hash prefixes, confirmed on full digests.
 
 Runs on DataFrame functions alone. Defined cases: a null url, or one without "://", has an empty host and path and
-gets the default verdict; repeated rows and urls are each judged; an empty table gives an empty result; other columns
-are kept, but for those that the result adds. Among rules that fit, the longest (host + path, in characters) wins, then the longer host, then block
+gets the default verdict; urls of any length are read whole, the first "://" alone ends the scheme; repeated rows and urls
+are each judged; a rule with a null host or path fits nothing, one with a null verdict gives the default; an empty table
+gives an empty result; other columns are kept, but for those that the result adds. Among rules that fit, the longest (host + path, in characters) wins, then the longer host, then block
 before allow.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import Scratch, packed, split_join
+
 PREFIX_HEX = 8  # 32 bits of the SHA-256 digest take part in the join
+BROADCAST_RULES = 50_000
+ADDED = ("host", "path", "rule", "verdict")
 
 RULES = (
     ("org", "/", "allow"),
@@ -28,13 +34,17 @@ def rule_table(spark: SparkSession, rules: Iterable[tuple[str, str, str]] = RULE
     return spark.createDataFrame(list(rules), "host string, path string, verdict string")
 
 
+def _rest(url: Column) -> Column:
+    """What follows the first "://"."""
+    return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://(.*)", 1), F.lit(""))
+
+
 def url_host(url: Column) -> Column:
-    rest = F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)
-    return F.coalesce(F.translate(rest, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(""))
+    return F.translate(F.regexp_extract(_rest(url), r"^[^/?#]*", 0), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def url_path(url: Column) -> Column:
-    return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*(/[^?#]*)", 1), F.lit(""))
+    return F.regexp_extract(_rest(url), r"^[^/?#]*(/[^?#]*)", 1)
 
 
 def _digest(host: Column, path: Column) -> Column:
@@ -45,61 +55,64 @@ def _short(digest: Column) -> Column:
     return F.conv(F.substring(digest, 1, PREFIX_HEX), 16, 10).cast("long")
 
 
-def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
+def _expressions(shapes: list[tuple[int, int]]) -> Column:
+    """Digests of a site's last k labels with the first n characters of its path, for the shapes (k, n) that it has room for."""
+    labels, path = F.split("site.host", r"\."), F.col("site.path")
+    known = F.from_json(F.lit(json.dumps([{"k": k, "n": n} for k, n in shapes])), "array<struct<k: int, n: int>>")
+    fitting = F.filter(known, lambda s: (F.size(labels) >= s["k"]) & (F.length(path) >= s["n"]))
+    return F.transform(fitting, lambda s: _digest(F.array_join(F.slice(labels, -s["k"], s["k"]), "."), F.substring(path, F.lit(1), s["n"])))
+
+
+def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", broadcast_rules: int = BROADCAST_RULES) -> DataFrame:
     """`pages` with host, path, rule and verdict. `rules`: host, path, verdict.
 
-    Each distinct (host, path) is expanded only to the shapes that rules have: a pair of the number of host labels and
-    the length of the path. The shapes are read on the driver; their number is bounded by the longest rule, not by data.
+    Each distinct site, a pair of host and path, is expanded only to the shapes that rules have: a pair of the number of host
+    labels and the length of the path. The shapes are data of one expression; they are read on the driver, and their number
+    is bounded by the longest rule's labels times its length. Up to `broadcast_rules` rules are broadcast; more are joined
+    by a shuffle that splits expressions which many sites share, as the join of pages to their sites always does. Rules and
+    pages are counted when this is called.
     """
-    rules = rules.where("host is not null and path is not null")
+    rules = rules.where("host is not null and path is not null").select("host", "path", "verdict").distinct()
+    digest = _digest(F.col("host"), F.col("path"))
     ruled = rules.select(
-        F.concat("host", "path").alias("rule"),
-        F.col("verdict").alias("rule_verdict"),
+        _short(digest).alias("short"),
         F.size(F.split("host", r"\.")).alias("labels"),
         F.length("path").alias("chars"),
-        F.length("host").alias("host_chars"),
-        _digest(F.col("host"), F.col("path")).alias("rule_digest"),
-    ).withColumn("short", _short(F.col("rule_digest")))
+        F.struct(
+            F.length(F.concat("host", "path")).alias("n"),
+            F.length("host").alias("host_chars"),
+            (F.coalesce("verdict", F.lit("")) == "block").alias("blocks"),
+            F.concat("host", "path").alias("rule"),
+            F.col("verdict").alias("verdict"),
+            digest.alias("digest"),
+        ).alias("rule"),
+    )
     shapes = sorted((r.labels, r.chars) for r in ruled.select("labels", "chars").distinct().collect())
 
-    pages = pages.drop("host", "path", "rule", "verdict")
-    judged = pages.withColumn("host", url_host(F.col("url"))).withColumn("path", url_path(F.col("url")))
+    judged = packed(pages.drop(*ADDED), "url").withColumn("site", F.struct(url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path")))
+    like = pages.drop(*ADDED)
     if not shapes:
-        return judged.withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit(default))
-    labels = F.size(F.split("host", r"\."))
-    expressions = F.array_compact(
-        F.array(
-            *(
-                F.when(
-                    (labels >= k) & (F.length("path") >= n),
-                    _digest(F.substring_index("host", ".", -k), F.substring("path", 1, n)),
-                )
-                for k, n in shapes
-            )
-        )
-    )
+        plain = judged.withColumn("best", F.struct(F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict")))
+        return _verdicts(plain, like, default)
+    by_short = ruled.groupBy("short").agg(F.collect_list("rule").alias("_rules"))  # rules of equal digest differ in verdict alone
+    sites = judged.groupBy("site").agg(F.count(F.lit(1)).alias("pages"))
+    expanded = sites.select("site", "pages", F.explode(_expressions(shapes)).alias("digest")).withColumn("short", _short(F.col("digest")))
+    if ruled.count() <= broadcast_rules:
+        met = expanded.join(F.broadcast(by_short), "short")
+    else:
+        counted = Scratch(pages.sparkSession).write(by_short.join(expanded.groupBy("short").agg(F.count(F.lit(1)).alias("n")), "short"), "rules")
+        met = split_join(expanded, counted, "short", "site", counted.agg(F.sum("n")).first()[0] or 0)
     best = (
-        judged.select("host", "path")
-        .distinct()
-        .select("host", "path", F.explode(expressions).alias("digest"))
-        .withColumn("short", _short(F.col("digest")))
-        .join(ruled, "short")
-        .where(F.col("digest") == F.col("rule_digest"))
-        .groupBy("host", "path")
-        .agg(
-            F.max(
-                F.struct(
-                    F.length("rule").alias("n"),
-                    "host_chars",
-                    (F.col("rule_verdict") == "block").alias("blocks"),
-                    "rule",
-                    "rule_verdict",
-                )
-            ).alias("best")
-        )
-        .select("host", "path", "best.rule", F.col("best.rule_verdict").alias("verdict"))
+        met.select("site", "pages", F.explode(F.filter("_rules", lambda r: r["digest"] == F.col("digest"))).alias("found"))
+        .groupBy("site")
+        .agg(F.max("found").alias("best"), F.first("pages").alias("n"))
     )
-    return judged.join(best, ["host", "path"], "left").withColumn("verdict", F.coalesce("verdict", F.lit(default)))
+    return _verdicts(split_join(judged.withColumn("_id", F.monotonically_increasing_id()), best, "site", "_id", pages.count(), "left"), like, default)
+
+
+def _verdicts(judged: DataFrame, like: DataFrame, default: str) -> DataFrame:
+    columns = [F.col("url") if c == "url" else F.col("_row")[c].alias(c) for c in like.columns]
+    return judged.select(*columns, "site.host", "site.path", "best.rule", F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

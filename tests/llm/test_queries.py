@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import re
+import time
 import zlib
 from pathlib import Path
 
@@ -84,6 +85,16 @@ def test_bpe(docs, rows):
     assert bpe.decode(bpe.encode(docs.where("false"))).count() == 0
 
 
+def test_long_runs_take_linear_time(docs):
+    tagger = pii.Tagger(pii.train())
+    began = time.process_time()
+    for t in ("7" * 10**6, "1." * 300_000, "1-" * 300_000, "a@" * 300_000, ".".join(["9" * 1000] * 600)):
+        pii.all_spans([t], tagger)
+    assert time.process_time() - began < 20
+    assert [pii.plain_spans(f"x{a}1.2.3.4{b}") for a, b in (("", ""), ("9.", ""), ("", ".5"), ("300.", ""))] == [[(1, 1, 8)], [(1, 1, 8)], [(1, 1, 8)], []]
+    assert "text" not in pii.find(docs, texts=False).columns and {r.spans for r in pii.find(docs, texts=False).collect()} == {r.spans for r in pii.find(docs).collect()}
+
+
 def test_personal_data(docs, rows):
     out = {r.doc_id: r for r in pii.find(docs).collect()}
     assert out[10].n_email == 1 and "<EMAIL>" in out[10].redacted and out[4].redacted is None and out[4].spans == ""
@@ -104,6 +115,32 @@ def test_mixing(docs, rows):
     assert mixing.mix(docs.where("false")).count() == 0
 
 
+def test_mix_takes_repeats_apart(spark, tmp_path):
+    same = [(7, " ".join(["same"] * 10), "a")] * 100
+    rows = [*same, *((100 + i, prose(i, 1 + 7 * i), "b") for i in range(30)), *((200 + i, prose(i, 20), None) for i in range(9)), *((300 + i, t, "b") for i, t in enumerate((None, "", " ")))]
+    rows += [(300, None, "b"), (None, prose(99), "c"), (None, prose(99), "c"), (400, "w " * 2000, "d"), *same[:7]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("copies", F.lit("x"))
+    df.repartition(5, "source", "copies", F.rand(1)).write.parquet(str(tmp_path / "documents.parquet"))
+    out = queries.QUERIES["op3_mixing"](spark, str(tmp_path)).collect()
+    assert len(out) == len(rows) and sorted(map(str, out)) == sorted(map(str, queries.QUERIES["op3_mixing"](spark, str(tmp_path)).collect()))
+    size = {(d, s): len((t or "").split()) for d, t, s in rows}
+    by = {}
+    for (_, _, s), r in zip(sorted(rows, key=lambda r: str(r[0])), sorted(out, key=lambda r: str(r.doc_id)), strict=True):
+        assert r["size"] == size[r.doc_id, s] and r.taken <= 3 * r["size"]
+        by.setdefault(s, [r.source_size, r.target, 0, 0])[2] += r.taken
+        by[s][3] = max(by[s][3], r["size"])
+    assert all(abs(taken - target) <= largest / 2 + 1e-6 for _, target, taken, largest in by.values())
+    assert abs(sum(t for _, t, _, _ in by.values()) - sum(n for n, *_ in by.values())) < 1e-6 and all(t <= 3 * n + 1e-9 for n, t, _, _ in by.values())
+    assert {r.taken // 10 for r in out if r.doc_id == 7} == {by["a"][1] // 1070, by["a"][1] // 1070 + 1}
+    mixed = mixing.mix(spark.read.parquet(str(tmp_path / "documents.parquet")))
+    assert mixed.columns == df.columns and mixed.where("doc_id = 7").count() * 10 == by["a"][2]
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(mixing.OP3_SQL).df()
+    assert sorted(zip(want.doc_id.fillna(-1), want.taken, want.target.round(6), strict=True)) == sorted((-1 if r.doc_id is None else r.doc_id, r.taken, round(r.target, 6)) for r in out)
+
+
 def test_url_rules(spark):
     rows = [(1, "http://A.Example.ORG/es/x?q"), (2, "https://example.org/en/12#a"), (3, "http://example.org/en/2"), (4, None), (5, "no scheme"), (6, "http://notexample.org/es/"), (7, "http://x.com/de/1"), (8, "http://com/fr/"), (9, "http://x.net/"), (9, "http://x.net/"), (10, "http://org")]
     df = spark.createDataFrame([(*r, "h") for r in rows], "page_id long, url string, host string")

@@ -7,9 +7,11 @@ filled in the order of exponential keys -ln(u) / quality, to the document neares
 The order never needs one task per source: keys fall into `buckets` ranges, sizes are summed per source and range, and
 only the range in which the budget ends is sorted.
 
-Defined cases: null text or one without words has size 0; null sources form one source, last in order; rows with the
-same id and text share a key and are taken or left together; an empty table gives an empty result; further columns are
-kept by `mix` and don't matter.
+Repeated rows (equal id, text and source) share a key and lie side by side in that order. Where a target ends among them,
+as many of them are taken as bring the source nearest to it: each Spark partition gives its share by its count of them.
+
+Defined cases: null text or one without words has size 0; texts of any length are counted whole; null sources form one
+source, last in order; an empty table gives an empty result; further columns are kept by `mix` and don't matter.
 """
 
 from __future__ import annotations
@@ -82,23 +84,30 @@ def plan(drawn: DataFrame, weights: Sequence[float] = (5, 2, 1), max_epochs: int
         .agg(F.min(F.struct("_bucket", F.col("upto").alias("upto"), "held", "_rest")).alias("end"))
         .select("source", F.col("end._bucket").alias("_end"), (F.col("end.upto") - F.col("end.held")).alias("_before"), "end._rest")
     )
+    by_key = W.partitionBy("source").orderBy("_key")
+    some = F.least(F.col("n"), F.greatest(F.lit(0), F.floor((F.col("_rest") - F.col("upto")) / F.col("_size") + F.col("n") + 0.5)))
     last = (
         drawn.alias("a")
         .join(reached.alias("b"), same & (F.col("a._bucket") == F.col("b._end")))
-        .select("a.source", "a._size", "a._key", "b._before", "b._rest")
-        .withColumn("upto", F.col("_before") + F.sum("_size").over(W.partitionBy("source").orderBy("_key")))
+        .groupBy("a.source", "a._key")
+        .agg(F.max("a._size").alias("_size"), F.count(F.lit(1)).alias("n"), F.first("b._before").alias("_before"), F.first("b._rest").alias("_rest"))
+        .withColumn("upto", F.col("_before") + F.sum(F.col("_size") * F.col("n")).over(by_key))
+        .withColumn("some", F.when(F.col("_size") > 0, some).when(F.col("upto") <= F.col("_rest"), F.col("n")).otherwise(0).cast("long"))
         .groupBy("source")
-        .agg(F.max(F.when(F.col("upto") - F.col("_size") / 2 <= F.col("_rest"), F.col("_key"))).alias("_in"))
+        .agg(
+            F.max(F.when(F.col("some") == F.col("n"), F.col("_key"))).alias("_in"),
+            F.max(F.when((F.col("some") > 0) & (F.col("some") < F.col("n")), F.struct(F.col("_key"), "some", "n"))).alias("_cut"),
+        )
     )
     ended = (
         reached.alias("a")
         .join(last.alias("b"), same)
-        .select("a.source", F.coalesce("b._in", F.lit(-1.0)).alias("_in"), "a._end")
+        .select("a.source", F.coalesce("b._in", F.lit(-1.0)).alias("_in"), "b._cut", "a._end")
     )
     return (
         sources.alias("a")
         .join(ended.alias("b"), same, "left")
-        .select("a.source", "a.source_size", "a.target", "a._epochs", "b._in", "b._end")
+        .select("a.source", "a.source_size", "a.target", "a._epochs", "b._in", "b._end", "b._cut")
     )
 
 
@@ -107,14 +116,28 @@ def _copies() -> Column:
     return F.col("_epochs") + F.coalesce((F.col("_bucket") < F.col("_end")) | (F.col("_key") <= F.col("_in")), F.lit(False)).cast("long")
 
 
+def _of_repeated(rows: DataFrame) -> DataFrame:
+    """One more copy for `_cut.some` of a source's `_cut.n` repeated rows, dealt over partitions by how many each has of them."""
+    rows = rows.withColumn("_part", F.spark_partition_id()).withColumn("_row_id", F.monotonically_increasing_id())
+    held = rows.groupBy("_source", "_part").agg(F.count(F.lit(1)).alias("held"), F.first("_cut").alias("cut"))
+    upto = F.sum("held").over(W.partitionBy("_source").orderBy("_part"))  # a row for each partition
+    share = lambda c: F.floor(F.col("cut.some") * c / F.col("cut.n"))
+    quotas = held.withColumn("upto", upto).select(F.col("_source").alias("_of"), F.col("_part").alias("_at"), (share(F.col("upto")) - share(F.col("upto") - F.col("held"))).alias("_quota"))
+    mine = F.row_number().over(W.partitionBy("_source", "_part").orderBy("_row_id")) <= F.col("_quota")
+    met = rows.join(quotas, F.col("_source").eqNullSafe(F.col("_of")) & (F.col("_part") == F.col("_at")))
+    return met.withColumn("copies", F.col("_epochs") + mine.cast("long")).drop("_part", "_row_id", "_of", "_at", "_quota")
+
+
 def apply_plan(drawn: DataFrame, planned: DataFrame) -> DataFrame:
-    """Rows of `drawn` with source_size, target and copies."""
+    """Rows of `drawn` with source_size, target and copies. Looks at the plan, a row for each source, when called."""
     wanted = planned.withColumnRenamed("source", "_source")
-    return (
-        drawn.join(wanted, F.col("source").eqNullSafe(F.col("_source")))
-        .withColumn("copies", _copies())
-        .drop("_source", "_epochs", "_in", "_end")
-    )
+    met = drawn.join(wanted, F.col("source").eqNullSafe(F.col("_source")))
+    if planned.where("_cut is not null").isEmpty():
+        found = met.withColumn("copies", _copies())
+    else:
+        cut = F.coalesce(F.col("_key") == F.col("_cut._key"), F.lit(False))
+        found = met.where(~cut).withColumn("copies", _copies()).unionByName(_of_repeated(met.where(cut)))
+    return found.drop("_source", "_epochs", "_in", "_end", "_cut")
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_epochs: int = 3, quality: Column | None = None, seed: str = "mix:") -> DataFrame:
@@ -155,10 +178,8 @@ l AS (SELECT level FROM f WHERE level <= cap / weight ORDER BY cap / weight, r L
 t AS (SELECT source, source_size, least(cap, weight * (SELECT level FROM l)) AS target FROM f),
 e AS (SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 3) ELSE 0 END::BIGINT AS epochs FROM t),
 c AS (
-  SELECT doc_id, size, source_size, target, epochs, key, target - epochs * source_size AS rest, d.source,
-    sum(size) OVER (PARTITION BY d.source ORDER BY key) AS upto
-  FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source),
-k AS (SELECT source, max(key) AS last FROM c WHERE upto - size / 2.0 <= rest AND source_size > 0 GROUP BY source)
-SELECT doc_id, size, source_size, target, (size * (epochs + CASE WHEN key <= last THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM c LEFT JOIN k ON c.source IS NOT DISTINCT FROM k.source
+  SELECT doc_id, size, source_size, target, epochs, target - epochs * source_size AS rest,
+    sum(size) OVER (PARTITION BY d.source ORDER BY key ROWS UNBOUNDED PRECEDING) AS upto
+  FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, size, source_size, target, (size * (epochs + CASE WHEN upto - size / 2.0 <= rest THEN 1 ELSE 0 END))::BIGINT AS taken FROM c
 """

@@ -113,7 +113,7 @@ def labelled_lines(turn: int = 0) -> list[str]:
 
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
+_IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")  # where a run of digits fails from its first, it fails from all
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGITS = re.compile(r"[^0-9]+")
@@ -421,29 +421,34 @@ def redacted(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def find(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """`docs` with counts of the plain spans by kind, base_sha256, spans and redacted (the text without them; null for null)."""
+def find(docs: DataFrame, model: Model | None = None, texts: bool = True) -> DataFrame:
+    """`docs` with counts of the plain spans by kind, base_sha256, spans and redacted (the text without them; null for null).
+
+    texts=False leaves out text and redacted, so that no text returns from Python.
+    """
     added = T.StructType(
         [*(T.StructField(f"n_{k}", T.LongType()) for k in KINDS), *(T.StructField(k, T.StringType()) for k in ("base_sha256", "spans", "redacted"))]
     )
     docs = docs.drop(*added.names)
-    schema = T.StructType([*docs.schema.fields, *added.fields])
+    left_out = () if texts else ("text", "redacted")
+    schema = T.StructType([f for f in (*docs.schema.fields, *added.fields) if f.name not in left_out])
     shared = docs.sparkSession.sparkContext.broadcast(model or train())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(shared.value)
         for block in blocks(batches, "text", BLOCK_BYTES):
             raw = block.column(block.schema.get_field_index("text")).to_pylist()
-            texts = [t or "" for t in raw]
             rows = []
-            for t, (plain, every) in zip(raw, all_spans(texts, tagger), strict=True):
+            for t, (plain, every) in zip(raw, all_spans([t or "" for t in raw], tagger), strict=True):
                 counts = np.bincount([k for k, _, _ in plain], minlength=4).tolist() if plain else [0, 0, 0, 0]
-                rows.append((*counts, hashlib.sha256(joined(plain).encode()).hexdigest(), joined(every), t if not every else redacted(t, every)))
+                rows.append((*counts, hashlib.sha256(joined(plain).encode()).hexdigest(), joined(every), t if not every or not texts else redacted(t, every)))
             columns = [pa.array(c, pa.int64() if i < 4 else pa.string()) for i, c in enumerate(zip(*rows, strict=True))]
-            yield pa.RecordBatch.from_arrays([*block.columns, *columns], [*block.schema.names, *added.names])
+            named = zip([*block.columns, *columns], [*block.schema.names, *added.names], strict=True)
+            kept = [(c, n) for c, n in named if n not in left_out]
+            yield pa.RecordBatch.from_arrays([c for c, _ in kept], [n for _, n in kept])
 
     return small_batches(docs).mapInArrow(run, schema)
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "redacted")
+    return find(table(spark, sf_dir, "documents").select("doc_id", "text"), texts=False)

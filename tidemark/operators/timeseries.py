@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import cols as C
+from . import scan, slices
 
 VALUE = "asset string, dt date, value double"
 
@@ -93,17 +94,14 @@ def emd_trend(bars: DataFrame, window: int = 60) -> DataFrame:
     return _out(df, C.signal(F.when(both < 1e-10, 0.5).otherwise(C.div("trend", both)), n, neutral=0.5))
 
 
-def amihud(bars: DataFrame, short: int = 2, long: int = 8) -> DataFrame:
-    """Ratio of two exponentially weighted means of r / amount."""
+def amihud(bars: DataFrame, short: int = 2, long: int = 8, mode: str = "series", before: bool = False, block: int = scan.BLOCK) -> DataFrame:
+    """Ratio of two exponentially weighted means of r / amount; over all rows so far, or with mode="slice" over window + 1."""
     history = max(5 * long, 50)
-
-    def f(part: pd.DataFrame) -> np.ndarray:
-        a = part["close"].pct_change() / (part["amount"] + 1e-10)
-        ratio = a.ewm(span=short).mean() / (a.ewm(span=long + 1).mean() + 1e-10)
-        value = ratio.replace([np.inf, -np.inf], np.nan).fillna(0).clip(-5, 5).to_numpy()
-        return np.where(np.arange(len(value)) + 1 >= history, value, 0.0)
-
-    return per_asset(bars, ["close", "amount"], f)
+    if mode == "slice":
+        return slices.amihud(bars, short, long, history + (not before), before)
+    df = bars.select("asset", "dt", (C.change("close") / (F.col("amount") + 1e-10)).alias("a"))
+    df = scan.ewm(df, "a", {"s": short, "l": long + 1}, block=block)
+    return _out(df, C.signal(F.col("s") / (F.col("l") + 1e-10), history, lo=-5, hi=5))
 
 
 def amivest(bars: DataFrame, short: int = 12, long: int = 32) -> DataFrame:
@@ -215,48 +213,79 @@ def investor_behaviour(
     return _out(df, C.signal(scaled, history, lo=-3, hi=3))
 
 
-def moving_average(c: np.ndarray, n: int, kind: str) -> np.ndarray:
-    """EMA and LLT, which recur on themselves."""
+def crossing_averages(bars: DataFrame, fast: int, slow: int, kind: str, block: int = scan.BLOCK) -> DataFrame:
+    """asset, dt, close and both moving averages, f and s."""
+    df = bars.select("asset", "dt", "close")
+    if kind in ("SMA", "WMA"):
+        average = (lambda n: C.mean("close", n)) if kind == "SMA" else (lambda n: C.weighted_mean("close", n))
+        return df.select("asset", "dt", "close", average(fast).alias("f"), average(slow).alias("s"))
     if kind == "EMA":
-        return pd.Series(c).ewm(span=n, adjust=False).mean().to_numpy()
-    a = 2 / (n + 1)
-    out = c.astype(float).copy()
-    for i in range(2, len(c)):
-        out[i] = (a - a * a / 4) * c[i] + a * a / 2 * c[i - 1] - (a - 3 * a * a / 4) * c[i - 2] + 2 * (1 - a) * out[i - 1] - (1 - a) ** 2 * out[i - 2]
-    return out
-
+        return scan.ewm(df, "close", {"f": fast, "s": slow}, adjust=False, block=block)
+    if kind == "LLT":
+        return scan.low_lag(df, "close", {"f": fast, "s": slow}, block=block)
+    raise ValueError(f"no moving average {kind!r}")
 
-def ma_crossover(bars: DataFrame, fast: int = 10, slow: int = 20, kind: str = "WMA") -> DataFrame:
-    """Position of the last cross of two averages, flat once the price has crossed back its reference price.
 
-    No recursion: a cross starts a stretch, and the position is gone as soon as the stretch has seen a stop.
-    """
-    if kind in ("SMA", "WMA"):
-        average = (lambda n: C.mean("close", n)) if kind == "SMA" else (lambda n: C.weighted_mean("close", n))
-        df = bars.select("asset", "dt", "close", average(fast).alias("f"), average(slow).alias("s"))
-    else:
+def moving_average(c: np.ndarray, n: int, kind: str) -> np.ndarray:
+    """An average along one array of prices."""
+    return slices.averages(np.asarray(c, dtype=float)[None], n, kind)[0]
 
-        def both(part: pd.DataFrame) -> pd.DataFrame:
-            part = part.sort_values("dt")
-            c = part["close"].to_numpy()
-            return part.assign(f=moving_average(c, fast, kind), s=moving_average(c, slow, kind))
 
-        df = bars.select("asset", "dt", "close").groupBy("asset").applyInPandas(both, "asset string, dt date, close double, f double, s double")
+def _crosses(bars: DataFrame, fast: int, slow: int, kind: str, block: int) -> DataFrame:
+    """cross (1, -1 or NULL), the side and price of the last one, the bar of it and whether a stop came since."""
+    df = crossing_averages(bars, fast, slow, kind, block)
     df = df.withColumn("pf", C.lag("f")).withColumn("ps", C.lag("s")).withColumn("i", C.age())
     up = (F.col("f") > F.col("s")) & (F.col("pf") <= F.col("ps")) & (F.col("i") > slow)
     down = (F.col("f") < F.col("s")) & (F.col("pf") >= F.col("ps")) & (F.col("i") > slow)
     df = df.withColumn("cross", F.when(up, 1).when(down, -1))
     df = df.withColumn("stretch", F.count("cross").over(C.so_far()))
     inside = W.partitionBy("asset", "stretch").orderBy("dt").rowsBetween(W.unboundedPreceding, 0)
-    df = df.withColumn("side", F.first("cross").over(inside)).withColumn("ref", F.first("close").over(inside))
+    df = df.withColumn("side", F.first("cross").over(inside)).withColumn("ref", F.first("close").over(inside)).withColumn("since", F.first("i").over(inside))
     stop = ((F.col("side") == 1) & (F.col("close") < F.col("ref"))) | ((F.col("side") == -1) & (F.col("close") > F.col("ref")))
-    df = df.withColumn("stopped", F.max(stop.cast("int")).over(inside))
-    held = F.when((F.col("stretch") > 0) & (F.col("stopped") == 0), F.col("side").cast("double")).otherwise(0.0)
-    return _out(df, C.signal(held, max(2 * slow, 60)))
+    return df.withColumn("stopped", F.max(stop.cast("int")).over(inside))
 
 
-def slm_timing(bars: DataFrame, n: int = 6, min_corpus: int = 200) -> DataFrame:
-    """Sign of how often a rise followed the last n - 1 moves more than a fall did, over all earlier n-grams."""
+def ma_crossover(bars: DataFrame, fast: int = 10, slow: int = 20, kind: str = "WMA", mode: str = "series", before: bool = False, block: int = scan.BLOCK) -> DataFrame:
+    """Position of the last cross of two averages, flat once the price has crossed back its reference price.
+
+    No recursion: a cross starts a stretch, and the position is gone as soon as the stretch has seen a stop. mode="slice"
+    starts afresh on the last window + 1 rows: averages of a fixed window then only forget crosses of long ago.
+    """
+    history = max(2 * slow, 60)
+    rows = history + (not before)
+    if mode == "slice" and kind not in ("SMA", "WMA"):
+        return slices.crossover(bars, fast, slow, kind, rows, before)
+    df = _crosses(bars, fast, slow, kind, block)
+    held = (F.col("stretch") > 0) & (F.col("stopped") == 0)
+    if mode == "slice":
+        held = held & (F.col("i") - F.col("since") <= rows - 1 - slow)
+    value = C.signal(F.when(held, F.col("side").cast("double")).otherwise(0.0), rows if mode == "slice" else history)
+    return slices.shifted(_out(df, value), before and mode == "slice")
+
+
+def ma_crossover_details(bars: DataFrame, fast: int = 10, slow: int = 20, kind: str = "WMA", block: int = scan.BLOCK) -> DataFrame:
+    """asset, dt, close, fast_ma, slow_ma, signal, ref_price (NULL when flat) and trade_type of each bar from the first one.
+
+    trade_type: open_long, update_long_ref (a cross while long), stop_long, the same for short, else NULL. A stop on the
+    bar of a cross can't be, as the reference price is that bar's.
+    """
+    df = _crosses(bars, fast, slow, kind, block)
+    held = F.when((F.col("stretch") > 0) & (F.col("stopped") == 0), F.col("side")).otherwise(0)
+    df = df.withColumn("held", held).withColumn("was", F.coalesce(C.lag("held"), F.lit(0)))
+    name = F.when(F.col("side") == 1, "long").otherwise("short")
+    crossed = F.when(F.col("was") == F.col("cross"), F.concat(F.lit("update_"), name, F.lit("_ref"))).otherwise(F.concat(F.lit("open_"), name))
+    stopped = F.when((F.col("held") == 0) & (F.col("was") != 0), F.concat(F.lit("stop_"), F.when(F.col("was") == 1, "long").otherwise("short")))
+    return df.select(
+        "asset", "dt", "close", F.col("f").alias("fast_ma"), F.col("s").alias("slow_ma"), F.col("held").cast("double").alias("signal"),
+        F.when(F.col("held") != 0, F.col("ref")).alias("ref_price"), F.when(F.col("cross").isNotNull(), crossed).otherwise(stopped).alias("trade_type"),
+    )
+
+
+def slm_timing(bars: DataFrame, n: int = 6, min_corpus: int = 200, mode: str = "series", before: bool = False) -> DataFrame:
+    """Sign of how often a rise followed the last n - 1 moves more than a fall did, over all earlier n-grams, or with
+    mode="slice" over those of the last window + 1 rows."""
+    if mode == "slice":
+        return slices.slm(bars, n, min_corpus, max(min_corpus + n, 300) + (not before), before)
     df = bars.select("asset", "dt", F.when(F.col("close") < C.lag("close"), "1").when(C.lag("close").isNotNull(), "2").alias("sym"))
     df = df.withColumn("i", C.age()).withColumn("h", F.concat(*(C.lag("sym", k) for k in range(n - 1, 0, -1))))
     before = W.partitionBy("asset", "h").orderBy("dt").rowsBetween(W.unboundedPreceding, -1)
@@ -264,13 +293,12 @@ def slm_timing(bars: DataFrame, n: int = 6, min_corpus: int = 200) -> DataFrame:
     return _out(df, F.when((F.col("i") > min_corpus + n) & F.col("h").isNotNull(), F.signum(lead.cast("double"))).otherwise(0.0))
 
 
-def pattern_distances(now: np.ndarray, past: np.ndarray) -> np.ndarray:
-    """Warping distance of one pattern [L, 2] to many [n, L, 2], anchored at the ends, free at the beginnings."""
-    var = now.var(axis=0) + 1e-8
-    length = len(now)
-    then = np.ascontiguousarray(past.transpose(2, 1, 0))  # patterns side by side in memory
-    cost = np.sqrt(sum((now[:, f, None, None] - then[f]) ** 2 / (var[f] + 1e-8) for f in range(2)))
-    acc = cost
+def batch_distances(now: np.ndarray, past: np.ndarray) -> np.ndarray:
+    """Warping distances [b, n] of patterns [b, L, F] to n others each [b, n, L, F], anchored at the ends, free at the beginnings."""
+    var = now.var(axis=1) + 1e-8
+    length = now.shape[1]
+    then = np.ascontiguousarray(past.transpose(3, 2, 0, 1))  # patterns side by side in memory
+    acc = np.sqrt(sum((now[:, :, f].T[:, None, :, None] - then[f]) ** 2 / (var[:, f, None] + 1e-8) for f in range(now.shape[2])))
     for j in range(length - 2, -1, -1):
         acc[-1, j] += acc[-1, j + 1]
     for i in range(length - 2, -1, -1):
@@ -281,10 +309,106 @@ def pattern_distances(now: np.ndarray, past: np.ndarray) -> np.ndarray:
     return np.minimum(acc[0].min(axis=0), acc[:, 0].min(axis=0))
 
 
-def price_volume_pattern(bars: DataFrame, length: int = 11, k: int = 5, min_history: int = 50, volume_ma: int = 50, library: int | None = None, block: int = 512) -> DataFrame:
-    """Sign of the weighted mean return after the k nearest of all earlier patterns of an asset, or of its last `library` ones.
+def pattern_distances(now: np.ndarray, past: np.ndarray) -> np.ndarray:
+    """Warping distance of one pattern [L, F] to many [n, L, F]."""
+    return batch_distances(now[None], past[None])[0]
+
+
+def _next_shell(now: np.ndarray, then: np.ndarray, scale: np.ndarray, row: np.ndarray | None, col: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """One more row and column of the warping sums of m pairs of patterns [F, L, m], from those next to the anchored end.
 
-    A task compares `block` bars with the patterns of one block of bars at or before theirs and keeps the k nearest of each bar.
+    Every path from the end to a free beginning crosses each shell, so the least sum on a shell bounds the distance from below.
+    """
+    r = 0 if row is None else len(row)
+    at = now.shape[1] - 1 - r
+    cost = lambda i, j: np.sqrt(sum((now[f, i] - then[f, j]) ** 2 / scale[f] for f in range(len(now))))
+    along, down = cost(slice(at, at + 1), slice(at, None)), cost(slice(at, None), slice(at, at + 1))
+    if row is None:
+        return along, down
+    for acc, before in ((along, row), (down, col)):
+        below = np.minimum(before[:-1], before[1:])
+        acc[r] += before[r - 1]
+        for t in range(r - 1, 0, -1):
+            acc[t] += np.minimum(below[t - 1], acc[t + 1])
+    along[0] += np.minimum(row[0], np.minimum(along[1], down[1]))
+    down[0] = along[0]
+    return along, down
+
+
+class _Pairs:
+    """Pairs of a bar's pattern and an earlier one, with the warping sums of the last shell and the bound that it gives."""
+
+    def __init__(self, now: np.ndarray, then: np.ndarray, scale: np.ndarray, bar: np.ndarray, past: np.ndarray, row=None, col=None, least=None):
+        self.now, self.then, self.scale, self.bar, self.past, self.row, self.col, self.least = now, then, scale, bar, past, row, col, least
+
+    def kept(self, which: np.ndarray) -> _Pairs:
+        return _Pairs(self.now, self.then, self.scale, self.bar[which], self.past[which], self.row[:, which], self.col[:, which], self.least[which])
+
+    def grown(self, shells: int, bound: np.ndarray | None = None) -> _Pairs:
+        """With this many shells; pairs whose least sum is beyond their bar's bound are dropped on the way."""
+        found, tail = self, slice(self.now.shape[1] - shells, None)
+        now, then, scale = (x.take(which, axis=-1) for x, which in ((self.now[:, tail], self.bar), (self.then[:, tail], self.past), (self.scale, self.bar)))
+        for _ in range(0 if found.row is None else len(found.row), shells):
+            row, col = _next_shell(now, then, scale, found.row, found.col)
+            found = _Pairs(self.now, self.then, self.scale, found.bar, found.past, row, col, np.minimum(row.min(axis=0), col.min(axis=0)))
+            far = found.least > (np.inf if bound is None else bound[found.bar])
+            if np.count_nonzero(far) > len(far) // 4:
+                found = found.kept(~far)
+                now, then, scale = now[:, :, ~far], then[:, :, ~far], scale[:, ~far]
+        return found
+
+
+def nearest_patterns(now: np.ndarray, then: np.ndarray, first: np.ndarray, end: np.ndarray, k: int, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For b bars' patterns [F, L, b] the k nearest of the earlier ones [F, L, n] from `first` to `end`: bar, which one, its
+    distance (by bar, the nearest and then the earliest first), and for each bar how many were computed to their end.
+
+    Pairs whose shells show that they are farther than the bar's k-th so far, or than its `bound`, are dropped.
+    """
+    b, n, length = now.shape[2], then.shape[2], now.shape[1]
+    scale = now.var(axis=1) + 1e-8 + 1e-8
+    early = min(EARLY, length)
+    row = col = None
+    for _ in range(early):  # all pairs of the batch as a matrix
+        row, col = _next_shell(now[:, -early:, :, None], then[:, -early:, None, :], scale[:, :, None], row, col)
+    least = np.minimum(row.min(axis=0), col.min(axis=0))
+    order = np.arange(n)
+    outside = (order < first[:, None]) | (order >= end[:, None])
+    least[outside] = np.inf
+
+    def grown(which: np.ndarray) -> _Pairs:
+        bar, past = np.nonzero(which)
+        return _Pairs(now, then, scale, bar, past, row[:, bar, past], col[:, bar, past], least[bar, past]).grown(length, bound)
+
+    found, rest = [], ~outside
+    if length > early and n > 8 * k:
+        seeds = np.zeros((b, n), bool)
+        np.put_along_axis(seeds, np.argpartition(least, 2 * k, axis=1)[:, : 2 * k], True, axis=1)
+        found.append(grown(seeds & rest))
+        best = np.full((b, n), np.inf)
+        best[found[0].bar, found[0].past] = np.nan_to_num(found[0].least, nan=np.inf)
+        bound = np.minimum(bound, np.partition(best, k - 1, axis=1)[:, k - 1])
+        rest &= ~seeds
+    found.append(grown(rest & ~(least > bound[:, None])))
+    bar, past, d = (np.concatenate([getattr(f, c) for f in found]) for c in ("bar", "past", "least"))
+    done = np.bincount(bar, minlength=b)
+    sorted_ = np.lexsort((past, d, bar))
+    sorted_ = sorted_[~np.isnan(d[sorted_])]
+    starts = np.searchsorted(bar[sorted_], np.arange(b))
+    sorted_ = sorted_[np.arange(len(sorted_)) - starts[bar[sorted_]] < k]
+    return bar[sorted_], past[sorted_], d[sorted_], done
+
+
+EARLY = 8  # shells of all pairs before any is dropped
+PAIRS = 1 << 14  # of patterns that step together
+NEIGHBOURS = "asset string, i int, l int, h array<int>, d array<double>, next array<double>, compared long, finished long"
+
+
+def pattern_neighbours(bars: DataFrame, length: int, k: int, min_history: int, volume_ma: int, library: int | None, block: int, use_volume: bool) -> DataFrame:
+    """For each bar and block l of earlier bars the k nearest patterns in it: their bars h, distances d and next returns; how
+    many patterns were compared and how many of these to the end.
+
+    A task compares `block` bars with the patterns of one block of bars. Each bar meets its own block first; the k-th distance
+    found there goes with it to the earlier blocks, which only look for nearer ones.
     """
     df = bars.select("asset", "dt", "close", "volume").withColumn("i", C.age() - 1)
     df = df.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("asset"))).withColumn("v", F.coalesce(C.div("volume", C.mean("volume", volume_ma, least=1)), F.lit(1.0)))
@@ -294,34 +418,67 @@ def price_volume_pattern(bars: DataFrame, length: int = 11, k: int = 5, min_hist
     own = F.floor(F.col("i") / block).cast("int")
     final = F.floor((F.col("n") - 1) / block).cast("int")
     scored = (F.col("n") >= max(length + min_history, 100)) & (F.col("i") >= length + max(min_history, k))
-    now = df.where(scored).withColumn("c", own).select("asset", "c", F.explode(F.sequence(F.lit(0), "c")).alias("l"), "i", "p", "v")
-    past = df.where(F.col("i") >= length - 1).withColumn("l", own).select("asset", F.explode(F.sequence("l", final)).alias("c"), "l", "i", "next", "p", "v")
+    now = df.where(scored).withColumn("c", own).select("asset", "c", "i", "p", "v")
+    past = df.where(F.col("i") >= length - 1).withColumn("l", own).select("asset", "l", "i", "n", "next", "p", "v")
+    features = ("p", "v") if use_volume else ("p",)
 
     def rows(part: pd.DataFrame) -> np.ndarray:
-        return np.stack([np.array(part[c].to_list(), dtype=float) for c in ("p", "v")], axis=2)
+        return np.stack([np.array(part[c].to_list(), dtype=float).reshape(len(part), length) for c in features], axis=2)
 
     def nearest(now: pd.DataFrame, past: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(now) and len(past):
             past = past.sort_values("i")
-            library_rows, at, nxt = rows(past), past["i"].to_numpy(), past["next"].to_numpy(dtype=float)
-            for t, pattern in zip(now["i"], rows(now), strict=True):
-                first = 0 if library is None else np.searchsorted(at, t - 1 - library)
-                end = np.searchsorted(at, t - 1)  # patterns that end at t - 2 at the latest
-                if first < end:
-                    d = pattern_distances(pattern, library_rows[first:end])
-                    near = np.argsort(d, kind="stable")[:k]
-                    near = near[~np.isnan(d[near])]
-                    found.append((np.full(len(near), t), at[first + near], d[near], nxt[first + near]))
-        i, h, d, following = (np.concatenate(c) for c in zip(*found, strict=True)) if found else ([], [], [], [])
-        return pd.DataFrame({"asset": np.array([now["asset"].iloc[0]] * len(i) if len(i) else [], dtype=object), "i": i, "h": h, "d": d, "next": following})
+            then, at, nxt = np.ascontiguousarray(rows(past).transpose(2, 1, 0)), past["i"].to_numpy(), past["next"].to_numpy(dtype=float)
+            patterns, t, bounds = np.ascontiguousarray(rows(now).transpose(2, 1, 0)), now["i"].to_numpy(), now["bound"].to_numpy(dtype=float)
+            first = np.zeros(len(t), int) if library is None else np.searchsorted(at, t - 1 - library)
+            end = np.searchsorted(at, t - 1)  # patterns that end at t - 2 at the latest
+            for lo in range(0, len(t), step := max(1, PAIRS // len(at))):
+                part = slice(lo, lo + step)
+                bound = np.where(np.isnan(bounds[part]), np.inf, bounds[part])
+                bar, near, d, done = nearest_patterns(patterns[:, :, part], then, first[part], end[part], k, bound)
+                cuts = np.searchsorted(bar, np.arange(len(bound) + 1))
+                for j, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                    if first[lo + j] < end[lo + j]:
+                        found.append((now["asset"].iloc[0], t[lo + j], past["l"].iloc[0], at[near[a:b]], d[a:b], nxt[near[a:b]], end[lo + j] - first[lo + j], done[j]))
+        return pd.DataFrame(found, columns=["asset", "i", "l", "h", "d", "next", "compared", "finished"])
 
     keys = ("asset", "c", "l")
-    past = past.toDF(*past.columns)  # columns of its own, as both sides come from one table
-    near = now.groupBy(*keys).cogroup(past.groupBy(*keys)).applyInPandas(nearest, "asset string, i int, h int, d double, next double")
+
+    def met(now: DataFrame, past: DataFrame) -> DataFrame:
+        past = past.toDF(*past.columns)  # columns of its own, as both sides come from one table
+        return now.groupBy(*keys).cogroup(past.groupBy(*keys)).applyInPandas(nearest, NEIGHBOURS)
+
+    here = met(now.withColumn("l", F.col("c")).withColumn("bound", F.lit(None).cast("double")), past.withColumn("c", F.col("l")).drop("n"))
+    kth = here.select("asset", "i", F.try_element_at("d", F.lit(k)).alias("bound"))
+    bounded = now.where("c > 0").join(kth, ["asset", "i"], "left").withColumn("l", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
+    later = past.where(F.col("l") < final).withColumn("c", F.explode(F.sequence(F.col("l") + 1, final))).drop("n")
+    return here.unionByName(met(bounded, later))
+
+
+def price_volume_pattern(
+    bars: DataFrame, length: int = 11, k: int = 5, min_history: int = 50, volume_ma: int = 50, library: int | None = None, block: int = 2048,
+    use_volume: bool = True, mode: str = "series", before: bool = False,
+) -> DataFrame:
+    """Sign of the weighted mean return after the k nearest of all earlier patterns of an asset, or of its last `library` ones.
+
+    Patterns are of prices and volumes, or of prices alone. mode="slice" knows only the last window + 1 rows.
+    """
+    if mode == "slice":
+        return slices.pattern(bars, length, k, volume_ma, use_volume, max(length + min_history, 100) + (not before), before)
+    found = pattern_neighbours(bars, length, k, min_history, volume_ma, library, block, use_volume)
+    near = found.select("asset", "i", F.inline(F.arrays_zip("h", "d", "next")))
     near = near.withColumn("place", F.row_number().over(W.partitionBy("asset", "i").orderBy("d", "h"))).where((F.col("place") <= k) & (F.col("d") > 0))
     lead = near.groupBy("asset", "i").agg(F.signum(F.sum(F.col("next") / F.col("d"))).alias("value"))
-    return df.select("asset", "dt", "i").join(lead, ["asset", "i"], "left").select("asset", "dt", F.coalesce("value", F.lit(0.0)).alias("value"))
+    df = bars.select("asset", "dt", (C.age() - 1).alias("i"))
+    return df.join(lead, ["asset", "i"], "left").select("asset", "dt", F.coalesce("value", F.lit(0.0)).alias("value"))
+
+
+def pattern_pruning(bars: DataFrame, length: int = 11, k: int = 5, min_history: int = 50, volume_ma: int = 50, block: int = 2048, use_volume: bool = True) -> DataFrame:
+    """asset, compared, finished, share: how many distances of the search were computed to their end."""
+    found = pattern_neighbours(bars, length, k, min_history, volume_ma, None, block, use_volume).groupBy("asset")
+    sums = found.agg(F.sum("compared").alias("compared"), F.sum("finished").alias("finished"))
+    return sums.withColumn("share", C.div("finished", "compared"))
 
 
 def vcrr_series(bars: DataFrame, lookback: int = 20, use_amount: bool = True) -> DataFrame:

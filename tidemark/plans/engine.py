@@ -173,7 +173,54 @@ add(
     on_bars(lambda b: timeseries.ma_crossover(b, kind="EMA")),
     _cross.replace(f"SELECT asset, dt, i, close, {_wma(10)} AS f, {_wma(20)} AS s FROM rets", f"SELECT asset, dt, i, close, f.m AS f, s.m AS s FROM rets JOIN ({_ema(10)}) f USING (asset, i) JOIN ({_ema(20)}) s USING (asset, i)"),
 )
-add("ts_T12_llt", on_bars(lambda b: timeseries.ma_crossover(b, kind="LLT")))
+
+
+def _llt(c: str, n: int) -> str:
+    """A low-lag line from its last two values, c and p{c}, and three closes."""
+    a = 2 / (n + 1)
+    return f"CASE WHEN b.i = 2 THEN close ELSE {a - a * a / 4!r} * close + {a * a / 2!r} * c1 - {a - 3 * a * a / 4!r} * c2 + {2 * (1 - a)!r} * {c} - {(1 - a) ** 2!r} * p{c} END"
+
+
+_llt_cross = _cross.replace("WITH ", "WITH RECURSIVE ", 1).replace(
+    f"m1 AS (SELECT asset, dt, i, close, {_wma(10)} AS f, {_wma(20)} AS s FROM rets)",
+    f"b AS MATERIALIZED (SELECT asset, dt, i, close, {S.lag('close')} AS c1, {S.lag('close', 2)} AS c2 FROM rets),\n"
+    "l AS (SELECT asset, i, close AS f, NULL::DOUBLE AS pf, close AS s, NULL::DOUBLE AS ps FROM b WHERE i = 1 "
+    f"UNION ALL SELECT b.asset, b.i, {_llt('f', 10)}, f, {_llt('s', 20)}, s FROM l JOIN b ON b.asset = l.asset AND b.i = l.i + 1),\n"
+    "m1 AS (SELECT asset, dt, i, close, f, s FROM l JOIN b USING (asset, i))",
+)
+add("ts_T12_llt", on_bars(lambda b: timeseries.ma_crossover(b, kind="LLT")), _llt_cross)
+add(
+    "ts_T12_details",
+    on_bars(lambda b: timeseries.ma_crossover_details(b)),
+    _cross[: _cross.rindex("SELECT")].rstrip()
+    + """, m6 AS (SELECT *, CASE WHEN g > 0 AND st = 0 THEN side ELSE 0 END AS held FROM m5),
+m7 AS (SELECT *, coalesce(lag(held) OVER (PARTITION BY asset ORDER BY dt), 0) AS was, CASE WHEN side = 1 THEN 'long' ELSE 'short' END AS name FROM m6)
+SELECT asset, dt, round(close, 6) AS close, round(f, 6) AS fast_ma, round(s, 6) AS slow_ma, held::DOUBLE AS signal, CASE WHEN held <> 0 THEN round(ref, 6) END AS ref_price,
+  CASE WHEN x IS NOT NULL AND was = x THEN 'update_' || name || '_ref' WHEN x IS NOT NULL THEN 'open_' || name
+    WHEN held = 0 AND was = 1 THEN 'stop_long' WHEN held = 0 AND was = -1 THEN 'stop_short' END AS trade_type FROM m7""",
+)
+
+# --- the same on slices, where recursions start afresh ------------------------------------------------------------------
+_sliced_mean = lambda span: f"list_dot_product(l, {[(1 - 2 / (span + 1)) ** k for k in range(49, -1, -1)]!r}::DOUBLE[]) / {sum((1 - 2 / (span + 1)) ** k for k in range(50))!r}"
+add(
+    "ts_T3_slice",
+    on_bars(lambda b: timeseries.amihud(b, mode="slice")),
+    S.query(value(f"CASE WHEN i >= 51 THEN round(greatest(-5, least(5, ({_sliced_mean(2)}) / ({_sliced_mean(9)} + 1e-10))), 6) ELSE 0 END", "s"), f"s AS (SELECT asset, dt, i, list(coalesce(r, 0) / (amount + 1e-10)) {S.w(50)} AS l FROM rets)"),
+)
+add(
+    "ts_T12_slice",
+    on_bars(lambda b: timeseries.ma_crossover(b, mode="slice")),
+    _cross.replace("AS ref FROM m3", "AS ref, first(i) OVER (PARTITION BY asset, g ORDER BY dt) AS since FROM m3").replace("i >= 60 AND g > 0 AND st = 0", "i >= 61 AND g > 0 AND st = 0 AND i - since <= 40"),
+)
+add("ts_T12_slice_llt", on_bars(lambda b: timeseries.ma_crossover(b, kind="LLT", mode="slice")))
+add(
+    "ts_T13_slice",
+    on_bars(lambda b: timeseries.slm_timing(b, mode="slice")),
+    TS_SQL["SLMTimingFactor"].replace("ORDER BY dt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING", "ORDER BY i RANGE BETWEEN 294 PRECEDING AND 1 PRECEDING").replace("i > 206", "i >= 301"),
+)
+add("ts_T14_slice", on_bars(lambda b: timeseries.price_volume_pattern(b, mode="slice")))
+add("ts_T14_price", on_bars(lambda b: timeseries.price_volume_pattern(b, use_volume=False)))
+add("ts_T14_pruning", on_bars(lambda b: timeseries.pattern_pruning(b)))
 
 # --- cross-sectional factors ------------------------------------------------------------------------------------------
 XS = crosssection.FACTORS

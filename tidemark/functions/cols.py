@@ -68,6 +68,14 @@ def age(keys: Iterable[str] = ASSET) -> Column:
     return F.row_number().over(series(keys))
 
 
+def all_known(columns: Iterable[str]) -> Column:
+    """None of the columns is NULL."""
+    out = F.lit(True)
+    for c in columns:
+        out = out & F.col(c).isNotNull()
+    return out
+
+
 def clip(c: Column, lo: float, hi: float) -> Column:
     """Bounded; NULL stays NULL."""
     return F.when(c.isNotNull(), F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), c)))

@@ -9,6 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import cols as C
+from .joins import valid_on
+
 
 def _day():
     return W.partitionBy("dt")
@@ -139,11 +141,28 @@ def vcrr(bars: DataFrame) -> DataFrame:
     return df.select("asset", "dt", F.coalesce(C.clip(z, -3, 3) / 3, F.lit(0.0)).alias("value"))
 
 
-def member_holdings(bars: DataFrame, holdings: DataFrame | None = None) -> DataFrame:
-    """Net share of holders. holdings (asset, dt, long_pos, short_pos, win_rate or none) replaces the bars' own columns."""
-    df = bars if holdings is None else bars.select("asset", "dt").join(holdings, ["asset", "dt"])
-    net = C.div(F.col("long_pos") - F.col("short_pos"), F.nullif(F.col("long_pos") + F.col("short_pos"), F.lit(0.0)))
-    return zscore(_raw(df, net * F.col("win_rate") if "win_rate" in df.columns else net))
+def member_holdings(bars: DataFrame, holdings: DataFrame | None = None, win_rates: DataFrame | None = None) -> DataFrame:
+    """Net share of holders.
+
+    holdings (asset, valid_from, valid_to, long_pos, short_pos) replaces the bars' own columns on dates on which any asset of
+    the bars has some; win_rates (asset, valid_from, valid_to, win_rate) weighs them, and leaves out assets without one, on
+    dates on which any has one. Ranges exclude their end; a NULL end is open. Assets without bars don't count.
+    """
+    net = lambda long, short: C.div(F.col(long) - F.col(short), F.nullif(F.col(long) + F.col(short), F.lit(0.0)))
+    if holdings is None:
+        return zscore(_raw(bars, net("long_pos", "short_pos")))
+    injected = holdings.select("asset", "valid_from", "valid_to", F.col("long_pos").cast("double").alias("held_long"), F.col("short_pos").cast("double").alias("held_short"))
+    df = valid_on(bars.select("asset", "dt", "long_pos", "short_pos"), injected, ["held_long", "held_short"])
+    df = df.withColumn("own", net("held_long", "held_short"))
+    if win_rates is None:
+        df = df.withColumn("win_rate", F.lit(None).cast("double"))
+    else:
+        df = valid_on(df, win_rates, ["win_rate"])
+    day = W.partitionBy("dt")
+    some = F.count("own").over(day) > 0
+    rated = F.count(F.when(F.col("own").isNotNull(), F.col("win_rate"))).over(day) > 0
+    value = F.when(some, F.when(rated, F.col("own") * F.col("win_rate")).otherwise(F.col("own"))).otherwise(net("long_pos", "short_pos"))
+    return zscore(_raw(df, value))
 
 
 FACTORS: dict[str, Callable[..., DataFrame]] = {

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import cols as C
+from .joins import tails
 
 PAIR = ("a1", "a2")
 
@@ -26,7 +27,17 @@ def joint_moments(bars: DataFrame, within: str | None = None, diagonal: bool = F
     the dates that both know are all sums the moments need, so rows shuffled grow with assets x dates x blocks, not pairs.
     """
     group = F.col(within) if within else F.lit("")
-    r = bars.select(group.alias("g"), "asset", "dt", C.change("close").alias("r")).where("r is not null")
+    r = bars.select(group.alias("g"), "asset", "dt", C.change("close").alias("r"))
+    found = moments_by(r, "dt", block).where(F.col("a1") <= F.col("a2") if diagonal else F.col("a1") < F.col("a2"))
+    return found.withColumnRenamed("g", within) if within else found.drop("g")
+
+
+def moments_by(r: DataFrame, place: str, block: int = 64) -> DataFrame:
+    """g, a1, a2, n, corr and cov (sample) over the places that both assets of a group g have, for a1 <= a2.
+
+    r: g, asset, `place`, r. The assets are counted when this is called.
+    """
+    r = r.where("r is not null").withColumnRenamed(place, "dt")
     blocks = -(-r.select("asset").distinct().count() // block) or 1
     dealt = r.withColumn("b", F.pmod(F.xxhash64("asset"), F.lit(blocks)).cast("int"))
     both = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumns({"i": F.least("b", "o"), "j": F.greatest("b", "o")})
@@ -52,9 +63,18 @@ def joint_moments(bars: DataFrame, within: str | None = None, diagonal: bool = F
         out[["corr", "cov"]] = out[["corr", "cov"]].replace([np.inf, -np.inf], np.nan)
         return out.astype(object).where(out.notna(), None)
 
-    found = both.groupBy("g", "i", "j").applyInPandas(products, "g string, a1 string, a2 string, n long, corr double, cov double")
-    found = found.where(F.col("a1") <= F.col("a2") if diagonal else F.col("a1") < F.col("a2"))
-    return found.withColumnRenamed("g", within) if within else found.drop("g")
+    return both.groupBy("g", "i", "j").applyInPandas(products, "g string, a1 string, a2 string, n long, corr double, cov double")
+
+
+def tail_correlations(bars: DataFrame, as_of_dates: DataFrame, window: int = 60, least: int = 20) -> DataFrame:
+    """sector, as_of, a1 < a2, n, corr of both assets' last returns up to a date, the last with the last whatever their dates."""
+    r = bars.select("asset", "dt", C.change("close").alias("r"))
+    sectors = bars.select("asset", "sector").distinct()
+    dealt = tails(r, as_of_dates, window).join(sectors, "asset")
+    key = F.to_json(F.struct("sector", F.col("as_of").cast("string").alias("as_of")))
+    found = moments_by(dealt.select(key.alias("g"), "asset", "place", "r"), "place").where((F.col("a1") < F.col("a2")) & (F.col("n") >= least))
+    of = F.from_json("g", "sector string, as_of date")
+    return found.select(of["sector"].alias("sector"), of["as_of"].alias("as_of"), "a1", "a2", "n", "corr")
 
 
 def correlations(bars: DataFrame, least: int = 20, within: str | None = None) -> DataFrame:

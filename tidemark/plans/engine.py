@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cols as C
-from ..operators import combine, crosssection, metrics, normalize, pairs, portfolio, report, timeseries
+from ..operators import combine, crosssection, joins, metrics, normalize, pairs, portfolio, report, timeseries
 from ..sources import bars as B
+from ..sources import runlog
 from . import sql as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -220,7 +222,6 @@ add(
 )
 add("ts_T14_slice", on_bars(lambda b: timeseries.price_volume_pattern(b, mode="slice")))
 add("ts_T14_price", on_bars(lambda b: timeseries.price_volume_pattern(b, use_volume=False)))
-add("ts_T14_pruning", on_bars(lambda b: timeseries.pattern_pruning(b)))
 
 # --- cross-sectional factors ------------------------------------------------------------------------------------------
 XS = crosssection.FACTORS
@@ -510,3 +511,88 @@ add(
     on_bars(lambda b: portfolio.risk_report(portfolio.quintile_weights(crosssection.volatility(b)).withColumnRenamed("weight", "value"))),
     S.query('SELECT dt, round(l, 6) + 0 AS "long", round(s, 6) + 0 AS short, round(l - s, 6) + 0 AS net, round(l + s, 6) AS gross, round(m / nullif(l + s, 0), 6) AS concentration FROM (SELECT dt, sum(greatest(weight, 0)) AS l, -sum(least(weight, 0)) AS s, max(abs(weight)) AS m FROM wt WHERE weight IS NOT NULL GROUP BY dt)', *_xs_daily),
 )
+
+# --- dated facts, tails, irregular times, lookups, the run log -----------------------------------------------------------
+add(
+    "as_of_events",
+    lambda s, d: joins.as_of(B.event_times(s, d), B.daily_bars(s, d), ["asset"], "at", "dt", ["dt", "close"]).select("event_id", "asset", "dt", "close"),
+    S.query(
+        "SELECT e.event_id, e.asset, bars.dt, round(close, 6) AS close FROM e ASOF LEFT JOIN bars ON e.asset = bars.asset AND e.at >= bars.dt",
+        "e AS (SELECT event_id, 'Brand#' || (user_id % 25 + 1) AS asset, TIMESTAMP '1995-01-01' + to_seconds((epoch_us(ts) // 1000000 - 1704067200) * 80) AS at FROM events WHERE ts IS NOT NULL AND user_id IS NOT NULL)",
+    ),
+)
+add(
+    "tail_corr",
+    on_bars(lambda b: pairs.tail_correlations(b, b.groupBy(F.trunc("dt", "month")).agg(F.max("dt").alias("as_of")))),
+    S.query(
+        "SELECT x.sector, x.as_of, x.asset AS a1, y.asset AS a2, count(*) AS n, round(CASE WHEN stddev_pop(x.r) > 0 AND stddev_pop(y.r) > 0 THEN corr(x.r, y.r) END, 6) AS corr "
+        "FROM tail x JOIN tail y ON x.as_of = y.as_of AND x.sector = y.sector AND x.place = y.place AND x.asset < y.asset GROUP BY ALL HAVING count(*) >= 20",
+        "as_ofs AS (SELECT max(dt) AS as_of FROM bars GROUP BY date_trunc('month', dt))",
+        "tail AS (SELECT * FROM (SELECT as_of, asset, sector, r, row_number() OVER (PARTITION BY asset, as_of ORDER BY dt DESC) AS place FROM rets JOIN as_ofs ON dt <= as_of WHERE r IS NOT NULL) WHERE place <= 60)",
+    ),
+)
+_facts = [
+    "facts AS (SELECT 'Brand#' || (c_nationkey + 1) AS asset, CAST(date_trunc('month', o_orderdate) + INTERVAL 1 MONTH AS DATE) AS valid_from, "
+    "coalesce(sum(CAST(o_totalprice AS DECIMAL(18,2))) FILTER (o_orderpriority IN ('1-URGENT', '2-HIGH')), 0)::DOUBLE AS l, "
+    "coalesce(sum(CAST(o_totalprice AS DECIMAL(18,2))) FILTER (o_orderpriority NOT IN ('1-URGENT', '2-HIGH')), 0)::DOUBLE AS s FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)",
+    "rates AS (SELECT 'Brand#' || (c_nationkey + 1) AS asset, CAST(date_trunc('quarter', o_orderdate) + INTERVAL 3 MONTH AS DATE) AS valid_from, avg((o_orderstatus = 'F')::INT) AS win_rate FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2 HAVING count(*) >= 4)",
+    "held AS (SELECT bars.asset, bars.dt, (facts.l - facts.s) / nullif(facts.l + facts.s, 0) AS own, (long_pos - short_pos) / nullif(long_pos + short_pos, 0) AS plain FROM bars ASOF LEFT JOIN facts ON bars.asset = facts.asset AND bars.dt >= facts.valid_from)",
+    "rated AS (SELECT held.*, win_rate FROM held LEFT JOIN rates ON held.asset = rates.asset AND held.dt >= rates.valid_from AND held.dt < rates.valid_from + INTERVAL 3 MONTH)",
+    "x AS (SELECT * FROM (SELECT asset, dt, CASE WHEN count(own) OVER (PARTITION BY dt) = 0 THEN plain WHEN count(win_rate) FILTER (own IS NOT NULL) OVER (PARTITION BY dt) > 0 THEN own * win_rate ELSE own END AS raw FROM rated) WHERE raw IS NOT NULL)",
+]
+_scored = value("round(coalesce((raw - avg(raw) OVER (PARTITION BY dt)) / nullif(stddev_samp(raw) OVER (PARTITION BY dt), 0), 0), 6)", "x")
+add("xs_X15_holdings", lambda s, d: crosssection.member_holdings(B.daily_bars(s, d), B.holdings(s, d), B.win_rates(s, d)), S.query(_scored, *_facts))
+
+
+def _contracts(spark: SparkSession) -> DataFrame:
+    """The multipliers of some products; others have the default."""
+    return spark.createDataFrame([("PROMO", 5), ("STANDARD", 20), ("SMALL", 100), ("ECONOMY", 1000)], "product string, multiplier int")
+
+
+def _symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbols like small0042.xch, from the first word of a part's type and its number."""
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return parts.select("p_partkey", F.concat(F.lower(F.substring_index("p_type", " ", 1)), F.lpad(F.col("p_partkey").cast("string"), 4, "0"), F.lit(".xch")).alias("asset"))
+
+
+add(
+    "multipliers",
+    lambda s, d: joins.multipliers(_symbols(s, d), _contracts(s)),
+    """WITH m(product, multiplier) AS (VALUES ('PROMO', 5), ('STANDARD', 20), ('SMALL', 100), ('ECONOMY', 1000)),
+sym AS (SELECT p_partkey, lower(split_part(p_type, ' ', 1)) || lpad(p_partkey::VARCHAR, 4, '0') || '.xch' AS asset FROM part)
+SELECT p_partkey, asset, coalesce(multiplier, 10)::INT AS multiplier FROM sym LEFT JOIN m ON product = regexp_replace(upper(split_part(asset, '.', 1)), '[0-9]+$', '')""",
+)
+
+
+def _logged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log of a run written and read back: positions, returns and trades of bt_ts and the daily ICs, as long rows."""
+    positions, ics = _bt_ts(spark, sf_dir), _ic_build(spark, sf_dir)
+    turn = positions.withColumn("quantity", F.col("position") - F.coalesce(C.lag("position"), F.lit(0.0))).where("quantity <> 0")
+    records = runlog.days(
+        factors=ics.select("dt", F.lit("ic").alias("factor"), F.col("period").cast("string").alias("ticker"), F.col("ic").alias("value"), F.lit("IC").alias("type")),
+        positions=positions.select("dt", F.col("asset").alias("ticker"), F.col("position").alias("value")),
+        trades=turn.select("dt", F.col("asset").alias("ticker"), F.when(F.col("quantity") > 0, "buy").otherwise("sell").alias("action"), F.abs("quantity").alias("quantity")),
+        pnl=positions.groupBy("dt").agg(F.avg("ret").alias("daily_return")),
+    )
+    log = runlog.RunLog(spark, f"{runlog.shared_folder(spark)}/tidemark-runs-{uuid.uuid4().hex}")
+    log.append("bt_ts", records)
+    tables = log.tables("bt_ts")
+    row = lambda kind, name, ticker, v: (F.lit(kind).alias("kind"), "dt", name.alias("name"), ticker.alias("ticker"), v.alias("value"))
+    nothing = F.lit(None).cast("string")
+    out = tables["factors"].select(*row("factor", F.col("factor"), F.col("ticker"), F.col("value")))
+    out = out.unionByName(tables["positions"].select(*row("position", nothing, F.col("ticker"), F.col("value"))))
+    out = out.unionByName(tables["trades"].select(*row("trade", F.col("action"), F.col("ticker"), F.col("quantity"))))
+    return out.unionByName(tables["pnl"].select(*row("pnl", F.lit("daily_return"), nothing, F.col("daily_return"))))
+
+
+add(
+    "run_log",
+    _logged,
+    S.query(
+        "SELECT 'factor' AS kind, dt, 'ic' AS name, period::VARCHAR AS ticker, round(ic, 6) AS value FROM ic "
+        "UNION ALL SELECT 'position', dt, NULL, asset, position FROM bt "
+        "UNION ALL SELECT 'trade', dt, CASE WHEN q > 0 THEN 'buy' ELSE 'sell' END, asset, abs(q) FROM (SELECT *, position - coalesce(lag(position) OVER (PARTITION BY asset ORDER BY dt), 0) AS q FROM bt) WHERE q <> 0 "
+        "UNION ALL SELECT 'pnl', dt, 'daily_return', NULL, round(avg(ret), 6) FROM bt GROUP BY dt",
+        *_bt_sql, *_ic,
+    ),
+)

@@ -144,16 +144,48 @@ def calendar(bars: DataFrame) -> DataFrame:
 
 
 def as_of_prices(bars: DataFrame) -> DataFrame:
-    """For every asset and calendar date the last close up to it; no row before an asset's first."""
-    filled = _grid(bars).join(bars.select("asset", "dt", "close"), ["asset", "dt"], "left").withColumn("close", F.last("close", ignorenulls=True).over(C.so_far()))
-    return filled.where("close is not null")
+    """For every asset and calendar date the last close up to it; no row before an asset's first.
 
-
-def _grid(bars: DataFrame) -> DataFrame:
-    """asset, dt for each calendar date from an asset's first bar on: intervals between bars are filled from the calendar's numbers."""
+    Each bar is repeated for the dates up to the asset's next one, so nothing is joined back. For query times of one's own
+    see `operators.joins.as_of`.
+    """
     days = calendar(bars)
-    placed = bars.select("asset", "dt").join(days, "dt")
     end = days.agg(F.max("ci").alias("end"))
     until = F.coalesce(F.lead("ci").over(W.partitionBy("asset").orderBy("ci")), F.col("end") + 1)
-    spans = placed.join(F.broadcast(end)).withColumn("until", until)  # one row on the right
-    return spans.select("asset", F.explode(F.sequence("ci", F.col("until") - 1)).alias("ci")).join(days, "ci").select("asset", "dt")
+    spans = bars.select("asset", "dt", "close").join(days, "dt").join(F.broadcast(end)).withColumn("until", until)  # one row on the right
+    return spans.select("asset", "close", F.explode(F.sequence("ci", F.col("until") - 1)).alias("ci")).join(days, "ci").where("close is not null").select("asset", "dt", "close")
+
+
+def event_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """event_id, asset, at: irregular query times. Each user asks for one of the brands; a second of 2024 is 80 of 1995 on."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").where("ts is not null and user_id is not null")
+    at = F.timestamp_seconds(F.lit(788918400) + (F.unix_seconds(F.col("ts").cast("timestamp")) - 1704067200) * 80)
+    return events.select("event_id", F.concat(F.lit("Brand#"), (F.col("user_id") % 25 + 1).cast("string")).alias("asset"), at.alias("at"))
+
+
+def holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """asset, valid_from, valid_to, long_pos, short_pos: month by month the urgent and the other orders of a nation's customers,
+    known from the next month on until a newer fact comes."""
+    orders, customers = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "customer"))
+    q = F.col("o_totalprice").cast("decimal(18,2)")
+    urgent = F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")
+    asset = F.concat(F.lit("Brand#"), (F.col("c_nationkey") + 1).cast("string"))
+    month = F.add_months(F.trunc("o_orderdate", "month"), 1)
+    money = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("double")
+    facts = (
+        orders.join(customers, orders.o_custkey == customers.c_custkey)
+        .groupBy(asset.alias("asset"), month.alias("valid_from"))
+        .agg(money(F.when(urgent, q)).alias("long_pos"), money(F.when(~urgent, q)).alias("short_pos"))
+    )
+    return facts.withColumn("valid_to", F.lead("valid_from").over(W.partitionBy("asset").orderBy("valid_from")))
+
+
+def win_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """asset, valid_from, valid_to, win_rate: the share of filled orders in a nation's quarter, valid in the quarter after it,
+    where there were four orders."""
+    orders, customers = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "customer"))
+    asset = F.concat(F.lit("Brand#"), (F.col("c_nationkey") + 1).cast("string"))
+    quarter = F.add_months(F.trunc("o_orderdate", "quarter"), 3)
+    filled = F.when(F.col("o_orderstatus") == "F", 1).otherwise(0)
+    facts = orders.join(customers, orders.o_custkey == customers.c_custkey).groupBy(asset.alias("asset"), quarter.alias("valid_from")).agg(C.div(F.sum(filled), F.count(F.lit(1))).alias("win_rate"), F.count(F.lit(1)).alias("n"))
+    return facts.where("n >= 4").select("asset", "valid_from", F.add_months("valid_from", 3).alias("valid_to"), "win_rate")

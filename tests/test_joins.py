@@ -119,3 +119,69 @@ def test_run_log_shows_whole_runs_only(spark, tmp_path):
     for name in ("", "a/b", ".x"):
         with pytest.raises(ValueError):
             log.commit(name, half)
+
+
+def walk(spark, n=130, seed=8):
+    rng = np.random.default_rng(seed)
+    common = rng.normal(0, 0.02, n)
+    out = []
+    for k, a in enumerate("ABCDEFG"):
+        c = 50 * np.exp(np.cumsum((k != 6) * (0.8 * common + rng.normal(0, 0.005 * (k + 1), n))))
+        keep = np.sort(rng.choice(n, n - 5 * k, replace=False))
+        out += [(a, "st"[k % 2], day(i), float(c[i])) for i in keep]
+    return spark.createDataFrame(out, "asset string, sector string, dt date, close double"), out
+
+
+@pytest.mark.parametrize("block", [2, 64])
+def test_best_partners_by_blocks(spark, block):
+    from tidemark.functions import cols as C
+    from tidemark.operators import gram
+
+    bars, rows = walk(spark)
+    r = bars.select("asset", "dt", C.log_change("close").alias("r"))
+    near = gram.best_partners(r, 20, 8, 0.3, block)
+    found = {(x.asset, (x.dt - day(0)).days): (x.partner, x["corr"]) for x in near.collect()}
+    series = {a: {(d - day(0)).days: c for x, _, d, c in rows if x == a} for a in "ABCDEFG"}
+    ret = {a: dict(zip(list(s)[1:], np.diff(np.log(list(s.values()))), strict=True)) for a, s in series.items()}
+    want = {}
+    for a in "ABCDEFG":
+        for t in series[a]:
+            best = (0.3, None)
+            for b in "ABCDEFG":
+                at = [d for d in series[a] if d in series.get(b, {}) and d <= t][-20:]
+                known = [d for d in at if d in ret[a] and d in ret[b]]
+                if b == a or not at or at[-1] != t or len(known) < 8:
+                    continue
+                x, y = np.array([ret[a][d] for d in known]), np.array([ret[b][d] for d in known])
+                if np.ptp(x) > 0 and np.ptp(y) > 0 and (c := np.corrcoef(x, y)[0, 1]) > best[0]:
+                    best = (c, b)
+            if best[1]:
+                want[a, t] = best
+    assert found.keys() == want.keys() and len(want) > 300
+    assert all(found[k][0] == b and abs(found[k][1] - c) < 1e-9 for k, (c, b) in want.items())
+    for x in gram.last_common(near, r, "r", 7, block).where("asset = 'B'").collect():
+        t = (x.dt - day(0)).days
+        at = [d for d in series["B"] if d in series[x.partner] and d <= t][-7:]
+        np.testing.assert_allclose(x.x, [ret["B"].get(d, np.nan) for d in at])
+        np.testing.assert_allclose(x.y, [ret[x.partner].get(d, np.nan) for d in at])
+
+
+@pytest.mark.parametrize("block", [2, 64])
+def test_quadratic_forms_and_scores_by_blocks(spark, block):
+    from tidemark.operators import gram
+
+    bars, rows = walk(spark)
+    weights = bars.select("asset", "dt", (F.col("close") / 50).alias("weight"))
+    matrix = [(a, b, (1.0 + ord(a) - 65) * (1.0 + ord(b) - 65) / 9) for a in "ABCDEF" for b in "ABCDEF" if (a, b) not in (("A", "B"), ("B", "A"))]
+    found = {(r.dt - day(0)).days: r.form for r in gram.quadratic_form(weights, spark.createDataFrame(matrix, "a1 string, a2 string, v double"), "v", block).collect()}
+    want = {}
+    for t in range(130):
+        w = {a: c / 50 for a, _, d, c in rows if d == day(t)}
+        if any(a in w and b in w for a, b, _ in matrix):
+            want[t] = sum(w[a] * w[b] * v for a, b, v in matrix if a in w and b in w)
+    assert found.keys() == want.keys() and all(abs(found[t] - want[t]) < 1e-9 for t in want)
+    rho = {(r.a1, r.a2): r.rho for r in gram.pair_statistic(bars, "close", pairs.autocorrelation, "rho", "sector", block).collect()}
+    assert set(rho) == {(a, b) for a in "ABCDEFG" for b in "ABCDEFG" if a < b and (ord(b) - ord(a)) % 2 == 0}
+    series = {a: {d: c for x, _, d, c in rows if x == a} for a in "ACE"}
+    z = np.array([np.log(series["A"][d] / series["C"][d]) for d in sorted(set(series["A"]) & set(series["C"]))])
+    assert abs(rho["A", "C"] - np.corrcoef(z[1:], z[:-1])[0, 1]) < 1e-9

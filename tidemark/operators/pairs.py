@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import cols as C
+from . import gram
 from .joins import tails
 
 PAIR = ("a1", "a2")
@@ -92,6 +93,16 @@ def best_partner(corr: DataFrame, least: float = 0.3) -> DataFrame:
     return mirrored(corr).where(F.col("corr") > least).withColumn("k", place).where("k = 1").drop("k")
 
 
+def autocorrelation(x: np.ndarray, y: np.ndarray) -> float:
+    """Of the log ratio of two prices with itself one row before; NaN where it doesn't vary."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        z = np.log(x / y)
+        now, before = z[1:], z[:-1]
+        sound = ~(np.isnan(now) | np.isnan(before))
+        now, before = now[sound], before[sound]
+        return float(np.corrcoef(now, before)[0, 1]) if len(now) > 1 and np.ptp(now) > 0 and np.ptp(before) > 0 else np.nan
+
+
 def select_pairs(bars: DataFrame, method: str = "composite", least: float = 0.0, top: int = 1) -> DataFrame:
     """sector, a1, a2, score: the `top` pairs of each sector by correlation, or by it and the spread's mean reversion.
 
@@ -99,12 +110,7 @@ def select_pairs(bars: DataFrame, method: str = "composite", least: float = 0.0,
     """
     inside = correlations(bars, within="sector")
     if method != "correlation_only":
-        from ..sources.bars import pair_bars
-
-        legs = pair_bars(bars, inside.select("a1", "a2")).withColumn("x", F.ln(C.div("c1", "c2")))
-        legs = legs.withColumn("px", C.lag("x", 1, PAIR))
-        rho = legs.groupBy("a1", "a2").agg(F.corr("x", "px").alias("rho"))
-        inside = inside.join(rho, ["a1", "a2"])
+        inside = inside.join(gram.pair_statistic(bars, "close", autocorrelation, "rho", "sector").drop("sector"), ["a1", "a2"])
         score = F.col("corr") - F.col("rho") if method == "composite" else -F.col("rho")
     else:
         score = F.col("corr")
@@ -283,37 +289,33 @@ def all_legs(bars: DataFrame, change: Callable[[str], Column] = C.change) -> Dat
     return leg(1).join(leg(2), "dt").where("a1 < a2").select("a1", "a2", "dt", "c1", "r1", "c2", "r2")
 
 
-def _best_of_day(df: DataFrame) -> DataFrame:
-    """Of each a1 and date the row of the highest corr, the first partner by name among equals."""
-    place = F.row_number().over(W.partitionBy("a1", "dt").orderBy(F.col("corr").desc(), "a2"))
-    return df.withColumn("k", place).where("k = 1").drop("k")
-
-
 def _universe(bars: DataFrame, scored: DataFrame) -> DataFrame:
     """asset, dt, partner, value for every bar: 0 and no partner where none is correlated enough."""
     own = scored.select(F.col("a1").alias("asset"), "dt", F.col("a2").alias("partner"), "value")
     return bars.select("asset", "dt").join(own, ["asset", "dt"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
 
 
-def copula_universe(bars: DataFrame, window: int = 60, least_corr: float = 0.5, entry: float = 0.2) -> DataFrame:
-    """copula_pair of every asset and date against its best partner by the last `window` common returns."""
-    near = _copula_windows(all_legs(bars), window).where((F.size("x") >= max(20, window - 10)) & (F.col("corr") > least_corr))
-    side = lambda a, b, x, y: F.struct(F.col(a).alias("a1"), F.col(b).alias("a2"), F.col(x).alias("x"), F.col(y).alias("y"))
-    both = near.select("dt", "corr", F.explode(F.array(side("a1", "a2", "x", "y"), side("a2", "a1", "y", "x"))).alias("s")).select("s.*", "dt", "corr")
-    df, score = _copula_score(_best_of_day(both), entry)
+def copula_universe(bars: DataFrame, window: int = 60, least_corr: float = 0.5, entry: float = 0.2, block: int = gram.BLOCK) -> DataFrame:
+    """copula_pair of every asset and date against its best partner by the last `window` common returns, whose returns alone
+    are fetched once it is known."""
+    r = bars.select("asset", "dt", C.change("close").alias("r")).where("r is not null")
+    near = gram.best_partners(r, window, max(20, window - 10), least_corr, block)
+    df, score = _copula_score(gram.last_common(near, r, "r", window, block).select(F.col("asset").alias("a1"), F.col("partner").alias("a2"), "dt", "x", "y"), entry)
     return _universe(bars, df.withColumn("value", score))
 
 
-def trend_universe(bars: DataFrame, window: int = 60, least_corr: float = 0.3, fast: int = 10, slow: int = 30) -> DataFrame:
+def trend_universe(bars: DataFrame, window: int = 60, least_corr: float = 0.3, fast: int = 10, slow: int = 30, block: int = gram.BLOCK) -> DataFrame:
     """trend_following of every asset and date against its best partner by the last `window` - 1 common log returns."""
-    legs = all_legs(bars, C.log_change)
-    w = C.last(window - 1, PAIR)
-    corr = F.when(F.count(F.col("r1") + F.col("r2")).over(w) >= 20, _corr_over(w))
-    swapped = F.struct(F.col("a2").alias("a1"), F.col("a1").alias("a2"), F.col("c2").alias("c1"), F.col("c1").alias("c2"))
-    # explode in the select of a window would come first, and the window see each date twice
-    both = legs.withColumn("corr", corr).select("dt", "corr", F.explode(F.array(F.struct("a1", "a2", "c1", "c2"), swapped)).alias("s")).select("s.*", "dt", "corr")
-    value = trend_following(both, window, fast, slow)
-    return _universe(bars, _best_of_day(both.select("a1", "a2", "dt", "corr").where(F.col("corr") > least_corr)).join(value, ["a1", "a2", "dt"]))
+    r = bars.select("asset", "dt", "close", C.log_change("close").alias("r"))
+    near = gram.best_partners(r, window - 1, 20, least_corr, block)
+    history = max(slow + 5, fast + 4)
+    df = gram.last_common(near, r, "close", history, block)
+    ratio = F.zip_with("x", "y", lambda a, b: a / F.greatest(b, F.lit(1e-10)))
+    mean = lambda n, before=0: F.aggregate(F.slice("z", history - before - n + 1, n), F.lit(0.0), lambda s, e: s + e) / n
+    df = df.withColumn("z", ratio).withColumn("full", F.size("z") >= history)
+    df = df.withColumns({"f": F.when(F.col("full"), mean(fast)), "s": F.when(F.col("full"), mean(slow)), "before": F.when(F.col("full"), mean(fast, 4))})
+    score = C.clip(10 * C.div(F.col("f") - F.col("s"), "s") + 5 * C.div(F.col("f") - F.col("before"), "before"), -1, 1)
+    return _universe(bars, df.select(F.col("asset").alias("a1"), F.col("partner").alias("a2"), "dt", F.coalesce(F.nanvl(score, F.lit(0.0)), F.lit(0.0)).alias("value")))
 
 
 FACTORS: dict[str, Callable[..., DataFrame]] = {

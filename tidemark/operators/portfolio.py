@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import cols as C
 from ..sources.bars import calendar
 from .pairs import joint_moments
+from .gram import quadratic_form
 from .timeseries import per_asset
 
 
@@ -102,9 +103,8 @@ def inverse_vol_weights(bars: DataFrame, window: int = 20, default: float = 0.15
 
 def portfolio_vol(weights: DataFrame, cov: DataFrame) -> DataFrame:
     """dt, vol = sqrt(w' S w). weights: dt, asset, weight; cov: a1, a2, cov with both orders and the diagonal."""
-    a = weights.select("dt", F.col("asset").alias("a1"), F.col("weight").alias("w1"))
-    b = weights.select("dt", F.col("asset").alias("a2"), F.col("weight").alias("w2"))
-    return a.join(cov, "a1").join(b, ["dt", "a2"]).groupBy("dt").agg(F.sqrt(F.greatest(F.sum(F.col("w1") * F.col("w2") * F.col("cov")), F.lit(0.0))).alias("vol"))
+    form = quadratic_form(weights, cov, "cov")
+    return form.select("dt", F.sqrt(F.greatest("form", F.lit(0.0))).alias("vol"))
 
 
 def covariances(bars: DataFrame, annual: float = 252.0) -> DataFrame:

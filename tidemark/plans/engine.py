@@ -596,3 +596,16 @@ add(
         *_bt_sql, *_ic,
     ),
 )
+
+add(
+    "combine_pairs",
+    on_bars(lambda b: combine.with_pairs(pairs.style_momentum(pairs.all_legs(b)), _mom(b).withColumnRenamed("value", "signal"))),
+    S.of_all_pairs(
+        S.query(
+            "SELECT a1, a2, dt, round(greatest(-1, least(1, 0.7 * value + 0.3 * (x.s - y.s) / 2)), 6) AS signal FROM sm JOIN mo x USING (dt) JOIN mo y USING (dt) WHERE x.asset = a1 AND y.asset = a2",
+            f"mo AS (SELECT * FROM (SELECT asset, dt, close / {S.lag('close', 20)} - 1 AS s FROM bars) WHERE s IS NOT NULL)",
+            f"sm AS (SELECT a1, a2, dt, CASE WHEN i >= 2 THEN sign(c1 / {_lagp('c1')} - c2 / {_lagp('c2')}) ELSE 0 END AS value FROM legs)",
+            pairs=True,
+        )
+    ),
+)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from enum import Enum
 
 from pyspark.sql import DataFrame
@@ -153,10 +153,26 @@ class Engine:
     def _pairs(self, task: Task, bars: DataFrame) -> Result:
         listed = B.pair_list(bars.sparkSession, task.pairs) if task.pairs else pairs.select_pairs(bars).select("a1", "a2")
         legs = B.pair_bars(bars, listed)
-        name = task.factors[0]
-        values = KINDS["pair_trading"][name](legs, **task.params.get(name, {})).select("a1", "a2", "dt", "value")
+        values = self.pair_values(task, bars, legs)
         return self._result(values, self._range(portfolio.pair_backtest(legs, values, capital=task.capital), task), ("a1", "a2"))
 
+    def pair_values(self, task: Task, bars: DataFrame, legs: DataFrame) -> DataFrame:
+        """a1, a2, dt, value: the mean of the task's pair factors, and if it has others half the difference of their legs' signals."""
+        of_pairs = [n for n in task.factors if kind_of(n) == "pair_trading"]
+        if not of_pairs:
+            raise ValueError("a task on pairs needs a pair factor")
+        found = None
+        for name in of_pairs:
+            df = KINDS["pair_trading"][name](legs, **task.params.get(name, {})).select("a1", "a2", "dt", "value")
+            found = df if found is None else found.unionByName(df)
+        if len(of_pairs) > 1:
+            found = found.groupBy("a1", "a2", "dt").agg(F.avg("value").alias("value"))
+        others = [n for n in task.factors if n not in of_pairs]
+        if not others:
+            return found
+        single = combine.combined(self.values(replace(task, factors=others), bars))
+        return combine.with_pairs(found, single).withColumnRenamed("signal", "value")
+
     def report(self, task: Task, result: Result, config: str = "") -> DataFrame:
         """Summary rows of a run that has one equity curve."""
         names = [f"{a}-{b}" for a, b in task.pairs] or task.assets

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cols as C
-from ..operators import combine, crosssection, joins, metrics, normalize, pairs, portfolio, report, timeseries
+from ..operators import combine, crosssection, joins, metrics, normalize, pairs, portfolio, quantiles, report, timeseries
 from ..sources import bars as B
 from ..sources import runlog
 from . import sql as S
@@ -64,7 +64,9 @@ _col = lambda c: on_bars(lambda b: b.withColumn("r", C.change("close")).select("
 add("ret_simple", _col(lambda: F.col("r")), S.query(value("round(r, 6)")))
 add("ret_log", _col(lambda: C.log_change("close")), S.query(value(f"round(ln(close / {S.lag('close')}), 6)", "bars")))
 add("roll_vol", _col(lambda: C.std("r", 20)), S.query(value(f"round({S.full('stddev_samp({})', 'r', 20)}, 6)")))
-add("roll_quantile", _col(lambda: C.rolling(lambda c: F.percentile(c, 0.8), "r", 20)), S.query(value(f"round(CASE WHEN count(r) {S.w(20)} = 20 THEN quantile_cont(r, 0.8) {S.w(20)} END, 6)")))
+_rolled = lambda n, q, least: on_bars(lambda b: quantiles.rolling_quantile(b.select("asset", "dt", C.change("close").alias("r")), "r", n, q, least=least).select("asset", "dt", "value"))
+add("roll_quantile", _rolled(20, 0.8, 20), S.query(value(f"round(CASE WHEN count(r) {S.w(20)} = 20 THEN quantile_cont(r, 0.8) {S.w(20)} END, 6)")))
+add("roll_quantile_long", _rolled(1000, 0.35, 60), S.query(value(f"round(CASE WHEN count(r) {S.w(1000)} >= 60 THEN quantile_cont(r, 0.35) {S.w(1000)} END, 6)")))
 add("skew_corrected", _col(lambda: F.when(C.age() > 60, C.skew(F.col("r"), F.count("r").over(C.last(60)), C.last(60)))), S.query(value(f"CASE WHEN i > 60 THEN round(skewness(r) {S.w(60)}, 6) END")))
 add("kurt_corrected", _col(lambda: F.when(C.age() > 60, C.kurt(F.col("r"), F.count("r").over(C.last(60)), C.last(60)))), S.query(value(f"CASE WHEN i > 60 THEN round(kurtosis(r) {S.w(60)}, 6) END")))
 add(
@@ -343,6 +345,10 @@ add("n_minmax", _norm(normalize.minmax), _norm_sql(f"2 * coalesce((value - min(v
 add("n_rank", _norm(normalize.rank), _norm_sql(f"2 * {S.pct_rank('value')} - 1"))
 add("n_rank_array", _norm(normalize.rank_array), _norm_sql(f"2 * coalesce(({S.pct_rank('value')} * count(*) {_day} - 1) / nullif(count(*) {_day} - 1, 0), 0) - 1"))
 add("n_winsorize", _norm(lambda d: normalize.winsorize(d, lo=0.1, hi=0.9)), _norm_sql(f"greatest(quantile_cont(value, 0.1) {_day}, least(quantile_cont(value, 0.9) {_day}, value))"))
+for _n, _by in (("n_winsorize_sector", ["sector"]), ("n_winsorize_all", [])):
+    _whole = f"OVER ({'PARTITION BY sector' if _by else ''})"
+    add(_n, on_bars(lambda b, by=_by: quantiles.clipped_to_quantiles(b.select("asset", "sector", "dt", C.change("close").alias("value")), "value", 0.02, 0.97, by).select("asset", "dt", "value", "norm")),
+        S.query(f"SELECT asset, dt, round(value, 6) AS value, round(CASE WHEN value IS NOT NULL THEN greatest(quantile_cont(value, 0.02) {_whole}, least(quantile_cont(value, 0.97) {_whole}, value)) END, 6) AS norm FROM (SELECT *, r AS value FROM rets)"))
 add("n_clip", on_bars(lambda b: b.select("asset", "dt", normalize.scalar_clip(C.change("close") * 20).alias("norm"))), S.query("SELECT asset, dt, CASE WHEN r IS NULL THEN 0 ELSE round(greatest(-1, least(1, r * 20)), 6) END AS norm FROM rets"))
 
 

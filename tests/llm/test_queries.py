@@ -85,6 +85,17 @@ def test_bpe(docs, rows):
     assert bpe.decode(bpe.encode(docs.where("false"))).count() == 0
 
 
+def test_bpe_in_slices(docs, monkeypatch):
+    """Blocks dealt into slices, each with its own buckets, have the ids that one slice gives."""
+    key = lambda df: sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens, r.ids) for r in df.collect())
+    whole = key(bpe.encode(docs))
+    monkeypatch.setattr(bpe, "SLICE_TEXT", 20_000)
+    dealt = bpe.numbered(docs.repartition(6).select("text", F.struct("doc_id").alias("_row")), bpe.public_tokenizers.PATTERN, 8, 6).where("_bucket is not null")
+    of_block = dealt.groupBy("_block").agg(F.min(F.floor(F.col("_bucket") / 8)).alias("a"), F.max(F.floor(F.col("_bucket") / 8)).alias("b")).collect()
+    assert all(r.a == r.b for r in of_block) and len({r.a for r in of_block}) > 1
+    assert key(bpe.encode(docs.repartition(6))) == whole
+
+
 def test_long_runs_take_linear_time(docs):
     tagger = pii.Tagger(pii.train())
     began = time.process_time()

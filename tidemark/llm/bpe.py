@@ -1,8 +1,10 @@
 """Byte-level BPE over the whole corpus: each distinct word is encoded once, by replaying the merges of the rank table.
 
 A word is a match of the pattern. Blocks of documents become rows of word numbers, and each has a list of its distinct
-words. The lists are dealt into buckets by the words' hashes, so that a bucket has all blocks' rows of its words, one for
-each block that has a word, and encodes every word once. A bucket's words are laid out as a chain of tokens. An inverted index leads from the rank of a token pair to the positions
+words. The blocks are dealt into slices of about 16 GB of text, and a slice's lists into buckets by the words' hashes, so that a
+bucket has the rows of its words from all blocks of the slice and encodes every word once. However large the corpus, no bucket
+has more than a slice's blocks, and a block has at most a slice's buckets: a word that is everywhere is replayed once a slice.
+A bucket's words are laid out as a chain of tokens. An inverted index leads from the rank of a token pair to the positions
 where the pair stands; ranks are taken in ascending order from a heap, all words that have the pair merge it together, and
 only the neighbours of what was merged get new entries. Of touching places of one rank a word merges every second, from
 the left, as a word-by-word encoder would; where the merged token could be part of a pair of lower rank that encoder's
@@ -42,6 +44,7 @@ from .common import Numbered, Scratch, blocks, small_batches, table, trim
 BLOCK_BYTES = 4 << 20  # of text whose words are numbered together
 MOST_PARTS = 50_000  # of the table of numbers, as Spark takes 100,000 buckets at most; each then has more blocks
 BUCKET_TEXT = 16 << 20  # a bucket of words for each so many bytes of text
+SLICE_TEXT = 16 << 30  # blocks of about so much text share buckets, so that a word that every block has meets a bounded number of them
 NONE = np.int64(1 << 40)
 
 
@@ -251,9 +254,9 @@ def spelled(words: np.ndarray, ids: np.ndarray, counts: np.ndarray, first: np.nd
     return ids[np.arange(int(ends[-1]) if len(n) else 0) + np.repeat(first[words] - ends + n, n)]
 
 
-def numbered(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
+def numbered(docs: DataFrame, pattern: str, buckets: int, slices: int = 1) -> DataFrame:
     """A row for each block of documents (no _bucket): _rows (as in docs) and _data, the words in each document and the
-    numbers of them all; and one for each block and bucket of words: their numbers (as differences), lengths and bytes."""
+    numbers of them all; and one for each block and bucket of its slice: the words' numbers (as differences), lengths and bytes."""
     row = docs.schema["_row"].dataType
     schema = T.StructType([T.StructField("_rows", T.ArrayType(row)), T.StructField("_block", T.LongType()), T.StructField("_bucket", T.LongType()), T.StructField("_data", T.BinaryType())])
 
@@ -265,9 +268,10 @@ def numbered(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
             whole = block.column("_row").combine_chunks()
             whole = pa.ListArray.from_arrays(pa.array([0, len(whole)], pa.int32()), whole)
             yield pa.RecordBatch.from_arrays([whole, pa.array([base | number]), pa.nulls(1, pa.int64()), pa.array([packed(sizes, words)])], schema.names)
-            bucket = np.array([zlib.crc32(w) % buckets for w in distinct], np.int64)
+            shift = zlib.crc32((base | number).to_bytes(8, "little")) % slices * buckets
+            bucket = np.array([shift + zlib.crc32(w) % buckets for w in distinct], np.int64)
             order = np.argsort(bucket, kind="stable")
-            cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=buckets))
+            cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=buckets * slices))
             lists = []
             for lo, hi in pairwise(cuts.tolist()):
                 own = [distinct[i] for i in order[lo:hi].tolist()]
@@ -302,11 +306,12 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
     scratch = Scratch(docs.sparkSession)
     others = [c for c in docs.columns if c not in (text, "n_tokens", "ids")]
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    buckets = max(8, -(-size // BUCKET_TEXT))
+    slices = max(1, -(-size // SLICE_TEXT))
+    buckets = max(8, -(-size // (slices * BUCKET_TEXT)))
     row = F.struct(*others) if others else F.struct(F.lit(0).alias("_"))
     parts = min(MOST_PARTS, max(8, -(-size // (2 * BLOCK_BYTES))))  # partitions that don't grow with the corpus
     # the documents' numbers stay where they are written: only words and their ids are shuffled
-    rows = scratch.write_dealt(numbered(docs.select(F.col(text).alias("text"), row.alias("_row")), pattern, buckets), "numbered", "_block", parts)
+    rows = scratch.write_dealt(numbered(docs.select(F.col(text).alias("text"), row.alias("_row")), pattern, buckets, slices), "numbered", "_block", parts)
 
     def filled(block: pa.Table, own: pa.Table) -> pa.Table:
         parts = [unpacked(x) for x in own.column("_ids").to_pylist()]
@@ -325,7 +330,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
         return pa.table([block.column("_rows").combine_chunks().flatten(), *added], ["_row", "n_tokens", "ids"])
 
     schema = T.StructType([T.StructField("_row", rows.schema["_rows"].dataType.elementType), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
-    own = spellings(rows.where("_bucket is not null").select("_bucket", "_block", "_data"), path, buckets).repartition(parts, "_of")
+    own = spellings(rows.where("_bucket is not null").select("_bucket", "_block", "_data"), path, buckets * slices).repartition(parts, "_of")
     coded = rows.where("_bucket is null").drop("_bucket").groupBy("_block").cogroup(own.groupBy("_of")).applyInArrow(filled, schema)
     return coded.select(*(F.col("_row")[c].alias(c) for c in others), "n_tokens", "ids")
 

@@ -84,6 +84,21 @@ def pair_volatility(legs: DataFrame, window: int = 20, annual: float = 252.0) ->
     return df.select("a1", "a2", "dt", (C.std("dx", window, keys=keys, least=10) * annual**0.5).alias("vol"))
 
 
+def pair_sizes(legs: DataFrame, capital: float = 1e6, margin: float = 0.1, window: int = 20, default: float = 0.15, annual: float = 252.0) -> DataFrame:
+    """a1, a2, dt, weight1, n1, n2: whole contracts of each leg so that both bear the same risk, by inverse volatility.
+
+    A volatility that is missing (under 10 returns) or 0 counts as `default`. A leg has one contract at least; both have
+    one where a price is missing or not above 0.
+    """
+    keys = ("a1", "a2")
+    vol = lambda r: F.coalesce(F.nullif(C.std(r, window, keys=keys, least=10) * annual**0.5, F.lit(0.0)), F.lit(default))
+    df = legs.select("a1", "a2", "dt", "c1", "c2", vol("r1").alias("v1"), vol("r2").alias("v2"))
+    df = df.withColumn("weight1", F.col("v2") / (F.col("v1") + F.col("v2")))
+    priced = (F.col("c1") > 0) & (F.col("c2") > 0)
+    n = lambda w, c: F.when(priced, F.greatest(F.lit(1).cast("long"), F.floor(C.div(w * capital, F.col(c) * margin)))).otherwise(F.lit(1).cast("long"))
+    return df.select("a1", "a2", "dt", "weight1", n(F.col("weight1"), "c1").alias("n1"), n(1 - F.col("weight1"), "c2").alias("n2"))
+
+
 def vol_target(legs: DataFrame, target: float = 0.15, lookback: int = 60, base: float = 1.0, most: float = 3.0) -> DataFrame:
     """a1, a2, dt, vol, leverage: target over the annual deviation of the log ratio (20 values at least), within [0.1, 10]."""
     keys = ("a1", "a2")

@@ -162,3 +162,37 @@ def low_lag(df: DataFrame, column: str, spans: dict[str, int], block: int = BLOC
         return dict(zip(spans, s[:, ::2].T, strict=True))
 
     return scanned(filled, maps, results, list(spans), block).drop("_x", "_x1", "_x2")
+
+
+def level_gains(n: int, q: float, r: float) -> np.ndarray:
+    """Gains of a local-level filter at rows 0 to n - 1; they no longer change after some hundreds of rows."""
+    out, p = [1.0], (1 - (1 + q) / (1 + q + r)) * (1 + q)
+    while len(out) < n:
+        k = (p + q) / (p + q + r)
+        out.append(k)
+        if k == out[-2]:
+            break
+        p = (1 - k) * (p + q)
+    return np.array(out)
+
+
+def filtered_level(df: DataFrame, column: str = "close", q: float = 1e-5, r: float = 1e-3, block: int = BLOCK) -> DataFrame:
+    """`df` with `filtered`, the level a Kalman filter holds after each row of an asset, and `deviation`, the value less the level before.
+
+    The first value is the first level. A missing value leaves the level as it is and has no deviation; the filter starts
+    at the first known one. The gain depends on the count of values alone, so the level is a scan of affine maps.
+    """
+    seen = df.withColumn("_seen", F.count(column).over(C.so_far()))
+
+    def maps(part: pd.DataFrame) -> Maps:
+        x, at = part[column].to_numpy(dtype=float), part["_seen"].to_numpy(dtype=np.int64) - 1
+        gains = level_gains(int(at.max()) + 1, q, r)
+        k = np.where(np.isnan(x), 0.0, gains[np.clip(at, 0, len(gains) - 1)])
+        return (1 - k)[:, None], (k * np.nan_to_num(x))[:, None]
+
+    def results(s: np.ndarray, part: pd.DataFrame) -> dict[str, np.ndarray]:
+        return {"filtered": np.where(part["_seen"].to_numpy() > 0, s[:, 0], np.nan)}
+
+    found = scanned(seen, maps, results, ["filtered"], block)
+    before = F.when(F.col("_seen") > 1, C.lag("filtered", 1)).when(F.col("_seen") == 1, F.col(column))
+    return found.withColumn("deviation", F.col(column) - before).drop("_seen")

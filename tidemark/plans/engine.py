@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cols as C
-from ..operators import combine, crosssection, joins, metrics, normalize, pairs, portfolio, quantiles, report, timeseries
+from ..operators import combine, crosssection, joins, metrics, normalize, pairs, portfolio, quantiles, report, scan, timeseries
 from ..sources import bars as B
 from ..sources import runlog
 from . import sql as S
@@ -69,6 +69,7 @@ add("roll_quantile", _rolled(20, 0.8, 20), S.query(value(f"round(CASE WHEN count
 add("roll_quantile_long", _rolled(1000, 0.35, 60), S.query(value(f"round(CASE WHEN count(r) {S.w(1000)} >= 60 THEN quantile_cont(r, 0.35) {S.w(1000)} END, 6)")))
 add("skew_corrected", _col(lambda: F.when(C.age() > 60, C.skew(F.col("r"), F.count("r").over(C.last(60)), C.last(60)))), S.query(value(f"CASE WHEN i > 60 THEN round(skewness(r) {S.w(60)}, 6) END")))
 add("kurt_corrected", _col(lambda: F.when(C.age() > 60, C.kurt(F.col("r"), F.count("r").over(C.last(60)), C.last(60)))), S.query(value(f"CASE WHEN i > 60 THEN round(kurtosis(r) {S.w(60)}, 6) END")))
+add("roll_mean_any", _col(lambda: C.mean("r", 20, least=1)), S.query(value(f"round(avg(r) {S.w(20)}, 6)")))
 add(
     "atr",
     on_bars(lambda b: b.withColumn("tr", C.true_range()).select("asset", "dt", C.mean("tr", 14).alias("value"))),
@@ -85,10 +86,32 @@ add(
     on_bars(lambda b: B.as_of_prices(b)),
     S.query("SELECT asset, dt, round(close, 6) AS close FROM grid ASOF JOIN bars USING (asset, dt)", "grid AS (SELECT * FROM (SELECT DISTINCT asset FROM bars) CROSS JOIN (SELECT DISTINCT dt FROM bars))").replace("SELECT asset, dt, round(close, 6)", "SELECT grid.asset, grid.dt, round(close, 6)"),
 )
+add(
+    "bars_industry",
+    lambda spark, sf_dir: B.with_industry(B.daily_bars(spark, sf_dir).drop("sector"), B.industries(spark, sf_dir)).select("asset", "dt", "close", "sector"),
+    S.query(
+        "SELECT asset, dt, round(close, 6) AS close, coalesce(s, 'unknown') AS sector FROM bars LEFT JOIN tops USING (asset)",
+        "sizes AS (SELECT p_brand AS asset, p_size // 10 AS size, count(*) AS n FROM part GROUP BY 1, 2)",
+        "tops AS (SELECT asset, 'size' || size AS s FROM (SELECT *, sum(n) OVER (PARTITION BY asset) AS parts FROM sizes) WHERE n >= 0.25 * parts QUALIFY row_number() OVER (PARTITION BY asset ORDER BY n DESC, size DESC) = 1)",
+    ),
+)
 add("liquidity_strict", on_bars(lambda b: B.liquid(b, min_volume=38, min_oi=700)), S.query("SELECT * FROM (SELECT asset, round(avg(volume),6) AS avg_volume, round(avg(oi),6) AS avg_oi FROM bars GROUP BY asset) WHERE avg_volume >= 38 AND avg_oi >= 700"))
 add("liquidity_percentile", on_bars(lambda b: B.liquid(b, "percentile")), S.query("SELECT asset, round(v,6) AS avg_volume, round(o,6) AS avg_oi FROM (SELECT *, percent_rank() OVER (ORDER BY v) AS s FROM (SELECT asset, avg(volume) AS v, avg(oi) AS o FROM bars GROUP BY asset)) WHERE s >= 0.5"))
 add("liquidity_composite", on_bars(lambda b: B.liquid(b, "composite")), S.query("SELECT asset, round(v,6) AS avg_volume, round(o,6) AS avg_oi FROM (SELECT *, (percent_rank() OVER (ORDER BY v) + percent_rank() OVER (ORDER BY o)) / 2 AS s FROM (SELECT asset, avg(volume) AS v, avg(oi) AS o FROM bars GROUP BY asset)) WHERE s >= 0.5"))
 
+add(
+    "kalman_level",
+    on_bars(lambda b: scan.filtered_level(b.select("asset", "dt", "close"))),
+    S.query(
+        "SELECT asset, dt, round(close, 6) AS close, round(x, 6) AS filtered, round(close - before, 6) AS deviation FROM level",
+        "gains(i, k, p) AS (SELECT 1, 1.0::DOUBLE, (1 - (1 + 1e-5) / (1 + 1e-5 + 1e-3)) * (1 + 1e-5) UNION ALL"
+        " SELECT i + 1, (p + 1e-5) / (p + 1e-5 + 1e-3), (1 - (p + 1e-5) / (p + 1e-5 + 1e-3)) * (p + 1e-5) FROM gains WHERE i < (SELECT max(i) FROM rets))",
+        "steps AS MATERIALIZED (SELECT asset, dt, close, i, k FROM rets JOIN gains USING (i))",
+        "level(asset, dt, close, i, x, before) AS (SELECT asset, dt, close, i, close, close FROM steps WHERE i = 1 UNION ALL"
+        " SELECT s.asset, s.dt, s.close, s.i, l.x + s.k * (s.close - l.x), l.x FROM level l JOIN steps s ON s.asset = l.asset AND s.i = l.i + 1)",
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+)
+
 # --- time-series factors ----------------------------------------------------------------------------------------------
 TS = timeseries.FACTORS
 _emd = ", ".join([*(f"close - avg(close) {S.w(k)} AS d{k}" for k in (3, 5)), *(f"avg(close) {S.w(k)} AS m{k}" for k in (10, 20, 30))])
@@ -497,6 +520,15 @@ ORACLE_SQL["bt_pair_all"] = S.of_all_pairs(ORACLE_SQL["bt_pair"])
 for _name, _build in (("alloc_volparity", _shares("volatility_parity")), ("alloc_equal", _shares("equal")), ("vol_target", on_all_pairs(portfolio.vol_target))):
     add(f"{_name}_all", _build)
     ORACLE_SQL[f"{_name}_all"] = S.of_all_pairs(ORACLE_SQL[_name])
+_legs_vol = ", ".join(f"coalesce(nullif({S.full('stddev_samp({})', f'r{k}', 20, 'a1, a2', 10)} * sqrt(252), 0), 0.15) AS v{k}" for k in (1, 2))
+add(
+    "pair_sizes",
+    on_all_pairs(portfolio.pair_sizes),
+    S.of_all_pairs(S.query(
+        "SELECT a1, a2, dt, round(w, 6) AS weight1, greatest(1, floor(w * 1e6 / (c1 * 0.1)))::BIGINT AS n1, greatest(1, floor((1 - w) * 1e6 / (c2 * 0.1)))::BIGINT AS n2 FROM (SELECT *, v2 / (v1 + v2) AS w FROM lv)",
+        f"lv AS (SELECT *, {_legs_vol} FROM legs)", pairs=True,
+    )),
+)
 add("inverse_vol_weights", on_bars(portfolio.inverse_vol_weights), S.query("SELECT asset, dt, round(vol, 6) AS vol, round(1 / vol / sum(1 / vol) OVER (PARTITION BY dt), 6) AS weight FROM iv", f"iv AS (SELECT asset, dt, coalesce(nullif({S.full('stddev_samp({})', 'r', 20, 'asset', 10)} * sqrt(252), 0), 0.15) AS vol FROM rets)"))
 
 

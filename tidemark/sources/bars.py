@@ -96,6 +96,29 @@ def hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def industries(spark: SparkSession, sf_dir: str, least: float = 0.25) -> DataFrame:
+    """asset, sector: a brand's most frequent class of sizes, if it has at least that share of its parts."""
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_brand").alias("asset"), F.floor(F.col("p_size") / 10).alias("size"))
+    counts = parts.groupBy("asset", "size").agg(F.count(F.lit(1)).alias("n"))
+    top = counts.groupBy("asset").agg(F.max(F.struct("n", "size")).alias("top"), F.sum("n").alias("parts"))
+    return top.where(F.col("top.n") >= least * F.col("parts")).select("asset", F.concat(F.lit("size"), F.col("top.size").cast("string")).alias("sector"))
+
+
+def with_industry(bars: DataFrame, table: DataFrame, unknown: str = "unknown") -> DataFrame:
+    """`bars` with the sector of an industry table (asset, sector, or any of their aliases), else the one they have, else `unknown`.
+
+    A left join: every bar stays and none is repeated. Of an asset's sectors the first by name counts, an empty one isn't
+    any; spaces around names don't matter. The table has a row for each asset; Spark broadcasts it by its measured size.
+    """
+    for to in ("asset", "sector"):
+        if to not in table.columns:
+            table = table.withColumnRenamed(next(k for k in ALIASES[to] if k in table.columns), to)
+    known = table.select(F.trim("asset").alias("asset"), F.nullif(F.trim("sector"), F.lit("")).alias("_sector"))
+    known = known.groupBy("asset").agg(F.min("_sector").alias("_sector"))
+    own = [F.col("sector")] if "sector" in bars.columns else []
+    return bars.join(known, "asset", "left").withColumn("sector", F.coalesce("_sector", *own, F.lit(unknown))).drop("_sector")
+
+
 def selected(bars: DataFrame, assets: list[str] | None = None, sectors: list[str] | None = None) -> DataFrame:
     """Assets listed or in the sectors listed; all if neither is given."""
     if not assets and not sectors:
